@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.items import channel_type, make_error
+from ..schema import ERROR_TYPE
 
 CLEAN_TYPE = T.StructType([
     T.StructField("clean_content", T.StringType(), True),
@@ -409,39 +410,50 @@ MAX_BROADCAST_ITEMS = 100_000
 
 
 def fill_content(items: DataFrame, pages: DataFrame, url_col: str = "url", html_col: str = "html",
-                 page_key: str | None = None, bounded: int | None = None) -> DataFrame:
+                 page_key: str | None = None, bounded: int | None = None,
+                 clean: bool = True) -> DataFrame:
     """Fill ``clean_content`` / ``error`` of items from landed pages.
 
     * no page for the link → ``NetworkError``;
-    * html null → ``ParsingError``; html '' → ``EmptyString``;
+    * page body null → ``ParsingError``; body '' → ``EmptyString``;
     * cleaned text empty → ``NoContent``; otherwise the text.
 
-    ``bounded`` is a known upper bound of the item count (e.g. the k of a
-    preceding top-k): within ``MAX_BROADCAST_ITEMS`` the item links are
-    broadcast to cut the pages table before any page is parsed.
+    ``clean=False`` takes the landed body as text (an already-extracted
+    article store).  ``bounded`` is a known upper bound of the item count
+    (e.g. the k of a preceding top-k): within ``MAX_BROADCAST_ITEMS`` the
+    item links are broadcast to cut the pages table before any page is
+    parsed.
     """
     links = items.select(F.col("link").alias(url_col)).distinct()
     if bounded is not None and bounded <= MAX_BROADCAST_ITEMS:
         links = F.broadcast(links)
     needed = pages.join(links, url_col, "left_semi")
-    # one page per url: the first by page key (or any, deterministically)
+    # one page per url: the first by page key (else the smallest body)
     order_col = page_key or html_col
-    one = (needed.groupBy(url_col)
-                 .agg(F.min_by(F.col(html_col), F.col(order_col)).alias("_html")))
+    one = needed.groupBy(url_col).agg(F.min_by(F.col(html_col), F.col(order_col)).alias("_html"))
     channels = items.select(F.col("link").alias(url_col), F.col("channel").alias("_channel")).distinct()
     with_channel = one.join(channels, url_col, "inner")
-    cleaned = clean_pages(with_channel, "_channel", "_html").select(url_col, "_channel", "clean")
-    joined = items.drop("clean_content", "error").join(
-        cleaned, (items.link == cleaned[url_col]) & (items.channel == cleaned["_channel"]), "left")
+    if clean:
+        cleaned = clean_pages(with_channel, "_channel", "_html")
+    else:
+        body = F.col("_html")
+        cleaned = with_channel.withColumn("clean", F.struct(
+            F.when(body.isNull() | (body == ""), F.lit(None).cast("string")).otherwise(body).alias("clean_content"),
+            F.when(body.isNull(), F.lit("ParsingError")).when(body == "", F.lit("EmptyString"))
+             .otherwise(F.lit(None).cast("string")).alias("error_kind"),
+            F.when(body.isNull(), F.lit("page body could not be decoded"))
+             .otherwise(F.lit(None).cast("string")).alias("error_message")))
+    cleaned = cleaned.select(F.col(url_col).alias("_url"), "_channel", "clean")
+    joined = items.join(cleaned, (items.link == F.col("_url")) & (items.channel == F.col("_channel")), "left")
     kind = F.col("clean.error_kind")
     text = F.col("clean.clean_content")
-    missing = F.col(url_col).isNull()
+    missing = F.col("_url").isNull()
     error = (F.when(missing, make_error(F.lit("NetworkError"),
-                                        F.concat(F.lit("no landed page for "), F.col("link"))))
+                                        F.concat(F.lit("no landed page for "), items.link)))
               .when(kind.isNotNull(), make_error(kind, F.col("clean.error_message")))
               .when(text == "", make_error("NoContent"))
-              .otherwise(F.lit(None)))
+              .otherwise(F.lit(None).cast(ERROR_TYPE)))
     content = F.when(missing | kind.isNotNull() | (text == ""), F.lit(None).cast("string")).otherwise(text)
-    cols = [c for c in items.columns if c not in ("clean_content", "error")]
-    return joined.select(*[items[c] for c in cols], content.alias("clean_content"), error.alias("error")) \
-                 .select(*items.columns)
+    out = [content.alias(c) if c == "clean_content" else error.alias(c) if c == "error" else items[c]
+           for c in items.columns]
+    return joined.select(*out)

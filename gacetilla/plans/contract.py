@@ -18,9 +18,10 @@ from ..operators.rank import composite_order, number_all, number_small, relevanc
 from ..operators.scoring import score_breakdown, token_occurrences
 from ..operators.similarity import dice_pairs, filter_matching, matched_tokens
 from ..sources.lexicon import combined_lexicon
-from ..sources.testdata import (CONTRACT_EXTRA_ROOTS, document_items, filled_document_items,
-                                raw_items_from_documents, table)
-from .oracle import OPT_IN_AND, OPT_IN_OR, TOP_K
+from ..sources.testdata import (CONTRACT_EXTRA_ROOTS, content_store, document_items,
+                                filled_document_items, page_items, pages_with_channel,
+                                ratings_from_labels, raw_items_from_documents, table)
+from .oracle import FEEDBACK_DATE, FEEDBACK_N, OPT_IN_AND, OPT_IN_OR, RUN_TIME, TOP_K
 
 
 def contract_lexicon(spark: SparkSession) -> DataFrame:
@@ -108,6 +109,148 @@ def q_contents_list(spark, sf_dir):
     return number_small(top, relevance_order(), "ord").select("ord", "title", anchor("title").alias("anchor"))
 
 
+def q_feed_lines(spark, sf_dir):
+    from ..sources.feeds import is_feed_line
+    from ..functions.text import split_whitespace  # noqa: F401
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("line"))
+    doc_lines = table(spark, sf_dir, "documents").select(
+        F.explode(F.split(F.col("text"), "\n", -1)).alias("line"))
+    lines = pages.unionByName(doc_lines)
+    return lines.where(is_feed_line("line")).groupBy("line").agg(
+        F.count(F.lit(1)).cast("long").alias("copies"))
+
+
+def q_rss_scan(spark, sf_dir):
+    from ..operators.normalize import normalise
+    from ..sources.rss import channel_items, parse_rss, rss_document
+    raw = raw_items_from_documents(table(spark, sf_dir, "documents"))
+    parsed = parse_rss(rss_document(raw))
+    items = normalise(channel_items(parsed, feed_col="item_id").drop("pos"))
+    return items.select("item_id", "channel", "title", "link", "description", "creators",
+                        "pub_date", "categories", "keywords")
+
+
+def q_clean_region(spark, sf_dir):
+    from ..operators.content import clean_pages, region_kind
+    pages = pages_with_channel(spark, sf_dir)
+    c = clean_pages(pages)
+    kind = F.when(F.col("clean.error_kind").isNotNull(), F.col("clean.error_kind")).when(
+        F.col("clean.clean_content") == "", F.lit("NoContent"))
+    return c.select("page_id", channel_type("channel").alias("channel_type"),
+                    region_kind(F.col("channel"), F.col("html")).alias("region"),
+                    kind.alias("error_kind"))
+
+
+def q_clean_text(spark, sf_dir):
+    from ..operators.content import clean_pages
+    c = clean_pages(pages_with_channel(spark, sf_dir))
+    return c.select("page_id", F.col("clean.clean_content").alias("clean_content"),
+                    F.col("clean.error_kind").alias("error_kind"))
+
+
+def q_fill_content(spark, sf_dir):
+    from ..functions.items import error_text
+    from ..operators.content import fill_content
+    docs = document_items(spark, sf_dir).withColumn(
+        "item_id", F.concat(F.lit("doc:"), F.col("item_id").cast("string")))
+    items = page_items(spark, sf_dir).unionByName(docs)
+    pages = table(spark, sf_dir, "pages")
+    out = fill_content(items, pages, page_key="page_id")
+    return out.select("item_id", F.col("error.kind").alias("error_kind"),
+                      error_text(F.col("error")).alias("error_text"),
+                      F.col("clean_content").isNotNull().alias("has_content"))
+
+
+def _two_phase(spark, sf_dir):
+    from .pipelines import two_phase
+    return two_phase(document_items(spark, sf_dir), content_store(spark, sf_dir),
+                     contract_lexicon(spark), clean=False, html_col="body")
+
+
+def q_two_phase(spark, sf_dir):
+    return _two_phase(spark, sf_dir).top.select("rank", "item_id", "link", "relevance")
+
+
+def _content_addressed(spark, sf_dir):
+    from ..operators.normalize import normalise
+    raw = raw_items_from_documents(table(spark, sf_dir, "documents"), keep_text=True)
+    return normalise(raw, extra=["_text"]).withColumn(
+        "link", F.concat(F.lit("https://example.org/"), F.md5("_text"))).drop("_text")
+
+
+def q_dedup_link(spark, sf_dir):
+    from ..operators.dedup import first_per_key
+    return first_per_key(_content_addressed(spark, sf_dir), "link", ["item_id"]).select("link", "item_id")
+
+
+def q_insert_new(spark, sf_dir):
+    from ..operators.dedup import rows_to_insert
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id")).distinct()
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"), F.concat(F.lit("https://example.org/"), F.md5("text")).alias("link"))
+    existing = docs.join(labels, "item_id", "left_semi").select("link")
+    return rows_to_insert(_content_addressed(spark, sf_dir), existing, "link", ["item_id"]).select(
+        "item_id", "link")
+
+
+def q_store_round_trip(spark, sf_dir):
+    import os
+    import uuid
+    from ..session import checkpoint_dir
+    from ..sinks.table import insert_items, read_table
+    path = os.path.join(checkpoint_dir(spark), "tables", f"news_item-{uuid.uuid4().hex}")
+    insert_items(spark, filled_document_items(spark, sf_dir), path)
+    back = read_table(spark, path)
+    return back.select("channel", "title", "link", "description", "creators", "pub_date",
+                       "categories", "keywords", "clean_content",
+                       F.col("error.kind").alias("error_kind"), F.col("error.message").alias("error_message"))
+
+
+def _feedback(spark, sf_dir):
+    from ..operators.feedback import apply_feedback
+    from ..sources.testdata import CONTRACT_NOW
+    return apply_feedback(document_items(spark, sf_dir), ratings_from_labels(spark, sf_dir),
+                          n=FEEDBACK_N, now=CONTRACT_NOW)
+
+
+def q_feedback(spark, sf_dir):
+    return _feedback(spark, sf_dir).select("item_id", "link", "relevance", "days_since_publication")
+
+
+def q_csv_round_trip(spark, sf_dir):
+    import os
+    import uuid
+    from ..schema import CSV_HEADER
+    from ..session import checkpoint_dir
+    from ..sinks.csv import read_csv, write_csv
+    path = os.path.join(checkpoint_dir(spark), "csv", f"feedback-{uuid.uuid4().hex}")
+    write_csv(_feedback(spark, sf_dir), path, FEEDBACK_DATE)
+    back = read_csv(spark, path)
+    names = {h: h.lower().replace(" ", "_") for h in CSV_HEADER}
+    return back.select(*[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(names[h]) for h in CSV_HEADER])
+
+
+def q_report_lines(spark, sf_dir):
+    from ..sinks.reports import relevance_report_lines
+    s = _scores(spark, sf_dir).withColumnRenamed("net_relevance", "relevance")
+    return relevance_report_lines(s)
+
+
+def q_dossier_lines(spark, sf_dir):
+    from ..sinks.reports import dossier_lines
+    return dossier_lines(_two_phase(spark, sf_dir).top, RUN_TIME)
+
+
+def q_item_log_lines(spark, sf_dir):
+    from ..sinks.reports import item_log_lines
+    return item_log_lines(_two_phase(spark, sf_dir).first_phase)
+
+
+def q_extractive_summary(spark, sf_dir):
+    from ..operators.summary import summarize
+    return summarize(table(spark, sf_dir, "documents"), contract_lexicon(spark), "doc_id", "text")
+
+
 def contract_queries() -> dict:
     return {
         "q_items_normalised": q_items_normalised,
@@ -124,4 +267,19 @@ def contract_queries() -> dict:
         "q_relevance_by_channel": q_relevance_by_channel,
         "q_relevance_list": q_relevance_list,
         "q_contents_list": q_contents_list,
+        "q_feed_lines": q_feed_lines,
+        "q_rss_scan": q_rss_scan,
+        "q_clean_region": q_clean_region,
+        "q_clean_text": q_clean_text,
+        "q_fill_content": q_fill_content,
+        "q_two_phase": q_two_phase,
+        "q_dedup_link": q_dedup_link,
+        "q_insert_new": q_insert_new,
+        "q_store_round_trip": q_store_round_trip,
+        "q_feedback": q_feedback,
+        "q_csv_round_trip": q_csv_round_trip,
+        "q_report_lines": q_report_lines,
+        "q_dossier_lines": q_dossier_lines,
+        "q_item_log_lines": q_item_log_lines,
+        "q_extractive_summary": q_extractive_summary,
     }

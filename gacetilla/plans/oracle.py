@@ -13,6 +13,9 @@ from ..sources.lexicon import BUILTIN_ROOTS
 from ..sources.testdata import (BASE_EPOCH, CONTRACT_EXTRA_ROOTS, CONTRACT_NOW, STEP_SECONDS,
                                 TEST_CHANNELS)
 from ..operators.similarity import DICE_THRESHOLD
+from ..operators.summary import SENTENCE_PATTERN, TOKEN_BUDGET
+from ..sources.feeds import URL_PATTERN
+from ..sources.testdata import OTHER_PAGE_CHANNEL
 
 TH = repr(float(DICE_THRESHOLD))
 
@@ -68,12 +71,12 @@ filled AS (
 )"""
 
 
-def occurrences(src: str, with_content: bool = True) -> str:
+def occurrences(src: str, with_content: bool = True, name: str = "occ") -> str:
     content = f"""
   UNION ALL SELECT item_id, 'content' AS field, unnest({_split_ws('clean_content')}) AS token
     FROM {src} WHERE error_kind IS NULL AND clean_content IS NOT NULL""" if with_content else ""
     return f"""
-occ AS (
+{name} AS (
   SELECT item_id, 'categories' AS field, unnest(string_split(categories, ',')) AS token
     FROM {src} WHERE error_kind IS NULL AND categories IS NOT NULL
   UNION ALL SELECT item_id, 'keywords' AS field, unnest(string_split(keywords, ',')) AS token
@@ -129,17 +132,17 @@ pairs AS (
 matched AS (SELECT DISTINCT token FROM pairs WHERE dice >= {TH})"""
 
 
-def scores(src: str, with_content: bool = True) -> str:
-    """CTE ``scores`` over an item CTE with item_id, creators, error_kind."""
+def scores(src: str, with_content: bool = True, occ: str = "occ", prefix: str = "") -> str:
+    """CTE ``{prefix}scores`` over an item CTE with item_id, creators, error_kind."""
     def part(field, w):
         return f"CAST(sum(CASE WHEN field = '{field}' THEN {w} ELSE 0 END) AS BIGINT) AS by_{field}"
     return f""",
-hits AS (
+{prefix}hits AS (
   SELECT item_id, {part('categories', 5)}, {part('keywords', 5)}, {part('title', 10)},
          {part('description', 1)}, {part('content', 1)}
-  FROM occ WHERE token IN (SELECT token FROM matched) GROUP BY item_id
+  FROM {occ} WHERE token IN (SELECT token FROM matched) GROUP BY item_id
 ),
-parts AS (
+{prefix}parts AS (
   SELECT s.*, s.error_kind IS NOT NULL AS error,
     CAST(CASE WHEN s.error_kind IS NOT NULL THEN 0 WHEN coalesce(s.creators, '') <> '' THEN 10 ELSE 0 END AS BIGINT) AS by_creator,
     CAST(CASE WHEN s.error_kind IS NOT NULL THEN 0 ELSE coalesce(h.by_categories, 0) END AS BIGINT) AS by_categories,
@@ -147,15 +150,15 @@ parts AS (
     CAST(CASE WHEN s.error_kind IS NOT NULL THEN 0 ELSE coalesce(h.by_title, 0) END AS BIGINT) AS by_title,
     CAST(CASE WHEN s.error_kind IS NOT NULL THEN 0 ELSE coalesce(h.by_description, 0) END AS BIGINT) AS by_description,
     CAST(CASE WHEN s.error_kind IS NOT NULL THEN 0 ELSE coalesce(h.by_content, 0) END AS BIGINT) AS relevance_content
-  FROM {src} s LEFT JOIN hits h USING (item_id)
+  FROM {src} s LEFT JOIN {prefix}hits h USING (item_id)
 ),
-scores AS (
+{prefix}scores AS (
   SELECT *, by_creator + by_categories + by_keywords + by_title + by_description AS relevance_core,
          by_creator + by_categories + by_keywords + by_title + by_description + relevance_content AS net_relevance,
          'breakdown [creator: ' || CAST(by_creator AS VARCHAR) || ', categories: ' || CAST(by_categories AS VARCHAR)
            || ', keywords: ' || CAST(by_keywords AS VARCHAR) || ', title: ' || CAST(by_title AS VARCHAR)
            || ', content: ' || CAST(by_description AS VARCHAR) || ']' AS explanation
-  FROM parts
+  FROM {prefix}parts
 )"""
 
 
@@ -233,10 +236,244 @@ FROM scores"""
 SELECT CAST(row_number() OVER (ORDER BY net_relevance DESC, link, item_id) AS BIGINT) AS ord,
        title, {ANCHOR.format(t='title')} AS anchor
 FROM top"""
+    s.update(more_sql())
     return s
 
 
+def _page_channel(id_col: str) -> str:
+    return _channel_case(id_col, _q(OTHER_PAGE_CHANNEL))
+
+
+def _outlet(col: str) -> str:
+    return (f"CASE WHEN contains(upper({col}), 'EL PAÍS') THEN 'ElPais' "
+            f"WHEN contains(upper({col}), '20MINUTOS') THEN 'VeinteMinutos' "
+            f"WHEN contains(upper({col}), 'ELDIARIO.ES') THEN 'ElDiario' "
+            f"WHEN contains(upper({col}), 'ELMUNDO') THEN 'ElMundo' ELSE 'Other' END")
+
+
+PAGE_REGION = """
+page_region AS (
+  SELECT page_id, url, html, channel_type,
+    CASE WHEN html IS NULL OR html = '' THEN 'none'
+         WHEN channel_type = 'ElPais' THEN CASE WHEN contains(lower(html), '<article') THEN 'article-region' ELSE 'none' END
+         WHEN channel_type = 'VeinteMinutos' THEN CASE WHEN contains(lower(html), '<article') THEN 'article-p' ELSE 'none' END
+         WHEN channel_type = 'ElDiario' THEN CASE WHEN contains(lower(html), '<main') THEN 'main-p' ELSE 'body' END
+         WHEN channel_type = 'ElMundo' THEN CASE WHEN contains(lower(html), '<article') THEN 'article-p' ELSE 'body' END
+         ELSE 'body' END AS region,
+    CASE WHEN html IS NULL THEN 'ParsingError' WHEN html = '' THEN 'EmptyString'
+         WHEN channel_type = 'ElPais' AND NOT contains(html, 'data-dtm-region="articulo_cuerpo"') THEN 'NoContent'
+         WHEN channel_type = 'VeinteMinutos' AND NOT contains(lower(html), '<article') THEN 'NoContent'
+         ELSE NULL END AS error_kind
+  FROM (SELECT page_id, url, html, """ + "{outlet}" + """ AS channel_type
+        FROM (SELECT *, {channel} AS channel FROM pages))
+)"""
+
+
+def _page_region() -> str:
+    return PAGE_REGION.replace("{outlet}", _outlet("channel")).replace("{channel}", _page_channel("page_id"))
+
+
+def _num(x: str) -> str:
+    return (f"CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) "
+            f"ELSE CAST({x} AS VARCHAR) END")
+
+
+def _dbg(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN 'None' ELSE 'Some(\"' || "
+            f"replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\")' END")
+
+
+def _err_dbg(kind: str, msg: str) -> str:
+    return (f"CASE WHEN {kind} IS NULL THEN 'None' "
+            f"WHEN {kind} IN ('ParsingError', 'NetworkError') THEN 'Some(' || {kind} || '(\"' || "
+            f"replace(replace(coalesce({msg}, ''), '\\', '\\\\'), '\"', '\\\"') || '\"))' "
+            f"ELSE 'Some(' || {kind} || ')' END")
+
+
+def _two_phase_sql() -> str:
+    """CTEs down to ``p2_scores`` (phase 2) and ``p2src`` (phase-1 top, filled)."""
+    return ("WITH " + ITEMS + """,
+allsrc AS (
+  SELECT i.*, r.text AS clean_content, CAST(NULL AS VARCHAR) AS error_kind
+  FROM items i JOIN raw_items r USING (item_id)
+),""" + occurrences("allsrc") + dice() + """,
+p1src AS (SELECT *, CAST(NULL AS VARCHAR) AS clean_content, CAST(NULL AS VARCHAR) AS error_kind FROM items),"""
+            + occurrences("p1src", name="p1occ") + scores("p1src", occ="p1occ", prefix="p1_") + f""",
+top1 AS (SELECT * FROM p1_scores ORDER BY net_relevance DESC, link, item_id LIMIT {FIRST_K}),
+store AS (SELECT 'https://example.org/doc/' || CAST(doc_id AS VARCHAR) AS url, text AS body FROM documents),
+p2src AS (
+  SELECT t.item_id, t.channel, t.title, t.link, t.description, t.creators, t.pub_date, t.categories,
+         t.keywords, t.net_relevance AS relevance,
+         CASE WHEN s.url IS NULL OR s.body IS NULL OR s.body = '' THEN NULL ELSE s.body END AS clean_content,
+         CASE WHEN s.url IS NULL THEN 'NetworkError' WHEN s.body IS NULL THEN 'ParsingError'
+              WHEN s.body = '' THEN 'EmptyString' END AS error_kind,
+         CASE WHEN s.url IS NULL THEN 'no landed page for ' || t.link
+              WHEN s.body IS NULL THEN 'page body could not be decoded' END AS error_message
+  FROM top1 t LEFT JOIN store s ON s.url = t.link
+),""" + occurrences("p2src", name="p2occ") + scores("p2src", occ="p2occ", prefix="p2_") + f""",
+top2 AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY net_relevance DESC, link, item_id) AS BIGINT) AS rank
+  FROM p2_scores ORDER BY net_relevance DESC, link, item_id LIMIT {TOP_K}
+)""")
+
+
+def more_sql() -> dict[str, str]:
+    s = {}
+    s["q_feed_lines"] = f"""
+WITH lines AS (
+  SELECT url AS line FROM pages
+  UNION ALL SELECT unnest(string_split(text, chr(10))) AS line FROM documents
+)
+SELECT line, CAST(count(*) AS BIGINT) AS copies FROM lines
+WHERE line <> '' AND NOT starts_with(line, '#') AND regexp_matches(line, {_q(URL_PATTERN)})
+GROUP BY line"""
+
+    s["q_rss_scan"] = contract_items_sql()
+
+    s["q_clean_region"] = "WITH " + _page_region() + """
+SELECT page_id, channel_type, region, error_kind FROM page_region"""
+
+    s["q_fill_content"] = "WITH " + ITEMS + "," + _page_region() + """
+SELECT 'page:' || CAST(page_id AS VARCHAR) AS item_id, error_kind, error_kind AS error_text,
+       error_kind IS NULL AS has_content
+FROM page_region
+UNION ALL
+SELECT 'doc:' || CAST(item_id AS VARCHAR) AS item_id, 'NetworkError' AS error_kind,
+       'NetworkError(no landed page for ' || link || ')' AS error_text, FALSE AS has_content
+FROM items"""
+
+    tp = _two_phase_sql()
+    s["q_two_phase"] = tp + "\nSELECT rank, item_id, link, net_relevance AS relevance FROM top2"
+
+    ca = "WITH " + ITEMS + """,
+ca AS (SELECT i.item_id, 'https://example.org/' || md5(r.text) AS link FROM items i JOIN raw_items r USING (item_id)),
+firsts AS (SELECT link, min(item_id) AS item_id FROM ca GROUP BY link)"""
+    s["q_dedup_link"] = ca + "\nSELECT link, item_id FROM firsts"
+    s["q_insert_new"] = ca + """,
+existing AS (SELECT DISTINCT 'https://example.org/' || md5(text) AS link FROM documents
+             WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT item_id, link FROM firsts WHERE link NOT IN (SELECT link FROM existing)"""
+
+    s["q_store_round_trip"] = "WITH " + FILLED + """
+SELECT channel, title, link, description, creators, pub_date, categories, keywords, clean_content,
+       error_kind, CAST(NULL AS VARCHAR) AS error_message
+FROM filled"""
+
+    fb = "WITH " + ITEMS + f""",
+first_items AS (SELECT * FROM items ORDER BY item_id LIMIT {FEEDBACK_N}),
+ratings AS (
+  SELECT 'https://example.org/doc/' || CAST(doc_id AS VARCHAR) AS link,
+         CAST((doc_id + 2 * quality + 3 * toxic) % 7 AS VARCHAR) AS rating
+  FROM labels
+),
+valid AS (
+  SELECT link, min(CAST(trim(rating) AS BIGINT)) AS r FROM ratings
+  WHERE regexp_matches(trim(rating), '^[+]?[0-9]+$') AND CAST(trim(rating) AS BIGINT) BETWEEN 1 AND 5
+  GROUP BY link
+),
+fb AS (
+  SELECT f.*, v.r AS relevance,
+    CAST(trunc((epoch(TIMESTAMP '{CONTRACT_NOW}') - ({BASE_EPOCH} + f.item_id * {STEP_SECONDS})) / 86400.0) AS BIGINT)
+      AS days_since_publication
+  FROM first_items f JOIN valid v USING (link)
+)"""
+    s["q_feedback"] = fb + "\nSELECT item_id, link, relevance, days_since_publication FROM fb"
+    s["q_csv_round_trip"] = fb + f"""
+SELECT channel, title, link, description, creators, coalesce(pub_date, '') AS publication_date,
+       coalesce(categories, '') AS categories, coalesce(keywords, '') AS keywords,
+       '' AS clean_content, 'None' AS error, {_q(FEEDBACK_DATE)} AS feedback_date,
+       CAST(relevance AS VARCHAR) AS relevance
+FROM fb"""
+
+    s["q_report_lines"] = scored_filled() + f""",
+ch AS (
+  SELECT channel, count(*) AS items, CAST(sum(net_relevance) AS DOUBLE) AS total,
+         CAST(sum(net_relevance) AS DOUBLE) / count(*) AS average
+  FROM scores GROUP BY channel
+),
+chn AS (SELECT *, row_number() OVER (ORDER BY average DESC, channel) - 1 AS ord FROM ch)
+SELECT 0 AS section, CAST(0 AS BIGINT) AS ord, '# Relevance Report' AS line
+UNION ALL SELECT 0, 1, ''
+UNION ALL SELECT 1, 0, '## Relevance per Channel'
+UNION ALL SELECT 1, 1, ''
+UNION ALL SELECT 2, ord, '- **' || channel || ':** Items: ' || CAST(items AS VARCHAR) || ' Total: '
+  || {_num('total')} || ' Average: ' || {_num('average')} FROM chn
+UNION ALL SELECT 3, 0, ''
+UNION ALL SELECT 3, 1, '## Relevance list'
+UNION ALL SELECT 4, row_number() OVER (ORDER BY net_relevance DESC, link, item_id) - 1,
+  CAST(row_number() OVER (ORDER BY net_relevance DESC, link, item_id) - 1 AS VARCHAR) || '. ('
+  || CAST(net_relevance AS VARCHAR) || ') [' || channel || '] ' || title FROM scores
+UNION ALL SELECT 5, 0, ''"""
+
+    nl = "chr(10)"
+    block = (f"'---' || {nl} || '### ' || title || {nl} || {nl} || '#### Data' || {nl} "
+             f"|| '- **Channel:** ' || channel || {nl} "
+             f"|| '- **Relevance:** ' || CAST(net_relevance AS VARCHAR) || {nl} "
+             f"|| '- **Link:** ' || link || {nl} "
+             f"|| '- **Publish Date:** ' || {_dbg('pub_date')} || {nl} "
+             f"|| '- **Categories:** ' || {_dbg('categories')} || {nl} "
+             f"|| '- **Keywords:** ' || {_dbg('keywords')} || {nl} "
+             f"|| '- **Error:** ' || {_err_dbg('error_kind', 'error_message')} || {nl} || {nl} "
+             f"|| '#### Clean Content ' || {nl} || coalesce(clean_content, 'N/A')")
+    s["q_dossier_lines"] = tp.replace(
+        "p2_parts AS (\n  SELECT s.*,", "p2_parts AS (\n  SELECT s.*,") + f"""
+SELECT 0 AS section, CAST(0 AS BIGINT) AS ord, '# Dossier' AS line
+UNION ALL SELECT 0, 1, ''
+UNION ALL SELECT 1, 0, '## Table of Contents'
+UNION ALL SELECT 2, rank, CAST(rank AS VARCHAR) || '. [' || title || '](' || {ANCHOR.format(t='title')} || ')' FROM top2
+UNION ALL SELECT 3, 0, ''
+UNION ALL SELECT 3, 1, '## Metadata'
+UNION ALL SELECT 4, 1, '- **Number of items:** ' || CAST(count(*) AS VARCHAR) FROM top2
+UNION ALL SELECT 5, 0, {_q('- **Date:** ' + RUN_TIME)}
+UNION ALL SELECT 5, 1, ''
+UNION ALL SELECT 5, 2, '## News Items'
+UNION ALL SELECT 6, rank, {block} FROM top2
+UNION ALL SELECT 7, 0, ''"""
+
+    log_block = (f"concat_ws({nl}, '---', '# ' || title, '## Data', '- **Channel:** ' || channel, "
+                 f"'- **Relevance:** ' || CAST(relevance AS VARCHAR), '- **Link:** ' || link, "
+                 f"'- **Publish Date:** ' || {_dbg('pub_date')}, '- **Categories:** ' || {_dbg('categories')}, "
+                 f"'- **Keywords:** ' || {_dbg('keywords')}, "
+                 f"'- **Error:** ' || {_err_dbg('error_kind', 'error_message')}, "
+                 f"'## Description' || {nl} || substr(description, 1, 50), "
+                 f"'## Clean Content ' || {nl} || coalesce(clean_content, 'N/A'), '')")
+    s["q_item_log_lines"] = tp + f""",
+logged AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, link, item_id) AS ord FROM p2src)
+SELECT 0 AS section, CAST(0 AS BIGINT) AS ord, '# Table of Contents' AS line
+UNION ALL SELECT 1, ord, CAST(ord AS VARCHAR) || '. [' || title || '](' || {ANCHOR.format(t='title')} || ')' FROM logged
+UNION ALL SELECT 2, 0, ''
+UNION ALL SELECT 3, ord, {log_block} FROM logged"""
+
+    s["q_extractive_summary"] = f"""
+WITH sent0 AS (SELECT doc_id, regexp_extract_all(text, {_q(SENTENCE_PATTERN)}) AS arr FROM documents),
+sent1 AS (SELECT doc_id, unnest(range(1, len(arr) + 1)) AS pos, unnest(arr) AS raw FROM sent0),
+sent AS (SELECT doc_id, pos, trim(raw) AS sentence FROM sent1 WHERE trim(raw) <> ''),
+sentn AS (SELECT *, CAST(len({_split_ws('sentence')}) AS BIGINT) AS n_tokens FROM sent),
+occ AS (SELECT doc_id, pos, unnest({_split_ws('sentence')}) AS token FROM sent)""" + dice() + f""",
+hits AS (SELECT doc_id, pos, count(*) AS hits FROM occ WHERE token IN (SELECT token FROM matched) GROUP BY ALL),
+scored AS (SELECT s.*, coalesce(h.hits, 0) AS hits FROM sentn s LEFT JOIN hits h USING (doc_id, pos)),
+ranked AS (
+  SELECT *, row_number() OVER w AS rnk,
+         sum(n_tokens) OVER (PARTITION BY doc_id ORDER BY hits DESC, pos
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+  FROM scored WINDOW w AS (PARTITION BY doc_id ORDER BY hits DESC, pos)
+)
+SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary, CAST(count(*) AS BIGINT) AS n_sentences,
+       CAST(sum(n_tokens) AS BIGINT) AS n_tokens
+FROM ranked WHERE rnk = 1 OR running <= {TOKEN_BUDGET} GROUP BY doc_id"""
+    return s
+
+
+def contract_items_sql() -> str:
+    return "WITH " + ITEMS + """
+SELECT item_id, channel, title, link, description, creators, pub_date, categories, keywords FROM items"""
+
+
 # Parameters shared with the Spark side.
 OPT_IN_OR = ["en", "sección src1"]
 OPT_IN_AND = ["en", "src1"]
 TOP_K = 20
+FIRST_K = 100
+FEEDBACK_N = 50
+FEEDBACK_DATE = "Wed, 01 Jan 2025 00:00:00 +0000"
+RUN_TIME = "2025-01-01T00:00:00+00:00"

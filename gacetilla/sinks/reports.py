@@ -56,7 +56,9 @@ def relevance_report_lines(items: DataFrame) -> DataFrame:
     head = _fixed(spark, 0, ["# Relevance Report", ""])
     mid = _fixed(spark, 1, ["## Relevance per Channel", ""])
     gap = _fixed(spark, 3, ["", "## Relevance list"])
-    return head.unionByName(mid).unionByName(ch_lines).unionByName(gap).unionByName(item_lines)
+    tail = _fixed(spark, 5, [""])  # the file append ends the report with a newline
+    return (head.unionByName(mid).unionByName(ch_lines).unionByName(gap).unionByName(item_lines)
+                .unionByName(tail))
 
 
 def item_log_lines(items: DataFrame, key: str = "item_id") -> DataFrame:
@@ -113,7 +115,8 @@ def dossier_lines(items: DataFrame, run_time: str, position: str = "rank") -> Da
             .unionByName(_fixed(spark, 3, ["", "## Metadata"]))
             .unionByName(count_line)
             .unionByName(_fixed(spark, 5, [f"- **Date:** {run_time}", "", "## News Items"]))
-            .unionByName(_lines(numbered, 6, block)))
+            .unionByName(_lines(numbered, 6, block))
+            .unionByName(_fixed(spark, 7, [""])))
 
 
 def write_report(lines: DataFrame, path: str, mode: str = "append") -> None:

@@ -113,3 +113,40 @@ def content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("https://example.org/doc/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("text").alias("body"))
+
+
+# Fixed value: channel title of the pages not given to a named outlet.
+OTHER_PAGE_CHANNEL = "Agencia de noticias"
+
+
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose link is a landed page: one per ``pages`` row.
+
+    Channel by ``page_id % 5`` as for documents (else an "Other" outlet),
+    title = the page's ``<title>`` text, link = ``url``, empty description.
+    """
+    p = F.col("page_id")
+    return table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page:"), p.cast("string")).alias("item_id"),
+        _channel_title(p, F.lit(OTHER_PAGE_CHANNEL)).alias("channel"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.col("url").alias("link"),
+        F.lit("").alias("description"), F.lit("").alias("creators"),
+        F.lit(None).cast("string").alias("pub_date"), F.lit(None).cast("string").alias("categories"),
+        F.lit(None).cast("string").alias("keywords"), F.lit(None).cast("string").alias("clean_content"),
+        F.lit(None).cast(ERROR_TYPE).alias("error"), F.lit(None).cast("long").alias("relevance"))
+
+
+def pages_with_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("page_id")
+    return table(spark, sf_dir, "pages").withColumn(
+        "channel", _channel_title(p, F.lit(OTHER_PAGE_CHANNEL)))
+
+
+def ratings_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings table ``(link, rating STRING)`` derived from ``labels``:
+    ``(doc_id + 2*quality + 3*toxic) % 7``, so 0 and 6 (skips) occur."""
+    lab = table(spark, sf_dir, "labels")
+    return lab.select(
+        F.concat(F.lit("https://example.org/doc/"), F.col("doc_id").cast("string")).alias("link"),
+        ((F.col("doc_id") + 2 * F.col("quality") + 3 * F.col("toxic")) % 7).cast("string").alias("rating"))
