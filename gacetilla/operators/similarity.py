@@ -76,9 +76,34 @@ def _maybe_broadcast(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= limit else df
 
 
+_PREPARED: dict = {}
+
+
+def prepare_lexicon(lexicon: DataFrame, root_col: str = "root", length_unit: str = "byte"):
+    """The lexicon's root bigrams, materialised once per lexicon and unit.
+
+    The lexicon is small by nature (a word list); it is written to the
+    checkpoint folder with its bigrams and its size, and reused by every
+    match in the session (keyed by the lexicon plan's semantic hash).
+    Returns (root bigrams DataFrame, number of roots).
+    """
+    spark = lexicon.sparkSession
+    key = (id(spark), lexicon.semanticHash(), root_col, length_unit)
+    hit = _PREPARED.get(key)
+    if hit is not None:
+        return hit
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    roots = lexicon.select(F.col(root_col).alias("root")).where(F.col("root").isNotNull()).distinct()
+    rb = _with_bigrams(roots, "root", "r", length_unit).checkpoint(eager=True)
+    size = rb.select("root").distinct().count()
+    _PREPARED[key] = (rb, size)
+    return rb, size
+
+
 def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
                root_col: str = "root", threshold: float = DICE_THRESHOLD,
-               length_unit: str = "byte", lexicon_size: int | None = None) -> DataFrame:
+               length_unit: str = "byte") -> DataFrame:
     """All (token, root) pairs with similarity >= threshold.
 
     Output: token, root, inter (shared bigrams), denom (len_t + len_r - 2),
@@ -86,12 +111,8 @@ def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
     ``tokens`` may hold duplicates; they are made distinct first.
     """
     toks = tokens.select(F.col(token_col).alias("token")).where(F.col("token").isNotNull()).distinct()
-    roots = lexicon.select(F.col(root_col).alias("root")).where(F.col("root").isNotNull()).distinct()
-    if lexicon_size is None:
-        lexicon_size = roots.count()
-
+    rb, lexicon_size = prepare_lexicon(lexicon, root_col, length_unit)
     tb = _with_bigrams(toks, "token", "t", length_unit)
-    rb = _with_bigrams(roots, "root", "r", length_unit)
     rb = _maybe_broadcast(rb, lexicon_size, MAX_BROADCAST_ROOTS)
 
     need = F.lit(float(threshold))
@@ -116,11 +137,10 @@ def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
 
 
 def matched_tokens(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
-                   threshold: float = DICE_THRESHOLD, length_unit: str = "byte",
-                   lexicon_size: int | None = None) -> DataFrame:
+                   threshold: float = DICE_THRESHOLD, length_unit: str = "byte") -> DataFrame:
     """Distinct tokens similar to at least one root (the semi-join's right side)."""
     pairs = dice_pairs(tokens, lexicon, token_col=token_col, threshold=threshold,
-                       length_unit=length_unit, lexicon_size=lexicon_size)
+                       length_unit=length_unit)
     return pairs.select("token").distinct()
 
 

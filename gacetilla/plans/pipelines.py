@@ -20,6 +20,7 @@ from ..operators.scoring import with_relevance
 from ..sinks.csv import write_csv
 from ..sinks.reports import dossier_lines, item_log_lines, relevance_report_lines, write_report
 from ..sinks.table import insert_items
+from ..session import checkpoint_dir
 
 FIRST_PHASE_K = 100
 SECOND_PHASE_K = 20
@@ -40,6 +41,10 @@ def two_phase(items: DataFrame, pages: DataFrame, lexicon: DataFrame, k1: int =
     first = score_top_k(items, lexicon, k1)
     filled = fill_content(first, pages, url_col=url_col, html_col=html_col, page_key=page_key,
                           bounded=k1, clean=clean)
+    # k1 rows: written to the shared checkpoint folder so phase 2 (and its
+    # size checks) start from them instead of re-running phase 1.
+    checkpoint_dir(items.sparkSession)
+    filled = filled.checkpoint(eager=True)
     top = score_top_k(filled, lexicon, k2)
     top = number_small(top, relevance_order(), "rank")
     return Dossier(first_phase=filled, top=top)

@@ -45,7 +45,7 @@ def read_feeds(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     list) as one union of items.  Returns (raw items, unreadable feeds)."""
     if isinstance(paths, str):
         paths = [paths]
-    docs = (spark.read.option("wholetext", "true").text(paths)
+    docs = (spark.read.text(paths, wholetext=True)
                  .withColumn("feed", F.input_file_name()))
     parsed = parse_rss(docs)
     bad = parsed.where(F.col("rss.channel").isNull()).select(
