@@ -16,21 +16,23 @@ equi-join on bigrams, per **distinct** token:
 
 1. distinct tokens (map-side partial distinct, so a hot word costs one row
    per map task, never one row per occurrence);
-2. each token exploded to ``(token, bigram, count)``;
+2. each token's bigram multiset ``(token, bigram, count)``, computed inside
+   its row (count = size(list) - size(list without the bigram));
 3. broadcast hash join with the root bigrams (the lexicon has a checked,
    bounded size), a length filter that drops pairs that cannot reach the
    threshold, and a ``sum(least(count_t, count_r))`` per (token, root) —
-   the multiset intersection exactly;
-4. union with the "equal after white-space removal" case.
+   the multiset intersection exactly.  A one-character word's only "gram"
+   is itself, flagged, so it meets only an equal one-character root; equal
+   words (after white-space removal) score 1.
 
-Steps 2–4 keep the hash partitioning of step 1, so the whole match costs
+Steps 2–3 keep the hash partitioning of step 1, so the whole match costs
 one shuffle of distinct tokens.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_whitespace
@@ -53,23 +55,38 @@ def _unit_length(c: Column, length_unit: str) -> Column:
     raise ValueError(f"length_unit must be 'byte' or 'char', not {length_unit!r}")
 
 
-def _with_bigrams(df: DataFrame, word: str, prefix: str, length_unit: str) -> DataFrame:
-    """(word, norm, ulen, clen, single, g, cnt): bigram multiset of each word.
+BIGRAMS_PATTERN = "(?s)(?=(..))"  # every overlapping pair of characters
 
-    A one-character word has no bigram; it gets the word itself as its only
-    gram, flagged ``single`` so it can only meet an equal one-character word.
-    """
+
+def _words(df: DataFrame, word: str, prefix: str, length_unit: str) -> DataFrame:
+    """(word, norm, ulen, clen, single, arr): normalised word, its lengths and
+    its bigram list (with repeats; null for one-character words)."""
     n = f"{prefix}_norm"
-    clen = f"{prefix}_clen"
-    base = (df.select(word, strip_whitespace(word).alias(n))
+    clen = F.length(n)
+    return (df.select(word, strip_whitespace(word).alias(n))
               .withColumn(f"{prefix}_ulen", _unit_length(F.col(n), length_unit))
-              .withColumn(clen, F.length(n))
-              .where(F.col(clen) >= 1)
-              .withColumn(f"{prefix}_single", F.col(clen) == 1))
-    pos = (base.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.col(clen) - 1, F.lit(1)))))
-               .withColumn(f"{prefix}_g", F.expr(f"substring({n}, _i, 2)")))
-    return (pos.groupBy(word, n, f"{prefix}_ulen", clen, f"{prefix}_single", f"{prefix}_g")
-               .agg(F.count(F.lit(1)).alias(f"{prefix}_cnt")))
+              .withColumn(f"{prefix}_clen", clen)
+              .where(F.col(f"{prefix}_clen") >= 1)
+              .withColumn(f"{prefix}_single", F.col(f"{prefix}_clen") == 1)
+              .withColumn(f"{prefix}_arr", F.when(F.col(f"{prefix}_clen") >= 2,
+                                                  F.regexp_extract_all(n, F.lit(BIGRAMS_PATTERN), 1))))
+
+
+def _multiset(words: DataFrame, prefix: str) -> DataFrame:
+    """One row per distinct bigram of a word with its count, computed inside
+    the row (count = size(arr) - size(arr without g)), so no aggregation."""
+    arr = F.col(f"{prefix}_arr")
+    return (words.withColumn(f"{prefix}_g", F.explode(F.array_distinct(arr)))
+                 .withColumn(f"{prefix}_cnt", (F.size(arr) - F.size(F.array_remove(arr, F.col(f"{prefix}_g"))))
+                             .cast("long")))
+
+
+def _with_bigrams(df: DataFrame, word: str, prefix: str, length_unit: str) -> DataFrame:
+    """(word, norm, ulen, clen, single, g, cnt): bigram multiset of each word;
+    a one-character word has the word itself as its only gram."""
+    w = _words(df, word, prefix, length_unit)
+    w = w.withColumn(f"{prefix}_arr", F.coalesce(F.col(f"{prefix}_arr"), F.array(F.col(f"{prefix}_norm"))))
+    return _multiset(w, prefix).drop(f"{prefix}_arr")
 
 
 def _maybe_broadcast(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
@@ -85,17 +102,16 @@ def prepare_lexicon(lexicon: DataFrame, root_col: str = "root", length_unit: str
     The lexicon is small by nature (a word list); it is written to the
     checkpoint folder with its bigrams and its size, and reused by every
     match in the session (keyed by the lexicon plan's semantic hash).
-    Returns (root bigrams DataFrame, number of roots).
+    Returns (root bigram rows, number of roots).
     """
     spark = lexicon.sparkSession
     key = (id(spark), lexicon.semanticHash(), root_col, length_unit)
     hit = _PREPARED.get(key)
     if hit is not None:
         return hit
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
+    from ..session import materialize
     roots = lexicon.select(F.col(root_col).alias("root")).where(F.col("root").isNotNull()).distinct()
-    rb = _with_bigrams(roots, "root", "r", length_unit).checkpoint(eager=True)
+    rb = materialize(_with_bigrams(roots, "root", "r", length_unit), "lexicon-bigrams")
     size = rb.select("root").distinct().count()
     _PREPARED[key] = (rb, size)
     return rb, size
@@ -109,7 +125,14 @@ def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
     Output: token, root, inter (shared bigrams), denom (len_t + len_r - 2),
     dice (double; 1.0 for words equal after white-space removal).
     ``tokens`` may hold duplicates; they are made distinct first.
+
+    One flow from the distinct-token shuffle: each token's bigram multiset
+    is built inside its row, joined to the broadcast root bigrams on the
+    bigram (with a length bound that drops pairs unable to reach the
+    threshold), and summed per (token, root) — all in the token partitioning.
     """
+    if not threshold > 0:
+        raise ValueError("threshold must be > 0")
     toks = tokens.select(F.col(token_col).alias("token")).where(F.col("token").isNotNull()).distinct()
     rb, lexicon_size = prepare_lexicon(lexicon, root_col, length_unit)
     tb = _with_bigrams(toks, "token", "t", length_unit)
@@ -123,16 +146,20 @@ def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
                  >= need * (F.col("t_ulen") + F.col("r_ulen") - 2))
     cond = ((F.col("t_g") == F.col("r_g")) & (F.col("t_single") == F.col("r_single"))
             & (equal | (~F.col("t_single") & reachable)))
-    joined = tb.join(rb, cond, "inner")
-    pairs = (joined.groupBy("token", "root", "t_norm", "r_norm", "t_ulen", "r_ulen", "t_single")
-                   .agg(F.sum(F.least("t_cnt", "r_cnt")).cast("long").alias("inter"))
+    joined = tb.join(rb, cond, "inner").select(
+        "token", "root", F.least("t_cnt", "r_cnt").alias("_m"), equal.alias("_eq"),
+        "t_single", "t_ulen", "r_ulen")
+    pairs = (joined.groupBy("token", "root")
+                   .agg(F.sum("_m").cast("long").alias("inter"), F.max("_eq").alias("_eq"),
+                        F.max("t_single").alias("_single"), F.max("t_ulen").alias("t_ulen"),
+                        F.max("r_ulen").alias("r_ulen"))
                    .withColumn("denom", (F.col("t_ulen") + F.col("r_ulen") - 2).cast("long"))
-                   .withColumn("dice", F.when(equal, F.lit(1.0))
+                   .withColumn("dice", F.when(F.col("_eq"), F.lit(1.0))
                                         .when((F.col("t_ulen") < 2) | (F.col("r_ulen") < 2), F.lit(0.0))
                                         .otherwise(2.0 * F.col("inter") / F.col("denom"))))
     return (pairs.where(F.col("dice") >= need)
                  .select("token", "root",
-                         F.when(F.col("t_single"), F.lit(0)).otherwise(F.col("inter")).cast("long").alias("inter"),
+                         F.when(F.col("_single"), F.lit(0)).otherwise(F.col("inter")).cast("long").alias("inter"),
                          "denom", "dice"))
 
 

@@ -231,9 +231,13 @@ def q_csv_round_trip(spark, sf_dir):
 
 
 def q_report_lines(spark, sf_dir):
+    from ..session import materialize
     from ..sinks.reports import relevance_report_lines
-    s = _scores(spark, sf_dir).withColumnRenamed("net_relevance", "relevance")
-    return relevance_report_lines(s)
+    s = _scores(spark, sf_dir).select("item_id", F.col("net_relevance").alias("relevance"),
+                                      "channel", "title", "link")
+    # the report reads the scored list three times (per channel, numbering,
+    # offsets): it is written once and read back
+    return relevance_report_lines(materialize(s, "scored"))
 
 
 def q_dossier_lines(spark, sf_dir):

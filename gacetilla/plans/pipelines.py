@@ -20,7 +20,7 @@ from ..operators.scoring import with_relevance
 from ..sinks.csv import write_csv
 from ..sinks.reports import dossier_lines, item_log_lines, relevance_report_lines, write_report
 from ..sinks.table import insert_items
-from ..session import checkpoint_dir
+from ..session import materialize
 
 FIRST_PHASE_K = 100
 SECOND_PHASE_K = 20
@@ -38,13 +38,13 @@ def two_phase(items: DataFrame, pages: DataFrame, lexicon: DataFrame, k1: int =
     """T4: top k1 on metadata, fill their content (J2), re-score, top k2.
 
     Only k1 rows ever reach the page join and the HTML cleaner."""
-    first = score_top_k(items, lexicon, k1)
+    # The k1 winners are written to the shared checkpoint folder (k1 rows):
+    # the fill join reads them twice and phase 2 (with its size checks) reads
+    # the filled rows twice; none of that re-runs phase 1.
+    first = materialize(score_top_k(items, lexicon, k1), "first-phase")
     filled = fill_content(first, pages, url_col=url_col, html_col=html_col, page_key=page_key,
                           bounded=k1, clean=clean)
-    # k1 rows: written to the shared checkpoint folder so phase 2 (and its
-    # size checks) start from them instead of re-running phase 1.
-    checkpoint_dir(items.sparkSession)
-    filled = filled.checkpoint(eager=True)
+    filled = materialize(filled, "first-phase-filled")
     top = score_top_k(filled, lexicon, k2)
     top = number_small(top, relevance_order(), "rank")
     return Dossier(first_phase=filled, top=top)
@@ -79,8 +79,10 @@ def run_dossier(items: DataFrame, pages: DataFrame, lexicon: DataFrame, root: st
 
 
 def relevance_report(items: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Score all items (no opt-in, no top-k) → report lines."""
-    return relevance_report_lines(with_relevance(items, lexicon))
+    """Score all items (no opt-in, no top-k) → report lines.  The narrow
+    scored list is written once and read back by the report's three parts."""
+    scored = with_relevance(items, lexicon).select("item_id", "relevance", "channel", "title", "link")
+    return relevance_report_lines(materialize(scored, "scored"))
 
 
 def run_relevance_report(items: DataFrame, lexicon: DataFrame, root: str, report_name: str,

@@ -61,3 +61,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir.rstrip("/")
+
+
+def materialize(df, name: str = "table"):
+    """Write a (small or intermediate) result once to the shared checkpoint
+    folder and read it back: cuts the lineage, so later size checks and
+    reuses do not recompute it, and survives the loss of any executor."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/materialized/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
