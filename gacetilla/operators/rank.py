@@ -76,21 +76,26 @@ def top_k_composite(items: DataFrame, lexicon: DataFrame, k: int, key: str = "it
 def number_small(df: DataFrame, order: list[Column], name: str = "ord", start: int = 1) -> DataFrame:
     """1-based numbering of a small (top-k) result.  The window has no
     partition key, which is only acceptable because the input is bounded."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1 + start)
+    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))
 
 
 def number_all(df: DataFrame, sort_cols: list[str], descending: list[bool],
-               name: str = "ord", start: int = 0) -> DataFrame:
+               name: str = "ord", start: int = 0, ranges: int | None = None) -> DataFrame:
     """Global numbering of an unbounded result without a single-partition
     window.
 
     ``repartitionByRange`` splits the order into ranges, each range is
     numbered locally (window partitioned by the range id), and a running
-    offset per range is added from a tiny per-range count table.
+    offset per range is added from a tiny per-range count table.  The number
+    of ranges is explicit, so adaptive execution does not merge ranges and
+    both branches see the same range ids.  The sort columns should end in a
+    unique key, so ties never pile up in one range.
     """
     order = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last()
              for c, d in zip(sort_cols, descending)]
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id())
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -35,6 +35,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.ansi.enabled", "false")
+
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
