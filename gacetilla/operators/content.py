@@ -425,12 +425,17 @@ def fill_content(items: DataFrame, pages: DataFrame, url_col: str = "url", html_
     parsed.
     """
     links = items.select(F.col("link").alias(url_col)).distinct()
-    if bounded is not None and bounded <= MAX_BROADCAST_ITEMS:
-        links = F.broadcast(links)
-    needed = pages.join(links, url_col, "left_semi")
-    # one page per url: the first by page key (else the smallest body)
     order_col = page_key or html_col
-    one = needed.groupBy(url_col).agg(F.min_by(F.col(html_col), F.col(order_col)).alias("_html"))
+    # one page per url: the first by page key (else the smallest body)
+    if bounded is not None and bounded <= MAX_BROADCAST_ITEMS:
+        # few links: cut the pages where they lie, then de-duplicate the few
+        needed = pages.join(F.broadcast(links), url_col, "left_semi")
+        one = needed.groupBy(url_col).agg(F.min_by(F.col(html_col), F.col(order_col)).alias("_html"))
+    else:
+        # many links: de-duplicate first (partial aggregation collapses a url
+        # landed many times before the shuffle), then the join on unique urls
+        one = (pages.groupBy(url_col).agg(F.min_by(F.col(html_col), F.col(order_col)).alias("_html"))
+                    .join(links, url_col, "left_semi"))
     channels = items.select(F.col("link").alias(url_col), F.col("channel").alias("_channel")).distinct()
     with_channel = one.join(channels, url_col, "inner")
     if clean:
