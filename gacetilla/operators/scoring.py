@@ -39,28 +39,43 @@ SCORE_COLUMNS = ["error", "by_creator", "by_categories", "by_keywords", "by_titl
                  "by_description", "relevance_core", "relevance_content", "net_relevance"]
 
 
-def token_occurrences(items: DataFrame, key: str = "item_id", with_content: bool = True) -> DataFrame:
-    """(key, field, token) for every scored piece of every error-free item."""
+def _field_tokens(with_content: bool = True) -> list[tuple[str, object]]:
     fields = [
-        F.struct(F.lit("categories").alias("field"), split_commas("categories").alias("toks")),
-        F.struct(F.lit("keywords").alias("field"), split_commas("keywords").alias("toks")),
-        F.struct(F.lit("title").alias("field"), split_whitespace("title").alias("toks")),
-        F.struct(F.lit("description").alias("field"), split_whitespace("description").alias("toks")),
+        ("categories", split_commas("categories")),
+        ("keywords", split_commas("keywords")),
+        ("title", split_whitespace("title")),
+        ("description", split_whitespace("description")),
     ]
     if with_content:
-        fields.append(F.struct(F.lit("content").alias("field"), split_whitespace("clean_content").alias("toks")))
+        fields.append(("content", split_whitespace("clean_content")))
+    return fields
+
+
+def token_occurrences(items: DataFrame, key: str = "item_id", with_content: bool = True) -> DataFrame:
+    """(key, field, token) for every scored piece of every error-free item."""
+    fields = [F.struct(F.lit(name).alias("field"), toks.alias("toks"))
+              for name, toks in _field_tokens(with_content)]
     return (items.where(F.col("error").isNull())
                  .select(key, F.inline(F.array(*fields)))
                  .select(key, "field", F.explode("toks").alias("token")))
 
 
+def vocabulary(items: DataFrame, with_content: bool = True) -> DataFrame:
+    """The words to match: each item's distinct pieces (de-duplicated inside
+    the row, before anything is shuffled)."""
+    arrays = [F.coalesce(toks, F.array().cast("array<string>")) for _, toks in _field_tokens(with_content)]
+    return (items.where(F.col("error").isNull())
+                 .select(F.explode(F.array_distinct(F.concat(*arrays))).alias("token")))
+
+
 def field_hits(items: DataFrame, lexicon: DataFrame, key: str = "item_id",
                threshold: float = DICE_THRESHOLD, length_unit: str = "byte",
                with_content: bool = True) -> DataFrame:
     """Per key: by_categories, by_keywords, by_title, by_description, by_content
     (only keys with at least one matching piece)."""
     occ = token_occurrences(items, key, with_content)
-    matches = matched_tokens(occ, lexicon, threshold=threshold, length_unit=length_unit)
+    matches = matched_tokens(vocabulary(items, with_content), lexicon, threshold=threshold,
+                             length_unit=length_unit)
     hits = filter_matching(occ, matches)
     aggs = [F.sum(F.when(F.col("field") == f, F.lit(w)).otherwise(F.lit(0))).cast("long").alias(f"by_{f}")
             for f, w in FIELD_WEIGHTS.items()]
