@@ -27,8 +27,8 @@ def read_ratings(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 def valid_rating(c) -> Column:
     """The rating as BIGINT when it is an integer 1..5, else null."""
     r = F.col(c) if isinstance(c, str) else c
-    parsed = F.when(F.trim(r.cast("string")).rlike(r"^[+]?[0-9]+$"),
-                    F.trim(r.cast("string")).cast("long"))
+    text = F.trim(r.cast("string"))
+    parsed = F.when(text.rlike(r"^[+]?[0-9]+$"), text.try_cast("long"))
     return F.when(parsed.between(MIN_RATING, MAX_RATING), parsed)
 
 

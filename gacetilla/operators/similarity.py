@@ -105,7 +105,11 @@ def prepare_lexicon(lexicon: DataFrame, root_col: str = "root", length_unit: str
     Returns (root bigram rows, number of roots).
     """
     spark = lexicon.sparkSession
-    key = (id(spark), lexicon.semanticHash(), root_col, length_unit)
+    try:
+        plan_key = lexicon.semanticHash()
+    except Exception:
+        plan_key = id(lexicon)
+    key = (id(spark), plan_key, root_col, length_unit)
     hit = _PREPARED.get(key)
     if hit is not None:
         return hit

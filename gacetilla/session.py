@@ -50,17 +50,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch folder of our own.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = spark.sparkContext.getCheckpointDir()
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session has no context here
+        sc = None
+    if not conf_dir and sc is not None:
+        conf_dir = sc.getCheckpointDir()
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="gacetilla-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", conf_dir)
         except Exception:  # a static setting on some deployments
             pass
-        spark.sparkContext.setCheckpointDir(conf_dir)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(conf_dir)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf_dir)
     return conf_dir.rstrip("/")
 
 

@@ -14,9 +14,11 @@ def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
     untouched, so this never adds a shuffle at scale.  With a key the rows
     are hash-distributed on it (deterministic on retry).
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # no local context (remote session): leave the scan as is
         return df
     return df.repartition(cores, F.col(key)) if key else df.repartition(cores)
 
