@@ -111,7 +111,6 @@ def q_contents_list(spark, sf_dir):
 
 def q_feed_lines(spark, sf_dir):
     from ..sources.feeds import is_feed_line
-    from ..functions.text import split_whitespace  # noqa: F401
     pages = table(spark, sf_dir, "pages").select(F.col("url").alias("line"))
     doc_lines = table(spark, sf_dir, "documents").select(
         F.explode(F.split(F.col("text"), "\n", -1)).alias("line"))

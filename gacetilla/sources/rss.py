@@ -58,8 +58,8 @@ def load_items(spark: SparkSession, paths, opt_in_terms=(), op: str = "or",
                lower: bool = True) -> DataFrame:
     """Read, flatten, normalise, required-field filter and opt-in filter.
 
-    The reference shuffles the list at this point; ranking applies its own
-    deterministic order, so no shuffle is done here (P9 is ``random_order``).
+    The item list is not shuffled here: ranking applies its own deterministic
+    order (a seeded shuffle is available as ``random_order``, P9).
     """
     raw, _bad = read_feeds(spark, paths)
     items = normalise(raw)
