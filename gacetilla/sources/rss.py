@@ -10,6 +10,7 @@ feeds go on (per-feed fault tolerance).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators.normalize import normalise
@@ -45,8 +46,12 @@ def read_feeds(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     list) as one union of items.  Returns (raw items, unreadable feeds)."""
     if isinstance(paths, str):
         paths = [paths]
-    docs = (spark.read.text(paths, wholetext=True)
-                 .withColumn("feed", F.input_file_name()))
+    try:
+        docs = spark.read.text(paths, wholetext=True)
+    except AnalysisException:
+        # nothing readable at all: no items (an empty result, not an error)
+        docs = spark.createDataFrame([], "value string")
+    docs = docs.withColumn("feed", F.input_file_name())
     parsed = parse_rss(docs)
     bad = parsed.where(F.col("rss.channel").isNull()).select(
         "feed", F.lit("feed could not be parsed").alias("reason"))

@@ -110,3 +110,9 @@ def test_opt_in_on_loaded_items(spark, workdir):
     assert load_items(spark, feeds, ["category 2", "keyword"], "and").count() == 1
     assert load_items(spark, feeds, ["category 2", "keyword"], "or").count() == 2
     assert load_items(spark, feeds, [], "and").count() == 3
+
+
+def test_nothing_readable_is_empty(spark, workdir):
+    raw, bad = read_feeds(spark, os.path.join(workdir, "missing", "*.xml"))
+    assert raw.count() == 0 and bad.count() == 0
+    assert load_items(spark, os.path.join(workdir, "missing")).count() == 0
