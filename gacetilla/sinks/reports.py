@@ -119,11 +119,12 @@ def dossier_lines(items: DataFrame, run_time: str, position: str = "rank") -> Da
             .unionByName(_fixed(spark, 7, [""])))
 
 
-def write_report(lines: DataFrame, path: str, mode: str = "append") -> None:
+def write_report(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K7: write the report as text, lines in (section, ord) order.
 
     The sort is range-partitioned, so the report is written by many tasks;
-    the part files, read in name order, are the report.  Appending adds a
-    new run's parts after the earlier ones.
+    the part files of one write, read in name order, are the report.  Each
+    run writes into its own run-stamped folder (K8), which is what appending
+    to a per-run file amounts to.
     """
     lines.orderBy("section", "ord").select("line").write.mode(mode).text(path)
