@@ -101,7 +101,8 @@ def prepare_lexicon(lexicon: DataFrame, root_col: str = "root", length_unit: str
 
     The lexicon is small by nature (a word list); it is written to the
     checkpoint folder with its bigrams and its size, and reused by every
-    match in the session (keyed by the lexicon plan's semantic hash).
+    match in the session (keyed by the lexicon plan's semantic hash; call
+    ``forget_lexicons`` after editing a lexicon file in place).
     Returns (root bigram rows, number of roots).
     """
     spark = lexicon.sparkSession
@@ -121,6 +122,11 @@ def prepare_lexicon(lexicon: DataFrame, root_col: str = "root", length_unit: str
     return rb, size
 
 
+def forget_lexicons() -> None:
+    """Drop the prepared lexicons (e.g. after the user's word file changed)."""
+    _PREPARED.clear()
+
+
 def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
                root_col: str = "root", threshold: float = DICE_THRESHOLD,
                length_unit: str = "byte") -> DataFrame:
