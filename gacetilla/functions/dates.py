@@ -18,10 +18,18 @@ def parse_rfc2822(c) -> Column:
     return F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss xx"))
 
 
+def _utc_instant(text: str) -> Column:
+    """A time written without an offset is taken as UTC."""
+    t = text.strip()
+    has_zone = t.endswith("Z") or (len(t) > 6 and t[-6] in "+-" and t[-3] == ":")
+    return F.lit(t if has_zone else t + "Z").cast("timestamp")
+
+
 def days_since(c, now) -> Column:
     """Whole 24-hour days from the date to ``now`` (truncated toward zero),
-    0 when there is no date, null when the date does not parse."""
-    now_col = F.lit(now).cast("timestamp") if isinstance(now, str) else now
+    0 when there is no date, null when the date does not parse.  A textual
+    ``now`` without an offset is UTC."""
+    now_col = _utc_instant(now) if isinstance(now, str) else now
     ts = parse_rfc2822(c)
     secs = F.unix_timestamp(now_col) - F.unix_timestamp(ts)
     days = (F.when(secs >= 0, F.floor(secs / 86400)).otherwise(F.ceil(secs / 86400))).cast("long")

@@ -35,11 +35,16 @@ def text_or_empty(c) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit(""))
 
 
+def _utc_wall_clock(ts) -> Column:
+    # the instant's UTC wall-clock, whatever the session time zone
+    return F.to_utc_timestamp(_col(ts), F.current_timezone())
+
+
 def run_stamp(ts) -> Column:
-    """Folder stamp ``yyyy-MM-dd-HH-mm-ss`` of a run time."""
-    return F.date_format(_col(ts), "yyyy-MM-dd-HH-mm-ss")
+    """Folder stamp ``yyyy-MM-dd-HH-mm-ss`` of a run time (UTC)."""
+    return F.date_format(_utc_wall_clock(ts), "yyyy-MM-dd-HH-mm-ss")
 
 
 def rfc2822(ts) -> Column:
     """RFC 2822 text of a time, in UTC (``Sun, 01 Jan 2017 12:00:00 +0000``)."""
-    return F.concat(F.date_format(_col(ts), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    return F.concat(F.date_format(_utc_wall_clock(ts), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import _utc_instant
 from ..functions.formatting import rfc2822
 from ..operators.content import fill_content
 from ..operators.feedback import apply_feedback
@@ -103,6 +104,6 @@ def run_feedback(items: DataFrame, ratings: DataFrame, root: str, run_time: str,
     spark = items.sparkSession
     stamp = run_stamp(run_time)
     path = os.path.join(root, f"feedback_{stamp}", file_name)
-    date = spark.range(1).select(rfc2822(F.lit(run_time).cast("timestamp"))).first()[0]
+    date = spark.range(1).select(rfc2822(_utc_instant(run_time))).first()[0]
     write_csv(feedback(items, ratings, n), path, date)
     return path

@@ -76,7 +76,7 @@ def raw_items_from_documents(docs: DataFrame, keep_text: bool = False) -> DataFr
         F.concat(F.lit("https://example.org/doc/"), d.cast("string")).alias("link"),
         F.when(text.contains("\n"), F.expr("substr(text, length(substring_index(text, '\\n', 1)) + 2)"))
          .alias("description"),
-        F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"),
+        F.concat(F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "EEE, dd MMM yyyy HH:mm:ss"),
                  F.when(d % 2 == 0, F.lit(" GMT")).otherwise(F.lit(" +0000"))).alias("pubDate"),
         F.when(d % 7 == 0, F.array().cast("array<string>"))
          .otherwise(F.array(F.upper("lang"), F.concat(F.lit("Sección "), F.col("source"))))
