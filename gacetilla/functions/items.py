@@ -80,7 +80,7 @@ def error_text(err) -> Column:
     ).otherwise(e.getField("kind"))
 
 
-_ERROR_PATTERN = r"^(ParsingError|NetworkError)\((.*)\)$"
+_ERROR_PATTERN = r"(?s)^(ParsingError|NetworkError)\((.*)\)$"
 
 
 def parse_error(c) -> Column:
@@ -101,18 +101,25 @@ def parse_error(c) -> Column:
              .otherwise(make_error("UnknownError", None)))
 
 
+def debug_escape(c) -> Column:
+    """Escape text as a debug-printed string literal: backslash, double quote,
+    newline, carriage return and tab."""
+    t = _col(c)
+    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        t = F.replace(t, F.lit(raw), F.lit(escaped))
+    return t
+
+
 def option_debug(c) -> Column:
-    """``None`` or ``Some("text")`` with quotes and backslashes escaped."""
+    """``None`` or ``Some("text")`` with the text escaped."""
     t = _col(c)
-    esc = F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.when(t.isNull(), F.lit("None")).otherwise(F.concat(F.lit('Some("'), esc, F.lit('")')))
+    return F.when(t.isNull(), F.lit("None")).otherwise(F.concat(F.lit('Some("'), debug_escape(t), F.lit('")')))
 
 
 def error_debug(err) -> Column:
     """X18 for errors: ``None``, ``Some(NoContent)``, ``Some(ParsingError("msg"))``."""
     e = _col(err)
-    m = e.getField("message")
-    esc = F.replace(F.replace(F.coalesce(m, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    esc = debug_escape(F.coalesce(e.getField("message"), F.lit("")))
     return (F.when(e.isNull(), F.lit("None"))
              .when(e.getField("kind").isin(KINDS_WITH_MESSAGE),
                    F.concat(F.lit("Some("), e.getField("kind"), F.lit('("'), esc, F.lit('"))')))

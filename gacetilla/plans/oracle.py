@@ -278,15 +278,23 @@ def _num(x: str) -> str:
             f"ELSE CAST({x} AS VARCHAR) END")
 
 
+def _esc(x: str) -> str:
+    """SQL form of ``debug_escape``."""
+    out = x
+    for raw, escaped in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"),
+                         ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
+        out = f"replace({out}, {raw}, {escaped})"
+    return out
+
+
 def _dbg(x: str) -> str:
-    return (f"CASE WHEN {x} IS NULL THEN 'None' ELSE 'Some(\"' || "
-            f"replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\")' END")
+    return f"CASE WHEN {x} IS NULL THEN 'None' ELSE 'Some(\"' || {_esc(x)} || '\")' END"
 
 
 def _err_dbg(kind: str, msg: str) -> str:
     return (f"CASE WHEN {kind} IS NULL THEN 'None' "
             f"WHEN {kind} IN ('ParsingError', 'NetworkError') THEN 'Some(' || {kind} || '(\"' || "
-            f"replace(replace(coalesce({msg}, ''), '\\', '\\\\'), '\"', '\\\"') || '\"))' "
+            f"{_esc(f'coalesce({msg}, {chr(39)}{chr(39)})')} || '\"))' "
             f"ELSE 'Some(' || {kind} || ')' END")
 
 

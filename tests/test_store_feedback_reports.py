@@ -121,3 +121,17 @@ def test_relevance_report_text(spark, workdir):
     assert text.index("ElDiario.es:**") < text.index("Other:**")
     assert "\n## Relevance list\n0. (30) [ElDiario.es] Title 3\n1. (20) [Other] Title 2\n" in text
     assert text.endswith("3. (0) [Other] Title 0\n\n")
+
+
+def test_debug_texts(spark):
+    from gacetilla.functions.items import error_debug, option_debug
+    df = spark.createDataFrame([('say "hi"\\\n\tx',), (None,)], "t string")
+    got = [r.d for r in df.select(option_debug("t").alias("d")).collect()]
+    assert got == ['Some("say \\"hi\\"\\\\\\n\\tx")', "None"]
+    e = spark.range(1).select(
+        error_debug(make_error(F.lit("NetworkError"), F.lit('bad "url"'))).alias("a"),
+        error_debug(make_error("NoContent")).alias("b")).first()
+    assert (e.a, e.b) == ('Some(NetworkError("bad \\"url\\""))', "Some(NoContent)")
+    back = spark.createDataFrame([("ParsingError(line one\nline two)",)], "t string").select(
+        parse_error("t").alias("e")).first().e
+    assert (back.kind, back.message) == ("ParsingError", "line one\nline two")
