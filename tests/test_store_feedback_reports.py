@@ -135,3 +135,17 @@ def test_debug_texts(spark):
     back = spark.createDataFrame([("ParsingError(line one\nline two)",)], "t string").select(
         parse_error("t").alias("e")).first().e
     assert (back.kind, back.message) == ("ParsingError", "line one\nline two")
+
+
+def test_read_ratings_and_random_order(spark, workdir):
+    from gacetilla.operators.feedback import read_ratings
+    from gacetilla.operators.rank import random_order
+    p = os.path.join(workdir, "ratings.csv")
+    with open(p, "w") as f:
+        f.write("link,rating\nhttps://e/0,4\nhttps://e/1,x\n")
+    r = {row.link: row.rating for row in read_ratings(spark, p).collect()}
+    assert r == {"https://e/0": "4", "https://e/1": "x"}
+    items = _items(spark, 6)
+    a = [row.item_id for row in random_order(items, seed=3).limit(3).collect()]
+    b = [row.item_id for row in random_order(items, seed=3).limit(3).collect()]
+    assert a == b and len(set(a)) == 3
