@@ -15,7 +15,7 @@ from ..functions.items import channel_type
 from ..operators.normalize import rejected
 from ..operators.optin import opt_in
 from ..operators.rank import composite_order, number_all, number_small, relevance_order
-from ..operators.scoring import score_breakdown, token_occurrences
+from ..operators.scoring import score_breakdown, token_occurrences, vocabulary
 from ..operators.similarity import dice_pairs, filter_matching, matched_tokens
 from ..sources.lexicon import combined_lexicon
 from ..sources.testdata import (CONTRACT_EXTRA_ROOTS, content_store, document_items,
@@ -56,13 +56,13 @@ def q_opt_in_empty(spark, sf_dir):
 
 
 def q_dice_pairs(spark, sf_dir):
-    occ = token_occurrences(filled_document_items(spark, sf_dir))
-    return dice_pairs(occ, contract_lexicon(spark))
+    return dice_pairs(vocabulary(filled_document_items(spark, sf_dir)), contract_lexicon(spark))
 
 
 def q_fuzzy_tokens(spark, sf_dir):
-    occ = token_occurrences(filled_document_items(spark, sf_dir))
-    hits = filter_matching(occ, matched_tokens(occ, contract_lexicon(spark)))
+    items = filled_document_items(spark, sf_dir)
+    occ = token_occurrences(items)
+    hits = filter_matching(occ, matched_tokens(vocabulary(items), contract_lexicon(spark)))
     return hits.groupBy("token").agg(F.count(F.lit(1)).cast("long").alias("occurrences"))
 
 
