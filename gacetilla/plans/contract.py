@@ -129,6 +129,24 @@ def q_rss_scan(spark, sf_dir):
                         "pub_date", "categories", "keywords")
 
 
+def q_union_feeds(spark, sf_dir):
+    """U1 + S2–S4: two feed sources (documents and landed pages) written as
+    RSS, read back together, flattened and normalised."""
+    from ..operators.normalize import normalise
+    from ..sources.rss import channel_items, parse_rss, rss_document
+    docs = raw_items_from_documents(table(spark, sf_dir, "documents")).withColumn(
+        "item_id", F.concat(F.lit("doc:"), F.col("item_id").cast("string")))
+    pages = page_items(spark, sf_dir).select(
+        "item_id", F.col("channel").alias("channel_title"), "title", "link", "description",
+        F.lit(None).cast("string").alias("pubDate"), F.lit(None).cast("array<string>").alias("category"),
+        F.lit(None).cast("array<string>").alias("dc:creator"),
+        F.lit(None).cast("array<string>").alias("media:keywords"))
+    feeds = rss_document(docs.unionByName(pages))
+    items = normalise(channel_items(parse_rss(feeds), feed_col="item_id").drop("pos"))
+    return items.select("item_id", "channel", "title", "link", "description", "creators",
+                        "pub_date", "categories", "keywords")
+
+
 def q_clean_region(spark, sf_dir):
     from ..operators.content import clean_pages, region_kind
     pages = pages_with_channel(spark, sf_dir)
@@ -272,6 +290,7 @@ def contract_queries() -> dict:
         "q_contents_list": q_contents_list,
         "q_feed_lines": q_feed_lines,
         "q_rss_scan": q_rss_scan,
+        "q_union_feeds": q_union_feeds,
         "q_clean_region": q_clean_region,
         "q_clean_text": q_clean_text,
         "q_fill_content": q_fill_content,

@@ -338,6 +338,16 @@ GROUP BY line"""
 
     s["q_rss_scan"] = contract_items_sql()
 
+    s["q_union_feeds"] = "WITH " + ITEMS + f"""
+SELECT 'doc:' || CAST(item_id AS VARCHAR) AS item_id, channel, title, link, description, creators,
+       pub_date, categories, keywords FROM items
+UNION ALL
+SELECT 'page:' || CAST(page_id AS VARCHAR) AS item_id, {_page_channel('page_id')} AS channel,
+       regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url AS link, '' AS description,
+       '' AS creators, CAST(NULL AS VARCHAR) AS pub_date, CAST(NULL AS VARCHAR) AS categories,
+       CAST(NULL AS VARCHAR) AS keywords
+FROM pages"""
+
     s["q_clean_region"] = "WITH " + _page_region() + """
 SELECT page_id, channel_type, region, error_kind FROM page_region"""
 
