@@ -20,6 +20,7 @@ blocks separated by one blank line, one final newline, lines wrapped at
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -56,13 +57,14 @@ EMPH = {"i", "em"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "block_inside")
 
     def __init__(self, tag, attrs=None, parent=None):
         self.tag = tag
         self.attrs = dict(attrs or [])
         self.children = []
         self.parent = parent
+        self.block_inside = None  # memo of _Renderer.has_block
 
     def iter(self):
         """Descendants in document order (not the node itself)."""
@@ -256,8 +258,10 @@ class _Renderer:
         return "".join(out)
 
     def has_block(self, node) -> bool:
-        return any(isinstance(c, Node) and (c.tag in BLOCKS or self.has_block(c)) for c in node.children
-                   if isinstance(c, Node) and c.tag not in SKIPPED)
+        if node.block_inside is None:
+            node.block_inside = any(c.tag in BLOCKS or self.has_block(c) for c in node.children
+                                    if isinstance(c, Node) and c.tag not in SKIPPED)
+        return node.block_inside
 
     def render(self, node):
         for c in node.children:
@@ -374,6 +378,8 @@ def clean_content(channel: str, html) -> tuple:
         return None, "ParsingError", "page body could not be decoded"
     if html == "":
         return None, "EmptyString", None
+    if sys.getrecursionlimit() < 20000:
+        sys.setrecursionlimit(20000)  # deeply nested pages are walked recursively
     try:
         doc = parse_html(html)
         text = render_text(select_region(outlet_of(channel), doc))
