@@ -29,7 +29,9 @@ def opt_in_predicate(terms, op: str = "or") -> Column | None:
     terms = list(terms or [])
     if not terms:
         return None
-    found = [F.coalesce(_term_found(t), F.lit(False)) for t in terms]
+    # No coalesce: in a filter a null (missing field) already counts as "not
+    # found", and bare ``contains`` predicates reach the Parquet reader.
+    found = [_term_found(t) for t in terms]
     if op.lower() == "or":
         return functools.reduce(operator.or_, found)
     if op.lower() == "and":
