@@ -413,6 +413,9 @@ def region_kind(channel, html) -> F.Column:
 
 
 MAX_BROADCAST_ITEMS = 100_000
+# Up to this many links (a known bound, e.g. a top-k) become a literal IN
+# filter on the page store, which the Parquet reader can use to skip data.
+MAX_INLIST_LINKS = 10_000
 
 
 def fill_content(items: DataFrame, pages: DataFrame, url_col: str = "url", html_col: str = "html",
@@ -433,7 +436,13 @@ def fill_content(items: DataFrame, pages: DataFrame, url_col: str = "url", html_
     links = items.select(F.col("link").alias(url_col)).distinct()
     order_col = page_key or html_col
     # one page per url: the first by page key (else the smallest body)
-    if bounded is not None and bounded <= MAX_BROADCAST_ITEMS:
+    if bounded is not None and bounded <= MAX_INLIST_LINKS:
+        # a top-k's links (at most ``bounded``, a few hundred): an IN filter
+        # the Parquet reader can use to skip row groups of the page store
+        wanted = [r[0] for r in links.where(F.col(url_col).isNotNull()).collect()]
+        needed = pages.where(F.col(url_col).isin(wanted))
+        one = needed.groupBy(url_col).agg(F.min_by(F.col(html_col), F.col(order_col)).alias("_html"))
+    elif bounded is not None and bounded <= MAX_BROADCAST_ITEMS:
         # few links: cut the pages where they lie, then de-duplicate the few
         needed = pages.join(F.broadcast(links), url_col, "left_semi")
         one = needed.groupBy(url_col).agg(F.min_by(F.col(html_col), F.col(order_col)).alias("_html"))
