@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .scoring import score_breakdown
 from .similarity import DICE_THRESHOLD
 
 # Above this k the top rows are joined back without a broadcast hint.
 MAX_BROADCAST_TOP_K = 100_000
+# Up to this k the winners' keys also become an IN filter on the item scan,
+# which the Parquet reader can use to skip row groups.
+MAX_INLIST_TOP_K = 10_000
 
 
 def relevance_order(key: str = "item_id") -> list[Column]:
@@ -38,8 +42,17 @@ def top_k_by_relevance(items: DataFrame, k: int, key: str = "item_id") -> DataFr
 
 
 def _join_back(items: DataFrame, top: DataFrame, k: int, key: str) -> DataFrame:
-    """Full rows of the selected keys: a broadcast of at most k keys, so the
-    wide item table is filtered where it lies."""
+    """Full rows of the selected keys.
+
+    Up to ``MAX_INLIST_TOP_K`` winners are written once to the checkpoint
+    folder (k rows), their keys filter the item scan as an ``IN`` list the
+    Parquet reader can use, and the written winners are joined by broadcast.
+    Beyond, the (at most k) winners are broadcast as they are.
+    """
+    if k <= MAX_INLIST_TOP_K:
+        winners = materialize(top, "top-k")
+        keys = [r[0] for r in winners.select(key).collect()]
+        return items.where(F.col(key).isin(keys)).join(F.broadcast(winners), key, "inner")
     right = F.broadcast(top) if k <= MAX_BROADCAST_TOP_K else top
     return items.join(right, key, "inner")
 
