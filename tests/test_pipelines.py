@@ -74,3 +74,22 @@ def test_relevance_report_and_feedback(spark, workdir):
     got = {r["Link"]: (r["Relevance"], r["Feedback Date"]) for r in back.collect()}
     assert got == {"https://n/1": ("5", "Wed, 01 Jan 2025 10:00:00 +0000"),
                    "https://n/3": ("3", "Wed, 01 Jan 2025 10:00:00 +0000")}
+
+
+def test_command_line(spark, workdir):
+    from gacetilla.__main__ import main
+    items, pages = _setup(spark, workdir)
+    pages_path = os.path.join(workdir, "pages.parquet")
+    pages.write.parquet(pages_path)
+    ratings = os.path.join(workdir, "ratings.csv")
+    with open(ratings, "w") as f:
+        f.write("link,rating\nhttps://n/1,5\n")
+    feeds = os.path.join(workdir, "feeds")
+    root = os.path.join(workdir, "out")
+    assert main(["--feeds", feeds, "--root", root, "--lexicon", "", "dossier", "--pages", pages_path,
+                 "--log"], spark) == 0
+    assert main(["--feeds", feeds, "--root", root, "--lexicon", "", "relevance"], spark) == 0
+    assert main(["--feeds", feeds, "--root", root, "--lexicon", "", "feedback", "--ratings", ratings],
+                spark) == 0
+    made = sorted(os.listdir(root))
+    assert any(m.startswith("report_") for m in made) and any(m.startswith("feedback_") for m in made)
