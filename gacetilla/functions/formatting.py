@@ -10,11 +10,18 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Anchor slug pattern and formats.
+ANCHOR_RUN = "[^a-z0-9]+"
+ANCHOR_PREFIX = "#"
+RFC2822_FORMAT = "EEE, dd MMM yyyy HH:mm:ss"
+RUN_STAMP_FORMAT = "yyyy-MM-dd-HH-mm-ss"
+
+
 def anchor(title) -> Column:
     """``#`` + lower-cased title, runs of non ``[a-z0-9]`` as ``-``,
     leading and trailing ``-`` trimmed."""
-    slug = F.regexp_replace(F.lower(_col(title)), "[^a-z0-9]+", "-")
-    return F.concat(F.lit("#"), F.regexp_replace(slug, "^-+|-+$", ""))
+    slug = F.regexp_replace(F.lower(_col(title)), ANCHOR_RUN, "-")
+    return F.concat(F.lit(ANCHOR_PREFIX), F.regexp_replace(slug, "^-+|-+$", ""))
 
 
 def truncate_chars(c, n: int = 50) -> Column:
@@ -42,9 +49,9 @@ def _utc_wall_clock(ts) -> Column:
 
 def run_stamp(ts) -> Column:
     """Folder stamp ``yyyy-MM-dd-HH-mm-ss`` of a run time (UTC)."""
-    return F.date_format(_utc_wall_clock(ts), "yyyy-MM-dd-HH-mm-ss")
+    return F.date_format(_utc_wall_clock(ts), RUN_STAMP_FORMAT)
 
 
 def rfc2822(ts) -> Column:
     """RFC 2822 text of a time, in UTC (``Sun, 01 Jan 2017 12:00:00 +0000``)."""
-    return F.concat(F.date_format(_utc_wall_clock(ts), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    return F.concat(F.date_format(_utc_wall_clock(ts), RFC2822_FORMAT), F.lit(" +0000"))

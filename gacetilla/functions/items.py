@@ -80,6 +80,7 @@ def error_text(err) -> Column:
     ).otherwise(e.getField("kind"))
 
 
+# Fixed value: stored form of an error that carries a message.
 _ERROR_PATTERN = r"(?s)^(ParsingError|NetworkError)\((.*)\)$"
 
 

@@ -35,6 +35,11 @@ FIELD_WEIGHTS = {
 }
 CREATOR_POINTS = 10
 
+# Texts of a score (the last label reads "content" but shows
+# the description score).
+EXPLANATION_FORMAT = "breakdown [creator: %d, categories: %d, keywords: %d, title: %d, content: %d]"
+SCORE_TEXT_FORMAT = "Relevance[core: %d, content: %d, explanation: '%s']"
+
 SCORE_COLUMNS = ["error", "by_creator", "by_categories", "by_keywords", "by_title",
                  "by_description", "relevance_core", "relevance_content", "net_relevance"]
 
@@ -122,15 +127,13 @@ def score_breakdown(items: DataFrame, lexicon: DataFrame, key: str = "item_id",
 
 def explanation():
     """X10 (the last label is ``content`` but carries the description score)."""
-    return F.format_string(
-        "breakdown [creator: %d, categories: %d, keywords: %d, title: %d, content: %d]",
-        "by_creator", "by_categories", "by_keywords", "by_title", "by_description")
+    return F.format_string(EXPLANATION_FORMAT, "by_creator", "by_categories", "by_keywords",
+                           "by_title", "by_description")
 
 
 def score_text():
     """X11."""
-    return F.format_string("Relevance[core: %d, content: %d, explanation: '%s']",
-                           "relevance_core", "relevance_content", "explanation")
+    return F.format_string(SCORE_TEXT_FORMAT, "relevance_core", "relevance_content", "explanation")
 
 
 def with_relevance(items: DataFrame, lexicon: DataFrame, key: str = "item_id",

@@ -58,7 +58,7 @@ STORED_DDL = (
     "keywords STRING, clean_content STRING, error STRING"
 )
 
-# K3: CSV header, in order.
+# The feedback CSV header (K3), in order.
 CSV_HEADER = [
     "Channel", "Title", "Link", "Description", "Creators", "Publication Date", "Categories",
     "Keywords", "Clean Content", "Error", "Feedback Date", "Relevance",

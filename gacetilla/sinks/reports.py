@@ -2,19 +2,69 @@
 
 A report is a DataFrame of ``(section, ord, line)``: sections keep the
 document order, ``ord`` numbers lines within a section.  Lines are built
-with native string functions on the executors; writing sorts by
-(section, ord) and emits one text file, so no report passes through the
-driver.
+with native string functions on the executors from the templates below;
+writing sorts by (section, ord) and emits the text with many writers, so no
+report passes through the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formatting import anchor, number_text, truncate_chars
 from ..functions.items import error_debug, option_debug
-from ..operators.rank import number_all, number_small, relevance_order
+from ..operators.rank import number_all, number_small
+
+# The report texts, in document order.  ``{name}`` is a field.
+RELEVANCE_TITLE = ["# Relevance Report", ""]
+RELEVANCE_CHANNELS_HEADING = ["## Relevance per Channel", ""]
+RELEVANCE_CHANNEL_LINE = "- **{channel}:** Items: {items} Total: {total} Average: {average}"
+RELEVANCE_LIST_HEADING = ["", "## Relevance list"]
+RELEVANCE_LIST_LINE = "{ord}. ({relevance}) [{channel}] {title}"
+CONTENTS_LINE = "{ord}. [{title}]({anchor})"
+LOG_TITLE = ["# Table of Contents"]
+LOG_ITEM = ("---\n# {title}\n## Data\n- **Channel:** {channel}\n- **Relevance:** {relevance}\n"
+            "- **Link:** {link}\n- **Publish Date:** {pub_date}\n- **Categories:** {categories}\n"
+            "- **Keywords:** {keywords}\n- **Error:** {error}\n## Description\n{description}\n"
+            "## Clean Content \n{clean_content}\n")
+DOSSIER_TITLE = ["# Dossier", ""]
+DOSSIER_CONTENTS_HEADING = ["## Table of Contents"]
+DOSSIER_METADATA_HEADING = ["", "## Metadata"]
+DOSSIER_COUNT_LINE = "- **Number of items:** {count}"
+DOSSIER_DATE_LINE = "- **Date:** {date}"
+DOSSIER_ITEMS_HEADING = ["", "## News Items"]
+DOSSIER_ITEM = ("---\n### {title}\n\n#### Data\n- **Channel:** {channel}\n- **Relevance:** {relevance}\n"
+                "- **Link:** {link}\n- **Publish Date:** {pub_date}\n- **Categories:** {categories}\n"
+                "- **Keywords:** {keywords}\n- **Error:** {error}\n\n#### Clean Content \n{clean_content}")
+NO_CONTENT_TEXT = "N/A"
+DESCRIPTION_CHARS = 50
+
+_FIELD = re.compile(r"\{(\w+)\}")
+
+
+def render(template: str, **fields: Column) -> Column:
+    """A template as a column: its literal text around the given fields."""
+    parts, pos = [], 0
+    for m in _FIELD.finditer(template):
+        if m.start() > pos:
+            parts.append(F.lit(template[pos:m.start()]))
+        parts.append(fields[m.group(1)].cast("string"))
+        pos = m.end()
+    if pos < len(template):
+        parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)
+
+
+def _item_fields() -> dict:
+    return dict(
+        title=F.col("title"), channel=F.col("channel"),
+        relevance=F.coalesce(F.col("relevance"), F.lit(0)), link=F.col("link"),
+        pub_date=option_debug("pub_date"), categories=option_debug("categories"),
+        keywords=option_debug("keywords"), error=error_debug("error"),
+        clean_content=F.coalesce(F.col("clean_content"), F.lit(NO_CONTENT_TEXT)))
 
 
 def relevance_per_channel(items: DataFrame) -> DataFrame:
@@ -39,52 +89,35 @@ def _fixed(spark: SparkSession, section: int, lines: list[str]) -> DataFrame:
 
 
 def relevance_report_lines(items: DataFrame) -> DataFrame:
-    """K5: ``# Relevance Report``, the per-channel section (by average
-    descending, then channel) and the numbered list of every item (0-based,
-    by relevance descending)."""
+    """K5: title, the per-channel section (by average descending, then
+    channel) and the numbered list of every item (0-based, by relevance
+    descending)."""
     spark = items.sparkSession
     per_channel = relevance_per_channel(items)
     ch = number_small(per_channel, [F.col("average").desc(), F.col("channel")], "ord", 0)
-    ch_lines = _lines(ch, 2, F.concat(
-        F.lit("- **"), F.col("channel"), F.lit(":** Items: "), F.col("items").cast("string"),
-        F.lit(" Total: "), number_text("total"), F.lit(" Average: "), number_text("average")))
+    ch_lines = _lines(ch, 2, render(RELEVANCE_CHANNEL_LINE, channel=F.col("channel"), items=F.col("items"),
+                                    total=number_text("total"), average=number_text("average")))
     listed = number_all(items.select("item_id", "relevance", "channel", "title", "link"),
                         ["relevance", "link", "item_id"], [True, False, False], "ord", 0)
-    item_lines = _lines(listed, 4, F.format_string(
-        "%d. (%d) [%s] %s", F.col("ord"), F.coalesce(F.col("relevance"), F.lit(0)),
-        F.col("channel"), F.col("title")))
-    head = _fixed(spark, 0, ["# Relevance Report", ""])
-    mid = _fixed(spark, 1, ["## Relevance per Channel", ""])
-    gap = _fixed(spark, 3, ["", "## Relevance list"])
-    tail = _fixed(spark, 5, [""])  # the file append ends the report with a newline
-    return (head.unionByName(mid).unionByName(ch_lines).unionByName(gap).unionByName(item_lines)
-                .unionByName(tail))
+    item_lines = _lines(listed, 4, render(RELEVANCE_LIST_LINE, ord=F.col("ord"),
+                                          relevance=F.coalesce(F.col("relevance"), F.lit(0)),
+                                          channel=F.col("channel"), title=F.col("title")))
+    return (_fixed(spark, 0, RELEVANCE_TITLE).unionByName(_fixed(spark, 1, RELEVANCE_CHANNELS_HEADING))
+            .unionByName(ch_lines).unionByName(_fixed(spark, 3, RELEVANCE_LIST_HEADING))
+            .unionByName(item_lines)
+            .unionByName(_fixed(spark, 5, [""])))  # the file append ends the report with a newline
 
 
 def item_log_lines(items: DataFrame, key: str = "item_id") -> DataFrame:
     """K4: contents list plus one section per item, by relevance descending."""
     spark = items.sparkSession
     numbered = number_all(items, ["relevance", "link", key], [True, False, False], "ord", 1)
-    toc = _lines(numbered, 1, F.format_string("%d. [%s](%s)", F.col("ord"), F.col("title"),
-                                               anchor("title")))
-    block = F.concat_ws(
-        "\n",
-        F.lit("---"),
-        F.concat(F.lit("# "), F.col("title")),
-        F.lit("## Data"),
-        F.concat(F.lit("- **Channel:** "), F.col("channel")),
-        F.concat(F.lit("- **Relevance:** "), F.coalesce(F.col("relevance"), F.lit(0)).cast("string")),
-        F.concat(F.lit("- **Link:** "), F.col("link")),
-        F.concat(F.lit("- **Publish Date:** "), option_debug("pub_date")),
-        F.concat(F.lit("- **Categories:** "), option_debug("categories")),
-        F.concat(F.lit("- **Keywords:** "), option_debug("keywords")),
-        F.concat(F.lit("- **Error:** "), error_debug("error")),
-        F.concat(F.lit("## Description\n"), truncate_chars("description", 50)),
-        F.concat(F.lit("## Clean Content \n"), F.coalesce(F.col("clean_content"), F.lit("N/A"))),
-        F.lit(""),
-    )
-    sections = _lines(numbered, 3, block)
-    return _fixed(spark, 0, ["# Table of Contents"]).unionByName(toc).unionByName(
+    toc = _lines(numbered, 1, render(CONTENTS_LINE, ord=F.col("ord"), title=F.col("title"),
+                                     anchor=anchor("title")))
+    fields = _item_fields()
+    fields["description"] = truncate_chars("description", DESCRIPTION_CHARS)
+    sections = _lines(numbered, 3, render(LOG_ITEM, **fields))
+    return _fixed(spark, 0, LOG_TITLE).unionByName(toc).unionByName(
         _fixed(spark, 2, [""])).unionByName(sections)
 
 
@@ -92,30 +125,19 @@ def dossier_lines(items: DataFrame, run_time: str, position: str = "rank") -> Da
     """K6: dossier of at most k items in their given order (``position``)."""
     spark = items.sparkSession
     numbered = number_small(items, [F.col(position)], "ord", 1)
-    toc = _lines(numbered, 2, F.format_string("%d. [%s](%s)", F.col("ord"), F.col("title"),
-                                               anchor("title")))
+    toc = _lines(numbered, 2, render(CONTENTS_LINE, ord=F.col("ord"), title=F.col("title"),
+                                     anchor=anchor("title")))
     count_line = items.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(4).alias("section"), F.lit(1).cast("long").alias("ord"),
-        F.concat(F.lit("- **Number of items:** "), F.col("n").cast("string")).alias("line"))
-    block = F.concat(
-        F.lit("---\n"), F.lit("### "), F.col("title"), F.lit("\n\n"),
-        F.lit("#### Data\n"),
-        F.lit("- **Channel:** "), F.col("channel"), F.lit("\n"),
-        F.lit("- **Relevance:** "), F.coalesce(F.col("relevance"), F.lit(0)).cast("string"), F.lit("\n"),
-        F.lit("- **Link:** "), F.col("link"), F.lit("\n"),
-        F.lit("- **Publish Date:** "), option_debug("pub_date"), F.lit("\n"),
-        F.lit("- **Categories:** "), option_debug("categories"), F.lit("\n"),
-        F.lit("- **Keywords:** "), option_debug("keywords"), F.lit("\n"),
-        F.lit("- **Error:** "), error_debug("error"), F.lit("\n\n"),
-        F.lit("#### Clean Content \n"), F.coalesce(F.col("clean_content"), F.lit("N/A")),
-    )
-    return (_fixed(spark, 0, ["# Dossier", ""])
-            .unionByName(_fixed(spark, 1, ["## Table of Contents"]))
+        render(DOSSIER_COUNT_LINE, count=F.col("n")).alias("line"))
+    date_and_heading = [DOSSIER_DATE_LINE.format(date=run_time)] + DOSSIER_ITEMS_HEADING
+    return (_fixed(spark, 0, DOSSIER_TITLE)
+            .unionByName(_fixed(spark, 1, DOSSIER_CONTENTS_HEADING))
             .unionByName(toc)
-            .unionByName(_fixed(spark, 3, ["", "## Metadata"]))
+            .unionByName(_fixed(spark, 3, DOSSIER_METADATA_HEADING))
             .unionByName(count_line)
-            .unionByName(_fixed(spark, 5, [f"- **Date:** {run_time}", "", "## News Items"]))
-            .unionByName(_lines(numbered, 6, block))
+            .unionByName(_fixed(spark, 5, date_and_heading))
+            .unionByName(_lines(numbered, 6, render(DOSSIER_ITEM, **_item_fields())))
             .unionByName(_fixed(spark, 7, [""])))
 
 
