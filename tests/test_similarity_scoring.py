@@ -111,3 +111,20 @@ def test_user_file_lexicon(spark, workdir):
     lex = combined_lexicon(spark, user_file=p)
     assert lex.count() == 63 + 3
     assert combined_lexicon(spark, user_file=os.path.join(workdir, "missing.txt")).count() == 63
+
+
+def test_top_k_composite_errors_first(spark):
+    from gacetilla.operators.rank import score_top_k, top_k_composite
+    rows = [(i, "c", t, f"l{i}", d, cr, None, cat, kw, cc, err)
+            for i, ((cr, cat, kw, t, d, cc, err), _) in enumerate(CASES)]
+    items = _items(spark, rows)
+    top = top_k_composite(items, builtin_lexicon(spark), 3).orderBy("rank").collect()
+    # cores: 4 → 20, 3 → 15, 6 → 12, 1 and 2 → 10, 5 → 2; the errored item 0 first
+    assert [r.item_id for r in top] == [0, 4, 3]
+    last = top_k_composite(items, builtin_lexicon(spark), 2, errors_last=True).orderBy("rank").collect()
+    assert [r.item_id for r in last] == [4, 3]
+    best = score_top_k(items, builtin_lexicon(spark), 2).collect()
+    assert sorted((r.item_id, r.relevance) for r in best) == [(3, 15), (4, 20)]
+    import pytest
+    with pytest.raises(ValueError):
+        top_k_composite(items, builtin_lexicon(spark), 300)
