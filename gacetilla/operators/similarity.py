@@ -112,7 +112,7 @@ def prepare_lexicon(lexicon: DataFrame, root_col: str = "root", length_unit: str
         plan_key = id(lexicon)
     key = (id(spark), plan_key, root_col, length_unit)
     hit = _PREPARED.get(key)
-    if hit is not None:
+    if hit is not None and hit[0].sparkSession is spark:
         return hit
     from ..session import materialize
     roots = lexicon.select(F.col(root_col).alias("root")).where(F.col("root").isNotNull()).distinct()
