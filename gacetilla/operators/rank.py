@@ -98,20 +98,22 @@ def number_all(df: DataFrame, sort_cols: list[str], descending: list[bool],
     window.
 
     ``repartitionByRange`` splits the order into ranges, each range is
-    numbered locally (window partitioned by the range id), and a running
-    offset per range is added from a tiny per-range count table.  The number
-    of ranges is explicit, so adaptive execution does not merge ranges and
-    both branches see the same range ids.  The sort columns should end in a
-    unique key, so ties never pile up in one range.
+    numbered locally (window partitioned by the range id) and written once,
+    and a running offset per range is added from a tiny per-range count
+    table read from the same written ranges.  The number of ranges is
+    explicit, so adaptive execution does not merge ranges.  The sort columns
+    should end in a unique key, so ties never pile up in one range.
     """
     order = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last()
              for c, d in zip(sort_cols, descending)]
     spark = df.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # The locally numbered ranges are written once: the range boundaries come
+    # from sampling, so the counts below must read the very same ranges.
+    local = materialize(ranged.withColumn(
+        "_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "numbered")
+    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)))
