@@ -10,17 +10,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import quality_rules
 from .repeats import remove_repeats
 from .tables import read, sha256_column
 
 
+def op3_quality_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.verdict(docs, quality_rules.cascade(docs)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_substring_dedup(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", sha256_column(F.col("kept")).alias("kept_sha256"))
 
 
 def llm_queries():
-    return {f.__name__: f for f in (op9_substring_dedup,)}
+    return {f.__name__: f for f in (op3_quality_rules, op9_substring_dedup)}
 
 
 def llm_sql():
