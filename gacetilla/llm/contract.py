@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import quality_rules
+from .decontaminate import contamination
 from .repeats import remove_repeats
 from .tables import read, sha256_column
 
@@ -21,13 +22,19 @@ def op3_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_decontaminate(spark, sf_dir):
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256",
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", sha256_column(F.col("kept")).alias("kept_sha256"))
 
 
 def llm_queries():
-    return {f.__name__: f for f in (op3_quality_rules, op9_substring_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_decontaminate, op9_substring_dedup)}
 
 
 def llm_sql():
