@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import quality_rules
 from .decontaminate import contamination
+from .line_dedup import drop_lines
 from .repeats import remove_repeats
 from .tables import read, sha256_column
 
@@ -28,13 +29,18 @@ def op4_decontaminate(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    return drop_lines(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", sha256_column(F.col("text")).alias("kept_sha256"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", sha256_column(F.col("kept")).alias("kept_sha256"))
 
 
 def llm_queries():
-    return {f.__name__: f for f in (op3_quality_rules, op4_decontaminate, op9_substring_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_decontaminate, op8_line_dedup, op9_substring_dedup)}
 
 
 def llm_sql():
