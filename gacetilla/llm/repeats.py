@@ -17,19 +17,20 @@ share one, so a document has an anchor for every dozen words or so.
 
 Spark then
 
-1. aggregates anchors by symbol (map side first): symbols met in two documents
-   at least reveal the candidates;
-2. reads the anchors again, keeps those whose symbol is shared and takes the
-   stretch of words that an anchor's windows cover: where all stretches of a
-   symbol are equal, the least document owns it;
-3. where they differ (at the borders of a repeat), verifies window by window:
-   the least document by (symbol, window hash), again aggregated map side;
+1. aggregates anchors by symbol and by the stretch of words that an anchor's
+   windows cover (map side first), giving each stretch its least document:
+   symbols met in two documents at least reveal the candidates;
+2. reads the anchors again; those of a stretch that a smaller document has are
+   covered whole;
+3. where a symbol has several stretches (at the borders of a repeat), verifies
+   the stretches' owners window by window: the least document by (symbol,
+   window hash), again aggregated map side;
 4. collects the covered ranges of a document and cuts the words.
 
-Steps 2 and 3 join by symbol with the aggregated side unique, so a passage in
+Steps 2 and 3 join with the aggregated side unique and stored, so a passage in
 a third of all documents is a skewed join that Spark splits, never one task's
-group.  A bitmap of fixed size keeps anchors with unshared symbols from being
-shuffled in step 2.
+group.  Bitmaps of fixed size keep anchors of unshared stretches from being
+shuffled again.
 
 Edge cases: null and empty texts have no words and keep the empty string.
 Texts under W words have no window.  Repeated rows with one ``doc_id`` are one
@@ -139,8 +140,9 @@ def anchors(names: np.ndarray, first: np.ndarray, window: int = WINDOW,
 
 _ANCHORS = pa.schema([("symbol", pa.int64()), ("stretch", pa.int64()), ("doc", pa.int64()),
                       ("text_key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
-                      ("windows", pa.list_(pa.int64()))])
-_ANCHORS_SQL = ("symbol long, stretch long, doc long, text_key long, at int, n int, windows array<long>")
+                      ("again", pa.bool_()), ("windows", pa.list_(pa.int64()))])
+_ANCHORS_SQL = ("symbol long, stretch long, doc long, text_key long, at int, n int, again boolean, "
+                "windows array<long>")
 
 
 def _text_keys(words: Words) -> np.ndarray:
@@ -148,7 +150,20 @@ def _text_keys(words: Words) -> np.ndarray:
     return window_hash(words.hash, words.first[:-1], words.counts).view(np.int64)
 
 
-def _anchor_rows(window: int, shared: Bitmap | None, mixed: Bitmap | None):
+def _pair_key(symbol: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(symbol.view(np.uint64) * _U(0x9FB21C651E98DF25) + stretch.view(np.uint64))
+
+
+def _owner_key(pair: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(pair * _U(0xC2B2AE3D27D4EB4F) + doc.view(np.uint64))
+
+
+def _anchor_rows(window: int, again: Bitmap | None = None, owners: Bitmap | None = None):
+    """Anchors of every text; with bitmaps only those whose stretch may be met
+    in two documents (``again``), and those that may own a stretch of a symbol
+    with several stretches (these carry their window hashes)."""
     def task(batches):
         for batch in batches:
             for piece in chunks(batch):
@@ -161,29 +176,37 @@ def _anchor_rows(window: int, shared: Bitmap | None, mixed: Bitmap | None):
                 new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
                 head = np.flatnonzero(new)
                 n = np.diff(np.append(head, len(starts)))
-                if shared is not None:
-                    keep = shared.may_hold(name[head])
-                    head, n = head[keep], n[keep]
                 sym, at, of = name[head], starts[head], text[head]
-                windows = None
-                if mixed is None:
-                    windows = pa.nulls(len(head), pa.list_(pa.int64()))
-                else:
-                    long_form = mixed.may_hold(sym)
-                    rows = np.where(long_form, n, 0)
+                stretch = window_hash(words.hash, at, n + window - 1)
+                doc = piece.column(0).to_numpy()[of]
+                met, windows = np.ones(len(head), dtype=bool), pa.nulls(len(head), pa.list_(pa.int64()))
+                if again is not None:
+                    pair = _pair_key(sym, stretch)
+                    met, own = again.may_hold(pair), owners.may_hold(_owner_key(pair, doc))
+                    some = met | own
+                    sym, at, of, stretch, doc, n, met, own = (
+                        x[some] for x in (sym, at, of, stretch, doc, n, met, own))
+                    rows = np.where(own, n, 0)
                     each = np.repeat(at, rows) + np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
                     values = window_hash(words.hash, each, window).view(np.int64)
                     offs = np.concatenate([[0], np.cumsum(rows)]).astype(np.int32)
                     windows = pa.ListArray.from_arrays(pa.array(offs), pa.array(values))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(sym.view(np.int64)),
-                    pa.array(window_hash(words.hash, at, n + window - 1).view(np.int64)),
-                    piece.column(0).take(pa.array(of)), pa.array(_text_keys(words)[of]),
-                    pa.array((at - words.first[of]).astype(np.int32)), pa.array(n.astype(np.int32)), windows],
-                    schema=_ANCHORS)
+                    pa.array(sym.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(doc),
+                    pa.array(_text_keys(words)[of]), pa.array((at - words.first[of]).astype(np.int32)),
+                    pa.array(n.astype(np.int32)), pa.array(met), windows], schema=_ANCHORS)
     return task
 
 
+def _keys(batches):
+    for b in batches:
+        pair = _pair_key(b.column(0).to_numpy(), b.column(1).to_numpy())
+        owner = _owner_key(pair, b.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pair.view(np.int64)), pa.array(owner.view(np.int64)), b.column(3), b.column(4)],
+            names=["pair", "owner", "again", "mixed"])
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, text_key, ranges): windows whose words also start in a smaller document.
 
@@ -192,24 +215,28 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    symbols = materialize(
-        texts.mapInArrow(_anchor_rows(window, None, None), _ANCHORS_SQL)
-        .groupBy("symbol").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"),
-                               F.min("stretch").alias("one"), F.max("stretch").alias("other"))
-        .where("owner < last").select("symbol", "owner", (F.col("one") != F.col("other")).alias("mixed")),
-        "shared-symbols")
-    shared = Bitmap(symbols, "symbol")
-    mixed = Bitmap(symbols.where("mixed"), "symbol")
-    met = texts.mapInArrow(_anchor_rows(window, shared, mixed), _ANCHORS_SQL).join(symbols, "symbol")
+    stretches = (texts.mapInArrow(_anchor_rows(window), _ANCHORS_SQL)
+                 .groupBy("symbol", "stretch").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
+    stretches = materialize(stretches, "stretches")
+    symbols = (stretches.groupBy("symbol")
+               .agg(F.min("first").alias("lo"), F.max("last").alias("hi"),
+                    F.min("stretch").alias("one"), F.max("stretch").alias("other"))
+               .where("lo < hi").select("symbol", (F.col("one") != F.col("other")).alias("mixed")))
+    shared = materialize(stretches.join(symbols, "symbol")
+                         .select("symbol", "stretch", "first", (F.col("first") < F.col("last")).alias("again"), "mixed"),
+                         "shared-stretches")
+    keys = shared.mapInArrow(_keys, "pair long, owner long, again boolean, mixed boolean")
+    again, owners = Bitmap(keys.where("again"), "pair"), Bitmap(keys.where("mixed"), "owner")
     # written once: both branches below read it
-    met = materialize(met.where("mixed or doc > owner")
-                      .select("symbol", "doc", "text_key", "at", "n", "mixed",
-                              F.when(F.col("mixed"), F.col("windows")).alias("windows")), "shared-anchors")
-    whole = met.where("not mixed").select("doc", "text_key", "at", "n")
-    each = met.where("mixed").select("symbol", "doc", "text_key", "at", F.posexplode("windows").alias("step", "hash"))
-    owners = (each.groupBy("symbol", "hash").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
-              .where("owner < last").select("symbol", "hash", "owner"))
-    single = (each.join(owners, ["symbol", "hash"]).where("doc > owner")
+    met = materialize(texts.mapInArrow(_anchor_rows(window, again, owners), _ANCHORS_SQL), "shared-anchors")
+    whole = (met.where("again").select("symbol", "stretch", "doc", "text_key", "at", "n")
+             .join(shared.where("again").select("symbol", "stretch", "first"), ["symbol", "stretch"])
+             .where("doc > first").select("doc", "text_key", "at", "n"))
+    each = (met.where(F.size("windows") > 0)
+            .select("symbol", "doc", "text_key", "at", F.posexplode("windows").alias("step", "hash")))
+    firsts = materialize(each.groupBy("symbol", "hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                         .where("first < last").select("symbol", "hash", "first"), "shared-windows")
+    single = (each.join(firsts, ["symbol", "hash"]).where("doc > first")
               .select("doc", "text_key", (F.col("at") + F.col("step")).alias("at"), F.lit(1).alias("n")))
     return (whole.unionByName(single).groupBy("doc", "text_key")
             .agg(F.collect_set(F.struct("at", "n")).alias("ranges")))

@@ -1,6 +1,6 @@
 """Vectorised words of text columns, for use inside Arrow tasks.
 
-``chunks`` cuts a record batch into pieces of whole texts of a few MB, so the
+``chunks`` cuts a record batch into pieces of whole texts of about one MB, so the
 working memory of a task does not follow the size of Spark's batches.
 ``Words`` finds the words of such a piece with byte tables and names each by
 a 64-bit hash; nothing here keeps state between pieces.
@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _Q = _U(0x9E3779B97F4A7C15 | 3)          # odd multiplier of byte positions
@@ -34,22 +34,14 @@ ALNUM = byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base**i`` modulo 2**64 for i < n, kept and extended per process."""
-    have = _POWERS.get(int(base))
-    if have is None or len(have) < n:
-        size = max(n, 1 << 12)
-        have = np.empty(size, dtype=np.uint64)
-        have[0] = 1
-        if size > 1:
-            have[1:] = base
-            with np.errstate(over="ignore"):
-                np.cumprod(have, out=have)
-        _POWERS[int(base)] = have
-    return have[:n]
+    """``base**i`` modulo 2**64 for i < n (made anew: a table kept in a worker
+    would outlive the task that shipped this code)."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,3 +135,51 @@ def window_hash(names: np.ndarray, starts: np.ndarray, lengths) -> np.ndarray:
         np.cumsum(names * powers(_R, len(names)), out=total[1:])
         out = (total[starts + lengths] - total[starts]) * powers(_RINV, len(names) + 1)[starts]
         return mix(out + _U(1) * np.asarray(lengths, dtype=np.uint64))
+
+
+_BYTE2 = np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hashes of the byte spans ``data[start:end]``; ``second`` is independent of the first."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((_BYTE2 if second else _BYTE)[data] * powers(_Q, len(data)), out=total[1:])
+        out = (total[end] - total[start]) * powers(_QINV, len(data) + 1)[start]
+        return mix(out + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
+class Lines:
+    """Lines of a piece (cut at ``\\n``; a text without one is one line) and
+    their keys: stripped of ``[\\x20\\x09-\\x0D]``, A-Z lower-cased."""
+
+    def __init__(self, col: pa.Array):
+        offsets, raw = string_buffers(col)
+        self.data = data = _LOWER[raw]
+        breaks = np.flatnonzero(data == 0x0A)
+        text_of_break = np.searchsorted(offsets, breaks, side="right") - 1
+        self.counts = np.bincount(text_of_break, minlength=len(col)).astype(np.int64) + 1
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        start = np.empty(self.first[-1], dtype=np.int64)
+        end = np.empty(self.first[-1], dtype=np.int64)
+        inner = np.ones(len(start), dtype=bool)
+        inner[self.first[:-1]] = False
+        start[self.first[:-1]] = offsets[:-1]
+        start[inner] = breaks + 1
+        inner = np.ones(len(end), dtype=bool)
+        inner[self.first[1:] - 1] = False
+        end[self.first[1:] - 1] = offsets[1:]
+        end[inner] = breaks
+        solid = np.flatnonzero(SPACED[data])
+        padded = np.append(solid, len(data))
+        self.start = np.minimum(padded[np.searchsorted(solid, start)], end)
+        last = np.searchsorted(solid, end) - 1
+        self.end = np.maximum(np.where(last >= 0, padded[last] + 1, 0), self.start)
+        points = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+        #: code points of each key
+        self.length = points[self.end] - points[self.start]
+
+    def hashes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.start[some], self.end[some]
+        return span_hash(self.data, a, b), span_hash(self.data, a, b, second=True)
