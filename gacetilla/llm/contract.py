@@ -13,10 +13,17 @@ from pyspark.sql import functions as F
 from . import quality_rules
 from .decontaminate import contamination
 from .line_dedup import drop_lines
+from .pieces import round_trip
 from .repeats import remove_repeats
 from .tables import read, sha256_column
 
 
+def piece_model() -> str:
+    """The model's file, read on the driver alone."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op3_quality_rules(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return quality_rules.verdict(docs, quality_rules.cascade(docs)).select(
@@ -29,6 +36,11 @@ def op4_decontaminate(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_sentencepiece(spark, sf_dir):
+    return round_trip(read(spark, sf_dir, "documents"), piece_model()).select(
+        "doc_id", "n_tokens", "ids_sha256", sha256_column(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op8_line_dedup(spark, sf_dir):
     return drop_lines(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", sha256_column(F.col("text")).alias("kept_sha256"))
@@ -40,7 +52,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 
 def llm_queries():
-    return {f.__name__: f for f in (op3_quality_rules, op4_decontaminate, op8_line_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_decontaminate, op5_sentencepiece, op8_line_dedup, op9_substring_dedup)}
 
 
 def llm_sql():
