@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import quality_rules
 from .decontaminate import contamination
 from .line_dedup import drop_lines
+from .ngram_join import near_copies
 from .pieces import round_trip
 from .repeats import remove_repeats
 from .tables import read, sha256_column
@@ -24,6 +25,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return near_copies(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return quality_rules.verdict(docs, quality_rules.cascade(docs)).select(
@@ -52,7 +57,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 
 def llm_queries():
-    return {f.__name__: f for f in (op3_quality_rules, op4_decontaminate, op5_sentencepiece, op8_line_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece, op8_line_dedup, op9_substring_dedup)}
 
 
 def llm_sql():
