@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_classifier, quality_rules
 from .decontaminate import contamination
 from .line_dedup import drop_lines
 from .ngram_join import near_copies
@@ -56,6 +56,12 @@ def op9_substring_dedup(spark, sf_dir):
         "doc_id", "n_words", "n_removed", sha256_column(F.col("kept")).alias("kept_sha256"))
 
 
+def op10_quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, read(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, model)
+
+
 def llm_queries():
     return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece, op8_line_dedup, op9_substring_dedup)}
 
