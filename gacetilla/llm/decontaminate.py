@@ -114,53 +114,72 @@ def search_shard(names: np.ndarray, text_ends: np.ndarray, phrases: Phrases):
 _FOUND = "doc_id long, text_key long, n_words long, ranges array<struct<at:int,n:int>>, items array<string>"
 
 
+def _shard_spans(counts: np.ndarray, hashes: np.ndarray, phrases: Phrases):
+    """Merged hit spans (text, first word, words) and (text, item) pairs of a
+    shard of texts with ``counts`` words each."""
+    names = np.zeros(int(counts.sum()) + len(counts), dtype=np.uint64)
+    ends = np.cumsum(counts + 1) - 1  # one separator after every text
+    word = np.ones(len(names), dtype=bool)
+    word[ends] = False
+    names[word] = hashes
+    at, n, item = search_shard(names, ends, phrases)
+    edge = np.zeros(len(names) + 1, dtype=np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + n, -1)
+    hit = np.cumsum(edge[:-1]) > 0
+    turn = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    lo, hi = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    of = np.searchsorted(ends, lo)
+    pairs = np.stack([np.searchsorted(ends, at), item], axis=1).reshape(-1, 2)
+    return (of, lo - (ends - counts)[of], hi - lo), np.unique(pairs, axis=0)
+
+
+def _shards(batches, text: int, shard_words: int):
+    """Whole texts in groups of about ``shard_words`` words: (pieces, words of each piece)."""
+    held, size = [], 0
+    for batch in batches:
+        for piece in chunks(batch, batch.schema.names[text]):
+            words = Words(piece.column(text), ALNUM, lower=True)
+            held.append((piece, words))
+            size += len(words.hash)
+            if size >= shard_words:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _search(block, window: int, shard_words: int):
     def task(batches):
         phrases = block.value
-
-        def flush(held):
-            # one separator after every text
-            counts = np.concatenate([c for _, _, c, _ in held])
-            names = np.zeros(int(counts.sum()) + len(counts), dtype=np.uint64)
-            ends = np.cumsum(counts + 1) - 1
-            word = np.ones(len(names), dtype=bool)
-            word[ends] = False
-            names[word] = np.concatenate([h for _, _, _, h in held])
-            at, n, item = search_shard(names, ends, phrases)
-            text = np.searchsorted(ends, at)
-            begin = ends - counts
-            # merged removal spans of each text
-            edge = np.zeros(len(names) + 1, dtype=np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + n, -1)
-            hit = np.cumsum(edge[:-1]) > 0
-            turn = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-            lo, hi = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-            of = np.searchsorted(ends, lo)
-            spans = pa.StructArray.from_arrays(
-                [pa.array((lo - begin[of]).astype(np.int32)), pa.array((hi - lo).astype(np.int32))], names=["at", "n"])
-            offs = np.searchsorted(of, np.arange(len(counts) + 1)).astype(np.int32)
-            pair = np.unique(np.stack([text, item], axis=1), axis=0) if len(text) else np.zeros((0, 2), np.int64)
-            ids = pa.array([phrases.item_ids[k] for k in pair[:, 1]], pa.string())
-            ioffs = np.searchsorted(pair[:, 0], np.arange(len(counts) + 1)).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([d for d, _, _, _ in held]), pa.array(np.concatenate([k for _, k, _, _ in held])),
-                 pa.array(counts), pa.ListArray.from_arrays(pa.array(offs), spans),
-                 pa.ListArray.from_arrays(pa.array(ioffs), ids)],
+        for held in _shards(batches, 1, shard_words):
+            counts = np.concatenate([w.counts for _, w in held])
+            (of, at, n), pairs = _shard_spans(counts, np.concatenate([w.hash for _, w in held]), phrases)
+            texts = np.arange(len(counts) + 1)
+            spans = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                                               names=["at", "n"])
+            ids = pa.array([phrases.item_ids[k] for k in pairs[:, 1].tolist()], pa.string())
+            key = [window_hash(w.hash, w.first[:-1], w.counts).view(np.int64) for _, w in held]
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([p.column(0) for p, _ in held]), pa.array(np.concatenate(key)), pa.array(counts),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(of, texts).astype(np.int32)), spans),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[:, 0], texts).astype(np.int32)), ids)],
                 names=["doc_id", "text_key", "n_words", "ranges", "items"])
+    return task
 
-        held, size = [], 0
-        for batch in batches:
-            for piece in chunks(batch):
-                words = Words(piece.column(1), ALNUM, lower=True)
-                key = window_hash(words.hash, words.first[:-1], words.counts).view(np.int64)
-                held.append((piece.column(0), key, words.counts, words.hash))
-                size += len(words.hash)
-                if size >= shard_words:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
+
+def _clean(block, text: int, shard_words: int):
+    def task(batches):
+        phrases = block.value
+        for held in _shards(batches, text, shard_words):
+            counts = np.concatenate([w.counts for _, w in held])
+            (of, _, _), _ = _shard_spans(counts, np.concatenate([w.hash for _, w in held]), phrases)
+            clean = np.ones(len(counts), dtype=bool)
+            clean[of] = False
+            at = 0
+            for piece, _ in held:
+                yield piece.filter(pa.array(clean[at:at + len(piece)]))
+                at += len(piece)
     return task
 
 
@@ -194,23 +213,36 @@ def _digest(batches):
             names=["doc_id", "text_key", "n_words", "n_hit", "n_items", "items_sha256", "ranges", "items"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                  shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row per document: doc_id, text_key (of the word sequence), n_words,
-    n_hit, n_items, items_sha256, ranges (merged hit spans in words), items."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, window: int, block_words: int):
+    """Broadcast phrases of the benchmark, about ``block_words`` item words each."""
     items = (benchmark.select(F.col("item_id").cast("string").alias("item_id"),
                               F.col("text").cast("string").alias("text")).where("item_id is not null")
              .mapInArrow(_item_rows, "item_id string, words array<long>").where("size(words) > 0"))
     total = items.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_words))
-    parts = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow()
-        block = Phrases([(i, np.array(w, dtype=np.int64).view(np.uint64))
-                         for i, w in zip(rows["item_id"].to_pylist(), rows["words"].to_pylist())], window)
-        parts.append(texts.mapInArrow(_search(spark.sparkContext.broadcast(block), window, shard_words), _FOUND))
+        yield benchmark.sparkSession.sparkContext.broadcast(
+            Phrases([(i, np.array(w, dtype=np.int64).view(np.uint64))
+                     for i, w in zip(rows["item_id"].to_pylist(), rows["words"].to_pylist())], window))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                      shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text no window occurs."""
+    out = docs
+    for block in _blocks(benchmark, window, block_words):
+        out = out.mapInArrow(_clean(block, docs.columns.index("text"), shard_words), docs.schema)
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                  shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row per document: doc_id, text_key (of the word sequence), n_words,
+    n_hit, n_items, items_sha256, ranges (merged hit spans in words), items."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = [texts.mapInArrow(_search(block, window, shard_words), _FOUND)
+             for block in _blocks(benchmark, window, block_words)]
     return _merged(parts).mapInArrow(
         _digest, "doc_id long, text_key long, n_words long, n_hit long, n_items long, items_sha256 string, "
                  "ranges array<struct<at:int,n:int>>, items array<string>")
