@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules
+from . import quality_classifier, quality_rules, warc
 from .decontaminate import contamination
 from .line_dedup import drop_lines
 from .ngram_join import near_copies
@@ -46,6 +46,11 @@ def op5_sentencepiece(spark, sf_dir):
         "doc_id", "n_tokens", "ids_sha256", sha256_column(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op6_warc(spark, sf_dir):
+    archives = warc.write_archives(read(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read_archives(archives, with_payload=False).drop("payload", "url")
+
+
 def op8_line_dedup(spark, sf_dir):
     return drop_lines(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", sha256_column(F.col("text")).alias("kept_sha256"))
@@ -63,7 +68,7 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 def llm_queries():
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece, op8_line_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece, op6_warc, op8_line_dedup, op9_substring_dedup)}
 
 
 def llm_sql():

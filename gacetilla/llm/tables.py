@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize  # noqa: F401  (shared folder, re-read as Parquet)
+from ..session import checkpoint_dir, materialize  # noqa: F401  (shared folder, re-read as Parquet)
 
 #: bits of a key bitmap; its size never follows the data
 BITMAP_BITS = 26
