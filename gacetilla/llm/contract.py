@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules, warc
+from . import html_extract, quality_classifier, quality_rules, warc
 from .decontaminate import contamination
 from .line_dedup import drop_lines
 from .ngram_join import near_copies
@@ -25,6 +25,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html_extract.extract(read(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return near_copies(read(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 def llm_queries():
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece, op6_warc, op8_line_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece, op6_warc, op8_line_dedup, op9_substring_dedup)}
 
 
 def llm_sql():
