@@ -22,7 +22,8 @@ Edge cases: null and empty texts are one empty line, which stays.  Rows that
 repeat a ``doc_id`` are one document: they share what they own.  Rows with a
 null ``doc_id`` neither lose lines nor take any.  A line repeated inside one
 document is no repetition.  An empty table gives an empty result; extra
-columns are passed through by ``drop_lines``.
+columns are passed through by ``drop_lines`` (but for n_lines and n_dropped,
+which are its own).
 """
 
 from __future__ import annotations
@@ -226,6 +227,6 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
                     & (F.xxhash64(F.col("text").cast("string")) == F.col("__ld_key")), "left")
     return out.select(
         *[F.when(F.col("__ld_lines").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(kept)
-          .alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+          .alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.size(lines).cast("long").alias("n_lines"),
         F.when(F.col("__ld_lines").isNull(), 0).otherwise(F.size("__ld_lines")).cast("long").alias("n_dropped"))
