@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_extract, quality_classifier, quality_rules, warc
+from . import html_extract, licences, quality_classifier, quality_rules, warc
 from .decontaminate import contamination
 from .line_dedup import drop_lines
 from .ngram_join import near_copies
@@ -56,6 +56,12 @@ def op6_warc(spark, sf_dir):
     return warc.read_archives(archives, with_payload=False).drop("payload", "url")
 
 
+def op7_license_scan(spark, sf_dir):
+    """Documents as files of a tree; see ``licences.document_files``."""
+    files = licences.document_files(read(spark, sf_dir, "documents"))
+    return licences.scan(files).withColumnRenamed("id", "doc_id")
+
+
 def op8_line_dedup(spark, sf_dir):
     return drop_lines(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", sha256_column(F.col("text")).alias("kept_sha256"))
@@ -73,7 +79,7 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 def llm_queries():
-    return {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece, op6_warc, op8_line_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece, op6_warc, op7_license_scan, op8_line_dedup, op9_substring_dedup)}
 
 
 def llm_sql():
