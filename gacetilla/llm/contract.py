@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_extract, licences, quality_classifier, quality_rules, warc
+from . import html_extract, licences, oracle, quality_classifier, quality_rules, warc
 from .decontaminate import contamination
 from .line_dedup import drop_lines
 from .ngram_join import near_copies
@@ -83,4 +83,5 @@ def llm_queries():
 
 
 def llm_sql():
-    return {}
+    return {"op2_ngram_jaccard_join": oracle.OP2, "op3_quality_rules": oracle.OP3, "op4_decontaminate": oracle.OP4,
+            "op6_warc": oracle.OP6, "op8_line_dedup": oracle.OP8, "op9_substring_dedup": oracle.OP9}
