@@ -30,11 +30,20 @@ def truncate_chars(c, n: int = 50) -> Column:
 
 
 def number_text(c) -> Column:
-    """Shortest text of a double, whole numbers without a fraction
-    (``30`` not ``30.0``), as the reports print them."""
-    x = _col(c)
-    whole = (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
-    return F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+    """Shortest text of a double without an exponent, whole numbers without a
+    fraction (``30`` not ``30.0``, ``0.0005`` not ``5.0E-4``), as the reports
+    print them."""
+    parts = F.split(_col(c).cast("double").cast("string"), "E")
+    mantissa, exponent = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)).cast("int")
+    sign = F.when(mantissa.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(mantissa, "[-.]", "")  # one digit stands before the point
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    padded = F.rpad(digits, F.greatest(exponent + 1, F.length(digits)), "0")
+    large = F.concat(F.substring(padded, F.lit(1), exponent + 1), F.lit("."),
+                     F.substring(padded, exponent + 2, F.length(padded)))
+    plain = F.when(exponent.isNull(), mantissa).otherwise(
+        F.concat(sign, F.when(exponent < 0, small).otherwise(large)))
+    return F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 
 def text_or_empty(c) -> Column:

@@ -66,11 +66,6 @@ def make_error(kind, message=None) -> Column:
     return F.struct(k.alias("kind"), m.alias("message"))
 
 
-def error_name(err) -> Column:
-    """X12 short form: the kind only."""
-    return _col(err).getField("kind")
-
-
 def error_text(err) -> Column:
     """X12 long form: ``Kind(message)`` for kinds with a message, else ``Kind``."""
     e = _col(err)
@@ -102,13 +97,28 @@ def parse_error(c) -> Column:
              .otherwise(make_error("UnknownError", None)))
 
 
+# Characters that a debug-printed string shows by number: controls, format
+# characters, unassigned ones and separators other than the space; a combining
+# mark only where nothing stands before it.
+_SHOWN_BY_NUMBER = r"[\p{C}\p{Z}&&[^ ]]"
+_COMBINING = r"^[\p{Mn}\p{Me}]"
+
+
 def debug_escape(c) -> Column:
     """Escape text as a debug-printed string literal: backslash, double quote,
-    newline, carriage return and tab."""
+    the null, newline, carriage return and tab by name, other characters that
+    don't print as ``\\u{hex}``."""
     t = _col(c)
-    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\0", "\\0")):
         t = F.replace(t, F.lit(raw), F.lit(escaped))
-    return t
+
+    def shown(x: Column) -> Column:
+        return F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(x))), F.lit("}"))
+
+    by_char = F.array_join(F.transform(
+        F.regexp_extract_all(t, F.lit("(?s)."), 0),
+        lambda x, i: F.when(x.rlike(_SHOWN_BY_NUMBER) | ((i == 0) & x.rlike(_COMBINING)), shown(x)).otherwise(x)), "")
+    return F.when(t.rlike(_SHOWN_BY_NUMBER) | t.rlike(_COMBINING), by_char).otherwise(t)
 
 
 def option_debug(c) -> Column:

@@ -1,479 +1,260 @@
 """Article content: HTML cleaning per outlet (H1–H9) and the content fill
 join (J2).
 
-Cleaning is the one step that runs Python on the executors: a vectorised
-(Arrow-batched) pandas UDF over the ``(channel, html)`` columns of the pages
-that are actually needed.  ``fill_content`` first narrows the pages table to
-the links of the items being filled (a broadcast semi-join when the item set
-is bounded, as it is after top-k), so only those pages are parsed.
-
-The parser is the standard library ``html.parser`` tokenizer plus a small
-tree builder with the HTML parsing rules that matter for article pages:
-void elements, implied end of ``p`` before a block, implied end of ``li``,
-stray end tags ignored, and formatting elements (``b``, ``i``, ``strong``,
-``em`` …) reopened in the next block when a block closed them implicitly.
-The text rendering follows the plain-text conventions of the ranking's
-cleaner: ``# `` headings, ``**strong**``, ``*em*``, ``* `` list items,
-blocks separated by one blank line, one final newline, lines wrapped at
-1000 columns.
+Cleaning is a chain of built-in string and array functions, so it runs inside
+Spark's own operators: tags are tokens found by regular expressions, a page is
+cut into segments at its block tags, outlet rules choose segments, and the
+chosen ones are rendered (``# `` headings, ``**strong**``, ``*em*``, ``* ``
+list items, blocks separated by one blank line, lines wrapped at 1000
+characters, one final newline).  The patterns keep to what both Java's and
+DuckDB's engines know; ``gacetilla.plans.oracle`` builds its SQL from the same
+fixed lists.
+
+Unclosed tags: a paragraph ends at the next block tag, a region at its end
+tag or the end of the page, and bold or italic text that a block leaves open
+goes on in the next one.  Nested bold counts once.  Ordered lists are printed
+like unordered ones, an ``article`` inside an ``article`` ends both, and of the
+character references the numeric ones stay as written.
 """
 
 from __future__ import annotations
 
-import sys
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.items import channel_type, make_error
 from ..schema import ERROR_TYPE
 
-CLEAN_TYPE = T.StructType([
-    T.StructField("clean_content", T.StringType(), True),
-    T.StructField("error_kind", T.StringType(), True),
-    T.StructField("error_message", T.StringType(), True),
-])
-
 WRAP_WIDTH = 1000
 
-# HTML element classes used by the tree builder and renderer.
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
-        "source", "track", "wbr"}
-FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike",
-              "strong", "tt", "u"}
-CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir",
-            "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
-            "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p",
-            "pre", "section", "summary", "table", "ul", "dd", "dt"}
-BLOCKS = CLOSES_P | {"html", "body", "tr", "td", "th", "caption", "tbody", "thead", "tfoot"}
-SKIPPED = {"head", "script", "style", "title", "template", "noscript", "iframe", "svg", "object"}
-HEAD_TAGS = {"head", "title", "meta", "link", "style", "script", "base", "noscript"}
-HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
-STRONG = {"b", "strong"}
-EMPH = {"i", "em"}
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "block_inside")
-
-    def __init__(self, tag, attrs=None, parent=None):
-        self.tag = tag
-        self.attrs = dict(attrs or [])
-        self.children = []
-        self.parent = parent
-        self.block_inside = None  # memo of _Renderer.has_block
-
-    def iter(self):
-        """Descendants in document order (not the node itself)."""
-        stack = list(reversed(self.children))
-        while stack:
-            n = stack.pop()
-            if isinstance(n, Node):
-                yield n
-                stack.extend(reversed(n.children))
-
-    def find_all(self, tag):
-        return [n for n in self.iter() if n.tag == tag]
-
-    def find_first(self, tag):
-        for n in self.iter():
-            if n.tag == tag:
-                return n
-        return None
-
-
-class _TreeBuilder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#document")
-        self.stack = [self.root]
-        self.active = []  # open formatting elements, oldest first
-
-        self.body = None
-
-    def _current(self):
-        return self.stack[-1]
-
-    def _in_head(self):
-        return any(n.tag == "head" for n in self.stack)
-
-    def _open_body(self):
-        """Content outside ``head`` starts the body when none was written."""
-        if self.body is not None:
-            return
-        while len(self.stack) > 1 and self.stack[-1].tag != "html":
-            self.stack.pop()
-        self.body = self._insert("body", [])
-        self.stack.append(self.body)
-
-    def _insert(self, tag, attrs):
-        node = Node(tag, attrs, self._current())
-        self._current().children.append(node)
-        return node
-
-    def _reconstruct(self):
-        for i, node in enumerate(self.active):
-            if node in self.stack:
-                continue
-            clone = self._insert(node.tag, node.attrs.items())
-            self.stack.append(clone)
-            self.active[i] = clone
-
-    def _close_p(self):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == "p":
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in BLOCKS - {"p"} and self.stack[i].tag not in ("html", "body"):
-                return
-
-    def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P:
-            self._close_p()
-        if tag == "li":
-            for i in range(len(self.stack) - 1, 0, -1):
-                t = self.stack[i].tag
-                if t == "li":
-                    del self.stack[i:]
-                    break
-                if t in ("ul", "ol"):
-                    break
-        if tag == "html":
-            existing = self.root.find_first("html")
-            if existing is not None:
-                existing.attrs.update(dict(attrs))
-                return
-        elif tag == "body":
-            if self.body is not None:
-                self.body.attrs.update(dict(attrs))
-                return
-            while len(self.stack) > 1 and self.stack[-1].tag != "html":
-                self.stack.pop()
-            self.body = self._insert("body", attrs)
-            self.stack.append(self.body)
-            return
-        elif tag not in HEAD_TAGS and not self._in_head():
-            self._open_body()
-        if tag not in BLOCKS and tag not in SKIPPED:
-            self._reconstruct()
-        node = self._insert(tag, attrs)
-        if tag in VOID:
-            return
-        self.stack.append(node)
-        if tag in FORMATTING:
-            self.active.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack and self.stack[-1].tag == tag:
-            self.stack.pop()
-            if self.active and self.active[-1].tag == tag:
-                self.active.pop()
-
-    def handle_endtag(self, tag):
-        if tag in FORMATTING:
-            for i in range(len(self.active) - 1, -1, -1):
-                if self.active[i].tag == tag:
-                    node = self.active.pop(i)
-                    if node in self.stack:
-                        del self.stack[self.stack.index(node):]
-                    return
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-        # stray end tag: ignored
-
-    def handle_data(self, data):
-        if not data:
-            return
-        if data.strip() and self.body is None and not self._in_head():
-            self._open_body()
-        cur = self._current()
-        if cur.tag not in SKIPPED and data.strip():
-            self._reconstruct()
-            cur = self._current()
-        cur.children.append(data)
-
-
-def parse_html(html: str) -> Node:
-    b = _TreeBuilder()
-    last = html.rfind("<")
-    if last >= 0 and html.find(">", last) < 0 and last + 1 < len(html) and \
-            (html[last + 1].isalpha() or html[last + 1] in "/!?"):
-        html = html[:last]  # a tag cut off by the end of input is dropped
-    b.feed(html)
-    b.close()
-    return b.root
-
-
-# ---- rendering ------------------------------------------------------------
-
-def _collapse(s: str) -> str:
-    return " ".join(s.split())
-
-
-def _marked(inner: str, mark: str) -> str:
-    """Wrap the text of an emphasis in its marks, white space kept outside."""
-    core = inner.strip()
-    if not core:
-        return inner
-    lead = inner[:len(inner) - len(inner.lstrip())]
-    trail = inner[len(inner.rstrip()):]
-    return f"{lead}{mark}{core}{mark}{trail}"
-
-
-class _Renderer:
-    def __init__(self):
-        self.blocks = []   # finished blocks (list of lines)
-        self.inline = []   # pieces of the current anonymous block
-
-    def flush(self, prefix_first="", prefix_rest=""):
-        text = "".join(self.inline)
-        self.inline = []
-        lines = [_collapse(x) for x in text.split("\n")]
-        lines = [x for x in lines if x]
-        if lines:
-            self.blocks.append([prefix_first + lines[0]] + [prefix_rest + x for x in lines[1:]])
-
-    def inline_text(self, node) -> str:
-        out = []
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif c.tag in SKIPPED:
-                continue
-            elif c.tag == "br":
-                out.append("\n")
-            elif c.tag in STRONG:
-                out.append(_marked(self.inline_text(c), "**"))
-            elif c.tag in EMPH:
-                out.append(_marked(self.inline_text(c), "*"))
-            else:
-                out.append(self.inline_text(c))
-        return "".join(out)
-
-    def has_block(self, node) -> bool:
-        if node.block_inside is None:
-            node.block_inside = any(c.tag in BLOCKS or self.has_block(c) for c in node.children
-                                    if isinstance(c, Node) and c.tag not in SKIPPED)
-        return node.block_inside
-
-    def render(self, node):
-        for c in node.children:
-            if isinstance(c, str):
-                self.inline.append(c)
-                continue
-            tag = c.tag
-            if tag in SKIPPED:
-                continue
-            if tag == "br":
-                self.inline.append("\n")
-            elif tag in HEADINGS:
-                self.flush()
-                self.inline.append(self.inline_text(c))
-                self.flush("#" * HEADINGS[tag] + " ")
-            elif tag in ("ul", "ol"):
-                self.flush()
-                items = []
-                n = 0
-                for li in c.children:
-                    if isinstance(li, Node) and li.tag == "li":
-                        n += 1
-                        text = _collapse(self.inline_text(li).replace("\n", " "))
-                        mark = "* " if tag == "ul" else f"{n}. "
-                        items.append(mark + text)
-                if items:
-                    self.blocks.append(items)
-            elif tag in BLOCKS:
-                self.flush()
-                if self.has_block(c):
-                    self.render(c)
-                    self.flush()
-                else:
-                    self.inline.append(self.inline_text(c))
-                    self.flush()
-            elif not self.has_block(c):
-                if tag in STRONG or tag in EMPH:
-                    self.inline.append(_marked(self.inline_text(c), "**" if tag in STRONG else "*"))
-                else:
-                    self.inline.append(self.inline_text(c))
-            else:
-                self.render(c)
-
-
-def _wrap(line: str, width: int) -> list[str]:
-    if len(line) <= width:
-        return [line]
-    out, cur = [], ""
-    for word in line.split(" "):
-        if cur and len(cur) + 1 + len(word) > width:
-            out.append(cur)
-            cur = word
-        else:
-            cur = f"{cur} {word}" if cur else word
-    if cur:
-        out.append(cur)
-    return out
-
-
-def render_text(nodes, width: int = WRAP_WIDTH) -> str:
-    r = _Renderer()
-    holder = Node("#fragment")
-    holder.children = list(nodes)
-    r.render(holder)
-    r.flush()
-    blocks = ["\n".join(w for line in b for w in _wrap(line, width)) for b in r.blocks]
-    return "\n\n".join(blocks) + "\n" if blocks else ""
-
-
-# ---- region per outlet ----------------------------------------------------
-
-def select_region(outlet: str, doc: Node) -> list:
-    """H2–H6: the nodes whose text is the article, per outlet."""
-    if outlet == "ElPais":
-        article = doc.find_first("article")
-        out = []
-        if article is not None:
-            for div in article.find_all("div"):
-                if div.attrs.get("data-dtm-region") == "articulo_cuerpo":
-                    out.extend(div.find_all("p"))
-        return out
-    if outlet == "VeinteMinutos":
-        article = doc.find_first("article")
-        return article.find_all("p") if article is not None else []
-    if outlet == "ElDiario":
-        main = doc.find_first("main")
-        if main is not None:
-            return [p for p in main.find_all("p") if p.attrs.get("class") == "article-text"]
-        body = doc.find_first("body")
-        return [body] if body is not None else []
-    if outlet == "ElMundo":
-        article = doc.find_first("article")
-        if article is not None:
-            return article.find_all("p")
-        body = doc.find_first("body")
-        return [body] if body is not None else []
-    body = doc.find_first("body")
-    return [body] if body is not None else []
-
-
-def outlet_of(channel: str) -> str:
-    up = (channel or "").upper()
-    for marker, name in (("EL PAÍS", "ElPais"), ("20MINUTOS", "VeinteMinutos"),
-                         ("ELDIARIO.ES", "ElDiario"), ("ELMUNDO", "ElMundo")):
-        if marker in up:
-            return name
-    return "Other"
-
-
-def clean_content(channel: str, html) -> tuple:
-    """(text, error_kind, error_message) for one page.  Empty html is an
-    ``EmptyString`` error; a missing html body a ``ParsingError``."""
-    if html is None:
-        return None, "ParsingError", "page body could not be decoded"
-    if html == "":
-        return None, "EmptyString", None
-    if sys.getrecursionlimit() < 20000:
-        sys.setrecursionlimit(20000)  # deeply nested pages are walked recursively
-    try:
-        doc = parse_html(html)
-        text = render_text(select_region(outlet_of(channel), doc))
-    except Exception as exc:  # a page the cleaner cannot render
-        return None, "ParsingError", str(exc)
-    return text, None, None
-
-
-@F.pandas_udf(CLEAN_TYPE)
-def clean_content_udf(channel: pd.Series, html: pd.Series) -> pd.DataFrame:
-    rows = [clean_content(c, h) for c, h in zip(channel, html)]
-    return pd.DataFrame(rows, columns=["clean_content", "error_kind", "error_message"])
+# Elements whose text is no content, block elements, and the
+# outlet's article region.
+SKIPPED = ["script", "style", "noscript", "template", "iframe", "svg", "object", "title", "head"]
+BLOCK_TAGS = ("address|article|aside|blockquote|body|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|"
+              "figure|footer|form|h1|h2|h3|h4|h5|h6|header|hgroup|hr|html|li|main|menu|nav|ol|p|pre|section|summary|"
+              "table|tbody|td|tfoot|th|thead|tr|ul")
+REGION_ATTRIBUTE = "data-dtm-region=\"articulo_cuerpo\""
+PARAGRAPH_CLASS = "article-text"
 
+# Character references by name.
+REFERENCES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "copy": "©", "reg": "®",
+    "middot": "·", "hellip": "…", "mdash": "—", "ndash": "–", "laquo": "«", "raquo": "»", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "euro": "€", "iquest": "¿", "iexcl": "¡", "ordm": "º", "ordf": "ª",
+    "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "uuml": "ü",
+    "Aacute": "Á", "Eacute": "É", "Iacute": "Í", "Oacute": "Ó", "Uacute": "Ú", "Ntilde": "Ñ", "Uuml": "Ü",
+    "amp": "&",
+}
 
-def clean_pages(pages: DataFrame, channel_col: str = "channel", html_col: str = "html") -> DataFrame:
-    """Pages with ``clean`` = STRUCT<clean_content, error_kind, error_message>."""
-    return pages.withColumn("clean", clean_content_udf(F.col(channel_col), F.col(html_col)))
+# Marks inside the working text.
+BLOCK, BOLD, BOLD_END, EM, EM_END, LINE = (chr(i) for i in range(1, 7))
+
+_ATTRS = r"(\s[^>]*)?"
+
+#: page → tags and text alone; ``\1`` in a replacement is the first group
+PREPARE = [(r"[\x01-\x06]", ""), (r"(?s)<!--.*?-->", "")] + [
+    (rf"(?is)<{t}{_ATTRS}>.*?</{t}\s*>", "") for t in SKIPPED] + [
+    (r"<[^>]*\z", ""), (r"[ \t\n\r\f]+", " ")]
+
+#: a mark before every block tag
+SEGMENT = (rf"(?i)(</?({BLOCK_TAGS}){_ATTRS}/?>)", BLOCK + r"\1")
+PARAGRAPH = r"(?i)^<p[\s>/]"
+CLASSED_PARAGRAPH = rf"(?i)^<p\s([^>]*\s)?class=(\"{PARAGRAPH_CLASS}\"|'{PARAGRAPH_CLASS}'|{PARAGRAPH_CLASS}[\s>])"
+
+
+def region_pattern(tag: str) -> str:
+    return rf"(?is)<{tag}{_ATTRS}>.*?(</{tag}\s*>|\z)"
+
+
+#: chosen segments → blocks and lines
+RENDER = ([(rf"(?i)<(strong|b){_ATTRS}>", BOLD), (r"(?i)</(strong|b)\s*>", BOLD_END),
+           (rf"(?i)<(em|i){_ATTRS}>", EM), (r"(?i)</(em|i)\s*>", EM_END)]
+          + [(rf"(?i)<h{n}{_ATTRS}>", BLOCK + "#" * n + " ") for n in range(1, 7)]
+          + [(rf"(?i)<li{_ATTRS}>", LINE + "* "), (r"(?i)</li\s*>", LINE), (rf"(?i)<br{_ATTRS}/?>", LINE),
+             (rf"(?i)</?({BLOCK_TAGS}){_ATTRS}/?>", BLOCK), (r"<[a-zA-Z/!?][^>]*>", ""),
+             (r"(\x06\* )[ \x01]+", r"\1")])
+
+#: one block with its open marks → text with lines still marked
+EMPHASIS = ([(r"\x02([^\x02\x03]*)\x02", "\x02" + r"\1")] * 3 + [(r"\x04([^\x04\x05]*)\x04", "\x04" + r"\1")] * 3
+            + [(r"\x02[ \x06]*\x03", " "), (r"\x04[ \x06]*\x05", " "),
+               (r"\x02([ \x06]*)", r"\1**"), (r"([ \x06]*)\x03", r"**\1"),
+               (r"\x04([ \x06]*)", r"\1*"), (r"([ \x06]*)\x05", r"*\1")])
+
+#: where a block's text starts, behind a heading's or list item's sign
+TEXT_START = r"^([ \x06]*(#{1,6} |\* )?)"
+
+
+def _replace(c: Column, steps) -> Column:
+    for pattern, by in steps:
+        c = F.regexp_replace(c, pattern, by.replace("$", r"\$").replace(r"\1", "$1"))
+    return c
+
+
+def _count(c: Column, mark: str) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _carried(blocks: Column, start: str, end: str) -> Column:
+    """The blocks, with an emphasis that one leaves open closed at its end and
+    opened again in the next."""
+    open_after = F.aggregate(
+        blocks, F.array(F.lit(0)),
+        lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + _count(b, start) - _count(b, end))))
+    return _bind(open_after, lambda n: F.transform(blocks, lambda b, i: F.concat(
+        F.when(F.get(n, i) > 0, F.regexp_replace(b, TEXT_START, "$1" + start)).otherwise(b),
+        F.when(F.get(n, i + 1) > 0, F.lit(end)).otherwise(F.lit("")))))
+
+
+def render(fragment: Column) -> Column:
+    """H7: text of a cleaned fragment; ``''`` when it has none."""
+    text = _replace(fragment, RENDER)
+    for name, char in REFERENCES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+
+    def line(x: Column) -> Column:
+        x = F.trim(F.regexp_replace(x, " +", " "))
+        # filled up to the width at spaces, longer words as they are
+        return F.regexp_replace(F.regexp_replace(x, f"(.{{1,{WRAP_WIDTH}}})( |$)", "$1\n"), "\n$", "")
 
+    def block(x: Column) -> Column:
+        lines = F.filter(F.transform(F.split(_replace(x, EMPHASIS), LINE), line), lambda y: y != "")
+        return F.array_join(lines, "\n")
 
-def region_kind(channel, html) -> F.Column:
-    """Which region the cleaner takes for a page (JVM-side, for reports and
-    checks): ``article-p``, ``article-region``, ``main-p``, ``body`` or ``none``."""
-    outlet = channel_type(channel)
-    has = lambda tag: F.lower(html).contains(f"<{tag}")
-    return (F.when(html.isNull() | (html == ""), F.lit("none"))
-             .when(outlet == "ElPais", F.when(has("article"), F.lit("article-region")).otherwise(F.lit("none")))
-             .when(outlet == "VeinteMinutos", F.when(has("article"), F.lit("article-p")).otherwise(F.lit("none")))
-             .when(outlet == "ElDiario", F.when(has("main"), F.lit("main-p")).otherwise(F.lit("body")))
-             .when(outlet == "ElMundo", F.when(has("article"), F.lit("article-p")).otherwise(F.lit("body")))
-             .otherwise(F.lit("body")))
+    def page(blocks: Column) -> Column:
+        done = F.filter(F.transform(blocks, block), lambda x: x != "")
+        return _bind(done, lambda x: F.when(F.size(x) == 0, F.lit("")).otherwise(
+            F.concat(F.array_join(x, "\n\n"), F.lit("\n"))))
 
+    # blocks of white space alone would only carry marks
+    solid = F.filter(F.split(text, BLOCK), lambda x: F.regexp_replace(x, r"[ \x06]", "") != "")
+    return _bind(solid, lambda b: _bind(_carried(b, BOLD, BOLD_END), lambda c: _bind(_carried(c, EM, EM_END), page)))
 
-MAX_BROADCAST_ITEMS = 100_000
-# Up to this many links (a known bound, e.g. a top-k) become a literal IN
-# filter on the page store, which the Parquet reader can use to skip data.
-MAX_INLIST_LINKS = 10_000
+
+def _region(prepared: Column, tag: str) -> Column:
+    return F.regexp_extract(prepared, region_pattern(tag), 0)
+
+
+def _segments(region: Column) -> Column:
+    return F.split(_replace(region, [SEGMENT]), BLOCK)
+
+
+def _paragraphs(region: Column, pattern: str = PARAGRAPH) -> Column:
+    return F.array_join(F.filter(_segments(region), lambda s: s.rlike(pattern)), "")
+
+
+def _region_paragraphs(article: Column) -> Column:
+    """H2: the paragraphs of every marked ``div``, again for each one that
+    stands in another: a walk over the segments with the depths of open ones."""
+    state = "struct<depth:int,seen:int,open:array<struct<depth:int,start:int>>,out:array<string>>"
+
+    def step(a: Column, s: Column) -> Column:
+        depth, seen, opened, out = (a.getField(x) for x in ("depth", "seen", "open", "out"))
+        starts, ends = s.rlike(r"(?i)^<div[\s>]"), s.rlike(r"(?i)^</div")
+        marked = starts & s.contains(REGION_ATTRIBUTE)
+        closes = ends & F.coalesce(F.try_element_at(opened, F.lit(-1)).getField("depth") == depth - 1, F.lit(False))
+        # a paragraph is kept once for each open region, under the region's start
+        kept = F.transform(opened, lambda r: F.concat(
+            F.lpad(r.getField("start").cast("string"), 9, "0"), F.lpad(seen.cast("string"), 9, "0"), s))
+        return F.struct(
+            (depth + F.when(starts, 1).when(ends, -1).otherwise(0)).alias("depth"), (seen + 1).alias("seen"),
+            F.when(marked, F.concat(opened, F.array(F.struct(depth.alias("depth"), seen.alias("start")))))
+             .when(closes, F.slice(opened, 1, F.greatest(F.size(opened) - 1, F.lit(0)))).otherwise(opened).alias("open"),
+            F.when(s.rlike(PARAGRAPH), F.concat(out, kept)).otherwise(out).alias("out")).cast(state)
+
+    first = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"),
+                     F.array().cast("array<struct<depth:int,start:int>>").alias("open"),
+                     F.array().cast("array<string>").alias("out")).cast(state)
+    walked = F.sort_array(F.aggregate(_segments(article), first, step).getField("out"))
+    return F.array_join(F.transform(walked, lambda x: F.substring(x, 19, 1 << 30)), "")
+
+
+def clean_page(channel, html) -> Column:
+    """STRUCT<clean_content, error_kind, error_message, region> of a page:
+    empty html is an ``EmptyString`` error, a missing body a ``ParsingError``.
+    ``region`` names the part that was taken, or ``none``."""
+    html = F.col(html) if isinstance(html, str) else html
+    channel = F.col(channel) if isinstance(channel, str) else channel
+
+    def taken(region: str, text: Column) -> Column:
+        return F.struct(render(text).alias("clean_content"), F.lit(None).cast("string").alias("error_kind"),
+                        F.lit(None).cast("string").alias("error_message"), F.lit(region).alias("region"))
+
+    def failed(kind: str, message: str | None) -> Column:
+        return F.struct(F.lit(None).cast("string").alias("clean_content"), F.lit(kind).alias("error_kind"),
+                        F.lit(message).cast("string").alias("error_message"), F.lit("none").alias("region"))
+
+    def page(prepared: Column) -> Column:
+        def regions(both: Column) -> Column:
+            article, main, outlet = both.getField("article"), both.getField("main"), channel_type(channel)
+            nothing = taken("none", F.lit(""))
+            return (F.when(outlet == "ElPais", F.when(article == "", nothing)
+                           .otherwise(taken("article-region", _region_paragraphs(article))))
+                    .when(outlet == "VeinteMinutos", F.when(article == "", nothing)
+                          .otherwise(taken("article-p", _paragraphs(article))))
+                    .when((outlet == "ElDiario") & (main != ""), taken("main-p", _paragraphs(main, CLASSED_PARAGRAPH)))
+                    .when((outlet == "ElMundo") & (article != ""), taken("article-p", _paragraphs(article)))
+                    .otherwise(taken("body", prepared)))
+
+        return _bind(F.struct(_region(prepared, "article").alias("article"), _region(prepared, "main").alias("main")),
+                     regions)
+
+    return (F.when(html.isNull(), failed("ParsingError", "page body could not be decoded"))
+            .when(html == "", failed("EmptyString", None))
+            .otherwise(_bind(_replace(html, PREPARE), page)))
+
+
+def clean_pages(pages: DataFrame, channel_col: str = "channel", html_col: str = "html") -> DataFrame:
+    """Pages with ``clean``, see ``clean_page``."""
+    return pages.withColumn("clean", clean_page(channel_col, html_col))
+
+
+def _taken_pages(links: DataFrame, pages: DataFrame, url_col: str, html_col: str, page_key: str | None) -> DataFrame:
+    """(url, _html) of one page per wanted url: the first by page key (else the
+    smallest body).  The links cut the page table first, the choice is made on
+    narrow rows, and a body is read only for the chosen page."""
+    needed = pages.join(links, url_col, "left_semi")
+    if page_key is None:
+        return needed.groupBy(url_col).agg(F.min(html_col).alias("_html"))
+    first = needed.select(url_col, page_key).groupBy(url_col).agg(F.min(page_key).alias(page_key))
+    return needed.join(first, [url_col, page_key], "left_semi").select(url_col, F.col(html_col).alias("_html"))
 
 
 def fill_content(items: DataFrame, pages: DataFrame, url_col: str = "url", html_col: str = "html",
-                 page_key: str | None = None, bounded: int | None = None,
-                 clean: bool = True) -> DataFrame:
+                 page_key: str | None = None, clean: bool = True) -> DataFrame:
     """Fill ``clean_content`` / ``error`` of items from landed pages.
 
     * no page for the link → ``NetworkError``;
     * page body null → ``ParsingError``; body '' → ``EmptyString``;
     * cleaned text empty → ``NoContent``; otherwise the text.
 
+    An item that carries an error keeps it unless one of these replaces it.
+    ``page_key`` (unique per page) chooses among pages of one url.
     ``clean=False`` takes the landed body as text (an already-extracted
-    article store).  ``bounded`` is a known upper bound of the item count
-    (e.g. the k of a preceding top-k): within ``MAX_BROADCAST_ITEMS`` the
-    item links are broadcast to cut the pages table before any page is
-    parsed.
+    article store).
     """
     links = items.select(F.col("link").alias(url_col)).distinct()
-    order_col = page_key or html_col
-    # one page per url: the first by page key (else the smallest body)
-    if bounded is not None and bounded <= MAX_INLIST_LINKS:
-        # a top-k's links (at most ``bounded``, a few hundred): an IN filter
-        # the Parquet reader can use to skip row groups of the page store
-        wanted = [r[0] for r in links.where(F.col(url_col).isNotNull()).collect()]
-        needed = pages.where(F.col(url_col).isin(wanted))
-        one = needed.groupBy(url_col).agg(F.min_by(F.col(html_col), F.col(order_col)).alias("_html"))
-    elif bounded is not None and bounded <= MAX_BROADCAST_ITEMS:
-        # few links: cut the pages where they lie, then de-duplicate the few
-        needed = pages.join(F.broadcast(links), url_col, "left_semi")
-        one = needed.groupBy(url_col).agg(F.min_by(F.col(html_col), F.col(order_col)).alias("_html"))
-    else:
-        # many links: de-duplicate first (partial aggregation collapses a url
-        # landed many times before the shuffle), then the join on unique urls
-        one = (pages.groupBy(url_col).agg(F.min_by(F.col(html_col), F.col(order_col)).alias("_html"))
-                    .join(links, url_col, "left_semi"))
-    channels = items.select(F.col("link").alias(url_col), F.col("channel").alias("_channel")).distinct()
-    with_channel = one.join(channels, url_col, "inner")
+    one = _taken_pages(links, pages, url_col, html_col, page_key).withColumnRenamed(url_col, "_url")
+    joined = items.join(one.withColumn("_landed", F.lit(True)), F.col("link") == F.col("_url"), "left")
+    body = F.col("_html")
     if clean:
-        cleaned = clean_pages(with_channel, "_channel", "_html")
+        filled = clean_page("channel", "_html")
     else:
-        body = F.col("_html")
-        cleaned = with_channel.withColumn("clean", F.struct(
-            F.when(body.isNull() | (body == ""), F.lit(None).cast("string")).otherwise(body).alias("clean_content"),
-            F.when(body.isNull(), F.lit("ParsingError")).when(body == "", F.lit("EmptyString"))
-             .otherwise(F.lit(None).cast("string")).alias("error_kind"),
-            F.when(body.isNull(), F.lit("page body could not be decoded"))
-             .otherwise(F.lit(None).cast("string")).alias("error_message")))
-    cleaned = cleaned.select(F.col(url_col).alias("_url"), "_channel", "clean")
-    joined = items.join(cleaned, (items.link == F.col("_url")) & (items.channel == F.col("_channel")), "left")
-    kind = F.col("clean.error_kind")
-    text = F.col("clean.clean_content")
-    missing = F.col("_url").isNull()
-    error = (F.when(missing, make_error(F.lit("NetworkError"),
-                                        F.concat(F.lit("no landed page for "), items.link)))
-              .when(kind.isNotNull(), make_error(kind, F.col("clean.error_message")))
-              .when(text == "", make_error("NoContent"))
-              .otherwise(F.lit(None).cast(ERROR_TYPE)))
+        filled = F.struct(
+            F.when(body != "", body).alias("clean_content"),
+            F.when(body.isNull(), F.lit("ParsingError")).when(body == "", F.lit("EmptyString")).alias("error_kind"),
+            F.when(body.isNull(), F.lit("page body could not be decoded")).alias("error_message"))
+    joined = joined.withColumn("_clean", F.when(F.col("_landed"), filled))
+    kind, text = F.col("_clean.error_kind"), F.col("_clean.clean_content")
+    missing = F.col("_landed").isNull()
+    error = (F.when(missing, make_error(F.lit("NetworkError"), F.concat(F.lit("no landed page for "), F.col("link"))))
+             .when(kind.isNotNull(), make_error(kind, F.col("_clean.error_message")))
+             .when(text == "", make_error("NoContent"))
+             .otherwise(F.col("error") if "error" in items.columns else F.lit(None).cast(ERROR_TYPE)))
     content = F.when(missing | kind.isNotNull() | (text == ""), F.lit(None).cast("string")).otherwise(text)
-    out = [content.alias(c) if c == "clean_content" else error.alias(c) if c == "error" else items[c]
-           for c in items.columns]
-    return joined.select(*out)
+    return joined.select(*[content.alias(c) if c == "clean_content" else error.alias(c) if c == "error" else F.col(c)
+                           for c in items.columns])

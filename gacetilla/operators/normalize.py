@@ -11,8 +11,13 @@ from ..schema import ERROR_TYPE
 REQUIRED = ["title", "link", "description"]
 
 
+def _given(name: str):
+    """A required field with a text; an empty element counts as absent."""
+    return F.col(name).isNotNull() & (F.col(name) != "")
+
+
 def _required_ok():
-    return F.col("title").isNotNull() & F.col("link").isNotNull() & F.col("description").isNotNull()
+    return _given("title") & _given("link") & _given("description")
 
 
 def normalise(raw: DataFrame, key: str = "item_id", channel_col: str = "channel_title",
@@ -42,8 +47,8 @@ def normalise(raw: DataFrame, key: str = "item_id", channel_col: str = "channel_
 
 def rejected(raw: DataFrame, key: str = "item_id", channel_col: str = "channel_title") -> DataFrame:
     """Side output of P2: items that miss a required field, with the reason."""
-    reason = (F.when(F.col("title").isNull(), F.lit("No title"))
-               .when(F.col("link").isNull(), F.lit("No link"))
+    reason = (F.when(~_given("title"), F.lit("No title"))
+               .when(~_given("link"), F.lit("No link"))
                .otherwise(F.lit("No description")))
     return raw.where(~_required_ok()).select(F.col(key).alias("item_id"),
                                              F.col(channel_col).alias("channel"),

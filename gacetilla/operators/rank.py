@@ -16,13 +16,6 @@ from ..session import materialize
 from .scoring import score_breakdown
 from .similarity import DICE_THRESHOLD
 
-# Above this k the top rows are joined back without a broadcast hint.
-MAX_BROADCAST_TOP_K = 100_000
-# Up to this k the winners' keys also become an IN filter on the item scan,
-# which the Parquet reader can use to skip row groups.
-MAX_INLIST_TOP_K = 10_000
-
-
 def relevance_order(key: str = "item_id") -> list[Column]:
     """Relevance descending (null last), then link, then key."""
     return [F.col("relevance").desc_nulls_last(), F.col("link").asc_nulls_last(), F.col(key).asc()]
@@ -36,25 +29,10 @@ def composite_order(key: str = "item_id", errors_last: bool = False) -> list[Col
             F.col("link").asc_nulls_last(), F.col(key).asc()]
 
 
-def top_k_by_relevance(items: DataFrame, k: int, key: str = "item_id") -> DataFrame:
-    """T1 + limit: the k items with the highest ``relevance``."""
-    return items.orderBy(*relevance_order(key)).limit(k)
-
-
-def _join_back(items: DataFrame, top: DataFrame, k: int, key: str) -> DataFrame:
-    """Full rows of the selected keys.
-
-    Up to ``MAX_INLIST_TOP_K`` winners are written once to the checkpoint
-    folder (k rows), their keys filter the item scan as an ``IN`` list the
-    Parquet reader can use, and the written winners are joined by broadcast.
-    Beyond, the (at most k) winners are broadcast as they are.
-    """
-    if k <= MAX_INLIST_TOP_K:
-        winners = materialize(top, "top-k")
-        keys = [r[0] for r in winners.select(key).collect()]
-        return items.where(F.col(key).isin(keys)).join(F.broadcast(winners), key, "inner")
-    right = F.broadcast(top) if k <= MAX_BROADCAST_TOP_K else top
-    return items.join(right, key, "inner")
+def _join_back(items: DataFrame, top: DataFrame, key: str) -> DataFrame:
+    """Full rows of the selected keys.  ``top`` ends in a limit, so Spark knows
+    its size and broadcasts it as long as it is small."""
+    return items.join(top, key, "inner")
 
 
 def score_top_k(items: DataFrame, lexicon: DataFrame, k: int, key: str = "item_id",
@@ -67,7 +45,7 @@ def score_top_k(items: DataFrame, lexicon: DataFrame, k: int, key: str = "item_i
     top = (scores.select(key, "link", F.col("net_relevance").alias("relevance"))
                  .orderBy(*relevance_order(key)).limit(k)
                  .select(key, "relevance"))
-    return _join_back(items.drop("relevance"), top, k, key)
+    return _join_back(items.drop("relevance"), top, key)
 
 
 def top_k_composite(items: DataFrame, lexicon: DataFrame, k: int, key: str = "item_id",
@@ -75,15 +53,13 @@ def top_k_composite(items: DataFrame, lexicon: DataFrame, k: int, key: str = "it
                     length_unit: str = "byte") -> DataFrame:
     """K best by (error, core, content), items returned without the score
     (``rank`` 1..k gives their order)."""
-    if not 0 <= k <= 255:
-        raise ValueError("k must fit in 0..255")
     scores = score_breakdown(items, lexicon, key, carry=["link"], threshold=threshold,
                              length_unit=length_unit)
     order = composite_order(key, errors_last)
     top = (scores.orderBy(*order).limit(k)
                  .withColumn("rank", F.row_number().over(Window.orderBy(*order)))
                  .select(key, "rank"))
-    return _join_back(items, top, k, key)
+    return _join_back(items, top, key)
 
 
 def number_small(df: DataFrame, order: list[Column], name: str = "ord", start: int = 1) -> DataFrame:
@@ -97,30 +73,26 @@ def number_all(df: DataFrame, sort_cols: list[str], descending: list[bool],
     """Global numbering of an unbounded result without a single-partition
     window.
 
-    ``repartitionByRange`` splits the order into ranges, each range is
-    numbered locally (window partitioned by the range id) and written once,
-    and a running offset per range is added from a tiny per-range count
-    table read from the same written ranges.  The number of ranges is
-    explicit, so adaptive execution does not merge ranges.  The sort columns
-    should end in a unique key, so ties never pile up in one range.
+    One exchange: ``repartitionByRange`` splits the order into ranges, each is
+    sorted where it is, and a row's place in it is the low part of
+    ``monotonically_increasing_id``.  The ranges are written once, because the
+    counts that give every range its offset must see the same rows; there is
+    one offset per range, so that table is as small as the number of ranges.
+    Give it narrow rows (sort columns, key and what a line needs); the sort
+    columns should end in a unique key, so ties never pile up in one range.
     """
     order = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last()
              for c, d in zip(sort_cols, descending)]
-    spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id())
-    # The locally numbered ranges are written once: the range boundaries come
-    # from sampling, so the counts below must read the very same ranges.
-    local = materialize(ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "numbered")
-    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)))
-    # one row per range partition: small by construction
-    out = local.join(F.broadcast(offsets.select("_part", "_offset")), "_part")
-    return (out.withColumn(name, (F.col("_offset") + F.col("_local") - 1 + start).cast("long"))
-               .drop("_part", "_local", "_offset"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = materialize(
+        df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = local.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    out = local.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return out.withColumn(name, (F.col("_offset") + row + start).cast("long")).drop("_part", "_at", "_offset")
 
 
 def random_order(df: DataFrame, seed: int = 42) -> DataFrame:

@@ -18,8 +18,8 @@ equi-join on bigrams, per **distinct** token:
    per map task, never one row per occurrence);
 2. each token's bigram multiset ``(token, bigram, count)``, computed inside
    its row (count = size(list) - size(list without the bigram));
-3. broadcast hash join with the root bigrams (the lexicon has a checked,
-   bounded size), a length filter that drops pairs that cannot reach the
+3. join with the root bigrams on the bigram (Spark broadcasts them by their
+   size, and splits skewed bigrams of a large lexicon), a length filter that drops pairs that cannot reach the
    threshold, and a ``sum(least(count_t, count_r))`` per (token, root) —
    the multiset intersection exactly.  A one-character word's only "gram"
    is itself, flagged, so it meets only an equal one-character root; equal
@@ -31,22 +31,14 @@ one shuffle of distinct tokens.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_whitespace
+from ..session import materialize
 
 DICE_THRESHOLD = 0.75
 
-# Above this many lexicon entries the root side is joined without a
-# broadcast hint (Spark then decides from its own size estimate).
-MAX_BROADCAST_ROOTS = 200_000
-# Above this many matched tokens the occurrence filter becomes a salted
-# shuffle join instead of a broadcast semi-join.
-MAX_BROADCAST_MATCHES = 2_000_000
-
-
 def _unit_length(c: Column, length_unit: str) -> Column:
     if length_unit == "byte":
         return F.octet_length(c)
@@ -89,44 +81,6 @@ def _with_bigrams(df: DataFrame, word: str, prefix: str, length_unit: str) -> Da
     return _multiset(w, prefix).drop(f"{prefix}_arr")
 
 
-def _maybe_broadcast(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= limit else df
-
-
-_PREPARED: dict = {}
-
-
-def prepare_lexicon(lexicon: DataFrame, root_col: str = "root", length_unit: str = "byte"):
-    """The lexicon's root bigrams, materialised once per lexicon and unit.
-
-    The lexicon is small by nature (a word list); it is written to the
-    checkpoint folder with its bigrams and its size, and reused by every
-    match in the session (keyed by the lexicon plan's semantic hash; call
-    ``forget_lexicons`` after editing a lexicon file in place).
-    Returns (root bigram rows, number of roots).
-    """
-    spark = lexicon.sparkSession
-    try:
-        plan_key = lexicon.semanticHash()
-    except Exception:
-        plan_key = id(lexicon)
-    key = (id(spark), plan_key, root_col, length_unit)
-    hit = _PREPARED.get(key)
-    if hit is not None and hit[0].sparkSession is spark:
-        return hit
-    from ..session import materialize
-    roots = lexicon.select(F.col(root_col).alias("root")).where(F.col("root").isNotNull()).distinct()
-    rb = materialize(_with_bigrams(roots, "root", "r", length_unit), "lexicon-bigrams")
-    size = rb.select("root").distinct().count()
-    _PREPARED[key] = (rb, size)
-    return rb, size
-
-
-def forget_lexicons() -> None:
-    """Drop the prepared lexicons (e.g. after the user's word file changed)."""
-    _PREPARED.clear()
-
-
 def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
                root_col: str = "root", threshold: float = DICE_THRESHOLD,
                length_unit: str = "byte") -> DataFrame:
@@ -137,16 +91,16 @@ def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
     ``tokens`` may hold duplicates; they are made distinct first.
 
     One flow from the distinct-token shuffle: each token's bigram multiset
-    is built inside its row, joined to the broadcast root bigrams on the
+    is built inside its row, joined to the root bigrams on the
     bigram (with a length bound that drops pairs unable to reach the
     threshold), and summed per (token, root) — all in the token partitioning.
     """
     if not threshold > 0:
         raise ValueError("threshold must be > 0")
     toks = tokens.select(F.col(token_col).alias("token")).where(F.col("token").isNotNull()).distinct()
-    rb, lexicon_size = prepare_lexicon(lexicon, root_col, length_unit)
+    roots = lexicon.select(F.col(root_col).alias("root")).where(F.col("root").isNotNull()).distinct()
+    rb = _with_bigrams(roots, "root", "r", length_unit)
     tb = _with_bigrams(toks, "token", "t", length_unit)
-    rb = _maybe_broadcast(rb, lexicon_size, MAX_BROADCAST_ROOTS)
 
     need = F.lit(float(threshold))
     equal = F.col("t_norm") == F.col("r_norm")
@@ -181,22 +135,12 @@ def matched_tokens(tokens: DataFrame, lexicon: DataFrame, token_col: str = "toke
     return pairs.select("token").distinct()
 
 
-def filter_matching(occurrences: DataFrame, matches: DataFrame, token_col: str = "token",
-                    salt_buckets: int = 32) -> DataFrame:
+def filter_matching(occurrences: DataFrame, matches: DataFrame, token_col: str = "token") -> DataFrame:
     """Keep occurrence rows whose token is in ``matches`` (left semi-join).
 
-    The matched set is counted first: within the bound it is broadcast and
-    the occurrences never move; beyond it both sides are salted so a hot
-    token is spread over ``salt_buckets`` tasks.
+    The matched tokens are written once, so Spark knows their bytes when it
+    plans the join: few are broadcast and the occurrences stay where they are;
+    many are shuffled, with a hot token's occurrences split over tasks.
     """
-    # The matched set is small (tokens close to a root word); it is kept
-    # cached so the size check and the join read it once.
-    m = (matches.select(F.col("token").alias(token_col)).distinct()
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    n = m.count()
-    if n <= MAX_BROADCAST_MATCHES:
-        return occurrences.join(F.broadcast(m), token_col, "left_semi")
-    salted_occ = occurrences.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in occurrences.columns]), F.lit(salt_buckets)))
-    salted_m = m.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    return salted_occ.join(salted_m, [token_col, "_salt"], "left_semi").drop("_salt")
+    m = materialize(matches.select(F.col("token").alias(token_col)).distinct(), "matched-tokens")
+    return occurrences.join(m, token_col, "left_semi")

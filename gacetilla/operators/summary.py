@@ -12,8 +12,9 @@ the summary is extractive and computed on Spark:
    is always taken);
 4. the kept sentences are joined by one space in text order.
 
-Each document's sentences are handled in one window partition; only the
-kept ones (bounded by the budget) are collected.
+Only numbers are shuffled for that: the position, word count and hits of each
+sentence.  The texts stay in their documents, which are joined with the kept
+positions once, and the summary is cut inside the row.
 """
 
 from __future__ import annotations
@@ -28,34 +29,42 @@ SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"
 TOKEN_BUDGET = 150
 
 
+def _sentences(text_col: str):
+    """The sentences of a text as an array."""
+    found = F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_PATTERN), 0)
+    return F.transform(found, lambda x: F.trim(x))
+
+
 def sentences(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, pos, sentence, n_tokens) — pos is 1-based."""
-    s = (docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_PATTERN), 0))
-                        .alias("pos0", "raw"))
-             .select(key, (F.col("pos0") + 1).alias("pos"), F.trim("raw").alias("sentence"))
-             .where(F.col("sentence") != ""))
+    s = (docs.select(key, F.posexplode(_sentences(text_col)).alias("pos0", "sentence"))
+             .where(F.col("sentence") != "")
+             .select(key, (F.col("pos0") + 1).alias("pos"), "sentence"))
     return s.withColumn("n_tokens", F.size(split_whitespace("sentence")).cast("long"))
 
 
 def summarize(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col: str = "text",
               budget: int = TOKEN_BUDGET, threshold: float = DICE_THRESHOLD,
               length_unit: str = "byte") -> DataFrame:
-    """(key, summary, n_sentences, n_tokens) per document with text."""
+    """(key, summary, n_sentences, n_tokens) per document with text; ``key`` is
+    unique per document."""
     sent = sentences(docs, key, text_col)
     words = sent.select(key, "pos", F.explode(split_whitespace("sentence")).alias("token"))
     matches = matched_tokens(words, lexicon, threshold=threshold, length_unit=length_unit)
     hits = (filter_matching(words, matches)
             .groupBy(key, "pos").agg(F.count(F.lit(1)).cast("long").alias("hits")))
-    scored = (sent.join(hits, [key, "pos"], "left")
+    scored = (sent.select(key, "pos", "n_tokens").join(hits, [key, "pos"], "left")
                   .withColumn("hits", F.coalesce("hits", F.lit(0).cast("long"))))
     w = Window.partitionBy(key).orderBy(F.col("hits").desc(), F.col("pos").asc())
     ranked = (scored.withColumn("rank", F.row_number().over(w))
                     .withColumn("running", F.sum("n_tokens").over(
                         w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    kept = ranked.where((F.col("rank") == 1) | (F.col("running") <= budget))
-    return (kept.groupBy(key)
-                .agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("_s"),
-                     F.count(F.lit(1)).cast("long").alias("n_sentences"),
-                     F.sum("n_tokens").cast("long").alias("n_tokens"))
-                .select(key, F.array_join(F.col("_s.sentence"), " ").alias("summary"),
-                        "n_sentences", "n_tokens"))
+    # at most ``budget`` sentences a document, as each has a word
+    kept = (ranked.where((F.col("rank") == 1) | (F.col("running") <= budget))
+            .groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("_kept"),
+                              F.count(F.lit(1)).cast("long").alias("n_sentences"),
+                              F.sum("n_tokens").cast("long").alias("n_tokens")))
+    return (docs.select(key, text_col).join(kept, key)
+            .withColumn("_all", _sentences(text_col))
+            .select(key, F.array_join(F.transform("_kept", lambda p: F.get("_all", p - 1)), " ").alias("summary"),
+                    "n_sentences", "n_tokens"))

@@ -137,8 +137,8 @@ def q_union_feeds(spark, sf_dir):
     docs = raw_items_from_documents(table(spark, sf_dir, "documents")).withColumn(
         "item_id", F.concat(F.lit("doc:"), F.col("item_id").cast("string")))
     pages = page_items(spark, sf_dir).select(
-        "item_id", F.col("channel").alias("channel_title"), "title", "link", "description",
-        F.lit(None).cast("string").alias("pubDate"), F.lit(None).cast("array<string>").alias("category"),
+        "item_id", F.col("channel").alias("channel_title"), "title", "link",
+        F.lit("Landed page").alias("description"), F.lit(None).cast("string").alias("pubDate"), F.lit(None).cast("array<string>").alias("category"),
         F.lit(None).cast("array<string>").alias("dc:creator"),
         F.lit(None).cast("array<string>").alias("media:keywords"))
     feeds = rss_document(docs.unionByName(pages))
@@ -148,14 +148,12 @@ def q_union_feeds(spark, sf_dir):
 
 
 def q_clean_region(spark, sf_dir):
-    from ..operators.content import clean_pages, region_kind
-    pages = pages_with_channel(spark, sf_dir)
-    c = clean_pages(pages)
+    from ..operators.content import clean_pages
+    c = clean_pages(pages_with_channel(spark, sf_dir))
     kind = F.when(F.col("clean.error_kind").isNotNull(), F.col("clean.error_kind")).when(
         F.col("clean.clean_content") == "", F.lit("NoContent"))
     return c.select("page_id", channel_type("channel").alias("channel_type"),
-                    region_kind(F.col("channel"), F.col("html")).alias("region"),
-                    kind.alias("error_kind"))
+                    F.col("clean.region").alias("region"), kind.alias("error_kind"))
 
 
 def q_clean_text(spark, sf_dir):
@@ -175,7 +173,7 @@ def q_fill_content(spark, sf_dir):
     out = fill_content(items, pages, page_key="page_id")
     return out.select("item_id", F.col("error.kind").alias("error_kind"),
                       error_text(F.col("error")).alias("error_text"),
-                      F.col("clean_content").isNotNull().alias("has_content"))
+                      "clean_content")
 
 
 def _two_phase(spark, sf_dir):

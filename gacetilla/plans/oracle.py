@@ -12,6 +12,7 @@ from ..functions.text import WS_ONE, WS_RUN
 from ..sources.lexicon import BUILTIN_ROOTS
 from ..sources.testdata import (BASE_EPOCH, CONTRACT_EXTRA_ROOTS, CONTRACT_NOW, STEP_SECONDS,
                                 TEST_CHANNELS)
+from ..operators import content as C
 from ..operators.similarity import DICE_THRESHOLD
 from ..operators.summary import SENTENCE_PATTERN, TOKEN_BUDGET
 from ..sources.feeds import URL_PATTERN
@@ -59,7 +60,7 @@ raw_items AS (
 ITEMS = RAW_ITEMS + """,
 items AS (
   SELECT item_id, channel, title, link, description, creators, pub_date, categories, keywords
-  FROM raw_items WHERE title IS NOT NULL AND link IS NOT NULL AND description IS NOT NULL
+  FROM raw_items WHERE title <> '' AND link <> '' AND description <> ''
 )"""
 
 # items with content filled in, every 13th one carrying NoContent
@@ -176,9 +177,9 @@ def contract_sql() -> dict[str, str]:
 SELECT item_id, channel, title, link, description, creators, pub_date, categories, keywords FROM items"""
 
     s["q_rejected_items"] = "WITH " + RAW_ITEMS + """
-SELECT item_id, channel, CASE WHEN title IS NULL THEN 'No title' WHEN link IS NULL THEN 'No link'
+SELECT item_id, channel, CASE WHEN coalesce(title, '') = '' THEN 'No title' WHEN coalesce(link, '') = '' THEN 'No link'
        ELSE 'No description' END AS reason
-FROM raw_items WHERE title IS NULL OR link IS NULL OR description IS NULL"""
+FROM raw_items WHERE coalesce(title, '') = '' OR coalesce(link, '') = '' OR coalesce(description, '') = ''"""
 
     s["q_channel_type"] = "WITH " + ITEMS + """
 SELECT item_id, channel,
@@ -251,26 +252,61 @@ def _outlet(col: str) -> str:
             f"WHEN contains(upper({col}), 'ELMUNDO') THEN 'ElMundo' ELSE 'Other' END")
 
 
-PAGE_REGION = """
-page_region AS (
-  SELECT page_id, url, html, channel_type,
-    CASE WHEN html IS NULL OR html = '' THEN 'none'
-         WHEN channel_type = 'ElPais' THEN CASE WHEN contains(lower(html), '<article') THEN 'article-region' ELSE 'none' END
-         WHEN channel_type = 'VeinteMinutos' THEN CASE WHEN contains(lower(html), '<article') THEN 'article-p' ELSE 'none' END
-         WHEN channel_type = 'ElDiario' THEN CASE WHEN contains(lower(html), '<main') THEN 'main-p' ELSE 'body' END
-         WHEN channel_type = 'ElMundo' THEN CASE WHEN contains(lower(html), '<article') THEN 'article-p' ELSE 'body' END
-         ELSE 'body' END AS region,
-    CASE WHEN html IS NULL THEN 'ParsingError' WHEN html = '' THEN 'EmptyString'
-         WHEN channel_type = 'ElPais' AND NOT contains(html, 'data-dtm-region="articulo_cuerpo"') THEN 'NoContent'
-         WHEN channel_type = 'VeinteMinutos' AND NOT contains(lower(html), '<article') THEN 'NoContent'
-         ELSE NULL END AS error_kind
-  FROM (SELECT page_id, url, html, """ + "{outlet}" + """ AS channel_type
-        FROM (SELECT *, {channel} AS channel FROM pages))
-)"""
+def _steps(x: str, steps) -> str:
+    for pattern, by in steps:
+        x = f"regexp_replace({x}, {_q(pattern)}, {_q(by)}, 'g')"
+    return x
+
+
+def _paragraphs(region: str, pattern: str = C.PARAGRAPH) -> str:
+    return (f"array_to_string(list_filter(string_split({_steps(region, [C.SEGMENT])}, chr(1)), "
+            f"lambda s: regexp_matches(s, {_q(pattern)})), '')")
+
+
+def _carried(blocks: str, start: str, end: str) -> str:
+    """Blocks with an emphasis that one leaves open closed and opened again."""
+    opened = (f"(len(replace(b, '{end}', '')) - len(replace(b, '{start}', '')))")
+    before = f"coalesce(list_sum(list_transform({blocks}[1:i - 1], lambda b: {opened})), 0)"
+    upto = f"coalesce(list_sum(list_transform({blocks}[1:i], lambda b: {opened})), 0)"
+    return (f"list_transform(range(1, len({blocks}) + 1), lambda i: "
+            f"CASE WHEN {before} > 0 THEN regexp_replace({blocks}[i], {_q(C.TEXT_START)}, {_q(chr(92) + '1' + start)}) "
+            f"ELSE {blocks}[i] END || CASE WHEN {upto} > 0 THEN '{end}' ELSE '' END)")
 
 
 def _page_region() -> str:
-    return PAGE_REGION.replace("{outlet}", _outlet("channel")).replace("{channel}", _page_channel("page_id"))
+    """CTEs up to ``page_region`` (page_id, channel_type, region, error_kind, clean_content)."""
+    refs = "x"
+    for name, char in C.REFERENCES.items():
+        refs = f"replace({refs}, {_q('&' + name + ';')}, {_q(char)})"
+    marked = (f"array_to_string(list_transform(regexp_extract_all(article, {_q('(?is)<div[^>]*' + C.REGION_ATTRIBUTE + '[^>]*>.*?</div')}), "
+              f"lambda d: {_paragraphs('d')}), '')")
+    line = (f"regexp_replace(regexp_replace(trim(regexp_replace(l, ' +', ' ', 'g'), ' '), "
+            f"'(.{{1,{C.WRAP_WIDTH}}})( |$)', '\\1' || chr(10), 'g'), chr(10) || '$', '')")
+    block = (f"array_to_string(list_filter(list_transform(string_split({_steps('b', C.EMPHASIS)}, chr(6)), "
+             f"lambda l: {line}), lambda l: l <> ''), chr(10))")
+    return f"""
+pg0 AS (SELECT page_id, html, {_outlet('channel')} AS channel_type, {_steps("coalesce(html, '')", C.PREPARE)} AS doc
+        FROM (SELECT *, {_page_channel('page_id')} AS channel FROM pages)),
+pg1 AS (SELECT *, regexp_extract(doc, {_q(C.region_pattern('article'))}, 0) AS article,
+          regexp_extract(doc, {_q(C.region_pattern('main'))}, 0) AS main FROM pg0),
+pg2 AS (SELECT *, CASE WHEN html IS NULL OR html = '' THEN 'none'
+    WHEN channel_type = 'ElPais' THEN CASE WHEN article = '' THEN 'none' ELSE 'article-region' END
+    WHEN channel_type = 'VeinteMinutos' THEN CASE WHEN article = '' THEN 'none' ELSE 'article-p' END
+    WHEN channel_type = 'ElDiario' AND main <> '' THEN 'main-p'
+    WHEN channel_type = 'ElMundo' AND article <> '' THEN 'article-p' ELSE 'body' END AS region FROM pg1),
+pg3 AS (SELECT *, CASE region WHEN 'none' THEN '' WHEN 'article-region' THEN {marked}
+    WHEN 'article-p' THEN {_paragraphs('article')} WHEN 'main-p' THEN {_paragraphs('main', C.CLASSED_PARAGRAPH)}
+    ELSE doc END AS x0 FROM pg2),
+pg4 AS (SELECT *, {_steps('x0', C.RENDER)} AS x FROM pg3),
+pg5 AS (SELECT *, list_filter(string_split({refs}, chr(1)), lambda b: regexp_replace(b, '[ \x06]', '', 'g') <> '') AS b0 FROM pg4),
+pg6 AS (SELECT *, {_carried('b0', C.BOLD, C.BOLD_END)} AS b1 FROM pg5),
+pg7 AS (SELECT *, {_carried('b1', C.EM, C.EM_END)} AS b2 FROM pg6),
+pg8 AS (SELECT *, list_filter(list_transform(b2, lambda b: {block}), lambda b: b <> '') AS b3 FROM pg7),
+page_region AS (SELECT page_id, channel_type, region,
+    CASE WHEN html IS NULL OR html = '' THEN NULL WHEN len(b3) = 0 THEN ''
+         ELSE array_to_string(b3, chr(10) || chr(10)) || chr(10) END AS clean_content,
+    CASE WHEN html IS NULL THEN 'ParsingError' WHEN html = '' THEN 'EmptyString'
+         WHEN len(b3) = 0 THEN 'NoContent' END AS error_kind FROM pg8)"""
 
 
 def _num(x: str) -> str:
@@ -343,7 +379,7 @@ SELECT 'doc:' || CAST(item_id AS VARCHAR) AS item_id, channel, title, link, desc
        pub_date, categories, keywords FROM items
 UNION ALL
 SELECT 'page:' || CAST(page_id AS VARCHAR) AS item_id, {_page_channel('page_id')} AS channel,
-       regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url AS link, '' AS description,
+       regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url AS link, 'Landed page' AS description,
        '' AS creators, CAST(NULL AS VARCHAR) AS pub_date, CAST(NULL AS VARCHAR) AS categories,
        CAST(NULL AS VARCHAR) AS keywords
 FROM pages"""
@@ -351,13 +387,16 @@ FROM pages"""
     s["q_clean_region"] = "WITH " + _page_region() + """
 SELECT page_id, channel_type, region, error_kind FROM page_region"""
 
+    s["q_clean_text"] = "WITH " + _page_region() + """
+SELECT page_id, clean_content, CASE WHEN error_kind <> 'NoContent' THEN error_kind END AS error_kind FROM page_region"""
+
     s["q_fill_content"] = "WITH " + ITEMS + "," + _page_region() + """
 SELECT 'page:' || CAST(page_id AS VARCHAR) AS item_id, error_kind, error_kind AS error_text,
-       error_kind IS NULL AS has_content
+       CASE WHEN error_kind IS NULL THEN clean_content END AS clean_content
 FROM page_region
 UNION ALL
 SELECT 'doc:' || CAST(item_id AS VARCHAR) AS item_id, 'NetworkError' AS error_kind,
-       'NetworkError(no landed page for ' || link || ')' AS error_text, FALSE AS has_content
+       'NetworkError(no landed page for ' || link || ')' AS error_text, CAST(NULL AS VARCHAR) AS clean_content
 FROM items"""
 
     tp = _two_phase_sql()

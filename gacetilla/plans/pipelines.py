@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import _utc_instant
-from ..functions.formatting import rfc2822
+from ..functions.formatting import rfc2822, run_stamp
 from ..operators.content import fill_content
 from ..operators.feedback import apply_feedback
 from ..operators.rank import number_small, relevance_order, score_top_k
@@ -21,7 +21,7 @@ from ..operators.scoring import with_relevance
 from ..sinks.csv import write_csv
 from ..sinks.reports import dossier_lines, item_log_lines, relevance_report_lines, write_report
 from ..sinks.table import insert_items
-from ..session import materialize
+from ..session import materialize, scratch
 
 FIRST_PHASE_K = 100
 SECOND_PHASE_K = 20
@@ -44,15 +44,15 @@ def two_phase(items: DataFrame, pages: DataFrame, lexicon: DataFrame, k1: int =
     # the filled rows twice; none of that re-runs phase 1.
     first = materialize(score_top_k(items, lexicon, k1), "first-phase")
     filled = fill_content(first, pages, url_col=url_col, html_col=html_col, page_key=page_key,
-                          bounded=k1, clean=clean)
+                          clean=clean)
     filled = materialize(filled, "first-phase-filled")
     top = score_top_k(filled, lexicon, k2)
     top = number_small(top, relevance_order(), "rank")
     return Dossier(first_phase=filled, top=top)
 
 
-def run_stamp(run_time: str) -> str:
-    return run_time.replace(" ", "-").replace(":", "-").replace("T", "-")[:19]
+def _stamp(spark, run_time: str) -> str:
+    return spark.range(1).select(run_stamp(_utc_instant(run_time))).first()[0]
 
 
 def run_dossier(items: DataFrame, pages: DataFrame, lexicon: DataFrame, root: str,
@@ -61,19 +61,26 @@ def run_dossier(items: DataFrame, pages: DataFrame, lexicon: DataFrame, root: st
     """C2 with its outputs: ``{name}_{stamp}/dossier-{name}_{stamp}.md``, the
     optional item log and the optional stored table (K8)."""
     spark = items.sparkSession
-    stamp = run_stamp(run_time)
+    stamp = _stamp(spark, run_time)
     folder = os.path.join(root, f"{report_name}_{stamp}")
+    with scratch(spark):
+        return _write_dossier(materialize(items, "items"), pages, lexicon, folder, f"{report_name}_{stamp}",
+                              run_time, log, db, **kw)
+
+
+def _write_dossier(items, pages, lexicon, folder, name, run_time, log, db, **kw) -> dict:
+    spark = items.sparkSession
     d = two_phase(items, pages, lexicon, **kw)
     out = {"folder": folder}
     if log:
-        path = os.path.join(folder, f"{report_name}_{stamp}.md")
+        path = os.path.join(folder, f"{name}.md")
         write_report(item_log_lines(d.first_phase), path)
         out["log"] = path
     if db:
-        path = os.path.join(folder, f"{report_name}_{stamp}.parquet")
+        path = os.path.join(folder, f"{name}.parquet")
         out["inserted"] = insert_items(spark, d.first_phase, path)
         out["db"] = path
-    path = os.path.join(folder, f"dossier-{report_name}_{stamp}.md")
+    path = os.path.join(folder, f"dossier-{name}.md")
     write_report(dossier_lines(d.top, run_time), path)
     out["dossier"] = path
     return out
@@ -88,9 +95,10 @@ def relevance_report(items: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def run_relevance_report(items: DataFrame, lexicon: DataFrame, root: str, report_name: str,
                          run_time: str) -> str:
-    stamp = run_stamp(run_time)
+    stamp = _stamp(items.sparkSession, run_time)
     path = os.path.join(root, f"{report_name}_{stamp}", f"relevance-{report_name}_{stamp}.md")
-    write_report(relevance_report(items, lexicon), path)
+    with scratch(items.sparkSession):
+        write_report(relevance_report(items, lexicon), path)
     return path
 
 
@@ -102,7 +110,7 @@ def feedback(items: DataFrame, ratings: DataFrame, n: int = 20, now: str | None
 def run_feedback(items: DataFrame, ratings: DataFrame, root: str, run_time: str, n: int = 20,
                  file_name: str = "feedback.csv") -> str:
     spark = items.sparkSession
-    stamp = run_stamp(run_time)
+    stamp = _stamp(spark, run_time)
     path = os.path.join(root, f"feedback_{stamp}", file_name)
     date = spark.range(1).select(rfc2822(_utc_instant(run_time))).first()[0]
     write_csv(feedback(items, ratings, n), path, date)

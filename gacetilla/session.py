@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -42,39 +44,74 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+#: scratch folders of local sessions that name none, by application
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for materialised tables and checkpoints.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system).  Only when the session has none (local tests) do we set a
-    scratch folder of our own.
+    This is what ``spark.checkpoint.dir`` (or the context's checkpoint folder)
+    names.  A purely local session without one gets a scratch folder of its
+    own; a cluster without one is an error, because a folder on one machine
+    would not be seen by the others.  The session's settings are not changed.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = None
+    if conf_dir:
+        return conf_dir.rstrip("/")
     try:
         sc = spark.sparkContext
-    except Exception:  # a remote (Connect) session has no context here
-        sc = None
-    if not conf_dir and sc is not None:
-        conf_dir = sc.getCheckpointDir()
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="gacetilla-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", conf_dir)
-        except Exception:  # a static setting on some deployments
-            pass
-    if sc is not None and not sc.getCheckpointDir():
-        sc.setCheckpointDir(conf_dir)
-    return conf_dir.rstrip("/")
+    except Exception as error:  # a remote (Connect) session has no context here
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from error
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="gacetilla-scratch-")
+    return _LOCAL_SCRATCH[sc.applicationId]
 
 
-def materialize(df, name: str = "table"):
-    """Write a (small or intermediate) result once to the shared checkpoint
-    folder and read it back: cuts the lineage, so later size checks and
-    reuses do not recompute it, and survives the loss of any executor."""
-    import uuid
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob names something, on any file system Spark reads."""
+    return bool(existing_paths(spark, path))
+
+
+def existing_paths(spark: SparkSession, path: str) -> list[str]:
+    """The paths that a path or glob names (names only, nothing is read)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(p)
+    return [x.getPath().toString() for x in found] if found is not None else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialised inside the block are deleted at its end: for callers
+    that have written their results by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_path(spark, path)
+
+
+def materialize(df, name: str = "table"):
+    """Write an intermediate result once to the shared folder and read it back:
+    cuts the lineage, so reuses do not recompute it, and survives the loss of
+    any executor.  Inside ``scratch`` the files go at the end of the block;
+    otherwise they stay as long as the returned DataFrame may be read."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/materialized/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.parquet(path)

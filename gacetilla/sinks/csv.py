@@ -29,10 +29,12 @@ def write_csv(items: DataFrame, path: str, feedback_date: str, mode: str = "over
     (csv_rows(items, feedback_date).write.mode(mode)
         .option("header", "true").option("quote", '"').option("escape", '"')
         .option("quoteAll", "false").option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
         .csv(path))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"`{h}` STRING" for h in CSV_HEADER)
     return (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
-                 .option("quote", '"').option("escape", '"').csv(path))
+                 .option("quote", '"').option("escape", '"')
+                 .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))

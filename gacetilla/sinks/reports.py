@@ -10,13 +10,15 @@ report passes through the driver.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formatting import anchor, number_text, truncate_chars
 from ..functions.items import error_debug, option_debug
-from ..operators.rank import number_all, number_small
+from ..operators.rank import number_all
+from ..session import checkpoint_dir, delete_path, existing_paths
 
 # The report texts, in document order.  ``{name}`` is a field.
 RELEVANCE_TITLE = ["# Relevance Report", ""]
@@ -94,7 +96,7 @@ def relevance_report_lines(items: DataFrame) -> DataFrame:
     descending)."""
     spark = items.sparkSession
     per_channel = relevance_per_channel(items)
-    ch = number_small(per_channel, [F.col("average").desc(), F.col("channel")], "ord", 0)
+    ch = number_all(per_channel, ["average", "channel"], [True, False], "ord", 0)
     ch_lines = _lines(ch, 2, render(RELEVANCE_CHANNEL_LINE, channel=F.col("channel"), items=F.col("items"),
                                     total=number_text("total"), average=number_text("average")))
     listed = number_all(items.select("item_id", "relevance", "channel", "title", "link"),
@@ -111,7 +113,10 @@ def relevance_report_lines(items: DataFrame) -> DataFrame:
 def item_log_lines(items: DataFrame, key: str = "item_id") -> DataFrame:
     """K4: contents list plus one section per item, by relevance descending."""
     spark = items.sparkSession
-    numbered = number_all(items, ["relevance", "link", key], [True, False, False], "ord", 1)
+    # numbers are given to narrow rows; contents are joined to them once
+    order = number_all(items.select(key, "relevance", "link"), ["relevance", "link", key], [True, False, False],
+                       "ord", 1)
+    numbered = items.join(order.select(key, "ord"), key)
     toc = _lines(numbered, 1, render(CONTENTS_LINE, ord=F.col("ord"), title=F.col("title"),
                                      anchor=anchor("title")))
     fields = _item_fields()
@@ -122,9 +127,9 @@ def item_log_lines(items: DataFrame, key: str = "item_id") -> DataFrame:
 
 
 def dossier_lines(items: DataFrame, run_time: str, position: str = "rank") -> DataFrame:
-    """K6: dossier of at most k items in their given order (``position``)."""
+    """K6: dossier of items in their given order: ``position`` counts from 1."""
     spark = items.sparkSession
-    numbered = number_small(items, [F.col(position)], "ord", 1)
+    numbered = items.withColumn("ord", F.col(position).cast("long"))
     toc = _lines(numbered, 2, render(CONTENTS_LINE, ord=F.col("ord"), title=F.col("title"),
                                      anchor=anchor("title")))
     count_line = items.agg(F.count(F.lit(1)).alias("n")).select(
@@ -141,12 +146,31 @@ def dossier_lines(items: DataFrame, run_time: str, position: str = "rank") -> Da
             .unionByName(_fixed(spark, 7, [""])))
 
 
-def write_report(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_report(lines: DataFrame, path: str, mode: str = "append") -> None:
     """K7: write the report as text, lines in (section, ord) order.
 
-    The sort is range-partitioned, so the report is written by many tasks;
-    the part files of one write, read in name order, are the report.  Each
-    run writes into its own run-stamped folder (K8), which is what appending
-    to a per-run file amounts to.
+    The sort is range-partitioned, so the report is written by many tasks.  A
+    report is a folder of part files that are read in name order.  A report
+    that is appended is written aside first; its parts then get names that
+    follow all earlier ones, so the folder reads as one report after another.
     """
-    lines.orderBy("section", "ord").select("line").write.mode(mode).text(path)
+    if mode not in ("append", "overwrite"):
+        raise ValueError("mode is 'append' or 'overwrite'")
+    spark = lines.sparkSession
+    aside = f"{checkpoint_dir(spark)}/reports/{uuid.uuid4().hex}"
+    lines.orderBy("section", "ord").select("line").write.text(aside)
+    if mode == "overwrite":
+        delete_path(spark, path)
+    runs = [int(m[1]) for x in existing_paths(spark, f"{path}/part-*")
+            if (m := re.match(r"part-r([0-9]+)-", x.rsplit("/", 1)[-1]))]
+    run = max(runs, default=0) + 1
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    target = hadoop.Path(path)
+    target.getFileSystem(conf).mkdirs(target)
+    for part in sorted(existing_paths(spark, f"{aside}/part-*")):
+        name = part.rsplit("/", 1)[-1].removeprefix("part-")
+        source = hadoop.Path(part)
+        hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf),
+                             hadoop.Path(f"{path}/part-r{run:06d}-{name}"), True, conf)
+    delete_path(spark, aside)

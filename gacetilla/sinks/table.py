@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from ..functions.items import error_text, parse_error
 from ..operators.dedup import rows_to_insert
 from ..schema import STORED_DDL
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, delete_path
 
 STORED_COLUMNS = ["id", "channel", "title", "link", "description", "creators", "pub_date",
                   "categories", "keywords", "clean_content", "error"]
@@ -67,9 +67,12 @@ def insert_items(spark: SparkSession, items: DataFrame, path: str,
     new = rows_to_insert(items, existing, "link", order or ["item_id"])
     staged = _stored_rows(new)
     stage_path = os.path.join(checkpoint_dir(spark), "staging", f"insert-{uuid.uuid4().hex}")
-    staged.write.mode("overwrite").parquet(stage_path)
-    written = spark.read.parquet(stage_path)
-    count = written.count()
-    written.write.mode("append").parquet(path)
+    try:
+        staged.write.mode("overwrite").parquet(stage_path)
+        written = spark.read.parquet(stage_path)
+        count = written.count()
+        written.write.mode("append").parquet(path)
+    finally:
+        delete_path(spark, stage_path)
     return count
 

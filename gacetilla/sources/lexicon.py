@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_whitespace
+from ..session import path_exists
 
 # The built-in root words, in their original order (67 entries,
 # 63 distinct; "Crisis" is listed four times).
@@ -27,7 +28,7 @@ BUILTIN_ROOTS = [
 ]
 
 # Default location of the user's extra words (home folder, as a config file).
-DEFAULT_USER_FILE = os.path.join(os.path.expanduser("~"), ".gacetilla", "root_words.txt")
+DEFAULT_USER_FILE = "file://" + os.path.join(os.path.expanduser("~"), ".gacetilla", "root_words.txt")
 
 
 def _literal_words(spark: SparkSession, words) -> DataFrame:
@@ -51,16 +52,13 @@ def file_lexicon(spark: SparkSession, path: str) -> DataFrame:
             .select(F.explode(split_whitespace("value")).alias("root")))
 
 
-def text_lexicon(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Words of any text column as lexicon entries."""
-    return texts.select(F.explode(split_whitespace(column)).alias("root"))
-
-
 def combined_lexicon(spark: SparkSession, user_file: str | None = DEFAULT_USER_FILE,
                      extra_words=None, extra: DataFrame | None = None) -> DataFrame:
-    """Built-ins UNION DISTINCT user words (U2).  A missing file adds nothing."""
+    """Built-ins UNION DISTINCT user words (U2).  The file may be on any file
+    system Spark reads and is read anew by every query; a missing one adds
+    nothing."""
     lex = builtin_lexicon(spark)
-    if user_file and os.path.exists(user_file):
+    if user_file and path_exists(spark, user_file):
         lex = lex.unionByName(file_lexicon(spark, user_file))
     if extra_words:
         lex = lex.unionByName(words_lexicon(spark, extra_words))

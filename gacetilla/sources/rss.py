@@ -10,12 +10,12 @@ feeds go on (per-feed fault tolerance).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators.normalize import normalise
 from ..operators.optin import lower_terms, opt_in
 from ..schema import RSS_SCHEMA
+from ..session import existing_paths
 
 XML_OPTIONS = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false",
                "columnNameOfCorruptRecord": "_corrupt_record"}
@@ -37,24 +37,35 @@ def channel_items(parsed: DataFrame, feed_col: str = "feed") -> DataFrame:
 
 
 def item_key(feed: Column, pos: Column) -> Column:
-    """Deterministic item key: feed name and position in it."""
-    return F.concat(feed, F.lit("#"), pos.cast("string"))
+    """Deterministic item key: feed name and position in it, padded so that
+    keys sort by position."""
+    return F.concat(feed, F.lit("#"), F.lpad(pos.cast("string"), 10, "0"))
 
 
 def read_feeds(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """Read every landed RSS file under ``paths`` (a path, glob or
-    list) as one union of items.  Returns (raw items, unreadable feeds)."""
-    if isinstance(paths, str):
-        paths = [paths]
-    try:
-        docs = spark.read.text(paths, wholetext=True)
-    except AnalysisException:
-        # nothing readable at all: no items (an empty result, not an error)
-        docs = spark.createDataFrame([], "value string")
-    docs = docs.withColumn("feed", F.input_file_name())
-    parsed = parse_rss(docs)
+    list) as one union of items.  Returns (raw items, bad feeds).
+
+    Each path is looked up by itself (names only): one that names nothing, or
+    cannot be looked up, goes to the bad feeds with its reason, the others are
+    read.  A file that does not parse is a bad feed too.
+    """
+    found, missing = [], []
+    for path in dict.fromkeys([paths] if isinstance(paths, str) else paths):
+        try:
+            names = existing_paths(spark, path)
+            reason = "feed not found"
+        except Exception as error:
+            names, reason = [], f"feed could not be read: {str(error).splitlines()[0][:200]}"
+        found += names
+        if not names:
+            missing.append((path, reason))
+    docs = (spark.read.text(list(dict.fromkeys(found)), wholetext=True) if found
+            else spark.createDataFrame([], "value string"))
+    parsed = parse_rss(docs.withColumn("feed", F.input_file_name()))
     bad = parsed.where(F.col("rss.channel").isNull()).select(
         "feed", F.lit("feed could not be parsed").alias("reason"))
+    bad = bad.unionByName(spark.createDataFrame(missing, "feed string, reason string"))
     items = channel_items(parsed).withColumn("item_id", item_key(F.col("feed"), F.col("pos")))
     return items, bad
 

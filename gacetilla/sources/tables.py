@@ -1,27 +1,10 @@
-"""Reading input tables with enough scan parallelism."""
+"""Reading input tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
-def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a scan that came out with fewer partitions than the cluster has
-    cores (one big file with one row group reads as one task).
-
-    A large input already has many more splits than cores and is returned
-    untouched, so this never adds a shuffle at scale.  With a key the rows
-    are hash-distributed on it (deterministic on retry).
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # no local context (remote session): leave the scan as is
-        return df
-    return df.repartition(cores, F.col(key)) if key else df.repartition(cores)
-
-
-def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    return ensure_parallelism(spark.read.parquet(path), key)
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; Spark splits its files (``spark.sql.files.*``)."""
+    return spark.read.parquet(path)

@@ -49,12 +49,8 @@ CONTRACT_NOW = "2025-01-01 00:00:00"  # fixed "now" for date arithmetic
 CONTRACT_EXTRA_ROOTS = ["ertion", "worthless", "pour", "éeaument"]
 
 
-# Row keys of the test tables, used to spread single-file scans.
-TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "labels": "doc_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", TABLE_KEYS.get(name))
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _channel_title(doc_id, source):

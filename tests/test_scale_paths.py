@@ -1,10 +1,9 @@
-"""The fallback plans taken beyond the broadcast bounds give the same results."""
+"""Large and skewed inputs take the same plan and give the same results."""
 
 from pyspark.sql import functions as F
 
-import gacetilla.operators.similarity as sim
 from gacetilla.operators.scoring import score_breakdown
-from gacetilla.sources.lexicon import builtin_lexicon
+from gacetilla.sources.lexicon import builtin_lexicon, combined_lexicon
 from test_similarity_scoring import CASES, _items
 
 
@@ -13,15 +12,32 @@ def _rows():
             for i, ((cr, cat, kw, t, d, cc, err), _) in enumerate(CASES)]
 
 
-def test_salted_semi_join_and_unbroadcast_lexicon(spark, monkeypatch):
+def test_results_without_broadcasts(spark):
     items = _items(spark, _rows())
     want = {r.item_id: tuple(r) for r in score_breakdown(items, builtin_lexicon(spark)).collect()}
-    monkeypatch.setattr(sim, "MAX_BROADCAST_MATCHES", 0)   # salted shuffle semi-join
-    monkeypatch.setattr(sim, "MAX_BROADCAST_ROOTS", 0)     # lexicon joined without a hint
-    got = {r.item_id: tuple(r) for r in score_breakdown(items, builtin_lexicon(spark)).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.item_id: tuple(r) for r in score_breakdown(items, builtin_lexicon(spark)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == want
 
 
+def test_edited_word_file_is_seen_at_once(spark, workdir):
+    path = f"{workdir}/words.txt"
+    items = _items(spark, [(1, "c", "El zorro y el perro", "l", "d", "", None, None, None, None, None)])
+
+    def title_score(words):
+        with open(path, "w") as f:
+            f.write(words)
+        return score_breakdown(items, combined_lexicon(spark, user_file=path)).first().by_title
+
+    assert title_score("zorro") == 10
+    assert title_score("zorro\tperro") == 20
+    assert score_breakdown(items, combined_lexicon(spark, user_file=f"{workdir}/missing.txt")).first().by_title == 0
+
+
 def test_hot_token_counts_exactly(spark):
     # one word in every row: the distinct step collapses it map-side and the
     # per-item counts stay exact

@@ -11,6 +11,7 @@ from gacetilla.operators.similarity import dice_pairs, matched_tokens
 from gacetilla.schema import ERROR_TYPE
 from gacetilla.sources.lexicon import BUILTIN_ROOTS, builtin_lexicon, combined_lexicon
 
+# Words and whether they are similar to a built-in root.
 WORDS = {
     "Presidente": True, "President": True, "Presidencial": True, "Presidential": True,
     "Elección": True, "Elecciones": True, "Election": True, "Elections": True,
@@ -62,6 +63,7 @@ def _items(spark, rows):
                          .otherwise(F.lit(None).cast(ERROR_TYPE))).drop("error_kind")
 
 
+# Items and their score parts.
 CASES = [
     # (creators, categories, keywords, title, description, content, error) -> expected
     (("", None, None, "", "", None, "EmptyString"), (True, 0, 0, 0, 0, 0)),

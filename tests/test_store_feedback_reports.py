@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from gacetilla.functions.dates import days_since
+from gacetilla.functions.dates import days_since, parse_rfc2822
 from gacetilla.functions.formatting import anchor, number_text
 from gacetilla.functions.items import error_text, make_error, parse_error
 from gacetilla.operators.dedup import first_per_key, rows_to_insert
@@ -92,11 +92,52 @@ def test_csv_round_trip(spark, workdir):
     assert r["Feedback Date"] == "Wed, 01 Jan 2025 00:00:00 +0000"
 
 
+def test_csv_keeps_white_space(spark, workdir):
+    items = _items(spark, 1).withColumn("title", F.lit("  padded  ")).withColumn(
+        "description", F.lit("\nlead and tail \n")).withColumn("creators", F.lit('a "b", c\\'))
+    write_csv(items, f"{workdir}/ws.csv", "d")
+    r = read_csv(spark, f"{workdir}/ws.csv").first()
+    assert (r["Title"], r["Description"], r["Creators"]) == ("  padded  ", "\nlead and tail \n", 'a "b", c\\')
+
+
+def test_dates_of_rfc2822(spark):
+    forms = {"Thu, 21 Mar 2024 18:32:48 +0000": 0, "21 Mar 2024 18:32 GMT": 48, "Thu, 21 Mar 24 13:32:48 EST": 0,
+             "thu, 21 mar 2024 20:32:48 +0200": 0, "Thu,  1 Mar 2024 00:00:00 UT": 1794768,
+             "Thu, 21 Mar 2024 11:32:48 PDT (Pacific)": 0, "Thu, 21 Mar 2024 18:32:48 Z": 0}
+    df = spark.createDataFrame([(x,) for x in forms], "d string")
+    got = df.select(F.unix_timestamp(parse_rfc2822("d")).alias("t")).collect()
+    assert [1711045968 - r.t for r in got] == list(forms.values())
+    bad = ["", "junk", "31 Feb 2024 10:00:00 GMT", "Thu, 21 Mar 2024 25:00:00 GMT", "21 Mrz 2024 10:00:00 GMT", None]
+    df = spark.createDataFrame([(x,) for x in bad], "d string")
+    assert all(r.t is None for r in df.select(parse_rfc2822("d").alias("t")).collect())
+
+
+def test_report_is_appended(spark, workdir):
+    def text():
+        names = sorted(f for f in os.listdir(f"{workdir}/r") if f.startswith("part-"))
+        return "".join(open(f"{workdir}/r/{f}").read() for f in names)
+
+    def lines(word):
+        return spark.range(0, 40, numPartitions=5).select(
+            F.lit(0).alias("section"), (39 - F.col("id")).alias("ord"),
+            F.concat(F.lit(word), (39 - F.col("id")).cast("string")).alias("line"))
+
+    once = lambda word: "".join(f"{word}{i}\n" for i in range(40))
+    write_report(lines("a"), f"{workdir}/r")
+    write_report(lines("b"), f"{workdir}/r")
+    assert text() == once("a") + once("b")
+    write_report(lines("c"), f"{workdir}/r", mode="overwrite")
+    assert text() == once("c")
+
+
 def test_anchor_and_number_text(spark):
     df = spark.createDataFrame([("¡Hola, Mundo! 2024",), ("--Already-slugged--",)], "t string")
     assert [r.a for r in df.select(anchor("t").alias("a")).collect()] == ["#hola-mundo-2024", "#already-slugged"]
-    nums = spark.createDataFrame([(30.0,), (2.5,), (1 / 3,)], "x double")
-    assert [r.s for r in nums.select(number_text("x").alias("s")).collect()] == ["30", "2.5", "0.3333333333333333"]
+    nums = [30.0, 2.5, 1 / 3, 0.0005, 12345678.5, 1e15, 1.25e20, -2e-7, 0.0, 100.0, 1234567890123.25, 123456789.0]
+    df = spark.createDataFrame([(x,) for x in nums], "x double")
+    got = [r.s for r in df.select(number_text("x").alias("s")).collect()]
+    assert got == ["30", "2.5", "0.3333333333333333", "0.0005", "12345678.5", "1000000000000000",
+                   "125000000000000000000", "-0.0000002", "0", "100", "1234567890123.25", "123456789"]
 
 
 def test_number_all_is_global_order(spark):
@@ -128,6 +169,9 @@ def test_debug_texts(spark):
     df = spark.createDataFrame([('say "hi"\\\n\tx',), (None,)], "t string")
     got = [r.d for r in df.select(option_debug("t").alias("d")).collect()]
     assert got == ['Some("say \\"hi\\"\\\\\\n\\tx")', "None"]
+    odd = spark.createDataFrame([("a\0b\x07 \xa0é😀\u200b\u2028",), ("\u0301a\u0301",)], "t string")
+    assert [r.d for r in odd.select(option_debug("t").alias("d")).collect()] == [
+        'Some("a\\0b\\u{7} \\u{a0}é😀\\u{200b}\\u{2028}")', 'Some("\\u{301}a\u0301")']
     e = spark.range(1).select(
         error_debug(make_error(F.lit("NetworkError"), F.lit('bad "url"'))).alias("a"),
         error_debug(make_error("NoContent")).alias("b")).first()
