@@ -271,7 +271,8 @@ def q_extractive_summary(spark, sf_dir):
 
 
 def contract_queries() -> dict:
-    return {
+    from .landed import landed_queries
+    return landed_queries() | {
         "q_items_normalised": q_items_normalised,
         "q_rejected_items": q_rejected_items,
         "q_channel_type": q_channel_type,

@@ -172,7 +172,8 @@ ANCHOR = ("'#' || regexp_replace(regexp_replace(lower({t}), '[^a-z0-9]+', '-', '
 
 
 def contract_sql() -> dict[str, str]:
-    s = {}
+    from .landed import landed_sql
+    s = landed_sql()
     s["q_items_normalised"] = "WITH " + ITEMS + """
 SELECT item_id, channel, title, link, description, creators, pub_date, categories, keywords FROM items"""
 
@@ -334,15 +335,20 @@ def _err_dbg(kind: str, msg: str) -> str:
             f"ELSE 'Some(' || {kind} || ')' END")
 
 
-def _two_phase_sql() -> str:
-    """CTEs down to ``p2_scores`` (phase 2) and ``p2src`` (phase-1 top, filled)."""
+def p1_scores_sql() -> str:
+    """CTEs down to ``p1_scores``: every item scored on its metadata."""
     return ("WITH " + ITEMS + """,
 allsrc AS (
   SELECT i.*, r.text AS clean_content, CAST(NULL AS VARCHAR) AS error_kind
   FROM items i JOIN raw_items r USING (item_id)
 ),""" + occurrences("allsrc") + dice() + """,
 p1src AS (SELECT *, CAST(NULL AS VARCHAR) AS clean_content, CAST(NULL AS VARCHAR) AS error_kind FROM items),"""
-            + occurrences("p1src", name="p1occ") + scores("p1src", occ="p1occ", prefix="p1_") + f""",
+            + occurrences("p1src", name="p1occ") + scores("p1src", occ="p1occ", prefix="p1_"))
+
+
+def _two_phase_sql() -> str:
+    """CTEs down to ``p2_scores`` (phase 2) and ``p2src`` (phase-1 top, filled)."""
+    return (p1_scores_sql() + f""",
 top1 AS (SELECT * FROM p1_scores ORDER BY net_relevance DESC, link, item_id LIMIT {FIRST_K}),
 store AS (SELECT 'https://example.org/doc/' || CAST(doc_id AS VARCHAR) AS url, text AS body FROM documents),
 p2src AS (

@@ -98,19 +98,23 @@ def _elements(tag: str, values: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(values, lambda v: _element(tag, v)), ""), F.lit(""))
 
 
+def rss_elements(raw: DataFrame) -> Column:
+    """The ``<item>`` element of each raw item row."""
+    return F.concat(
+        F.lit("<item>"),
+        _element("title", raw["title"]), _element("link", raw["link"]),
+        _element("description", raw["description"]), _element("pubDate", raw["pubDate"]),
+        _elements("category", raw["category"]), _elements("dc:creator", raw["`dc:creator`"]),
+        _elements("media:keywords", raw["`media:keywords`"]),
+        F.lit("</item>"))
+
+
 def rss_document(raw: DataFrame) -> DataFrame:
     """Write each raw item row as a one-item RSS document (``value``): the
     inverse of ``parse_rss`` + ``channel_items``, used to land items as
     feeds."""
-    item = F.concat(
-        F.lit("<item>"),
-        _element("title", F.col("title")), _element("link", F.col("link")),
-        _element("description", F.col("description")), _element("pubDate", F.col("pubDate")),
-        _elements("category", F.col("category")), _elements("dc:creator", F.col("`dc:creator`")),
-        _elements("media:keywords", F.col("`media:keywords`")),
-        F.lit("</item>"))
     doc = F.concat(
         F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" '
               'xmlns:media="http://search.yahoo.com/mrss/"><channel>'),
-        _element("title", F.col("channel_title")), item, F.lit("</channel></rss>"))
+        _element("title", F.col("channel_title")), rss_elements(raw), F.lit("</channel></rss>"))
     return raw.select("item_id", doc.alias("value"))

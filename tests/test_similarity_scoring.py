@@ -127,6 +127,4 @@ def test_top_k_composite_errors_first(spark):
     assert [r.item_id for r in last] == [4, 3]
     best = score_top_k(items, builtin_lexicon(spark), 2).collect()
     assert sorted((r.item_id, r.relevance) for r in best) == [(3, 15), (4, 20)]
-    import pytest
-    with pytest.raises(ValueError):
-        top_k_composite(items, builtin_lexicon(spark), 300)
+    assert top_k_composite(items, builtin_lexicon(spark), 300).count() == len(CASES)  # any k
