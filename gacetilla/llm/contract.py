@@ -79,7 +79,8 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 def llm_queries():
-    return {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece, op6_warc, op7_license_scan, op8_line_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece, op6_warc, op7_license_scan, op8_line_dedup, op9_substring_dedup,
+                                    op10_quality_classifier)}
 
 
 def llm_sql():
