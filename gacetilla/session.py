@@ -32,6 +32,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         # CPU-heavy stages (tokenising, bigrams) follow small shuffles; keep
         # them spread over the cores instead of coalescing to one task.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256KB")
+        # small local files are split too, as far as their row groups allow
+        .config("spark.sql.files.maxPartitionBytes", os.environ.get("SPARK_SPLIT_BYTES", "4m"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
