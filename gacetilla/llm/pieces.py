@@ -9,8 +9,8 @@ to byte pieces, which share the span of their character.
 
 A segment is a run of spaces with the word after it, cut also between
 letters and signs that stand together in no piece: no merge crosses a cut, so
-segments are encoded one by one, and those of a task are remembered up to
-CACHE segments.  Texts are cut nowhere else.
+segments are encoded on their own, the new ones of a batch together, and those
+of a task are remembered up to CACHE segments.  Texts are cut nowhere else.
 
 On Spark each task reads whole texts and holds the model's tables (one
 broadcast, the size of the vocabulary); there is no shuffle.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .words import chunks
 
 SPACE = "▁"
-CACHE = 100_000
+CACHE = 300_000
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -165,6 +165,99 @@ def _segments(long: list[str]) -> re.Pattern:
     return re.compile(f"{SPACE}*(?:{either}(?:[{hold}]+{either}?)*|(?:[{hold}]+{either}?)+)|{SPACE}+")
 
 
+class Merger:
+    """Merges of many segments at once: every step joins, in each segment that
+    still has a pair, the best-scoring and then leftmost one."""
+
+    _NONE = np.int64(1) << 60
+
+    def __init__(self, rank: dict[str, int], ids: dict[str, int]):
+        chars = sorted({c for p in rank for c in p})
+        symbols = chars + [p for p in rank if len(p) > 1]
+        number = {x: i for i, x in enumerate(symbols)}
+        self.code = np.array([ord(c) for c in chars], dtype=np.uint32)
+        #: piece id of each symbol, -1 for characters that are no piece; the last one is for unknown characters
+        self.piece = np.array([ids.get(x, -1) for x in symbols] + [-1], dtype=np.int32)
+        self.n = len(symbols)
+        pairs = [(number[p[:k]], number[p[k:]], r, number[p]) for p, r in rank.items() if len(p) > 1
+                 for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        left, right, ranks, made = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else [np.zeros(0, np.int64)] * 4
+        key = left * (self.n + 1) + right
+        # open addressing: a key sits at one of few probes of its slot
+        self.bits = max(int(len(key)).bit_length() + 2, 4)
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.value = np.full(1 << self.bits, self._NONE, dtype=np.int64)  # rank, then symbol: sorts by rank
+        todo, self.probes = np.arange(len(key)), 0
+        while len(todo):
+            at = self._slot(key[todo], self.probes)
+            first = np.unique(at, return_index=True)[1]
+            ok = first[self.keys[at[first]] == -1]
+            self.keys[at[ok]] = key[todo[ok]]
+            self.value[at[ok]] = ranks[todo[ok]] * (self.n + 1) + made[todo[ok]]
+            todo = np.delete(todo, ok)
+            self.probes += 1
+
+    def _slot(self, key, probe: int):
+        with np.errstate(over="ignore"):
+            h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            return ((h >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def _pairs(self, a, b):
+        """Value of each pair of symbols, _NONE where they make no piece."""
+        key = a * (self.n + 1) + b
+        out = np.full(len(key), self._NONE, dtype=np.int64)
+        left = np.arange(len(key))
+        for probe in range(self.probes):
+            at = self._slot(key[left], probe)
+            here = self.keys[at]
+            hit = here == key[left]
+            out[left[hit]] = self.value[at[hit]]
+            left = left[~hit & (here != -1)]
+            if not len(left):
+                break
+        return out
+
+    def __call__(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids, offsets) of the segments; -1 stands for an unknown character."""
+        size = np.array([len(x) for x in segments], dtype=np.int64)
+        code = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        sym = np.where(self.code[at] == code, at, self.n).astype(np.int64)
+        word = np.repeat(np.arange(len(segments)), size)
+        done_sym, done_word = [], []
+        value = np.full(len(sym), self._NONE, dtype=np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        value[inner] = self._pairs(sym[inner], sym[inner + 1])
+        while len(sym):
+            head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            count = np.diff(np.append(head, len(sym)))
+            best = np.repeat(np.minimum.reduceat(value, head), count)
+            over = best == self._NONE
+            if over.any():
+                done_sym.append(sym[over])
+                done_word.append(word[over])
+                stay = ~over
+                sym, word, value, best = sym[stay], word[stay], value[stay], best[stay]
+                if not len(sym):
+                    break
+            hit = np.flatnonzero(value == best)
+            hit = hit[np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])]  # the leftmost of each segment
+            sym[hit] = value[hit] % (self.n + 1)
+            keep = np.ones(len(sym), dtype=bool)
+            keep[hit + 1] = False
+            hit = hit - np.arange(len(hit))  # its place when the right parts are gone
+            sym, word, value = sym[keep], word[keep], value[keep]
+            value[hit] = self._NONE
+            right = hit[(hit + 1 < len(sym)) & (word[np.minimum(hit + 1, len(sym) - 1)] == word[hit])]
+            value[right] = self._pairs(sym[right], sym[right + 1])
+            left = hit[(hit > 0) & (word[hit - 1] == word[hit])] - 1
+            value[left] = self._pairs(sym[left], sym[left + 1])
+        sym, word = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_word))
+        order = np.argsort(word, kind="stable")
+        offsets = np.searchsorted(word[order], np.arange(len(segments) + 1))
+        return self.piece[sym[order]], offsets
+
+
 class Encoder:
     def __init__(self, model: Model, cache: int = CACHE):
         self.model = model
@@ -179,20 +272,24 @@ class Encoder:
             self.rank[model.pieces[i]] = place
         self.unused = {model.pieces[i] for i in self.ids.values() if model.types[i] == UNUSED}
         self.segment = _segments([p for p in self.ids if len(p) > 1])
-        #: source bytes and decimal form of each id, where nothing is rewritten
-        self.width = [len(p.replace(SPACE, " ").encode("utf-8")) for p in model.pieces]
+        self.merger = None if self.unused else Merger(self.rank, self.ids)
+        #: source bytes of each id where nothing is rewritten, its decimal form, and the byte of byte pieces
+        self.width = np.array([len(p.replace(SPACE, " ").encode("utf-8")) for p in model.pieces], dtype=np.int32)
         self.decimal = [str(i) for i in range(len(model.pieces))]
-        self.seen: dict[str, tuple] = {}
+        self.byte = np.full(len(model.pieces), -1, dtype=np.int32)
+        if model.byte_ids:
+            self.byte[model.byte_ids] = np.arange(256)
+        self.seen: dict[str, bytes] = {}
         self.limit = cache
 
     def _merge(self, segment: str) -> list[str]:
         """Symbols left when the best-scoring, then leftmost, neighbours are merged."""
-        rank = self.rank
         parts = list(segment)
-        never = len(rank)
-        if len(parts) > 64:
+        n = len(parts)
+        if n > 64:
             return self._merge_long(parts)
-        at = [rank.get(parts[i] + parts[i + 1], never) for i in range(len(parts) - 1)]
+        get, never, unused = self.rank.get, len(self.rank), self.unused
+        at = [get(segment[i:i + 2], never) for i in range(n - 1)]
         made: dict[str, tuple[str, str]] = {}
         while at:
             best = min(at)
@@ -200,14 +297,14 @@ class Encoder:
                 break
             i = at.index(best)
             both = parts[i] + parts[i + 1]
-            if both in self.unused:
+            if both in unused:
                 made[both] = (parts[i], parts[i + 1])
-            parts[i:i + 2] = [both]
-            del at[i]
+            parts[i] = both
+            del parts[i + 1], at[i]
             if i:
-                at[i - 1] = rank.get(parts[i - 1] + both, never)
+                at[i - 1] = get(parts[i - 1] + both, never)
             if i < len(at):
-                at[i] = rank.get(both + parts[i + 1], never)
+                at[i] = get(both + parts[i + 1], never)
         return self._split_unused(parts, made) if made else parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -273,42 +370,62 @@ class Encoder:
                 sizes.extend([0] * (len(raw) - 1) + [len(p)])
         return ids, sizes
 
-    def _segment_row(self, segment: str):
-        """(ids, decimal ids, source bytes of each piece) where nothing is rewritten."""
-        got = self.seen.get(segment)
-        if got is None:
-            ids = [self.ids.get(p, -1) for p in self._merge(segment)]
-            if -1 in ids:
-                ids, sizes = self.pieces_of(segment)
-                widths, at = [], 0
-                for n in sizes:
-                    widths.append(len(segment[at:at + n].replace(SPACE, " ").encode("utf-8")))
-                    at += n
-            else:
-                widths = [self.width[i] for i in ids]
-            got = (array("i", ids).tobytes(), ",".join([self.decimal[i] for i in ids]),
-                   array("i", widths).tobytes())
-            if len(self.seen) >= self.limit:
-                self.seen.clear()
-            self.seen[segment] = got
-        return got
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
-        """(ids, source byte at which each piece ends, decimal ids joined by commas).
+    def _learn(self, segments) -> None:
+        """Remembers the ids of segments."""
+        if len(self.seen) + len(segments) > self.limit:
+            self.seen.clear()
+        new = [x for x in segments if x not in self.seen]
+        slow = new
+        if self.merger is not None and new:
+            flat, offsets = self.merger(new)
+            raw = flat.tobytes()
+            at = (offsets * 4).tolist()
+            self.seen.update(zip(new, [raw[x:y] for x, y in zip(at, at[1:])]))
+            unknown = np.unique(np.searchsorted(offsets, np.flatnonzero(flat < 0), side="right") - 1)
+            slow = [new[i] for i in unknown.tolist()]
+        for segment in slow:
+            self.seen[segment] = array("i", self.pieces_of(segment)[0]).tobytes()
+
+    def _ends(self, ids: np.ndarray) -> np.ndarray:
+        """Source bytes up to each piece's end; byte pieces end with their character."""
+        width = self.width[ids]
+        byte = self.byte[ids]
+        if (byte >= 0).any():
+            width[byte >= 0] = 0
+            lead = np.flatnonzero((byte >= 0) & ((byte < 0x80) | (byte >= 0xC0)))
+            size = 1 + (byte[lead] >= 0xC0) + (byte[lead] >= 0xE0) + (byte[lead] >= 0xF0)
+            width[lead + size - 1] = size
+        return np.cumsum(width, dtype=np.int32)
+
+    def encode_many(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, source byte at which each piece ends) of every text.
 
         A piece starts where the one before ends; byte pieces of one character
         end together at the last of them.
         """
-        if not text:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32), ""
-        if self.normalizer.plain and SPACE not in text:
-            prefix = SPACE if self.normalizer.dummy_prefix else ""
-            norm = prefix + (text.replace(" ", SPACE) if self.normalizer.space == SPACE else text)
-            rows = [self.seen.get(s) or self._segment_row(s) for s in self.segment.findall(norm)]
-            ids = np.frombuffer(b"".join([r[0] for r in rows]), np.int32)
-            ends = np.cumsum(np.frombuffer(b"".join([r[2] for r in rows]), np.int32), dtype=np.int32)
-            ends -= len(prefix)  # the prefix has no source byte
-            return ids, np.maximum(ends, 0), ",".join([r[1] for r in rows])
+        prefix = SPACE if self.normalizer.dummy_prefix else ""
+        plain = [self.normalizer.plain and self.normalizer.space == SPACE and SPACE not in t for t in texts]
+        parts = [self.segment.findall(prefix + t.replace(" ", SPACE)) if p and t else [] for t, p in zip(texts, plain)]
+        seen = self.seen
+        new = {x for xs in parts for x in xs if x not in seen}
+        if new:
+            if len(seen) + len(new) > self.limit:
+                seen.clear()
+                new = {x for xs in parts for x in xs}
+            self._learn(new)
+        out = []
+        for t, p, xs in zip(texts, plain, parts):
+            if not p and t:
+                out.append(self._encode_rewritten(t))
+                continue
+            ids = np.frombuffer(b"".join(map(seen.__getitem__, xs)), np.int32)
+            ends = self._ends(ids)
+            if prefix:
+                ends -= 1  # the prefix counts as a space but has no source byte
+            out.append((ids, np.maximum(ends, 0)))
+        return out
+
+    def _encode_rewritten(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         norm, align = self.normalizer(text)
         ids, ends, at = [], [], 0
         for segment in self.segment.findall(norm):
@@ -317,7 +434,15 @@ class Encoder:
                 at += n
                 ids.append(i)
                 ends.append(align[at])
-        return np.array(ids, np.int32), np.array(ends, np.int32), ",".join(map(str, ids))
+        return np.array(ids, np.int32), np.array(ends, np.int32)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_many([text])[0]
+
+    def joined(self, ids: np.ndarray) -> str:
+        """Decimal ids joined by commas."""
+        decimal = self.decimal
+        return ",".join([decimal[i] for i in ids.tolist()])
 
 
 class Decoder:
@@ -350,11 +475,10 @@ def _round_trip(model):
         for batch in batches:
             for piece in chunks(batch):
                 ids, ends, shas, texts = [], [], [], []
-                for text in piece.column(1).to_pylist():
-                    own, end, decimal = encoder.encode(text or "")
+                for own, end in encoder.encode_many([t or "" for t in piece.column(1).to_pylist()]):
                     ids.append(own)
                     ends.append(end)
-                    shas.append(hashlib.sha256(decimal.encode()).hexdigest())
+                    shas.append(hashlib.sha256(encoder.joined(own).encode()).hexdigest())
                     texts.append(decoder.decode(own))
                 size = np.array([len(x) for x in ids], dtype=np.int64)
                 offs = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
