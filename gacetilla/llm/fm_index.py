@@ -53,15 +53,16 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     head[1:] = key[1:] != key[:-1]
     del key
     at = np.flatnonzero(head)
-    rank = np.empty(n + 1, dtype=np.int64)
-    rank[n] = -1
+    rank = np.empty(n, dtype=np.int64)
     rank[order] = np.repeat(at, np.diff(np.append(at, n)))
     reach = 8
     size = np.diff(np.append(at, n))
     tied = np.flatnonzero(np.repeat(size > 1, size))
     while len(tied):
         pos = order[tied]
-        pair = rank[pos] * np.int64(n + 2) + rank[np.minimum(pos + reach, n)] + 1
+        # what stands past the end is smaller than any symbol, the shorter suffix first
+        later = np.where(pos + reach < n, rank[np.minimum(pos + reach, n - 1)], n - 1 - pos - reach)
+        pair = rank[pos] * np.int64(n + reach + 1) + later + reach
         by = np.argsort(pair)
         pos, pair = pos[by], pair[by]
         order[tied] = pos
