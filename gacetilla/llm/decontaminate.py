@@ -1,4 +1,4 @@
-"""Benchmark decontamination with an FM-index per shard of training text.
+r"""Benchmark decontamination with an FM-index per shard of training text.
 
 A task packs whole documents into shards of about SHARD_WORDS words.  A word's
 symbol is one byte of its 64-bit hash, so a shard is a byte string with a

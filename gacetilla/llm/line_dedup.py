@@ -1,4 +1,4 @@
-"""Line de-duplication by a sharded minimal perfect hash.
+r"""Line de-duplication by a sharded minimal perfect hash.
 
 Distinct line keys (two 64-bit hashes each) are cut into shards of about
 SHARD_LINES.  Each shard is a minimal perfect hash in levels of bits: a key
