@@ -1,4 +1,4 @@
-"""Quality rules as a short-circuit cascade of native column expressions.
+r"""Quality rules as a short-circuit cascade of native column expressions.
 
 Statistics of a whole text (words are ``[^\x20\x09-\x0D]+``, lines are split
 at ``\n``) are built-in functions only.  A rule is a rejection condition over
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 5
 #: rows of the sample on which cost and selectivity are estimated
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 
 _SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"
 _P = "__qr_"
@@ -75,13 +75,35 @@ def repeat_words_sql(words: str) -> str:
     return _let("h", f"transform({words}, x -> xxhash64(x))", f"if(size(h) < {k}, 0, {found})")
 
 
+def _statistics(column: str = "text") -> dict[str, str]:
+    """SQL of each statistic over the text alone."""
+    words, lines = words_sql(column), lines_sql(column)
+    return {
+        "n_words": f"size({words})",
+        "word_chars": f"char_length(regexp_replace({_text(column)}, '{_SPACE}', ''))",
+        "n_symbols": _chars_of("[#*$%&|<>]+", column),
+        "n_lines": f"size({lines})",
+        "n_dup_lines": _let("l", lines, "size(l) - size(array_distinct(l))"),
+        "n_repeat_words": _let("w", words, repeat_words_sql("w")),
+        "n_capitals": _chars_of("[A-Z]+", column),
+        "n_letters": _chars_of("[A-Za-z]+", column),
+        "n_shouts": _chars_of("!+", column),
+    }
+
+
+#: the statistics that ``with_statistics`` adds
+_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def with_statistics(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
+    """``docs`` plus the statistics of _COLUMNS (long)."""
     w, l = _P + "w", _P + "l"
+    alone = _statistics(column)
     return docs.withColumns({w: F.expr(words_sql(column)), l: F.expr(lines_sql(column))}).withColumns({
         "n_words": F.expr(f"size({w})").cast("long"),
         "word_chars": F.expr(f"char_length(array_join({w}, ''))").cast("long"),
-        "n_symbols": F.expr(_chars_of("[#*$%&|<>]+", column)).cast("long"),
+        "n_symbols": F.expr(alone["n_symbols"]).cast("long"),
+        "n_lines": F.expr(f"size({l})").cast("long"),
         "n_dup_lines": F.expr(f"size({l}) - size(array_distinct({l}))").cast("long"),
         "n_repeat_words": F.expr(repeat_words_sql(w)).cast("long"),
     }).drop(w, l)
@@ -89,24 +111,25 @@ def with_statistics(docs: DataFrame, column: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is SQL over the text column."""
+    """``rejects`` is a condition over statistics, named in braces."""
     name: str
     rejects: str
 
+    def over(self, known=()) -> str:
+        """SQL of the condition; statistics that are no column yet are worked out from the text."""
+        return self.rejects.format_map({k: k if k in known else v for k, v in _statistics().items()})
+
 
 def rules() -> list[Rule]:
     """The rules of the library, in no particular order."""
-    n, lines = f"size({words_sql()})", lines_sql()
-    chars = f"char_length(regexp_replace({_text()}, '{_SPACE}', ''))"
-    repeats = _let("w", words_sql(), f"100 * {repeat_words_sql('w')} > 20 * size(w)")
     return [
-        Rule("few_words", f"{n} < 10"),
-        Rule("symbols", f"10 * {_chars_of('[#*$%&|<>]+')} > 3 * {n}"),
-        Rule("word_length", f"{chars} < 2 * {n} or {chars} > 15 * {n}"),
-        Rule("repeated_lines", _let("l", lines, "10 * (size(l) - size(array_distinct(l))) > 3 * size(l)")),
-        Rule("capitals", f"2 * {_chars_of('[A-Z]+')} > {_chars_of('[A-Za-z]+')}"),
-        Rule("shouting", f"2 * {_chars_of('!+')} > {n}"),
-        Rule("repeated_words", repeats),
+        Rule("few_words", "{n_words} < 10"),
+        Rule("symbols", "10 * {n_symbols} > 3 * {n_words}"),
+        Rule("word_length", "{word_chars} < 2 * {n_words} or {word_chars} > 15 * {n_words}"),
+        Rule("repeated_lines", "10 * {n_dup_lines} > 3 * {n_lines}"),
+        Rule("capitals", "2 * {n_capitals} > {n_letters}"),
+        Rule("shouting", "2 * {n_shouts} > {n_words}"),
+        Rule("repeated_words", "100 * {n_repeat_words} > 20 * {n_words}"),
     ]
 
 
@@ -127,20 +150,23 @@ def order_rules(sample: DataFrame, some: list[Rule]) -> list[tuple[Rule, float,
         idle = min(run(sample, "text is null")[0] for _ in range(2))
         out = []
         for rule in some:
-            seconds, share = run(sample, rule.rejects)
+            seconds, share = run(sample, rule.over())
             out.append((rule, max(seconds - idle, 1e-4), share))
     finally:
         sample.unpersist()
     return sorted(out, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
-def _rejects(rule: Rule):
-    return F.coalesce(F.expr(rule.rejects), F.lit(False))
+def _rejects(rule: Rule, known=()):
+    return F.coalesce(F.expr(rule.over(known)), F.lit(False))
 
 
 def cascade(docs: DataFrame, some: list[Rule] | None = None) -> list[Rule]:
     """The rules in the order that a sample of ``docs`` suggests."""
-    return [r for r, _, _ in order_rules(docs.limit(SAMPLE_ROWS), some or rules())]
+    # take() reads as few partitions as it needs; a limit would shuffle rows of all of them
+    rows = docs.select(F.col("text").cast("string").alias("text")).take(SAMPLE_ROWS)
+    sample = docs.sparkSession.createDataFrame(rows, "text string")
+    return [r for r, _, _ in order_rules(sample, some or rules())]
 
 
 def verdict(docs: DataFrame, order: list[Rule]) -> DataFrame:
@@ -149,7 +175,7 @@ def verdict(docs: DataFrame, order: list[Rule]) -> DataFrame:
         "base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
     kept = F.when(F.col("base_failed"), F.lit(False))
     for rule in order:
-        kept = kept.when(_rejects(rule), F.lit(False))
+        kept = kept.when(_rejects(rule, _COLUMNS), F.lit(False))
     return out.withColumn("kept", kept.otherwise(F.lit(True)))
 
 
