@@ -99,7 +99,8 @@ def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
         raise ValueError("threshold must be > 0")
     toks = tokens.select(F.col(token_col).alias("token")).where(F.col("token").isNotNull()).distinct()
     roots = lexicon.select(F.col(root_col).alias("root")).where(F.col("root").isNotNull()).distinct()
-    rb = _with_bigrams(roots, "root", "r", length_unit)
+    # written once, so Spark knows its bytes and broadcasts it while it is small
+    rb = materialize(_with_bigrams(roots, "root", "r", length_unit), "lexicon-bigrams")
     tb = _with_bigrams(toks, "token", "t", length_unit)
 
     need = F.lit(float(threshold))
