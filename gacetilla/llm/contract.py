@@ -63,7 +63,7 @@ def op6_warc(spark, sf_dir):
 def op7_license_scan(spark, sf_dir):
     """Documents as files of a tree; see ``licences.document_files``."""
     files = licences.document_files(read(spark, sf_dir, "documents"))
-    return licences.scan(files).withColumnRenamed("id", "doc_id")
+    return licences.scan_files(files).withColumnRenamed("id", "doc_id")
 
 
 def op8_line_dedup(spark, sf_dir):

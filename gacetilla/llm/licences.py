@@ -1,6 +1,17 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Every line of every text is a vector over its distinct words; a word's weight
+``scan_files`` is the whole scan.  Header blocks are windows of up to WINDOW
+consecutive lines with words, compared to notices, headers and short licence
+texts; a licence file is also one vector of its whole text, compared to these
+and to full licence texts (``licence_texts/``; the Creative Commons licences
+have notices alone).  The dot products of a window's lines add up and its norm
+is at least the root of their squared norms' sum, so sums along a text bound
+every window's cosine, and only windows that can reach the threshold are
+compared.  A file's own licence is the template with the greatest cosine of
+MIN_COSINE or more; a reservation of rights ("All rights reserved."), which
+also stands in the headers of other licences, counts where no other does.
+
+``scan`` is the scan by single lines and notices alone.  Every line of every text is a vector over its distinct words; a word's weight
 is its count times its inverse line frequency.  Frequencies of the templates'
 words are counted over all lines of the input (one row per template word, so
 their size is the templates'); any other word has the greatest weight.  A line
@@ -25,12 +36,14 @@ result.
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import materialize
 from .words import ALNUM, Lines, Words, chunks
 
 MIN_COSINE = 0.8
@@ -62,6 +75,24 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
 
+#: lines of a header block at most
+WINDOW = 40
+
+#: the licence that any other one goes before
+RESERVED = "Proprietary"
+
+#: short texts that stand in files as headers
+SHORT_TEXTS = ["BSD-2-Clause", "BSD-3-Clause", "MIT"]
+
+#: first and last words of the headers that the full texts give
+HEADERS = {
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", None),
+    "GPL-2.0": ("This program is free software", "Also add information"),
+    "GPL-3.0": ("This program is free software", "Also add information"),
+    "LGPL-2.1": ("This library is free software", "Also add information"),
+    "MPL-2.0": ("This Source Code Form is subject", "If it is not possible"),
+}
+
 
 class Templates:
     """Word hashes and unit vectors of the notices under given line frequencies."""
@@ -118,7 +149,10 @@ def _frequency_rows(templates: Templates):
 
 def weighed_templates(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> Templates:
     """Templates under the line frequencies of all of ``files``."""
-    out = Templates(templates)
+    return _weigh_vocabulary(files, Templates(templates))
+
+
+def _weigh_vocabulary(files: DataFrame, out: Templates) -> Templates:
     rows = (files.select(F.col("text").cast("string").alias("text")).where("text is not null")
             .mapInArrow(_frequency_rows(out), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
     n = {r["term"]: r["n"] for r in rows}  # one row per template word
@@ -166,12 +200,15 @@ def _own_rows(templates, min_cosine: float):
     return task
 
 
+def is_licence_file(path: str):
+    return F.lower(F.regexp_extract(path, "([^/]*)$", 1)).rlike(r"^(licen[cs]e|copying|notice)(\..*)?$")
+
+
 def inherit(files: DataFrame) -> DataFrame:
     """``files`` (id, path, own, cosine) plus licence and source_dir of the licence
     a file takes from a directory (null where it is its own)."""
     named = files.withColumn("dir", F.expr("regexp_replace(path, '/?[^/]*$', '')"))
-    is_licence = F.lower(F.regexp_extract("path", "([^/]*)$", 1)).rlike(r"^(licen[cs]e|copying|notice)(\..*)?$")
-    given = (named.where(is_licence & F.col("own").isNotNull()).groupBy("dir")
+    given = (named.where(is_licence_file("path") & F.col("own").isNotNull()).groupBy("dir")
              .agg(F.min(F.struct((-F.col("cosine")).alias("c"), "own")).alias("best"))
              .select(F.col("dir").alias("above"), F.col("best.own").alias("given")))
     parts = F.split("dir", "/")
@@ -195,6 +232,153 @@ def scan(files: DataFrame, min_cosine: float = MIN_COSINE, templates: dict[str,
     return inherit(own)
 
 
+def licence_texts() -> dict[str, str]:
+    """Full texts by licence, read on the driver alone."""
+    return {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
+def block_templates() -> dict[str, list[str]]:
+    """Notices, headers and short texts by licence: what a window is compared to."""
+    texts, out = licence_texts(), {n: list(x) for n, x in TEMPLATES.items()}
+    for name in SHORT_TEXTS:
+        out.setdefault(name, []).append(texts[name])
+    for name, (start, end) in HEADERS.items():
+        header = texts[name][texts[name].rindex(start):]
+        out.setdefault(name, []).append(header[:header.index(end)] if end else header)
+    out["LGPL-3.0"].append(out["GPL-3.0"][-1].replace("General Public", "Lesser General Public"))
+    return out
+
+
+class Weights:
+    """Inverse line frequencies of known words (sorted hashes); ``other`` is that of any other word."""
+
+    def __init__(self, hashes: np.ndarray, idf: np.ndarray, other: float):
+        self.hashes, self.idf, self.other = hashes, idf, other
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.find(hashes)
+        return np.where(at >= 0, self.idf[np.maximum(at, 0)], self.other)
+
+
+class Scorer:
+    """Templates under given weights, and the best licence of texts."""
+
+    def __init__(self, min_cosine: float = MIN_COSINE):
+        blocks, texts = block_templates(), licence_texts()
+        both = Templates({n: blocks.get(n, []) + ([texts[n]] if n in texts and n not in SHORT_TEXTS else [])
+                          for n in blocks | texts})
+        self.templates, self.min_cosine = both, min_cosine
+        self.names = np.array(both.names)
+        #: templates of windows: all but the full texts, the last of their licences
+        self.block = np.array([not (n in texts and n not in SHORT_TEXTS and both.names[i + 1:i + 2] != [n])
+                               for i, n in enumerate(both.names)])
+
+    def weigh(self, weights: Weights):
+        self.weights = weights
+        unit = self.templates.counts * weights.of(self.templates.vocabulary)
+        self.unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+        return self
+
+    def _order(self, cosine: float, name: str):
+        """Sorts better results first."""
+        return name == RESERVED, -cosine, name
+
+    def _compare(self, h: np.ndarray, count: np.ndarray, which: np.ndarray):
+        """The best (order, cosine, name) of a vector of words, which may repeat, among templates; or None."""
+        words, at = np.unique(h, return_inverse=True)
+        weight = np.bincount(at.reshape(-1), count) * self.weights.of(words)
+        place = self.templates.place(words)
+        some = place >= 0
+        cosine = (self.unit[which][:, place[some]] @ weight[some] / np.linalg.norm(weight)).round(9)
+        return min(((self._order(float(c), n), float(c), n) for c, n in zip(cosine, self.names[which].tolist())
+                    if c >= self.min_cosine), default=None)
+
+    def _windows(self, of, first, h, weight, norm2):
+        """(bound, first line, lines, template) of all windows that can reach the threshold."""
+        n, need = len(norm2), self.min_cosine - 1e-6
+        place = self.templates.place(h)
+        some = np.flatnonzero(place >= 0)
+        before = np.concatenate([[0.0], np.cumsum(norm2)])
+        at = np.arange(n)
+        last = np.minimum(at + WINDOW, first)  # end of the longest window from each line
+        found = []
+        for t in np.flatnonzero(self.block).tolist():
+            dot = np.bincount(of[some], weight[some] * self.unit[t][place[some]], minlength=n)
+            square = np.concatenate([[0.0], np.cumsum(dot ** 2 / norm2)])
+            # a window's cosine is at most the root of its lines' squared cosines' sum
+            starts = at[square[last] - square[at] >= need ** 2 - 1e-6]
+            if not len(starts):
+                continue
+            total = np.concatenate([[0.0], np.cumsum(dot)])
+            for k in range(1, WINDOW + 1):
+                starts = starts[starts + k <= last[starts]]
+                if not len(starts):
+                    break
+                bound = (total[starts + k] - total[starts]) / np.sqrt(before[starts + k] - before[starts])
+                good = bound >= need
+                found.append((bound[good], starts[good], np.full(int(good.sum()), k), np.full(int(good.sum()), t)))
+        return [np.concatenate(x) for x in zip(*found)] if found else None
+
+    def best(self, col: pa.Array, whole: list[bool]):
+        """(licence or None, cosine) of each text; ``whole`` marks the licence files."""
+        line, h, count, text = _line_words(col)
+        best = [None] * len(col)
+        if len(line):
+            edge = np.flatnonzero(np.append(True, line[1:] != line[:-1]))  # first words of lines
+            edge = np.append(edge, len(line))
+            of = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            line_text = text[edge[:-1]]
+            weight = count * self.weights.of(h)
+            end_of_text = np.searchsorted(line_text, line_text, side="right")
+            for t in np.flatnonzero(whole).tolist():
+                a, b = np.searchsorted(text, [t, t + 1])
+                if a < b:
+                    best[t] = self._compare(h[a:b], count[a:b], np.arange(len(self.names)))
+            windows = self._windows(of, end_of_text, h, weight, np.bincount(of, weight ** 2))
+            if windows is not None:
+                bound, start, k, template = windows
+                blocks, seen = np.flatnonzero(self.block), set()
+                for i in np.lexsort((-bound, self.names[template] == RESERVED, line_text[start])).tolist():
+                    s, e, t = int(start[i]), int(start[i] + k[i]), int(line_text[start[i]])
+                    reach = self._order(min(1.0, float(bound[i]) + 1e-6), str(self.names[template[i]]))
+                    if (s, e) in seen or best[t] and best[t][0] <= reach:
+                        continue
+                    seen.add((s, e))
+                    got = self._compare(h[edge[s]:edge[e]], count[edge[s]:edge[e]], blocks)
+                    best[t] = min((x for x in (best[t], got) if x), default=None)
+        return [x and x[2] for x in best], np.array([x[1] if x else 0.0 for x in best])
+
+
+def _best_rows(scorer):
+    def task(batches):
+        for batch in batches:
+            for piece in chunks(batch):
+                names, cosines = scorer.value.best(piece.column(2), piece.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), piece.column(1), pa.array(names, pa.string()), pa.array(cosines)],
+                    names=["id", "path", "own", "cosine"])
+    return task
+
+
+def scan_files(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """(id, path, own, cosine, licence, source_dir) of ``files`` (id, path, text):
+    header blocks and whole licence files against all templates."""
+    rows = files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"),
+                        F.coalesce(is_licence_file("path"), F.lit(False)).alias("whole"))
+    scorer = Scorer(min_cosine)
+    known = scorer.templates
+    frequencies = _weigh_vocabulary(rows, known)
+    scorer.weigh(Weights(known.vocabulary, frequencies.idf, frequencies.other))
+    shared = files.sparkSession.sparkContext.broadcast(scorer)
+    own = rows.mapInArrow(_best_rows(shared),
+                          f"id {rows.schema['id'].dataType.simpleString()}, path string, own string, cosine double")
+    return inherit(materialize(own, "licences"))
+
+
 def document_files(docs: DataFrame) -> DataFrame:
     """Documents as files: source/lang/block/id.txt, where ids divisible by 50
     are the block's LICENSE and those divisible by 1000 the language's."""
