@@ -11,6 +11,13 @@ compared.  A file's own licence is the template with the greatest cosine of
 MIN_COSINE or more; a reservation of rights ("All rights reserved."), which
 also stands in the headers of other licences, counts where no other does.
 
+Line frequencies of all words are counted over all lines into a stored table.
+Tasks know those of the templates' words and of the KNOWN most frequent words
+(a fixed number); any other word counts with the frequency of the last of
+these, so its weight is too small and cosines are too great, never too small.
+Where a window with such a word could be a file's best, the words are joined to
+the table and the file is compared again with their own weights.
+
 ``scan`` is the scan by single lines and notices alone.  Every line of every text is a vector over its distinct words; a word's weight
 is its count times its inverse line frequency.  Frequencies of the templates'
 words are counted over all lines of the input (one row per template word, so
@@ -35,6 +42,7 @@ result.
 
 from __future__ import annotations
 
+import copy
 import math
 from pathlib import Path
 
@@ -78,6 +86,9 @@ TEMPLATES = {
 #: lines of a header block at most
 WINDOW = 40
 
+#: most frequent words whose line frequencies every task knows
+KNOWN = 1 << 16
+
 #: the licence that any other one goes before
 RESERVED = "Proprietary"
 
@@ -149,10 +160,7 @@ def _frequency_rows(templates: Templates):
 
 def weighed_templates(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> Templates:
     """Templates under the line frequencies of all of ``files``."""
-    return _weigh_vocabulary(files, Templates(templates))
-
-
-def _weigh_vocabulary(files: DataFrame, out: Templates) -> Templates:
+    out = Templates(templates)
     rows = (files.select(F.col("text").cast("string").alias("text")).where("text is not null")
             .mapInArrow(_frequency_rows(out), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
     n = {r["term"]: r["n"] for r in rows}  # one row per template word
@@ -250,10 +258,17 @@ def block_templates() -> dict[str, list[str]]:
 
 
 class Weights:
-    """Inverse line frequencies of known words (sorted hashes); ``other`` is that of any other word."""
+    """Inverse line frequencies of known words (sorted hashes); no other word is in more than ``most`` lines."""
 
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray, other: float):
-        self.hashes, self.idf, self.other = hashes, idf, other
+    def __init__(self, hashes: np.ndarray, frequency: np.ndarray, lines: int, most: int):
+        self.hashes, by = np.unique(hashes, return_index=True)
+        self.frequency, self.lines, self.most = frequency[by], lines, most
+        self.idf = np.log((1 + lines) / (1 + self.frequency)) + 1
+        self.other = math.log((1 + lines) / (1 + most)) + 1
+
+    def plus(self, hashes: np.ndarray, frequency: np.ndarray) -> Weights:
+        return Weights(np.concatenate([self.hashes, hashes]), np.concatenate([self.frequency, frequency]), self.lines,
+                       self.most)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -288,14 +303,16 @@ class Scorer:
         return name == RESERVED, -cosine, name
 
     def _compare(self, h: np.ndarray, count: np.ndarray, which: np.ndarray):
-        """The best (order, cosine, name) of a vector of words, which may repeat, among templates; or None."""
+        """The best (order, cosine, name, words not known) of a vector of words, which may repeat, among templates;
+        or None.  With words not known the cosine is a bound."""
         words, at = np.unique(h, return_inverse=True)
         weight = np.bincount(at.reshape(-1), count) * self.weights.of(words)
+        other = words[self.weights.find(words) < 0]
         place = self.templates.place(words)
         some = place >= 0
         cosine = (self.unit[which][:, place[some]] @ weight[some] / np.linalg.norm(weight)).round(9)
-        return min(((self._order(float(c), n), float(c), n) for c, n in zip(cosine, self.names[which].tolist())
-                    if c >= self.min_cosine), default=None)
+        return min(((self._order(float(c), n), float(c), n, other) for c, n in zip(cosine, self.names[which].tolist())
+                    if c >= self.min_cosine), key=lambda x: x[0], default=None)
 
     def _windows(self, of, first, h, weight, norm2):
         """(bound, first line, lines, template) of all windows that can reach the threshold."""
@@ -324,9 +341,17 @@ class Scorer:
         return [np.concatenate(x) for x in zip(*found)] if found else None
 
     def best(self, col: pa.Array, whole: list[bool]):
-        """(licence or None, cosine) of each text; ``whole`` marks the licence files."""
+        """(licence or None, cosine, None or the words to look up before these hold) of each text; ``whole`` marks
+        the licence files."""
         line, h, count, text = _line_words(col)
-        best = [None] * len(col)
+        best, open_ = [None] * len(col), [[] for _ in range(len(col))]
+
+        def take(t: int, got):
+            if got and len(got[3]):
+                open_[t].append(got)
+            elif got and (best[t] is None or got[0] < best[t][0]):
+                best[t] = got
+
         if len(line):
             edge = np.flatnonzero(np.append(True, line[1:] != line[:-1]))  # first words of lines
             edge = np.append(edge, len(line))
@@ -337,7 +362,7 @@ class Scorer:
             for t in np.flatnonzero(whole).tolist():
                 a, b = np.searchsorted(text, [t, t + 1])
                 if a < b:
-                    best[t] = self._compare(h[a:b], count[a:b], np.arange(len(self.names)))
+                    take(t, self._compare(h[a:b], count[a:b], np.arange(len(self.names))))
             windows = self._windows(of, end_of_text, h, weight, np.bincount(of, weight ** 2))
             if windows is not None:
                 bound, start, k, template = windows
@@ -348,35 +373,108 @@ class Scorer:
                     if (s, e) in seen or best[t] and best[t][0] <= reach:
                         continue
                     seen.add((s, e))
-                    got = self._compare(h[edge[s]:edge[e]], count[edge[s]:edge[e]], blocks)
-                    best[t] = min((x for x in (best[t], got) if x), default=None)
-        return [x and x[2] for x in best], np.array([x[1] if x else 0.0 for x in best])
+                    take(t, self._compare(h[edge[s]:edge[e]], count[edge[s]:edge[e]], blocks))
+        rare = [[x[3] for x in xs if best[t] is None or x[0] < best[t][0]] for t, xs in enumerate(open_)]
+        return ([x and x[2] for x in best], np.array([x[1] if x else 0.0 for x in best]),
+                [np.unique(np.concatenate(x)).view(np.int64).tolist() if x else None for x in rare])
+
+
+def _summed(hashes: list, counts: list):
+    words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    return words, np.bincount(at.reshape(-1), np.concatenate(counts)).astype(np.int64)
+
+
+def _word_rows(batches, most: int = 1 << 20):
+    """(word, lines that have it), summed up as far as ``most`` words; the lines themselves under null."""
+    words, counts, lines = [], [], 0
+    size = 0
+    for batch in batches:
+        for piece in chunks(batch):
+            line, h, _, _ = _line_words(piece.column(0))
+            lines += len(np.unique(line))
+            distinct, n = np.unique(h, return_counts=True)
+            words.append(distinct)
+            counts.append(n)
+            size += len(distinct)
+            if size > most:
+                w, n = _summed(words, counts)
+                words, counts, size = [w], [n], len(w)
+                if size > most // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
+                    words, counts, size = [], [], 0
+    if size:
+        w, n = _summed(words, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([lines], pa.int64())], names=["word", "n"])
+
+
+def line_frequencies(rows: DataFrame) -> DataFrame:
+    """(word, n): the lines that have each word, and under null the lines with words."""
+    return materialize(rows.where("text is not null").select("text").mapInArrow(_word_rows, "word long, n long")
+                       .groupBy("word").agg(F.sum("n").alias("n")), "line-frequencies")
+
+
+def known_weights(frequencies: DataFrame, vocabulary: np.ndarray, known: int = KNOWN) -> Weights:
+    """Weights of the templates' words and of the ``known`` most frequent ones."""
+    lines = frequencies.where("word is null").agg(F.sum("n")).first()[0] or 0
+    words = frequencies.where("word is not null")
+    terms = frequencies.sparkSession.createDataFrame(pa.table({"word": vocabulary.view(np.int64)}))
+    own = words.join(F.broadcast(terms), "word").select("word", "n").toArrow()
+    top = words.orderBy(F.desc("n"), "word").limit(known).select("word", "n").toArrow()
+    hashes = [own["word"].to_numpy().view(np.uint64), top["word"].to_numpy().view(np.uint64), vocabulary]
+    counts = [own["n"].to_numpy(), top["n"].to_numpy(), np.zeros(len(vocabulary), dtype=np.int64)]
+    # the first of equal hashes is taken: a template's word that no line has counts 0
+    return Weights(np.concatenate(hashes), np.concatenate(counts), lines, int(counts[1].min()) if len(top) == known else 0)
 
 
 def _best_rows(scorer):
     def task(batches):
         for batch in batches:
             for piece in chunks(batch):
-                names, cosines = scorer.value.best(piece.column(2), piece.column(3).to_pylist())
+                names, cosines, rare = scorer.value.best(piece.column(2), piece.column(3).to_pylist())
+                text = pa.array([None if r is None else x.as_py() for r, x in zip(rare, piece.column(2))], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), piece.column(1), pa.array(names, pa.string()), pa.array(cosines),
+                     pa.array(rare, pa.list_(pa.int64())), text, piece.column(3)],
+                    names=["id", "path", "own", "cosine", "rare", "text", "whole"])
+    return task
+
+
+def _settled_rows(scorer):
+    def task(batches):
+        weights = scorer.value.weights
+        for batch in batches:
+            for piece in chunks(batch):
+                words, n = (piece.column(k).flatten().to_numpy(zero_copy_only=False) for k in (4, 5))
+                own = copy.copy(scorer.value)
+                own.weights = weights.plus(words.view(np.uint64), n)
+                names, cosines, _ = own.best(piece.column(2), piece.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(names, pa.string()), pa.array(cosines)],
                     names=["id", "path", "own", "cosine"])
     return task
 
 
-def scan_files(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
+def scan_files(files: DataFrame, min_cosine: float = MIN_COSINE, known: int = KNOWN) -> DataFrame:
     """(id, path, own, cosine, licence, source_dir) of ``files`` (id, path, text):
-    header blocks and whole licence files against all templates."""
+    header blocks and whole licence files against all templates, under the line
+    frequencies of all words.  ``known`` does not change the result."""
     rows = files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"),
                         F.coalesce(is_licence_file("path"), F.lit(False)).alias("whole"))
-    scorer = Scorer(min_cosine)
-    known = scorer.templates
-    frequencies = _weigh_vocabulary(rows, known)
-    scorer.weigh(Weights(known.vocabulary, frequencies.idf, frequencies.other))
+    frequencies, scorer = line_frequencies(rows), Scorer(min_cosine)
+    scorer.weigh(known_weights(frequencies, scorer.templates.vocabulary, known))
     shared = files.sparkSession.sparkContext.broadcast(scorer)
-    own = rows.mapInArrow(_best_rows(shared),
-                          f"id {rows.schema['id'].dataType.simpleString()}, path string, own string, cosine double")
-    return inherit(materialize(own, "licences"))
+    columns = f"id {rows.schema['id'].dataType.simpleString()}, path string, own string, cosine double"
+    first = materialize(
+        rows.mapInArrow(_best_rows(shared), columns + ", rare array<long>, text string, whole boolean")
+        .withColumn("row", F.monotonically_increasing_id()), "licences")
+    looked_up = (first.where("rare is not null").select("row", F.explode("rare").alias("word")).join(frequencies, "word")
+                 .groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("found")))
+    settled = (first.where("rare is not null").join(looked_up, "row")
+               .select("id", "path", "text", "whole", F.col("found.word").alias("words"), F.col("found.n").alias("ns"))
+               .mapInArrow(_settled_rows(shared), columns))
+    own = first.where("rare is null").select("id", "path", "own", "cosine").unionByName(settled)
+    return inherit(materialize(own, "licences-settled"))
 
 
 def document_files(docs: DataFrame) -> DataFrame:
