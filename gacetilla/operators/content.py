@@ -13,12 +13,15 @@ fixed lists.
 Unclosed tags: a paragraph ends at the next block tag, a region at its end
 tag or the end of the page, and bold or italic text that a block leaves open
 goes on in the next one.  Nested bold counts once.  Ordered lists are printed
-like unordered ones, an ``article`` inside an ``article`` ends both, and of the
-character references the numeric ones stay as written.
+like unordered ones, and an ``article`` inside an ``article`` ends both.  All
+character references by a name of HTML and a semicolon are decoded, once;
+numeric ones but ``&#39;`` stay as written.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ BLOCK_TAGS = ("address|article|aside|blockquote|body|caption|center|dd|details|d
 REGION_ATTRIBUTE = "data-dtm-region=\"articulo_cuerpo\""
 PARAGRAPH_CLASS = "article-text"
 
-# Character references by name.
+# Character references by name that the DuckDB form knows; the
+# Spark form decodes all names of HTML.
 REFERENCES = {
     "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "copy": "©", "reg": "®",
     "middot": "·", "hellip": "…", "mdash": "—", "ndash": "–", "laquo": "«", "raquo": "»", "lsquo": "‘", "rsquo": "’",
@@ -45,6 +49,8 @@ REFERENCES = {
     "Aacute": "Á", "Eacute": "É", "Iacute": "Í", "Oacute": "Ó", "Uacute": "Ú", "Ntilde": "Ñ", "Uuml": "Ü",
     "amp": "&",
 }
+NAMED = {n[:-1]: c for n, c in html5.items() if n.endswith(";")} | REFERENCES | {"Tab": " ", "NewLine": " "}
+REFERENCE = "&(#39|[A-Za-z][A-Za-z0-9]*);"
 
 # Marks inside the working text.
 BLOCK, BOLD, BOLD_END, EM, EM_END, LINE = (chr(i) for i in range(1, 7))
@@ -110,11 +116,28 @@ def _carried(blocks: Column, start: str, end: str) -> Column:
         F.when(F.get(n, i + 1) > 0, F.lit(end)).otherwise(F.lit("")))))
 
 
+def _decoded(text: Column) -> Column:
+    """The text with its named references decoded; unknown names stay.  Each
+    distinct one is looked up once, in a map that the optimiser folds."""
+    table = F.str_to_map(F.lit("\x02".join(f"&{n};\x01{c}" for n, c in NAMED.items())), F.lit("\x02"), F.lit("\x01"))
+
+    def joined(both: Column) -> Column:
+        found, names, chars = (both.getField(x) for x in ("found", "names", "chars"))
+        char = lambda i: F.get(chars, (F.array_position(names, F.get(found, i)) - 1).cast("int"))
+        return F.array_join(F.transform(F.split(text, REFERENCE), lambda x, i: F.concat(
+            x, F.when(i < F.size(found), char(i)).otherwise(F.lit("")))), "")
+
+    def looked_up(found: Column) -> Column:
+        return _bind(F.array_distinct(found), lambda names: _bind(F.struct(
+            found.alias("found"), names.alias("names"),
+            F.transform(names, lambda n: F.coalesce(table[n], n)).alias("chars")), joined))
+
+    return F.when(text.contains("&"), _bind(F.regexp_extract_all(text, F.lit(REFERENCE), 0), looked_up)).otherwise(text)
+
+
 def render(fragment: Column) -> Column:
     """H7: text of a cleaned fragment; ``''`` when it has none."""
-    text = _replace(fragment, RENDER)
-    for name, char in REFERENCES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    text = _bind(_replace(fragment, RENDER), _decoded)
 
     def line(x: Column) -> Column:
         x = F.trim(F.regexp_replace(x, " +", " "))

@@ -84,3 +84,19 @@ def test_fill_content(spark):
     assert out[6].clean_content == "Only body.\n" and out[6].error.kind == "NoContent"  # an earlier error stays
     smallest = {r.item_id: r for r in fill_content(items, pages).collect()}
     assert smallest[1].clean_content == "Only body.\n"
+
+
+def test_all_named_references(spark):
+    got, = _clean(spark, ("Agency", "<p>gar&ccedil;on &agrave; 20&deg; &bull; &trade; 2&times;3 &Eacute;&NotEqualTilde; &amp;ccedil; "
+                                    "&amp;amp; &lt;&AMP;&Tab;&lt&semi; &nosuch; &; R&D &#39;</p>"))
+    assert got.clean_content == "garçon à 20° • ™ 2×3 É≂̸ &ccedil; &amp; <& &lt; &nosuch; &; R&D '\n"
+
+
+def test_references_of_every_name(spark):
+    from html import unescape
+
+    from gacetilla.operators.content import NAMED
+    names = sorted(set(NAMED) - {"Tab", "NewLine"})
+    got = _clean(spark, ("Agency", "".join(f"<p>x&{n};x</p>" for n in names)), ("Agency", "<p>none</p>"))
+    assert got[0].clean_content == "\n\n".join(f"x{unescape(f'&{n};')}x" for n in names) + "\n"
+    assert got[1].clean_content == "none\n"
