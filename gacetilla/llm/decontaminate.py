@@ -60,13 +60,15 @@ class Phrases:
     """Distinct windows of a block of items, grouped by length."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
-        self.item_ids = [i for i, _ in items]
+        number: dict[str, int] = {}
         by_length: dict[int, list] = {}
-        for k, (_, words) in enumerate(items):
+        for item_id, words in items:
+            k = number.setdefault(item_id, len(number))
             n = min(window, len(words))
             if n:
                 rows = np.lib.stride_tricks.sliding_window_view(words, n)
                 by_length.setdefault(n, []).append((rows, np.full(len(rows), k)))
+        self.item_ids = list(number)
         #: (names of the words, first owner of each phrase, owners)
         self.groups = []
         for _, parts in sorted(by_length.items()):

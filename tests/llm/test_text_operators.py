@@ -112,6 +112,15 @@ def test_decontamination(spark, docs, empty, texts, options):
     H.same(decontaminate.contamination(docs, bench.limit(0)).select("n_hit").distinct(), [(0,)])
 
 
+def test_decontamination_counts_a_repeated_id_once(spark):
+    texts = [(1, "a b c x d e f"), (2, "a b c"), (3, "d e f g h i"), (4, "none")]
+    items = [(7, "a b c"), (7, "d e f"), (8, "g h i"), (7, "a b c")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), bench)
+    H.same(got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256"), H.contamination(texts, items))
+    assert {r.doc_id: r.n_items for r in got.collect()} == {1: 1, 2: 1, 3: 2, 4: 0}
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_lines": 7, "probes_per_task": 5}])
 def test_line_dedup(docs, empty, texts, options):
     got = line_dedup.drop_lines(docs, **options)
