@@ -95,3 +95,13 @@ r AS (SELECT w.doc_id, count(gone.p) AS n, string_agg(word, ' ' ORDER BY w.p) FI
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed,
   sha256(coalesce(r.kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
 """
+
+OP13 = """
+WITH e AS (SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.row, q.vec_id AS query_id, e.vec_id, list_distance(q.v, e.v) AS score
+      FROM e q JOIN e ON q.vec_id % 100 = 0 AND e.row <> q.row AND len(e.v) = len(q.v))
+SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score
+FROM d QUALIFY rank <= 10
+"""
