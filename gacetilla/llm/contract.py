@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_extract, licences, oracle, quality_classifier, quality_rules, warc
+from . import html_extract, licences, oracle, quality_classifier, quality_rules, repair, vantage, warc
+from .anchors import align
 from .decontaminate import contamination
 from .line_dedup import drop_lines
 from .ngram_join import near_copies
@@ -23,10 +24,10 @@ from .repeats import remove_repeats
 from .tables import read, sha256_column
 
 
-def piece_model() -> str:
+def piece_model(name: str = "piece_bpe_32k.model") -> str:
     """The model's file, read on the driver alone."""
     import public_tokenizers
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_html_extraction(spark, sf_dir):
@@ -82,12 +83,29 @@ def op10_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(docs, model)
 
 
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    return align(read(spark, sf_dir, "documents"), piece_model("byte_bpe_50k.json"), piece_model())
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return repair.repair(repair.damage(read(spark, sf_dir, "conversations")))
+
+
+def op13_nearest_neighbours(spark, sf_dir):
+    """Factor one: the exact search."""
+    rows = vantage.points(read(spark, sf_dir, "embeddings"))
+    return vantage.neighbours(rows, F.col("id") % 100 == 0, k=10, factor=1.0).select(
+        "query_id", "rank", "vec_id", "score")
+
+
 def llm_queries():
     return {f.__name__: f for f in (
         op1_html_extraction, op2_ngram_jaccard_join, op3_quality_rules, op4_decontaminate, op5_sentencepiece,
-        op6_warc, op7_license_scan, op8_line_dedup, op9_substring_dedup, op10_quality_classifier)}
+        op6_warc, op7_license_scan, op8_line_dedup, op9_substring_dedup, op10_quality_classifier,
+        op11_cross_tokenizer_alignment, op12_conversation_repair, op13_nearest_neighbours)}
 
 
 def llm_sql():
     return {"op2_ngram_jaccard_join": oracle.OP2, "op3_quality_rules": oracle.OP3, "op4_decontaminate": oracle.OP4,
-            "op6_warc": oracle.OP6, "op8_line_dedup": oracle.OP8, "op9_substring_dedup": oracle.OP9}
+            "op6_warc": oracle.OP6, "op8_line_dedup": oracle.OP8, "op9_substring_dedup": oracle.OP9,
+            "op13_nearest_neighbours": oracle.OP13}
