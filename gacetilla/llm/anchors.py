@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +42,8 @@ from .words import chunks
 BLOCK_BYTES = 2 << 20
 MEMO = 200_000
 MEMO_BYTES = 64 << 20
+#: links of a group that are crossed in place; larger groups go by distinct ids
+LARGE = 4096
 MARK = "▁"
 
 
@@ -90,34 +91,11 @@ class Pieces:
         return self.model.encode(text, num_threads=1)
 
 
-def groups(a, b, width_a, width_b) -> list[tuple[list[int], list[int]]]:
-    """Token runs between ends shared by both sides; ``width`` gives the bytes of an id."""
-    out, i, j, end_a, end_b = [], 0, 0, 0, 0
-    from_a = from_b = 0
-    while i < len(a) or j < len(b):
-        if j == len(b) or (i < len(a) and end_a <= end_b):
-            end_a += width_a[a[i]]
-            i += 1
-        else:
-            end_b += width_b[b[j]]
-            j += 1
-        if end_a == end_b:
-            out.append((a[from_a:i], b[from_b:j]))
-            from_a, from_b = i, j
-    return out
-
-
-def window(a, b, width_a, width_b):
-    """(written groups, number of groups, {(A id, B id): linked occurrences}) of a window."""
-    parts = groups(a, b, width_a, width_b)
-    pairs: dict = {}
-    for left, right in parts:
-        times = Counter(right)
-        for x, m in Counter(left).items():
-            for y, n in times.items():
-                pairs[x, y] = pairs.get((x, y), 0) + m * n
-    text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in parts)
-    return text.encode(), len(parts), pairs
+def big_pairs(left, right) -> tuple[np.ndarray, np.ndarray]:
+    """Id pairs of one large group and how often each is linked, by distinct ids."""
+    x, m = np.unique(left, return_counts=True)
+    y, n = np.unique(right, return_counts=True)
+    return ((x.astype(np.int64)[:, None] << 32) | y[None, :]).ravel(), (m[:, None] * n[None, :]).ravel()
 
 
 class Aligner:
@@ -127,17 +105,19 @@ class Aligner:
         self.sides = (ByteLevel(byte_level), Pieces(pieces))
         self.width = [np.array([len(x) for x in s.bytes], dtype=np.int64) for s in self.sides]
         self.spaced = [np.array([x[:1] == b" " for x in s.bytes]) for s in self.sides]
-        self.lists = [w.tolist() for w in self.width]
+        #: decimal ids with what may follow: the next token of the side, the other side, the next group, nothing
+        self.written = [f"{i}{sign}" for i in range(max(map(len, self.width))) for sign in (",", "|", ";", "")]
         self.limit = memo
         self._forget()
 
     def _forget(self):
         self.number: dict[bytes, int] = {}
-        self.held = 0
         self.text: list[bytes] = []
-        self.groups: list[int] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.groups = np.zeros(0, np.int64)
+        #: linked pairs of window i, and how often: places first[i] to first[i + 1]
+        self.first = np.zeros(1, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+        self.times = np.zeros(0, np.int64)
 
     def tokens(self, text: str | None):
         """Ids of both sides, None where the text has no tokens."""
@@ -171,65 +151,91 @@ class Aligner:
         at = (starts * 4).tolist()
         return [raw[x:y] for x, y in zip(at, at[1:])]
 
-    def _learn(self, key: bytes) -> int:
-        ids = np.frombuffer(key, dtype=np.int32)
-        mid = int(np.flatnonzero(ids < 0)[0])
-        text, n, pairs = window(ids[:mid].tolist(), ids[mid + 1:].tolist(), *self.lists)
-        keys = np.array([x << 32 | y for x, y in pairs], dtype=np.int64)
-        self.number[key] = len(self.text)
-        self.held += 4 * len(key) + 16 * len(keys)
-        self.text.append(text)
-        self.groups.append(n)
-        self.pairs.append(keys)
-        self.times.append(np.fromiter(pairs.values(), np.int64, len(pairs)))
-        return self.number[key]
+    def _learn(self, keys: list[bytes]) -> None:
+        """Works out windows that are not remembered yet, all at once."""
+        flat = np.frombuffer(b"".join(keys), dtype=np.int32)
+        size = np.array([len(k) // 4 for k in keys], dtype=np.int64)
+        win = np.repeat(np.arange(len(keys)), size)
+        side = np.cumsum(flat < 0) - win  # a window's mark stands between its sides
+        token = flat >= 0
+        ids, win, side = flat[token].astype(np.int64), win[token], side[token]
+        width = np.where(side == 0, self.width[0][np.where(side == 0, ids, 0)], self.width[1][np.where(side == 1, ids, 0)])
+        total = np.bincount(win[side == 0], weights=width[side == 0], minlength=len(keys)).astype(np.int64)
+        base = np.cumsum(total) - total
+        end = np.cumsum(width) - base[win] - side * total[win]  # windows one behind the other, both sides from the same byte
+        shared = np.intersect1d(end[side == 0], end[side == 1], assume_unique=True)
+        group = np.searchsorted(shared, end)
+        order = np.argsort(group * 2 + side, kind="stable")
+        ids, win, side, group = ids[order], win[order], side[order], group[order]
+        # written form: what follows a token is told by the next one
+        sign = np.full(len(ids), 3)
+        sign[:-1] = np.where(win[1:] != win[:-1], 3, np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0)))
+        words = list(map(self.written.__getitem__, (ids * 4 + sign).tolist()))
+        bounds = np.searchsorted(win, np.arange(len(keys) + 1)).tolist()
+        at = len(self.text)
+        self.text += ["".join(words[x:y]).encode() for x, y in zip(bounds, bounds[1:])]
+        self.number.update(zip(keys, range(at, at + len(keys))))
+        start = np.searchsorted(group, np.arange(len(shared)))
+        left = np.bincount(group[side == 0], minlength=len(shared))
+        right = np.bincount(group[side == 1], minlength=len(shared))
+        self.groups = np.concatenate([self.groups, np.bincount(win[start], minlength=len(keys))])
+        # links: both sides of a group crossed, of large groups by distinct ids
+        links = left * right
+        small = np.flatnonzero(links <= LARGE)
+        many = links[small]
+        i = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        of = np.repeat(small, many)
+        pair = (ids[start[of] + i // right[of]] << 32) | ids[start[of] + left[of] + i % right[of]]
+        parts, counts, owner = [pair], [np.ones(len(pair), np.int64)], [win[start[of]]]
+        for g in np.flatnonzero(links > LARGE).tolist():
+            x, mid, y = start[g], start[g] + left[g], start[g] + left[g] + right[g]
+            pair, n = big_pairs(ids[x:mid], ids[mid:y])
+            parts.append(pair)
+            counts.append(n)
+            owner.append(np.full(len(pair), win[x]))
+        pair, n, owner = np.concatenate(parts), np.concatenate(counts), np.concatenate(owner)
+        order = np.lexsort((pair, owner))
+        pair, n, owner = pair[order], n[order], owner[order]
+        head = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])]))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(owner[head], minlength=len(keys)))])
+        self.pairs = np.concatenate([self.pairs, pair[head]])
+        self.times = np.concatenate([self.times, np.add.reduceat(n, head)])
 
     def block(self, texts) -> dict:
         """A block's row: statistics of its texts, its distinct pairs with the
         number of texts that hold each, and per text the places of its pairs."""
-        if len(self.text) > self.limit or self.held > MEMO_BYTES:
+        if len(self.text) > self.limit or 16 * len(self.pairs) > MEMO_BYTES:
             self._forget()
-        stats = {c: [] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-        held, owner = [], []
-        for at, text in enumerate(texts):
-            both = self.tokens(text)
-            if both is None:
-                for c in ("n_a", "n_b", "n_groups"):
-                    stats[c].append(0)
-                stats["groups_sha256"].append("")
-                continue
-            number = self.number
-            own = [number[k] if k in number else self._learn(k) for k in self.windows(*both)]
-            stats["n_a"].append(len(both[0]))
-            stats["n_b"].append(len(both[1]))
-            stats["n_groups"].append(sum(map(self.groups.__getitem__, own)))
-            stats["groups_sha256"].append(hashlib.sha256(b";".join(map(self.text.__getitem__, own))).hexdigest())
-            numbers, times = np.unique(np.array(own, dtype=np.int64), return_counts=True)
-            held.append(np.stack([numbers, times]))
-            owner.append(np.full(len(numbers), at, dtype=np.int64))
-        numbers, times = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
-        owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        # windows to pairs, then one entry for each text and pair
-        used, back = np.unique(numbers, return_inverse=True)
-        parts = [self.pairs[i] for i in used.tolist()]
-        size = np.array([len(x) for x in parts], dtype=np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        often = np.concatenate([self.times[i] for i in used.tolist()]) if parts else np.zeros(0, np.int64)
-        pairs, place = np.unique(flat, return_inverse=True)
-        first = np.concatenate([[0], np.cumsum(size)])
-        many = size[back]
-        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[back], many)
-        key = np.repeat(owner, many) * max(len(pairs), 1) + place[at]
+        both = [self.tokens(t) for t in texts]
+        windows = [self.windows(*x) if x else [] for x in both]
+        new = list({k for own in windows for k in own if k not in self.number})
+        if new:
+            self._learn(new)
+        own = [list(map(self.number.__getitem__, x)) for x in windows]
+        sha = [hashlib.sha256(b";".join(map(self.text.__getitem__, x))).hexdigest() if x else "" for x in own]
+        n_texts = len(texts)
+        count = np.array([len(x) for x in own], dtype=np.int64)
+        owner = np.repeat(np.arange(n_texts), count)
+        number = np.fromiter((i for x in own for i in x), np.int64, count.sum())
+        # one entry for each text and window, then for each text and pair
+        most = max(len(self.text), 1)
+        key, often = np.unique(owner * most + number, return_counts=True)
+        holder, number_of = key // most, key % most
+        many = self.first[number_of + 1] - self.first[number_of]
+        at = np.arange(many.sum()) + np.repeat(self.first[number_of] - np.cumsum(many) + many, many)
+        pairs, place = np.unique(self.pairs[at], return_inverse=True)
+        most = max(len(pairs), 1)
+        key = np.repeat(holder, many) * most + place
         order = np.argsort(key, kind="stable")
-        key, value = key[order], (often[at] * np.repeat(times, many))[order]
+        key, value = key[order], (self.times[at] * np.repeat(often, many))[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         links = np.add.reduceat(value, head) if len(head) else np.zeros(0, np.int64)
-        key = key[head]
-        texts_of = key // max(len(pairs), 1)
-        places = key % max(len(pairs), 1)
-        stats["n_links"] = np.bincount(texts_of, weights=links, minlength=len(stats["n_a"])).astype(np.int64)
-        return stats | {"pairs": pairs, "holders": np.bincount(places, minlength=len(pairs)),
-                        "size": np.bincount(texts_of, minlength=len(stats["n_a"])), "places": places, "links": links}
+        text_of, places = key[head] // most, key[head] % most
+        per_text = lambda x, of: np.bincount(of, weights=x, minlength=n_texts).astype(np.int64)
+        return {"n_a": [len(x[0]) if x else 0 for x in both], "n_b": [len(x[1]) if x else 0 for x in both],
+                "n_groups": per_text(self.groups[number], owner), "n_links": per_text(links, text_of),
+                "groups_sha256": sha, "pairs": pairs, "holders": np.bincount(places, minlength=len(pairs)),
+                "size": np.bincount(text_of, minlength=n_texts), "places": places, "links": links}
 
 
 _STATS = ("n_a", "n_b", "n_groups", "n_links")

@@ -28,7 +28,7 @@ def test_alignment(spark):
 def test_windows_are_remembered_by_ids_and_forgotten(spark):
     with open(PATHS[0], encoding="utf-8") as f, open(PATHS[1], "rb") as g:
         own = anchors.Aligner(f.read(), g.read(), memo=5)
-    texts = ["the cat sat on the mat", "the cat sat on the mat", None, "x" * 3000, "other words than before"]
+    texts = ["the cat sat on the mat", "the cat sat on the mat", None, "x" * 3000, "漢字" * 900, "other words than before"]
     one = own.block(texts)
     a, b = own.tokens(texts[0])
     windows = own.windows(a, b)
