@@ -19,7 +19,7 @@ from ..operators.scoring import score_breakdown, token_occurrences, vocabulary
 from ..operators.similarity import dice_pairs, filter_matching, matched_tokens
 from ..sources.lexicon import combined_lexicon
 from ..sources.testdata import (CONTRACT_EXTRA_ROOTS, content_store, document_items,
-                                filled_document_items, page_items, pages_with_channel,
+                                filled_document_items, nested_pages, page_items, pages_with_channel,
                                 ratings_from_labels, raw_items_from_documents, table)
 from .oracle import FEEDBACK_DATE, FEEDBACK_N, OPT_IN_AND, OPT_IN_OR, RUN_TIME, TOP_K
 
@@ -163,6 +163,14 @@ def q_clean_text(spark, sf_dir):
                     F.col("clean.error_kind").alias("error_kind"))
 
 
+def q_clean_nested(spark, sf_dir):
+    """H2–H7 on pages with every region, nested in its own kind."""
+    from ..operators.content import clean_pages
+    c = clean_pages(nested_pages(spark, sf_dir))
+    return c.select("page_id", F.col("clean.region").alias("region"),
+                    F.col("clean.clean_content").alias("clean_content"), F.col("clean.error_kind").alias("error_kind"))
+
+
 def q_fill_content(spark, sf_dir):
     from ..functions.items import error_text
     from ..operators.content import fill_content
@@ -292,6 +300,7 @@ def contract_queries() -> dict:
         "q_union_feeds": q_union_feeds,
         "q_clean_region": q_clean_region,
         "q_clean_text": q_clean_text,
+        "q_clean_nested": q_clean_nested,
         "q_fill_content": q_fill_content,
         "q_two_phase": q_two_phase,
         "q_dedup_link": q_dedup_link,

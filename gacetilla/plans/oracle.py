@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from ..functions.text import WS_ONE, WS_RUN
 from ..sources.lexicon import BUILTIN_ROOTS
-from ..sources.testdata import (BASE_EPOCH, CONTRACT_EXTRA_ROOTS, CONTRACT_NOW, STEP_SECONDS,
+from ..sources.testdata import (BASE_EPOCH, CONTRACT_EXTRA_ROOTS, CONTRACT_NOW, NESTED, STEP_SECONDS,
                                 TEST_CHANNELS)
 from ..operators import content as C
 from ..operators.similarity import DICE_THRESHOLD
@@ -255,59 +255,105 @@ def _outlet(col: str) -> str:
 
 def _steps(x: str, steps) -> str:
     for pattern, by in steps:
-        x = f"regexp_replace({x}, {_q(pattern)}, {_q(by)}, 'g')"
+        x = f"regexp_replace({x}, {_q(C.sql_pattern(pattern))}, {_q(by)}, 'g')"
     return x
 
 
-def _paragraphs(region: str, pattern: str = C.PARAGRAPH) -> str:
-    return (f"array_to_string(list_filter(string_split({_steps(region, [C.SEGMENT])}, chr(1)), "
-            f"lambda s: regexp_matches(s, {_q(pattern)})), '')")
-
-
-def _carried(blocks: str, start: str, end: str) -> str:
-    """Blocks with an emphasis that one leaves open closed and opened again."""
-    opened = (f"(len(replace(b, '{end}', '')) - len(replace(b, '{start}', '')))")
-    before = f"coalesce(list_sum(list_transform({blocks}[1:i - 1], lambda b: {opened})), 0)"
-    upto = f"coalesce(list_sum(list_transform({blocks}[1:i], lambda b: {opened})), 0)"
-    return (f"list_transform(range(1, len({blocks}) + 1), lambda i: "
-            f"CASE WHEN {before} > 0 THEN regexp_replace({blocks}[i], {_q(C.TEXT_START)}, {_q(chr(92) + '1' + start)}) "
-            f"ELSE {blocks}[i] END || CASE WHEN {upto} > 0 THEN '{end}' ELSE '' END)")
-
-
-def _page_region() -> str:
-    """CTEs up to ``page_region`` (page_id, channel_type, region, error_kind, clean_content)."""
-    refs = "x"
-    for name, char in C.REFERENCES.items():
-        refs = f"replace({refs}, {_q('&' + name + ';')}, {_q(char)})"
-    marked = (f"array_to_string(list_transform(regexp_extract_all(article, {_q('(?is)<div[^>]*' + C.REGION_ATTRIBUTE + '[^>]*>.*?</div')}), "
-              f"lambda d: {_paragraphs('d')}), '')")
-    line = (f"regexp_replace(regexp_replace(trim(regexp_replace(l, ' +', ' ', 'g'), ' '), "
-            f"'(.{{1,{C.WRAP_WIDTH}}})( |$)', '\\1' || chr(10), 'g'), chr(10) || '$', '')")
-    block = (f"array_to_string(list_filter(list_transform(string_split({_steps('b', C.EMPHASIS)}, chr(6)), "
-             f"lambda l: {line}), lambda l: l <> ''), chr(10))")
+def _matches(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, {_q(C.sql_pattern(pattern))})"
+
+
+def _decoded(x: str) -> str:
+    """Text with its references decoded, part by part."""
+    named = "MAP {" + ", ".join(f"{_q(n)}: {_q(c)}" for n, c in C.REFERENCES.items()) + "}"
+    hexed = "lower(r[3:3]) = 'x'"
+    code = f"CASE WHEN {hexed} THEN CAST('0x' || r[4:-2] AS BIGINT) ELSE CAST(r[3:-2] AS BIGINT) END"
+    special = " ".join(f"WHEN {n} THEN {_q(c)}" for n, c in C.NUMBERED.items())
+    number = (f"CASE {code} {special} ELSE CASE WHEN {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 "
+              f"THEN chr(65533) ELSE chr(CAST({code} AS INTEGER)) END END")
+    char = f"CASE WHEN r IS NULL THEN '' WHEN r[2:2] = '#' THEN {number} ELSE coalesce({named}[r[2:-2]], r) END"
+    chars = f"list_transform(regexp_extract_all({x}, {_q(C.REFERENCE)}), lambda r: {char})"
+    return (f"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform(list_zip("
+            f"string_split_regex({x}, {_q(C.REFERENCE)}), {chars}), lambda z: z[1] || coalesce(z[2], '')), '') ELSE {x} END")
+
+
+def _page_region(pages: str = "pages") -> str:
+    """CTEs up to ``page_region`` (page_id, channel_type, region, error_kind,
+    clean_content): the tag table, its windows and the outlets' rules."""
+    marks = {"bold": (C.BOLD, C.BOLD_END), "em": (C.EM, C.EM_END)}
+    kinds = sorted(set(C.KINDS.values()))
+    step = {k: f"CASE WHEN kind = '{k}' THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END" for k in kinds} | {
+        k: f"length(replace(body, {_q(e)}, '')) - length(replace(body, {_q(o)}, ''))" for k, (o, e) in marks.items()}
+    upto, before = "ROWS UNBOUNDED PRECEDING", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    over = lambda frame: f"OVER (PARTITION BY page_id ORDER BY pos {frame})"
+    sums = ", ".join([f"sum({x}) {over(upto)} AS s_{k}" for k, x in step.items()]
+                     + [f"coalesce(sum({step[k]}) {over(before)}, 0) AS p_{k}" for k in marks])
+    lows = ", ".join([f"least(0, min(s_{k}) {over(upto)}) AS l_{k}" for k in step]
+                     + [f"least(0, coalesce(min(s_{k}) {over(before)}, 0)) AS q_{k}" for k in marks])
+    kind = "CASE name " + " ".join(f"WHEN '{n}' THEN '{k}'" for n, k in C.KINDS.items()) + " END"
+    level = "CASE grp " + " ".join(f"WHEN '{k}' THEN s_{k} - l_{k}" for k in kinds) + " END"
+    flags = ", ".join(f"p_{k} - q_{k} > 0 AS {k}_before, s_{k} - l_{k} > 0 AS {k}_after" for k in marks)
+    emphasised = _steps("(CASE WHEN em_before THEN {} ELSE '' END || CASE WHEN bold_before THEN {} ELSE '' END || body || "
+                        "CASE WHEN bold_after THEN {} ELSE '' END || CASE WHEN em_after THEN {} ELSE '' END)".format(
+                            *map(_q, (C.EM, C.BOLD, C.BOLD_END, C.EM_END))), C.EMPHASIS)
+    sign = (f"CASE WHEN name = 'li' AND NOT closing THEN {_q(C.LINE)} || coalesce(CAST(number AS VARCHAR) || '. ', '* ') "
+            f"WHEN name = 'li' THEN {_q(C.LINE)} "
+            f"WHEN regexp_matches(name, '^h[1-6]$') AND NOT closing THEN {_q(C.BLOCK)} || repeat('#', CAST(name[2:2] AS INTEGER)) || ' ' "
+            f"WHEN regexp_matches(name, {_q('^(' + C.BLOCK_TAGS + ')$')}) THEN {_q(C.BLOCK)} ELSE '' END")
+    short = "trim(regexp_replace(l, ' +', ' ', 'g'), ' ')"
+    line = (f"CASE WHEN length(l) <= {C.WRAP_WIDTH} THEN {short} ELSE regexp_replace(regexp_replace({short}, "
+            f"'(.{{1,{C.WRAP_WIDTH}}})( |$)', '\\1' || chr(10), 'g'), chr(10) || '$', '') END")
+    block = (f"array_to_string(list_filter(list_transform(string_split(b, chr(6)), lambda l: {line}), "
+             f"lambda l: l <> ''), chr(10))")
     return f"""
 pg0 AS (SELECT page_id, html, {_outlet('channel')} AS channel_type, {_steps("coalesce(html, '')", C.PREPARE)} AS doc
-        FROM (SELECT *, {_page_channel('page_id')} AS channel FROM pages)),
-pg1 AS (SELECT *, regexp_extract(doc, {_q(C.region_pattern('article'))}, 0) AS article,
-          regexp_extract(doc, {_q(C.region_pattern('main'))}, 0) AS main FROM pg0),
-pg2 AS (SELECT *, CASE WHEN html IS NULL OR html = '' THEN 'none'
-    WHEN channel_type = 'ElPais' THEN CASE WHEN article = '' THEN 'none' ELSE 'article-region' END
-    WHEN channel_type = 'VeinteMinutos' THEN CASE WHEN article = '' THEN 'none' ELSE 'article-p' END
-    WHEN channel_type = 'ElDiario' AND main <> '' THEN 'main-p'
-    WHEN channel_type = 'ElMundo' AND article <> '' THEN 'article-p' ELSE 'body' END AS region FROM pg1),
-pg3 AS (SELECT *, CASE region WHEN 'none' THEN '' WHEN 'article-region' THEN {marked}
-    WHEN 'article-p' THEN {_paragraphs('article')} WHEN 'main-p' THEN {_paragraphs('main', C.CLASSED_PARAGRAPH)}
-    ELSE doc END AS x0 FROM pg2),
-pg4 AS (SELECT *, {_steps('x0', C.RENDER)} AS x FROM pg3),
-pg5 AS (SELECT *, list_filter(string_split({refs}, chr(1)), lambda b: regexp_replace(b, '[ \x06]', '', 'g') <> '') AS b0 FROM pg4),
-pg6 AS (SELECT *, {_carried('b0', C.BOLD, C.BOLD_END)} AS b1 FROM pg5),
-pg7 AS (SELECT *, {_carried('b1', C.EM, C.EM_END)} AS b2 FROM pg6),
-pg8 AS (SELECT *, list_filter(list_transform(b2, lambda b: {block}), lambda b: b <> '') AS b3 FROM pg7),
+        FROM (SELECT *, {_page_channel('page_id')} AS channel FROM {pages})),
+pg1 AS (SELECT page_id, string_split({_steps('doc', [C.SEGMENT])}, chr(1)) AS segs FROM pg0),
+pg2 AS (SELECT page_id, unnest(segs) AS seg, unnest(range(len(segs))) AS pos FROM pg1),
+pg3 AS (SELECT page_id, pos, lower(regexp_extract(seg, {_q(C.NAME)}, 1)) AS name, starts_with(seg, '</') AS closing,
+          {_matches('seg', C.MARKED)} AS marked, {_matches('seg', C.CLASSED)} AS classed,
+          TRY_CAST(regexp_extract(seg, {_q(C.START)}, 1) AS BIGINT) AS start, {_steps('seg', C.INLINE)} AS body FROM pg2),
+pg4 AS (SELECT *, {kind} AS kind FROM pg3),
+pg5 AS (SELECT *, {sums} FROM pg4),
+pg6 AS (SELECT *, CASE WHEN name = 'li' THEN 'list' ELSE kind END AS grp, {lows} FROM pg5),
+pg7 AS (SELECT *, {level} + CASE WHEN closing AND name <> 'li' THEN 1 ELSE 0 END AS level, {flags} FROM pg6),
+pg8 AS (SELECT *, lead(pos) OVER peers AS ends,
+          sum(CASE WHEN grp = 'list' AND name <> 'li' AND NOT closing THEN 1 ELSE 0 END) OVER peers AS nth
+        FROM pg7 WINDOW peers AS (PARTITION BY page_id, grp, level ORDER BY pos)),
+pg9 AS (SELECT *, CASE WHEN name = 'li' AND NOT closing AND first(name) OVER items = 'ol' THEN
+          CAST(sum(CASE WHEN name = 'li' AND NOT closing THEN 1 ELSE 0 END) OVER items
+               + coalesce(first(start) OVER items, 1) - 1 AS BIGINT) END AS number
+        FROM pg8 WINDOW items AS (PARTITION BY page_id, grp, level, nth ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+em AS (SELECT *, {emphasised} AS y FROM pg9),
+seg AS (SELECT page_id, pos, name = 'p' AND NOT closing AS paragraph, classed, marked, name, closing,
+          coalesce(ends, 2147483647) AS ends, {sign} || CASE WHEN {_matches('body', C.SOLID)} THEN {_decoded('y')} ELSE '' END AS txt FROM em),
+art AS (SELECT page_id, min(pos) AS a0, arg_min(ends, pos) AS a1 FROM seg WHERE name = 'article' AND NOT closing GROUP BY page_id),
+mai AS (SELECT page_id, min(pos) AS m0, arg_min(ends, pos) AS m1 FROM seg WHERE name = 'main' AND NOT closing GROUP BY page_id),
+rg AS (SELECT page_id, html, channel_type, a0, a1, m0, m1, CASE WHEN html IS NULL OR html = '' THEN 'none'
+    WHEN channel_type = 'ElPais' THEN CASE WHEN a0 IS NULL THEN 'none' ELSE 'article-region' END
+    WHEN channel_type = 'VeinteMinutos' THEN CASE WHEN a0 IS NULL THEN 'none' ELSE 'article-p' END
+    WHEN channel_type = 'ElDiario' AND m0 IS NOT NULL THEN 'main-p'
+    WHEN channel_type = 'ElMundo' AND a0 IS NOT NULL THEN 'article-p' ELSE 'body' END AS region
+  FROM pg0 LEFT JOIN art USING (page_id) LEFT JOIN mai USING (page_id)),
+taken AS (
+  SELECT page_id, 0 AS k, pos, txt FROM rg JOIN seg USING (page_id)
+    WHERE CASE region WHEN 'article-p' THEN paragraph AND pos > a0 AND pos < a1
+          WHEN 'main-p' THEN classed AND pos > m0 AND pos < m1 WHEN 'body' THEN TRUE ELSE FALSE END
+  UNION ALL SELECT page_id, m.pos, p.pos, p.txt FROM rg JOIN seg m USING (page_id) JOIN seg p USING (page_id)
+    WHERE region = 'article-region' AND m.marked AND m.pos > a0 AND m.pos < a1 AND p.paragraph AND p.pos > m.pos AND p.pos < m.ends),
+whole AS (SELECT page_id, string_agg(txt, '' ORDER BY k, pos) AS x FROM taken GROUP BY page_id),
+blk AS (SELECT page_id, list_filter(list_transform(string_split({_steps('x', [C.JOINED])}, chr(1)), lambda b: {block}), lambda b: b <> '') AS b FROM whole),
 page_region AS (SELECT page_id, channel_type, region,
-    CASE WHEN html IS NULL OR html = '' THEN NULL WHEN len(b3) = 0 THEN ''
-         ELSE array_to_string(b3, chr(10) || chr(10)) || chr(10) END AS clean_content,
+    CASE WHEN html IS NULL OR html = '' THEN NULL WHEN coalesce(len(b), 0) = 0 THEN ''
+         ELSE array_to_string(b, chr(10) || chr(10)) || chr(10) END AS clean_content,
     CASE WHEN html IS NULL THEN 'ParsingError' WHEN html = '' THEN 'EmptyString'
-         WHEN len(b3) = 0 THEN 'NoContent' END AS error_kind FROM pg8)"""
+         WHEN coalesce(len(b), 0) = 0 THEN 'NoContent' END AS error_kind FROM rg LEFT JOIN blk USING (page_id))"""
+
+
+def _nested_pages() -> str:
+    """CTE ``nested``: every page inside containers of its own kind, see ``nested_pages``."""
+    before, after = (f"replace({_q(x)}, '@', CAST(page_id AS VARCHAR))" for x in NESTED)
+    return f"nested AS (SELECT page_id, {before} || html || {after} AS html FROM pages)"
 
 
 def _num(x: str) -> str:
@@ -396,6 +442,9 @@ SELECT page_id, channel_type, region, error_kind FROM page_region"""
     s["q_clean_text"] = "WITH " + _page_region() + """
 SELECT page_id, clean_content, CASE WHEN error_kind <> 'NoContent' THEN error_kind END AS error_kind FROM page_region"""
 
+    s["q_clean_nested"] = "WITH " + _nested_pages() + "," + _page_region("nested") + """
+SELECT page_id, region, clean_content, CASE WHEN error_kind <> 'NoContent' THEN error_kind END AS error_kind FROM page_region"""
+
     s["q_fill_content"] = "WITH " + ITEMS + "," + _page_region() + """
 SELECT 'page:' || CAST(page_id AS VARCHAR) AS item_id, error_kind, error_kind AS error_text,
        CASE WHEN error_kind IS NULL THEN clean_content END AS clean_content

@@ -146,3 +146,25 @@ def ratings_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.select(
         F.concat(F.lit("https://example.org/doc/"), F.col("doc_id").cast("string")).alias("link"),
         ((F.col("doc_id") + 2 * F.col("quality") + 3 * F.col("toxic")) % 7).cast("string").alias("rating"))
+
+
+# Text around a page that puts it into containers of the kinds
+# the outlets' rules look for, with containers of the same kind inside; @ is
+# the page's number.
+NESTED = (
+    """<!DOCTYPE html><body><p>before</p><main data-x="a>b"><article class='top > x'><p title="1>0">Lead @.</p>"""
+    """<div><div data-dtm-region="articulo_cuerpo" title='c>d'><p class="article-text">Region @.</p><div><article>"""
+    """<p class=article-text>Card <em>@</em>.</p></article><div data-dtm-region='articulo_cuerpo'><p>Inner @.</p></div></div>""",
+    """<p class='article-text'>After &#8364; &#x20AC; &#146;@&#146; &eacute;.</p><ol start="@"><li>One<li><p>Two</p>"""
+    """<ul><li>Deep</ul></li><li>Three</ol><ol><li>First</ol></div></div><p>Tail @.</p></article></div><main><p class="article-text">"""
+    """Main in main.</p></main><p class="article-text">Still main @.</p></main><p class="article-text">Outside.</p>"""
+    """<article><p>Second article @.</p></article><script>var t = "<p>never";""")
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of ``pages`` inside nested ``article``, ``main`` and ``div``
+    elements, with ``>`` in attributes, numbered lists, references by number
+    and a script that nothing closes."""
+    number = F.col("page_id").cast("string")
+    before, after = (F.replace(F.lit(x), F.lit("@"), number) for x in NESTED)
+    return pages_with_channel(spark, sf_dir).withColumn("html", F.concat(before, F.col("html"), after))

@@ -22,7 +22,7 @@ PLAIN = [
      "* One\n\n* Two\n\nafter\n\n* wrapped\n\ntext\n* alpha\n\nbeta\n"),
     ("<p><b>Open<br><p>goes on</p><h2>still</h2><p>ends</b> here <i> x </i></p>",
      "**Open**\n\n**goes on**\n\n## **still**\n\n**ends** here *x*\n"),
-    ("a &lt;b&gt; &amp;lt; &eacute;&nbsp;😊 &#8364;<b></b>", "a <b> &lt; é\xa0😊 &#8364;\n"),
+    ("a &lt;b&gt; &amp;lt; &eacute;&nbsp;😊 &#8364;<b></b>", "a <b> &lt; é\xa0😊 €\n"),
     ("<p>" + "word " * 401 + "</p>", "\n".join([("word " * 200).strip()] * 2 + ["word"]) + "\n"),
     ("   ", ""), ("<p></p><hr>", ""),
 ]
@@ -100,3 +100,67 @@ def test_references_of_every_name(spark):
     got = _clean(spark, ("Agency", "".join(f"<p>x&{n};x</p>" for n in names)), ("Agency", "<p>none</p>"))
     assert got[0].clean_content == "\n\n".join(f"x{unescape(f'&{n};')}x" for n in names) + "\n"
     assert got[1].clean_content == "none\n"
+
+
+def test_regions_end_at_their_own_tags(spark):
+    mark = 'data-dtm-region="articulo_cuerpo"'
+    pages = [
+        ("20minutos", "<article><p>one</p><article><p>card</p></article><p>two</p></article><article><p>no</p></article>",
+         "one\n\ncard\n\ntwo\n"),
+        ("20minutos", "<p>no</p></article></div><article><p>one</p></div><p>two", "one\n\ntwo\n"),
+        ("ElDiario.es", "<main><p class=article-text>a<main><p class='article-text'>b</p></main><p class=\"article-text\">c</p></main>"
+                        "<p class=article-text>no", "a\n\nb\n\nc\n"),
+        ("El País", f"<article><div><div {mark}><div><div>x</div><p>in</div><p>still</p></div></div><p>out</p></article>",
+         "in\n\nstill\n"),
+        ("El País", f"<article><div {mark}><p>A<div {mark}><p>B</p><div {mark}><p>C</div></div></div></article>",
+         "A\n\nB\n\nC\n\nB\n\nC\n\nC\n"),
+        ("elmundo", "<article><p>x</p>" * 30 + "</article>" * 29 + "<p>last</p></article><p>no</p>", "x\n\n" * 30 + "last\n"),
+    ]
+    for row, (_, html, text) in zip(_clean(spark, *[p[:2] for p in pages]), pages):
+        assert row.clean_content == text, html
+
+
+def test_tags_with_quotes_and_without_ends(spark):
+    long = "x>" * 700
+    pages = [
+        ('<p title="a>b" data-x=\'c>d\'>text</p>', "text\n"), ('<a href="x"y\'z>link</a> <p title="open>shown</p>', "link\n\nshown\n"),
+        ("seen<script>var a = '<p>code", "seen\n"), ("seen<style>p { }", "seen\n"), ("a<!-- <p>no", "a\n"),
+        ("a<svg><title>no</title><path d='M'/></svg>b", "ab\n"), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2\n"),
+        ("a <b>bold</b> x</b> y</i>", "a **bold** x y\n"), ("<p" + " <a" * 3000, ""),
+        (f'<p><img src="{"A" * 5000}">image</p><p title="{long}">', "image\n\n" + ("x>" * 700)[1:] + '">\n'),
+    ]
+    for row, (html, text) in zip(_clean(spark, *[("Agency", h) for h, _ in pages]), pages):
+        assert row.clean_content == text or len(html) > 5000, html
+
+
+def test_numbered_lists(spark):
+    pages = [("<ol><li>a<li>b</ol><ul><li>c</ul>", "1. a\n2. b\n\n* c\n"),
+             ("<ol start=7><li>a<ol><li>x</li><li>y</li></ol></li><li>b</li></ol><ol><li>z</ol>",
+              "7. a\n\n1. x\n2. y\n\n8. b\n\n1. z\n"),
+             ("<ul><li>a<ol START = '3'><li><p>x</p></ol><li>b</ul><li>stray", "* a\n\n3. x\n\n* b\n\n* stray\n")]
+    for row, (html, text) in zip(_clean(spark, *[("Agency", h) for h, _ in pages]), pages):
+        assert row.clean_content == text, html
+
+
+def test_references_by_number(spark):
+    from html import unescape
+    codes = ["#8364", "#x20AC", "#X1f600", "#65", "#146", "#129", "#0", "#55296", "#1114112", "#x10FFFD", "#233", "#39"]
+    got, = _clean(spark, ("Agency", "".join(f"<p>x&{c};x</p>" for c in codes) + "<p>&#; &#x; &#12a; a&#9;b&#3;c &#38;lt;</p>"))
+    want = ["x" + unescape(f"&{c};").replace("\x81", "\ufffd") + "x" for c in codes]
+    assert got.clean_content.split("\n\n")[:-1] == want
+    assert got.clean_content.endswith("&#; &#x; &#12a; a bc &lt;\n")
+
+
+def test_plan_is_small_and_deals_pages_once(spark):
+    df = spark.createDataFrame([(1, "Agency", "<p>x")], "i int, channel string, html string")
+    plan = clean_pages(df)._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 40_000 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_columns_of_pages_stay(spark):
+    rows = [(1, "Agency", "<p>x", None), (1, "Agency", None, "c"), (None, None, "", "d"), (1, "Agency", "<p>x", None)]
+    df = spark.createDataFrame(rows, "pos int, channel string, html string, clean string")
+    got = sorted(((r.pos, r.channel, r[-1].clean_content, r[-1].error_kind) for r in clean_pages(df.drop("clean")).collect()), key=repr)
+    assert got == sorted([(1, "Agency", "x\n", None), (1, "Agency", None, "ParsingError"), (None, None, None, "EmptyString"),
+                          (1, "Agency", "x\n", None)], key=repr)
+    assert clean_pages(df.limit(0)).count() == 0
