@@ -36,6 +36,9 @@ from pyspark.sql import functions as F
 
 from ..functions.items import channel_type, make_error
 from ..schema import ERROR_TYPE
+from ..session import materialize
+from ..sinks.table import bucket_of
+from ..sources.pages import PageStore
 
 WRAP_WIDTH = 1000
 
@@ -300,18 +303,26 @@ def clean_pages(pages: DataFrame, channel_col: str = "channel", html_col: str =
                  F.when(bad, "none").otherwise(F.col("_region")).alias("region")).alias("clean"))
 
 
-def _taken_pages(links: DataFrame, pages: DataFrame, url_col: str, html_col: str, page_key: str | None) -> DataFrame:
+def _taken_pages(links: DataFrame, pages: DataFrame, url_col: str, html_col: str, page_key: str | None,
+                 buckets: int | None) -> DataFrame:
     """(url, _html) of one page per wanted url: the first by page key (else the
     smallest body).  The links cut the page table first, the choice is made on
-    narrow rows, and a body is read only for the chosen page."""
-    needed = pages.join(links, url_col, "left_semi")
+    narrow rows, and a body is read only for the chosen page.  In a store with
+    buckets the links' buckets are part of the key, so that Spark reads no
+    other ones while the links are few."""
+    key = [url_col]
+    if buckets:
+        # written once, so Spark knows their bytes when it plans; the comparison makes them a filter in its eyes
+        links = materialize(links.withColumn("bucket", bucket_of(url_col, buckets)), "wanted-links").where(F.col(url_col) != "")
+        key = ["bucket", url_col]
+    needed = pages.join(links, key, "left_semi")
     if page_key is None:
         return needed.groupBy(url_col).agg(F.min(html_col).alias("_html"))
-    first = needed.select(url_col, page_key).groupBy(url_col).agg(F.min(page_key).alias(page_key))
-    return needed.join(first, [url_col, page_key], "left_semi").select(url_col, F.col(html_col).alias("_html"))
+    first = needed.select(*key, page_key).groupBy(*key).agg(F.min(page_key).alias(page_key))
+    return needed.join(first, [*key, page_key], "left_semi").select(url_col, F.col(html_col).alias("_html"))
 
 
-def fill_content(items: DataFrame, pages: DataFrame, url_col: str = "url", html_col: str = "html",
+def fill_content(items: DataFrame, pages: DataFrame | PageStore, url_col: str = "url", html_col: str = "html",
                  page_key: str | None = None, clean: bool = True) -> DataFrame:
     """Fill ``clean_content`` / ``error`` of items from landed pages.
 
@@ -320,12 +331,17 @@ def fill_content(items: DataFrame, pages: DataFrame, url_col: str = "url", html_
     * cleaned text empty → ``NoContent``; otherwise the text.
 
     An item that carries an error keeps it unless one of these replaces it.
-    ``page_key`` (unique per page) chooses among pages of one url.
+    ``page_key`` (unique per page) chooses among pages of one url.  ``pages`` is
+    a table or a store laid out in buckets (``sources.pages``), of which the
+    links' buckets are read.
     ``clean=False`` takes the landed body as text (an already-extracted
     article store).
     """
+    buckets = None
+    if isinstance(pages, PageStore):
+        pages, buckets = pages.pages, pages.buckets
     links = items.select(F.col("link").alias(url_col)).distinct()
-    one = _taken_pages(links, pages, url_col, html_col, page_key).withColumnRenamed(url_col, "_url")
+    one = _taken_pages(links, pages, url_col, html_col, page_key, buckets).withColumnRenamed(url_col, "_url")
     joined = items.join(one.withColumn("_landed", F.lit(True)), F.col("link") == F.col("_url"), "left")
     body = F.col("_html")
     if clean:

@@ -216,6 +216,40 @@ def q_insert_new(spark, sf_dir):
         "item_id", "link")
 
 
+def q_insert_batches(spark, sf_dir):
+    """Three batches into one table, the second one given twice;
+    each stored link with its batch and the count that its insert reported."""
+    import uuid
+    from ..session import checkpoint_dir
+    from ..sinks.table import insert_items, stored
+    path = f"{checkpoint_dir(spark)}/tables/batches-{uuid.uuid4().hex}"
+    items = _content_addressed(spark, sf_dir)
+    reported = F.lit(None).cast("long")
+    for n in (0, 1, 1, 2):
+        count = insert_items(spark, items.where(F.col("item_id") % 3 == n), path, ["item_id"], batch=f"third-{n}")
+        reported = F.when(F.col("batch") == f"id-third-{n}", F.lit(count).cast("long")).otherwise(reported)
+    return stored(spark, path).select("batch", "link", "title", reported.alias("reported"))
+
+
+def q_page_store(spark, sf_dir):
+    """J2 against a store in buckets: two batches of pages and one given again;
+    the items of every tenth page, and as many links without a page."""
+    import uuid
+    from ..functions.items import error_text
+    from ..operators.content import fill_content
+    from ..session import checkpoint_dir
+    from ..sources.pages import land_pages, page_store
+    path = f"{checkpoint_dir(spark)}/tables/pages-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages")
+    for n in (0, 1, 0):
+        land_pages(pages.where(F.col("page_id") % 2 == n), path, buckets=16, batch=f"half-{n}")
+    items = page_items(spark, sf_dir).where(F.substring("item_id", -1, 1) == "0")
+    gone = items.withColumn("item_id", F.concat(F.lit("no-"), F.col("item_id"))).withColumn(
+        "link", F.concat("link", F.lit("#none")))
+    out = fill_content(items.unionByName(gone), page_store(spark, path), page_key="page_id")
+    return out.select("item_id", "link", error_text(F.col("error")).alias("error_text"), "clean_content")
+
+
 def q_store_round_trip(spark, sf_dir):
     import os
     import uuid
@@ -305,6 +339,8 @@ def contract_queries() -> dict:
         "q_two_phase": q_two_phase,
         "q_dedup_link": q_dedup_link,
         "q_insert_new": q_insert_new,
+        "q_insert_batches": q_insert_batches,
+        "q_page_store": q_page_store,
         "q_store_round_trip": q_store_round_trip,
         "q_feedback": q_feedback,
         "q_csv_round_trip": q_csv_round_trip,

@@ -466,6 +466,18 @@ existing AS (SELECT DISTINCT 'https://example.org/' || md5(text) AS link FROM do
              WHERE doc_id IN (SELECT doc_id FROM labels))
 SELECT item_id, link FROM firsts WHERE link NOT IN (SELECT link FROM existing)"""
 
+    s["q_insert_batches"] = "WITH " + ITEMS + """,
+ca AS (SELECT i.item_id, i.title, 'https://example.org/' || md5(r.text) AS link FROM items i JOIN raw_items r USING (item_id)),
+firsts AS (SELECT link, min(item_id % 3) AS n, arg_min(title, (item_id % 3) * 1000000000000 + item_id) AS title FROM ca GROUP BY link)
+SELECT 'id-third-' || n AS batch, link, title, count(*) OVER (PARTITION BY n) AS reported FROM firsts"""
+
+    s["q_page_store"] = "WITH " + _page_region() + """
+SELECT 'page:' || p.page_id AS item_id, url AS link, error_kind AS error_text,
+       CASE WHEN error_kind IS NULL THEN clean_content END AS clean_content
+FROM page_region r JOIN pages p USING (page_id) WHERE p.page_id % 10 = 0
+UNION ALL SELECT 'no-page:' || page_id, url || '#none', 'NetworkError(no landed page for ' || url || '#none)', NULL
+FROM pages WHERE page_id % 10 = 0"""
+
     s["q_store_round_trip"] = "WITH " + FILLED + """
 SELECT channel, title, link, description, creators, pub_date, categories, keywords, clean_content,
        error_kind, CAST(NULL AS VARCHAR) AS error_message

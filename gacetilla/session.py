@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -91,18 +92,34 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-_SCOPES: list[list[str]] = []
+def make_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(p)
+
+
+def rename_path(spark: SparkSession, source: str, target: str) -> None:
+    """One rename inside a file system; an error when the target exists."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    fs = old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(new) or not fs.rename(old, new):
+        raise FileExistsError(f"{source} could not become {target}")
+
+
+#: tables materialised in the open ``scratch`` block of this thread or task
+_SCOPE: ContextVar[list[str] | None] = ContextVar("gacetilla_scratch", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables materialised inside the block are deleted at its end: for callers
-    that have written their results by then."""
-    _SCOPES.append([])
+    """Tables materialised inside the block, by its own thread, are deleted at
+    its end: for callers that have written their results by then."""
+    mine: list[str] = []
+    token = _SCOPE.set(mine)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPE.reset(token)
+        for path in mine:
             delete_path(spark, path)
 
 
@@ -114,6 +131,7 @@ def materialize(df, name: str = "table"):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/materialized/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    mine = _SCOPE.get()
+    if mine is not None:
+        mine.append(path)
     return spark.read.parquet(path)

@@ -3,8 +3,8 @@
 A report is a DataFrame of ``(section, ord, line)``: sections keep the
 document order, ``ord`` numbers lines within a section.  Lines are built
 with native string functions on the executors from the templates below;
-writing sorts by (section, ord) and emits the text with many writers, so no
-report passes through the driver.
+writing sorts by (section, ord), emits the text with many writers and
+publishes their files by renaming, so no report passes through the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.formatting import anchor, number_text, truncate_chars
 from ..functions.items import error_debug, option_debug
 from ..operators.rank import number_all
-from ..session import checkpoint_dir, delete_path, existing_paths
+from ..session import delete_path, existing_paths, rename_path
 
 # The report texts, in document order.  ``{name}`` is a field.
 RELEVANCE_TITLE = ["# Relevance Report", ""]
@@ -146,31 +146,97 @@ def dossier_lines(items: DataFrame, run_time: str, position: str = "rank") -> Da
             .unionByName(_fixed(spark, 7, [""])))
 
 
+def _committed(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """(version, runs) of a report's latest manifest."""
+    found = sorted(existing_paths(spark, f"{path}/_manifest-*"))
+    if not found:
+        return 0, []
+    numbers = found[-1].rsplit("/", 1)[-1].split("-")[1:]
+    p = spark._jvm.org.apache.hadoop.fs.Path(found[-1])
+    data = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(p)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8")
+    finally:
+        data.close()
+    return int(numbers[0]), [int(x) for x in text.split()]
+
+
+def _commit(spark: SparkSession, path: str, version: int, runs: list[int]) -> None:
+    """The next manifest: written aside, then renamed.  Two writers that want
+    the same version can't both have it."""
+    aside = f"{path}/_new-manifest-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(aside)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, False)
+    try:
+        out.write(bytearray(" ".join(map(str, runs)).encode()))
+    finally:
+        out.close()
+    try:
+        rename_path(spark, aside, f"{path}/_manifest-{version:08d}")
+    finally:
+        delete_path(spark, aside)
+
+
+def _parts(spark: SparkSession, path: str) -> dict[int, list[str]]:
+    """Published part files by run."""
+    out: dict[int, list[str]] = {}
+    for part in existing_paths(spark, f"{path}/part-r*"):
+        if m := re.match(r"part-r([0-9]+)-", part.rsplit("/", 1)[-1]):
+            out.setdefault(int(m[1]), []).append(part)
+    return out
+
+
 def write_report(lines: DataFrame, path: str, mode: str = "append") -> None:
     """K7: write the report as text, lines in (section, ord) order.
 
     The sort is range-partitioned, so the report is written by many tasks.  A
-    report is a folder of part files that are read in name order.  A report
-    that is appended is written aside first; its parts then get names that
-    follow all earlier ones, so the folder reads as one report after another.
+    report is a folder of part files that are read in name order.  A run's
+    parts are written into a hidden folder of the report; then each is renamed,
+    with a name that follows all earlier runs', and the next manifest lists the
+    run.  No line passes the driver, and nothing is copied.  The runs of the
+    latest manifest are the report: a run that fails takes its parts away and
+    leaves the report as it was, and parts that a lost driver left are taken
+    away by the next run.  Overwriting removes the old runs after the manifest
+    of the new one.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError("mode is 'append' or 'overwrite'")
     spark = lines.sparkSession
-    aside = f"{checkpoint_dir(spark)}/reports/{uuid.uuid4().hex}"
-    lines.orderBy("section", "ord").select("line").write.text(aside)
-    if mode == "overwrite":
-        delete_path(spark, path)
-    runs = [int(m[1]) for x in existing_paths(spark, f"{path}/part-*")
-            if (m := re.match(r"part-r([0-9]+)-", x.rsplit("/", 1)[-1]))]
+    version, runs = _committed(spark, path)
+    for run, parts in _parts(spark, path).items():
+        if run not in runs:
+            for part in parts:
+                delete_path(spark, part)
     run = max(runs, default=0) + 1
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    target = hadoop.Path(path)
-    target.getFileSystem(conf).mkdirs(target)
-    for part in sorted(existing_paths(spark, f"{aside}/part-*")):
-        name = part.rsplit("/", 1)[-1].removeprefix("part-")
-        source = hadoop.Path(part)
-        hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf),
-                             hadoop.Path(f"{path}/part-r{run:06d}-{name}"), True, conf)
-    delete_path(spark, aside)
+    aside = f"{path}/_run-{uuid.uuid4().hex}"
+    published = []
+    try:
+        lines.orderBy("section", "ord").select("line").write.text(aside)
+        for part in sorted(existing_paths(spark, f"{aside}/part-*")):
+            target = f"{path}/part-r{run:06d}-{part.rsplit('/', 1)[-1].removeprefix('part-')}"
+            rename_path(spark, part, target)
+            published.append(target)
+        _commit(spark, path, version + 1, [*runs, run] if mode == "append" else [run])
+    except BaseException:
+        for part in published:
+            delete_path(spark, part)
+        raise
+    finally:
+        delete_path(spark, aside)
+    if version:
+        delete_path(spark, f"{path}/_manifest-{version:08d}")
+    if mode == "overwrite":
+        for old in runs:
+            for part in _parts(spark, path).get(old, []):
+                delete_path(spark, part)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """(run, part, line) of a report's committed runs; lines of a part stand in order."""
+    runs = _committed(spark, path)[1]
+    parts = [p for run, own in sorted(_parts(spark, path).items()) if run in runs for p in sorted(own)]
+    if not parts:
+        return spark.createDataFrame([], "run int, part string, line string")
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return spark.read.text(parts).select(F.regexp_extract(name, "^part-r([0-9]+)-", 1).cast("int").alias("run"),
+                                         name.alias("part"), F.col("value").alias("line"))

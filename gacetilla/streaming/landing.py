@@ -2,14 +2,16 @@
 
 Not a new operator: the same scan → normalise → opt-in → insert-if-absent
 steps, run by Structured Streaming as RSS files land in a folder.  Each
-micro-batch is inserted with ``insert_items``; because the insert keeps one
-row per link and skips stored links, a replayed batch (after a failure)
-inserts nothing twice.  No state is kept besides the table itself, so no
+micro-batch is inserted with ``insert_items`` under its own batch id, so a
+replayed batch (after a failure) changes nothing, and links that are stored
+already are skipped.  No state is kept besides the table itself, so no
 watermark is needed.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,10 @@ def start_landing(spark: SparkSession, landing_dir: str, table_path: str, checkp
     """Start the query; ``once`` processes what has landed and stops."""
     items = landed_items(spark, landing_dir, opt_in_terms, op)
 
-    def _insert(batch: DataFrame, _epoch: int) -> None:
-        insert_items(batch.sparkSession, batch, table_path, order=["item_id"])
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()  # epochs count anew for each checkpoint
+
+    def _insert(batch: DataFrame, epoch: int) -> None:
+        insert_items(batch.sparkSession, batch, table_path, order=["item_id"], batch=f"{stream}-{epoch}")
 
     writer = items.writeStream.foreachBatch(_insert).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")

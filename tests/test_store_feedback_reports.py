@@ -130,6 +130,115 @@ def test_report_is_appended(spark, workdir):
     assert text() == once("c")
 
 
+def _report(workdir):
+    names = sorted(f for f in os.listdir(f"{workdir}/r") if f.startswith("part-"))
+    return "".join(open(f"{workdir}/r/{f}").read() for f in names)
+
+
+def test_failed_run_leaves_the_report(spark, workdir):
+    import pytest
+    from gacetilla.sinks.reports import _commit, read_report
+    line = lambda c: spark.range(0, 30, numPartitions=3).select(
+        F.lit(0).alias("section"), F.col("id").alias("ord"), c.alias("line"))
+    write_report(line(F.col("id").cast("string")), f"{workdir}/r")
+    before = _report(workdir)
+    fails = F.when(F.col("id") == 29, F.raise_error(F.lit("no"))).otherwise(F.lit("x")).cast("string")
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception):
+            write_report(line(fails), f"{workdir}/r", mode)
+        assert _report(workdir) == before
+    # a driver that is lost before its commit leaves parts that are no part of the report
+    with open(f"{workdir}/r/part-r000002-00000-lost.txt", "w") as f:
+        f.write("lost\n")
+    assert read_report(spark, f"{workdir}/r").where("line = 'lost'").count() == 0
+    write_report(line(F.lit("second")), f"{workdir}/r")
+    assert _report(workdir) == before + "second\n" * 30
+    got = read_report(spark, f"{workdir}/r").groupBy("run").count().collect()
+    assert {tuple(r) for r in got} == {(1, 30), (2, 30)}
+    assert [f for f in os.listdir(f"{workdir}/r") if f.startswith("_")] == ["_manifest-00000002"]
+    with pytest.raises(FileExistsError):
+        _commit(spark, f"{workdir}/r", 2, [1])  # another writer has had that version
+
+
+def _break(folder):
+    """Spoils every data file under a folder."""
+    for root, _, files in os.walk(folder):
+        for f in files:
+            os.chmod(os.path.join(root, f), 0o600)
+            with open(os.path.join(root, f), "wb") as out:
+                out.write(b"no parquet")
+
+
+def test_insert_reads_only_its_buckets(spark, workdir):
+    from gacetilla.sinks.table import batch_size, bucket_of, create_table, stored_links
+    path = f"{workdir}/t"
+    create_table(spark, path, buckets=8)
+    assert insert_items(spark, _items(spark, 40), path, batch="a") == 40
+    assert insert_items(spark, _items(spark, 41).where("item_id >= 30"), path, batch="b") == 1
+    assert batch_size(spark, path, "a") == 40 and batch_size(spark, path, "none") is None
+    two = _items(spark, 2)
+    plan = stored_links(spark, path, two)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    own = {r[0] for r in two.select(bucket_of("link", 8)).collect()}
+    for b in set(range(8)) - own:
+        _break(f"{path}/batch=id-a/bucket={b}")
+    assert insert_items(spark, two, path, batch="c") == 0
+
+
+def test_retried_insert_is_no_insert(spark, workdir):
+    path = f"{workdir}/t"
+    assert insert_items(spark, _items(spark, 5), path, batch="x-1") == 5
+    assert insert_items(spark, _items(spark, 9), path, batch="x-1") == 5  # the batch is stored: its own count
+    assert insert_items(spark, _items(spark, 0), path, batch="x-2") == 0
+    assert insert_items(spark, _items(spark, 3), path, batch="x-2") == 0
+    assert read_table(spark, path).count() == 5
+    assert not [f for f in os.listdir(path) if f.startswith("_staging")]
+
+
+def test_page_store_reads_wanted_buckets(spark, workdir):
+    from gacetilla.operators.content import fill_content
+    from gacetilla.sinks.table import bucket_of
+    from gacetilla.sources.pages import land_pages, page_store
+    pages = spark.createDataFrame([(i, f"https://p/{i % 60}", f"<p>{i}</p>") for i in range(80)],
+                                  "page_id int, url string, html string")
+    for batch in ("one", "one", "two"):
+        land_pages(pages.where(F.col("page_id") % 2 == int(batch == "two")), f"{workdir}/p", buckets=16, batch=batch)
+    items = _items(spark, 4).withColumn("link", F.concat(F.lit("https://p/"), F.col("item_id").cast("string")))
+    store = page_store(spark, f"{workdir}/p")
+    assert store.buckets == 16 and store.pages.count() == 80
+    small = spark.createDataFrame(items.collect(), items.schema)
+    out = fill_content(small, store, page_key="page_id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    own = {r[0] for r in items.select(bucket_of("link", 16)).collect()}
+    for b in set(range(16)) - own:
+        for batch in ("one", "two"):
+            _break(f"{workdir}/p/batch=id-{batch}/bucket={b}")
+    out = fill_content(small, page_store(spark, f"{workdir}/p"), page_key="page_id")
+    assert {(r.item_id, r.clean_content) for r in out.collect()} == {(i, f"{i}\n") for i in range(4)}
+
+
+def test_scratch_belongs_to_its_thread(spark):
+    import threading
+    from gacetilla.session import materialize, scratch
+    inside, outside, kept = threading.Event(), threading.Event(), []
+
+    def other():
+        inside.wait()
+        kept.append(materialize(spark.range(3), "other"))
+        outside.set()
+
+    t = threading.Thread(target=other)
+    t.start()
+    with scratch(spark):
+        mine = materialize(spark.range(2), "mine")
+        inside.set()
+        outside.wait()
+        assert mine.count() == 2
+    t.join()
+    assert kept[0].count() == 3
+
+
 def test_anchor_and_number_text(spark):
     df = spark.createDataFrame([("¡Hola, Mundo! 2024",), ("--Already-slugged--",)], "t string")
     assert [r.a for r in df.select(anchor("t").alias("a")).collect()] == ["#hola-mundo-2024", "#already-slugged"]
