@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +56,21 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
+# Fixed value: how byte-level BPE splits a text before its merges.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: white space runs from this length on are left to the slower library
+LONG_SPACE = re.compile(r"\s{10000}")
+
+
 class ByteLevel:
-    """Encoder A, from the text of a ``tokenizers`` file."""
+    """Encoder A, from the text of a ``tokenizers`` file.
+
+    Where the file's merges stand in the order of their ids, with the usual
+    split, its vocabulary is a rank file, and ``tiktoken`` gives the same ids in
+    a sixth of the time (the tests compare both on every character); its
+    splitting overflows on very long white space, which ``tokenizers`` encodes,
+    as it does every text of any other file.
+    """
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
@@ -69,9 +83,26 @@ class ByteLevel:
         for token, i in vocab.items():
             known = all(c in byte for c in token)
             self.bytes[i] = bytes(byte[c] for c in token) if known else token.encode()
+        self.ranks = self._ranks(json.loads(text))
+
+    def _ranks(self, file):
+        split, model = file["pre_tokenizer"] or {}, file["model"]
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        plain = (split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+                 and not file["normalizer"] and not model["dropout"] and not model["continuing_subword_prefix"]
+                 and not model["end_of_word_suffix"] and len(model["vocab"]) == 256 + len(merges)
+                 and all(model["vocab"][m] == 256 + i for i, m in enumerate(merges)))
+        if not plain:
+            return None
+        import tiktoken
+
+        ranks = {self.bytes[i]: i for i in model["vocab"].values()}
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        return self.model.encode(" " + text, add_special_tokens=False).ids
+        if self.ranks is None or (len(text) >= 10000 and LONG_SPACE.search(text)):
+            return self.model.encode(" " + text, add_special_tokens=False).ids
+        return self.ranks.encode_ordinary(" " + text)
 
 
 class Pieces:

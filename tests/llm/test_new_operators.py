@@ -25,6 +25,19 @@ def test_alignment(spark):
     H.same(only, [(1, 0, 0, 0, 0, 0, 0, ""), (None, 0, 0, 0, 0, 0, 0, "")])
 
 
+def test_rank_encoding_is_the_files_encoding():
+    with open(PATHS[0], encoding="utf-8") as f:
+        own = anchors.ByteLevel(f.read())
+    assert own.ranks is not None
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(codes), 50_000):
+        texts = [f"a{chr(c)}{chr(c)}1 {chr(c)}! {chr(c)} b" for c in codes[at:at + 50_000]]
+        want = own.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        assert [own.encode(t) for t in texts] == [e.ids for e in want]
+    long = "x" + " " * 40_000 + "y\n\n\n" + "z" * 40_000
+    assert own.encode(long) == own.model.encode(" " + long, add_special_tokens=False).ids
+
+
 def test_windows_are_remembered_by_ids_and_forgotten(spark):
     with open(PATHS[0], encoding="utf-8") as f, open(PATHS[1], "rb") as g:
         own = anchors.Aligner(f.read(), g.read(), memo=5)
