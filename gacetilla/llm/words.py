@@ -18,7 +18,6 @@ CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _Q = _U(0x9E3779B97F4A7C15 | 3)          # odd multiplier of byte positions
-_QINV = _U(pow(int(_Q), -1, 1 << 64))
 
 
 def byte_class(inside) -> np.ndarray:
@@ -55,6 +54,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _placed(data: np.ndarray, start: np.ndarray, table: np.ndarray, step: np.uint64) -> np.ndarray:
+    """A value for each byte and its place behind the last of ``start``, all bits
+    mixed: sums of them tell runs apart whatever their pattern (sums of powers
+    modulo 2**64 would not)."""
+    place = np.zeros(len(data), dtype=np.int64)
+    place[start] = start
+    np.maximum.accumulate(place, out=place)
+    place = np.arange(len(data)) - place
+    return mix(table[data] + place.view(np.uint64) * step)
+
+
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string array; nulls are empty."""
     if col.null_count:
@@ -108,13 +118,10 @@ class Words:
     def _hash(self, word) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
-        n = len(self.data)
         with np.errstate(over="ignore"):
-            vals = _BYTE[self.data]
-            vals *= powers(_Q, n)
+            vals = _placed(self.data, self.start, _BYTE, _Q)
             vals[~word] = 0
             out = np.add.reduceat(vals, self.start)
-            out *= powers(_QINV, n)[self.start]
             out += (self.end - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
             return mix(out)
 
@@ -138,15 +145,17 @@ def window_hash(names: np.ndarray, starts: np.ndarray, lengths) -> np.ndarray:
 
 
 _BYTE2 = np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_Q2 = _U(0xC2B2AE3D27D4EB4F)
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
-    """64-bit hashes of the byte spans ``data[start:end]``; ``second`` is independent of the first."""
+    """64-bit hashes of the byte spans ``data[start:end]``, which follow each
+    other without overlap; ``second`` is independent of the first."""
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((_BYTE2 if second else _BYTE)[data] * powers(_Q, len(data)), out=total[1:])
-        out = (total[end] - total[start]) * powers(_QINV, len(data) + 1)[start]
-        return mix(out + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        solid = start[end > start]
+        np.cumsum(_placed(data, solid, _BYTE2, _Q2) if second else _placed(data, solid, _BYTE, _Q), out=total[1:])
+        return mix(total[end] - total[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 class Lines:
