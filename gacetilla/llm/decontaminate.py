@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
+from .tables import Shared
 from .words import ALNUM, Words, chunks, window_hash
 
 WINDOW = 10
@@ -224,9 +225,8 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int):
     blocks = max(1, -(-total // block_words))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow()
-        yield benchmark.sparkSession.sparkContext.broadcast(
-            Phrases([(i, np.array(w, dtype=np.int64).view(np.uint64))
-                     for i, w in zip(rows["item_id"].to_pylist(), rows["words"].to_pylist())], window))
+        words = [np.array(w, dtype=np.int64).view(np.uint64) for w in rows["words"].to_pylist()]
+        yield Shared(benchmark.sparkSession, Phrases(list(zip(rows["item_id"].to_pylist(), words)), window))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .dom import FEATURES, TAG_GROUPS, TOKEN_GROUPS, features, kept_text, parse
 from .sample_pages import labelled_pages
+from .tables import Shared
 
 TEMPLATE_PAGES = 700
 CORPUS_PAGES = 100
@@ -171,7 +172,7 @@ def _extract(trees):
 def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """(page_id, url, text) with the main text of every page."""
     spark = pages.sparkSession
-    model = spark.sparkContext.broadcast(trees or fit(spark, pages))
+    model = Shared(spark, trees or fit(spark, pages))
     return (pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                          F.col("html").cast("string").alias("html"))
             .mapInArrow(_extract(model), "page_id long, url string, text string"))

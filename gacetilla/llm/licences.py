@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialize
+from .tables import Shared, materialize
 from .words import ALNUM, Lines, Words, chunks
 
 MIN_COSINE = 0.8
@@ -234,7 +234,7 @@ def inherit(files: DataFrame) -> DataFrame:
 def scan(files: DataFrame, min_cosine: float = MIN_COSINE, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(id, path, own, cosine, licence, source_dir) of ``files`` (id, path, text)."""
     rows = files.select("id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    weighed = files.sparkSession.sparkContext.broadcast(weighed_templates(rows, templates))
+    weighed = Shared(files.sparkSession, weighed_templates(rows, templates))
     own = rows.mapInArrow(_own_rows(weighed, min_cosine),
                           f"id {rows.schema['id'].dataType.simpleString()}, path string, own string, cosine double")
     return inherit(own)
@@ -463,7 +463,7 @@ def scan_files(files: DataFrame, min_cosine: float = MIN_COSINE, known: int = KN
                         F.coalesce(is_licence_file("path"), F.lit(False)).alias("whole"))
     frequencies, scorer = line_frequencies(rows), Scorer(min_cosine)
     scorer.weigh(known_weights(frequencies, scorer.templates.vocabulary, known))
-    shared = files.sparkSession.sparkContext.broadcast(scorer)
+    shared = Shared(files.sparkSession, scorer)
     columns = f"id {rows.schema['id'].dataType.simpleString()}, path string, own string, cosine double"
     first = materialize(
         rows.mapInArrow(_best_rows(shared), columns + ", rare array<long>, text string, whole boolean")

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import Shared
 from .words import chunks
 
 SPACE = "▁"
@@ -494,7 +495,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """A row per document: doc_id, ids, ends (source byte offset at which each
     piece ends), n_tokens, ids_sha256 (of the decimal ids joined by commas) and
     decoded, the text decoded from ids."""
-    model = docs.sparkSession.sparkContext.broadcast(Model(model_path))
+    model = Shared(docs.sparkSession, Model(model_path))
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .mapInArrow(_round_trip(model), "doc_id long, ids array<int>, ends array<int>, n_tokens long, "
                                             "ids_sha256 string, decoded string"))

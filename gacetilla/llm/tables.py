@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+class Shared:
+    """A broadcast of an object of this package by value: plain bytes travel, and
+    a task makes the object anew, with its class, so executors need not have
+    the package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self):
+        return {"data": self.data}
+
+    @property
+    def value(self):
+        if not hasattr(self, "made"):
+            self.made = pickle.loads(self.data.value)
+        return self.made
+
+
 class Bitmap:
     """Fixed-size set of 64-bit keys without false negatives.
 
