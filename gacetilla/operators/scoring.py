@@ -11,10 +11,12 @@ Per item:
 
 Occurrences count (a word repeated three times scores three times).
 
-Plan: one narrow ``(key, field, token)`` occurrence table → fuzzy match of
-its distinct tokens → broadcast semi-join (occurrences stay put) → partial
-then final ``sum`` per key.  Only scores move through the shuffle; titles,
-descriptions and contents never do.
+Plan: one pass over the items writes the token table, a row per item with the
+words of its fields and its flags; everything else reads that table.  Its
+distinct words are matched with the lexicon, its occurrences semi-joined with
+the matches (few are broadcast, and occurrences stay put), and summed per key,
+in part before the shuffle.  Only words and scores are shuffled; titles,
+descriptions and contents never are, and no text is cut into words twice.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_commas, split_whitespace
+from ..session import materialize
 from .similarity import DICE_THRESHOLD, filter_matching, matched_tokens
 
 # Points per matching piece of each field, and per creator.
@@ -56,32 +59,40 @@ def _field_tokens(with_content: bool = True) -> list[tuple[str, object]]:
     return fields
 
 
-def token_occurrences(items: DataFrame, key: str = "item_id", with_content: bool = True) -> DataFrame:
-    """(key, field, token) for every scored piece of every error-free item."""
+def token_table(items: DataFrame, key: str = "item_id", with_content: bool = True,
+                carry: list[str] | None = None) -> DataFrame:
+    """A row per item, written once: key, the carried columns, ``error_flag``,
+    ``creator_points`` and ``fields``, the words of each field of an error-free
+    item."""
     fields = [F.struct(F.lit(name).alias("field"), toks.alias("toks"))
               for name, toks in _field_tokens(with_content)]
-    return (items.where(F.col("error").isNull())
-                 .select(key, F.inline(F.array(*fields)))
-                 .select(key, "field", F.explode("toks").alias("token")))
+    rows = items.select(
+        key, *(carry or []), F.col("error").isNotNull().alias("error_flag"),
+        F.when(F.coalesce(F.col("creators"), F.lit("")) != "", F.lit(CREATOR_POINTS))
+         .otherwise(F.lit(0)).cast("long").alias("creator_points"),
+        F.when(F.col("error").isNull(), F.array(*fields)).alias("fields"))
+    return materialize(rows, "tokens")
+
 
+def token_occurrences(tokens: DataFrame, key: str = "item_id") -> DataFrame:
+    """(key, field, token) for every scored piece of a token table."""
+    return (tokens.select(key, F.inline("fields"))
+                  .select(key, "field", F.explode("toks").alias("token")))
 
-def vocabulary(items: DataFrame, with_content: bool = True) -> DataFrame:
+
+def vocabulary(tokens: DataFrame) -> DataFrame:
     """The words to match: each item's distinct pieces (de-duplicated inside
     the row, before anything is shuffled)."""
-    arrays = [F.coalesce(toks, F.array().cast("array<string>")) for _, toks in _field_tokens(with_content)]
-    return (items.where(F.col("error").isNull())
-                 .select(F.explode(F.array_distinct(F.concat(*arrays))).alias("token")))
+    pieces = F.flatten(F.transform("fields", lambda x: F.coalesce(x.toks, F.array().cast("array<string>"))))
+    return tokens.select(F.explode(F.array_distinct(pieces)).alias("token"))
 
 
-def field_hits(items: DataFrame, lexicon: DataFrame, key: str = "item_id",
-               threshold: float = DICE_THRESHOLD, length_unit: str = "byte",
-               with_content: bool = True) -> DataFrame:
+def field_hits(tokens: DataFrame, lexicon: DataFrame, key: str = "item_id",
+               threshold: float = DICE_THRESHOLD, length_unit: str = "byte") -> DataFrame:
     """Per key: by_categories, by_keywords, by_title, by_description, by_content
-    (only keys with at least one matching piece)."""
-    occ = token_occurrences(items, key, with_content)
-    matches = matched_tokens(vocabulary(items, with_content), lexicon, threshold=threshold,
-                             length_unit=length_unit)
-    hits = filter_matching(occ, matches)
+    (only keys with at least one matching piece), from a token table."""
+    matches = matched_tokens(vocabulary(tokens), lexicon, threshold=threshold, length_unit=length_unit)
+    hits = filter_matching(token_occurrences(tokens, key), matches)
     aggs = [F.sum(F.when(F.col("field") == f, F.lit(w)).otherwise(F.lit(0))).cast("long").alias(f"by_{f}")
             for f, w in FIELD_WEIGHTS.items()]
     return hits.groupBy(key).agg(*aggs)
@@ -113,15 +124,9 @@ def score_breakdown(items: DataFrame, lexicon: DataFrame, key: str = "item_id",
                     length_unit: str = "byte", with_content: bool = True) -> DataFrame:
     """One row per item: key, carried columns, the §1.3 score columns,
     ``explanation`` and ``score_text``."""
-    carry = carry or []
-    base = items.select(
-        key, *carry,
-        F.col("error").isNotNull().alias("error_flag"),
-        F.when(F.coalesce(F.col("creators"), F.lit("")) != "", F.lit(CREATOR_POINTS))
-         .otherwise(F.lit(0)).cast("long").alias("creator_points"),
-    )
-    hits = field_hits(items, lexicon, key, threshold, length_unit, with_content)
-    out = _finish(base, hits, key)
+    tokens = token_table(items, key, with_content, carry)
+    hits = field_hits(tokens, lexicon, key, threshold, length_unit)
+    out = _finish(tokens.drop("fields"), hits, key)
     return out.withColumn("explanation", explanation()).withColumn("score_text", score_text())
 
 
@@ -139,10 +144,9 @@ def score_text():
 def with_relevance(items: DataFrame, lexicon: DataFrame, key: str = "item_id",
                    threshold: float = DICE_THRESHOLD, length_unit: str = "byte") -> DataFrame:
     """A4: the items with ``relevance`` set to the net score (all columns kept)."""
-    # The per-key hits are small after aggregation; AQE turns the join into a
-    # broadcast at run time when their measured size allows, so the wide item
-    # rows are not shuffled.
-    carry = [c for c in items.columns if c not in (key, "relevance")]
-    scores = score_breakdown(items, lexicon, key, carry=carry, threshold=threshold,
-                             length_unit=length_unit)
-    return scores.select(key, *carry, F.col("net_relevance").alias("relevance"))
+    # The scores are narrow and written once, so Spark knows their bytes: while
+    # they are small they are broadcast, and the wide item rows stay where they are.
+    scores = score_breakdown(items, lexicon, key, threshold=threshold, length_unit=length_unit)
+    scores = materialize(scores.select(F.col(key).alias("_key"), F.col("net_relevance").alias("_net")), "scores")
+    kept = [F.col(c) for c in items.columns if c not in (key, "relevance")]
+    return items.join(scores, F.col(key) == F.col("_key"), "left").select(key, *kept, F.col("_net").alias("relevance"))

@@ -11,22 +11,25 @@ Similarity of two words, as the ranking defines it:
   what the ranking's similarity routine measures) or the character length
   (``length_unit="char"``).
 
-The match is a *theta* join (token ~ root).  It is evaluated as an
-equi-join on bigrams, per **distinct** token:
+The match is a *theta* join (token ~ root).  It is evaluated per **distinct**
+token as a prefix-filtered set join:
 
 1. distinct tokens (map-side partial distinct, so a hot word costs one row
    per map task, never one row per occurrence);
-2. each token's bigram multiset ``(token, bigram, count)``, computed inside
-   its row (count = size(list) - size(list without the bigram));
-3. join with the root bigrams on the bigram (Spark broadcasts them by their
-   size, and splits skewed bigrams of a large lexicon), a length filter that drops pairs that cannot reach the
-   threshold, and a ``sum(least(count_t, count_r))`` per (token, root) —
-   the multiset intersection exactly.  A one-character word's only "gram"
-   is itself, flagged, so it meets only an equal one-character root; equal
-   words (after white-space removal) score 1.
-
-Steps 2–3 keep the hash partitioning of step 1, so the whole match costs
-one shuffle of distinct tokens.
+2. each word's bigrams as a set of elements (the n-th repetition of a bigram is
+   an element of its own), ordered by the number of roots that hold the bigram,
+   rarest first; bigrams that no root holds come before all others;
+3. a pair that reaches the threshold shares at least
+   ``threshold / (2 - threshold) * (len - 1)`` elements, seen from either
+   word, so the first elements beyond that many must meet: only these prefixes
+   are joined, on the element.  Most tokens have no prefix element that a root
+   holds, and leave there;
+4. a candidate is kept at the first element that both prefixes share, and only
+   if the lengths and what is left behind that element can still reach the
+   threshold; then the sets are intersected, inside the row.
+
+Equal words (after white-space removal) are a join of their own; a
+one-character word, which has no bigrams, matches only so.
 """
 
 from __future__ import annotations
@@ -51,34 +54,61 @@ BIGRAMS_PATTERN = "(?s)(?=(..))"  # every overlapping pair of characters
 
 
 def _words(df: DataFrame, word: str, prefix: str, length_unit: str) -> DataFrame:
-    """(word, norm, ulen, clen, single, arr): normalised word, its lengths and
-    its bigram list (with repeats; null for one-character words)."""
+    """(word, norm, len, n): distinct normalised words, their length in units
+    and their number of bigrams."""
     n = f"{prefix}_norm"
-    clen = F.length(n)
-    return (df.select(word, strip_whitespace(word).alias(n))
-              .withColumn(f"{prefix}_ulen", _unit_length(F.col(n), length_unit))
-              .withColumn(f"{prefix}_clen", clen)
-              .where(F.col(f"{prefix}_clen") >= 1)
-              .withColumn(f"{prefix}_single", F.col(f"{prefix}_clen") == 1)
-              .withColumn(f"{prefix}_arr", F.when(F.col(f"{prefix}_clen") >= 2,
-                                                  F.regexp_extract_all(n, F.lit(BIGRAMS_PATTERN), 1))))
-
-
-def _multiset(words: DataFrame, prefix: str) -> DataFrame:
-    """One row per distinct bigram of a word with its count, computed inside
-    the row (count = size(arr) - size(arr without g)), so no aggregation."""
-    arr = F.col(f"{prefix}_arr")
-    return (words.withColumn(f"{prefix}_g", F.explode(F.array_distinct(arr)))
-                 .withColumn(f"{prefix}_cnt", (F.size(arr) - F.size(F.array_remove(arr, F.col(f"{prefix}_g"))))
-                             .cast("long")))
-
-
-def _with_bigrams(df: DataFrame, word: str, prefix: str, length_unit: str) -> DataFrame:
-    """(word, norm, ulen, clen, single, g, cnt): bigram multiset of each word;
-    a one-character word has the word itself as its only gram."""
-    w = _words(df, word, prefix, length_unit)
-    w = w.withColumn(f"{prefix}_arr", F.coalesce(F.col(f"{prefix}_arr"), F.array(F.col(f"{prefix}_norm"))))
-    return _multiset(w, prefix).drop(f"{prefix}_arr")
+    return (df.select(F.col(word).alias(prefix)).where(F.col(prefix).isNotNull()).distinct()
+              .withColumn(n, strip_whitespace(prefix)).where(F.col(n) != "")
+              .withColumn(f"{prefix}_len", _unit_length(F.col(n), length_unit))
+              .withColumn(f"{prefix}_n", F.length(n) - 1))
+
+
+def _bigrams(words: DataFrame, prefix: str) -> Column:
+    return F.regexp_extract_all(F.col(f"{prefix}_norm"), F.lit(BIGRAMS_PATTERN), 1)
+
+
+def frequencies(words: DataFrame, prefix: str) -> DataFrame:
+    """(gram, words that hold it), written once so that Spark knows its bytes."""
+    grams = words.select(F.explode(F.array_distinct(_bigrams(words, prefix))).alias("gram"))
+    return materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "bigram-frequencies")
+
+
+def _elements(words: DataFrame, prefix: str, held: DataFrame, threshold: float) -> DataFrame:
+    """Words of two characters or more with ``set``, their elements rarest
+    first, and ``pre``, the elements of the prefix that some root holds."""
+    # rows and elements of a word stay in the partitioning of the distinct words
+    each = (words.where(F.col(f"{prefix}_n") >= 1).select("*", F.explode(_bigrams(words, prefix)).alias("gram"))
+            .groupBy(*words.columns, "gram").agg(F.count(F.lit(1)).cast("int").alias("times")))
+    numbered = each.join(held, "gram", "left").select(
+        *words.columns, F.coalesce("held", F.lit(0)).alias("held"), "gram",
+        F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    element = F.when(F.col("time") == 1, F.col("gram")).otherwise(F.concat("gram", F.col("time").cast("string")))
+    ordered = numbered.groupBy(*words.columns).agg(
+        F.sort_array(F.collect_list(F.struct("held", element.alias("e")))).alias("o"))
+    # a little less than the bound, for the rounding of the product
+    share = threshold / (2 - threshold)
+    need = F.greatest(F.ceil(F.lit(share) * (F.col(f"{prefix}_len") - 1) - 1e-9), F.lit(1))
+    first = F.filter(F.slice("o", 1, F.greatest(F.col(f"{prefix}_n") - need + 1, F.lit(0)).cast("int")),
+                     lambda x: x.held > 0)
+    return ordered.select(*words.columns, F.transform("o", lambda x: x.e).alias(f"{prefix}_set"),
+                          F.transform(first, lambda x: x.e).alias(f"{prefix}_pre"))
+
+
+def dice_candidates(tokens: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different words that pass the prefix, length and position
+    filters, each once, with both element sets.  ``tokens`` and ``roots`` are
+    ``_words`` with prefixes ``token`` and ``root``."""
+    threshold = min(threshold, 1.0)  # nothing but equal words scores more
+    held = frequencies(roots, "root")
+    # written once, so Spark knows its bytes and broadcasts it while it is small
+    right = materialize(_elements(roots, "root", held, threshold)
+                        .select("*", F.posexplode("root_pre").alias("_", "e")).drop("_"), "lexicon-prefixes")
+    left = _elements(tokens, "token", held, threshold).select("*", F.explode("token_pre").alias("e"))
+    both = left.join(right, "e").where(F.get(F.array_intersect("token_pre", "root_pre"), F.lit(0)) == F.col("e"))
+    behind = [F.col(f"{p}_n") - F.array_position(f"{p}_set", F.col("e")) for p in ("token", "root")]
+    most = 1 + F.least(*behind)
+    need = F.lit(float(threshold)) * (F.col("token_len") + F.col("root_len") - 2)
+    return both.where((F.col("token_norm") != F.col("root_norm")) & (2.0 * most >= need - 1e-9)).drop("e")
 
 
 def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
@@ -89,43 +119,22 @@ def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
     Output: token, root, inter (shared bigrams), denom (len_t + len_r - 2),
     dice (double; 1.0 for words equal after white-space removal).
     ``tokens`` may hold duplicates; they are made distinct first.
-
-    One flow from the distinct-token shuffle: each token's bigram multiset
-    is built inside its row, joined to the root bigrams on the
-    bigram (with a length bound that drops pairs unable to reach the
-    threshold), and summed per (token, root) — all in the token partitioning.
     """
     if not threshold > 0:
         raise ValueError("threshold must be > 0")
-    toks = tokens.select(F.col(token_col).alias("token")).where(F.col("token").isNotNull()).distinct()
-    roots = lexicon.select(F.col(root_col).alias("root")).where(F.col("root").isNotNull()).distinct()
-    # written once, so Spark knows its bytes and broadcasts it while it is small
-    rb = materialize(_with_bigrams(roots, "root", "r", length_unit), "lexicon-bigrams")
-    tb = _with_bigrams(toks, "token", "t", length_unit)
-
     need = F.lit(float(threshold))
-    equal = F.col("t_norm") == F.col("r_norm")
-    # An upper bound of the intersection is min(clen) - 1: pairs that cannot
-    # reach the threshold are dropped before the aggregation.
-    reachable = (2.0 * (F.least("t_clen", "r_clen") - 1)
-                 >= need * (F.col("t_ulen") + F.col("r_ulen") - 2))
-    cond = ((F.col("t_g") == F.col("r_g")) & (F.col("t_single") == F.col("r_single"))
-            & (equal | (~F.col("t_single") & reachable)))
-    joined = tb.join(rb, cond, "inner").select(
-        "token", "root", F.least("t_cnt", "r_cnt").alias("_m"), equal.alias("_eq"),
-        "t_single", "t_ulen", "r_ulen")
-    pairs = (joined.groupBy("token", "root")
-                   .agg(F.sum("_m").cast("long").alias("inter"), F.max("_eq").alias("_eq"),
-                        F.max("t_single").alias("_single"), F.max("t_ulen").alias("t_ulen"),
-                        F.max("r_ulen").alias("r_ulen"))
-                   .withColumn("denom", (F.col("t_ulen") + F.col("r_ulen") - 2).cast("long"))
-                   .withColumn("dice", F.when(F.col("_eq"), F.lit(1.0))
-                                        .when((F.col("t_ulen") < 2) | (F.col("r_ulen") < 2), F.lit(0.0))
-                                        .otherwise(2.0 * F.col("inter") / F.col("denom"))))
-    return (pairs.where(F.col("dice") >= need)
-                 .select("token", "root",
-                         F.when(F.col("_single"), F.lit(0)).otherwise(F.col("inter")).cast("long").alias("inter"),
-                         "denom", "dice"))
+    toks = _words(tokens, token_col, "token", length_unit)
+    roots = _words(lexicon, root_col, "root", length_unit)
+    denom = (F.col("token_len") + F.col("root_len") - 2).cast("long")
+    near = (dice_candidates(toks, roots, threshold)
+            .withColumn("inter", F.size(F.array_intersect("token_set", "root_set")).cast("long"))
+            .select("token", "root", "inter", denom.alias("denom"),
+                    F.when((F.col("token_len") < 2) | (F.col("root_len") < 2), F.lit(0.0))
+                     .otherwise(2.0 * F.col("inter") / denom).alias("dice")))
+    equal = (toks.join(roots, F.col("token_norm") == F.col("root_norm"))
+             .select("token", "root", F.col("token_n").cast("long").alias("inter"), denom.alias("denom"),
+                     F.lit(1.0).alias("dice")))
+    return near.unionByName(equal).where(F.col("dice") >= need)
 
 
 def matched_tokens(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",

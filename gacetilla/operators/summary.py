@@ -12,9 +12,10 @@ the summary is extractive and computed on Spark:
    is always taken);
 4. the kept sentences are joined by one space in text order.
 
-Only numbers are shuffled for that: the position, word count and hits of each
-sentence.  The texts stay in their documents, which are joined with the kept
-positions once, and the summary is cut inside the row.
+One pass over the texts writes the sentences with their words; everything else
+reads that table.  Only numbers are shuffled for the choice (the position, word
+count and hits of each sentence); the sentences are joined with the kept
+positions once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_whitespace
+from ..session import materialize
 from .similarity import DICE_THRESHOLD, filter_matching, matched_tokens
 
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"
@@ -36,11 +38,11 @@ def _sentences(text_col: str):
 
 
 def sentences(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, pos, sentence, n_tokens) — pos is 1-based."""
+    """(key, pos, sentence, tokens), written once — pos is 1-based."""
     s = (docs.select(key, F.posexplode(_sentences(text_col)).alias("pos0", "sentence"))
              .where(F.col("sentence") != "")
-             .select(key, (F.col("pos0") + 1).alias("pos"), "sentence"))
-    return s.withColumn("n_tokens", F.size(split_whitespace("sentence")).cast("long"))
+             .select(key, (F.col("pos0") + 1).alias("pos"), "sentence", split_whitespace("sentence").alias("tokens")))
+    return materialize(s, "sentences")
 
 
 def summarize(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col: str = "text",
@@ -49,22 +51,20 @@ def summarize(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col
     """(key, summary, n_sentences, n_tokens) per document with text; ``key`` is
     unique per document."""
     sent = sentences(docs, key, text_col)
-    words = sent.select(key, "pos", F.explode(split_whitespace("sentence")).alias("token"))
+    words = sent.select(F.explode(F.array_distinct("tokens")).alias("token"))
     matches = matched_tokens(words, lexicon, threshold=threshold, length_unit=length_unit)
-    hits = (filter_matching(words, matches)
+    hits = (filter_matching(sent.select(key, "pos", F.explode("tokens").alias("token")), matches)
             .groupBy(key, "pos").agg(F.count(F.lit(1)).cast("long").alias("hits")))
-    scored = (sent.select(key, "pos", "n_tokens").join(hits, [key, "pos"], "left")
+    scored = (sent.select(key, "pos", F.size("tokens").cast("long").alias("n_tokens")).join(hits, [key, "pos"], "left")
                   .withColumn("hits", F.coalesce("hits", F.lit(0).cast("long"))))
     w = Window.partitionBy(key).orderBy(F.col("hits").desc(), F.col("pos").asc())
     ranked = (scored.withColumn("rank", F.row_number().over(w))
                     .withColumn("running", F.sum("n_tokens").over(
                         w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     # at most ``budget`` sentences a document, as each has a word
-    kept = (ranked.where((F.col("rank") == 1) | (F.col("running") <= budget))
-            .groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("_kept"),
+    kept = ranked.where((F.col("rank") == 1) | (F.col("running") <= budget)).select(key, "pos", "n_tokens")
+    return (sent.select(key, "pos", "sentence").join(kept, [key, "pos"])
+            .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("_kept"),
                               F.count(F.lit(1)).cast("long").alias("n_sentences"),
-                              F.sum("n_tokens").cast("long").alias("n_tokens")))
-    return (docs.select(key, text_col).join(kept, key)
-            .withColumn("_all", _sentences(text_col))
-            .select(key, F.array_join(F.transform("_kept", lambda p: F.get("_all", p - 1)), " ").alias("summary"),
-                    "n_sentences", "n_tokens"))
+                              F.sum("n_tokens").cast("long").alias("n_tokens"))
+            .select(key, F.array_join("_kept.sentence", " ").alias("summary"), "n_sentences", "n_tokens"))

@@ -15,13 +15,14 @@ from ..functions.items import channel_type
 from ..operators.normalize import rejected
 from ..operators.optin import opt_in
 from ..operators.rank import composite_order, number_all, number_small, relevance_order
-from ..operators.scoring import score_breakdown, token_occurrences, vocabulary
+from ..operators.scoring import score_breakdown, token_occurrences, token_table, vocabulary
 from ..operators.similarity import dice_pairs, filter_matching, matched_tokens
 from ..sources.lexicon import combined_lexicon
 from ..sources.testdata import (CONTRACT_EXTRA_ROOTS, content_store, document_items,
                                 filled_document_items, nested_pages, page_items, pages_with_channel,
                                 ratings_from_labels, raw_items_from_documents, table)
-from .oracle import FEEDBACK_DATE, FEEDBACK_N, OPT_IN_AND, OPT_IN_OR, RUN_TIME, TOP_K
+from ..session import materialize
+from .oracle import FEEDBACK_DATE, FEEDBACK_N, OPT_IN_AND, OPT_IN_OR, RUN_TIME, SIMILAR_WORDS, TOP_K
 
 
 def contract_lexicon(spark: SparkSession) -> DataFrame:
@@ -56,16 +57,25 @@ def q_opt_in_empty(spark, sf_dir):
 
 
 def q_dice_pairs(spark, sf_dir):
-    return dice_pairs(vocabulary(filled_document_items(spark, sf_dir)), contract_lexicon(spark))
+    return dice_pairs(vocabulary(token_table(filled_document_items(spark, sf_dir))), contract_lexicon(spark))
 
 
 def q_fuzzy_tokens(spark, sf_dir):
-    items = filled_document_items(spark, sf_dir)
-    occ = token_occurrences(items)
-    hits = filter_matching(occ, matched_tokens(vocabulary(items), contract_lexicon(spark)))
+    tokens = token_table(filled_document_items(spark, sf_dir))
+    hits = filter_matching(token_occurrences(tokens), matched_tokens(vocabulary(tokens), contract_lexicon(spark)))
     return hits.groupBy("token").agg(F.count(F.lit(1)).cast("long").alias("occurrences"))
 
 
+def q_similar_words(spark, sf_dir):
+    """J1, X7 with a large lexicon: every distinct word of the documents against
+    all of them, the number of others it is similar to and the closest score."""
+    from ..functions.text import split_whitespace
+    words = table(spark, sf_dir, "documents").select(F.explode(split_whitespace("text")).alias("token")).distinct()
+    words = materialize(words, "words")
+    pairs = dice_pairs(words, words, root_col="token", threshold=SIMILAR_WORDS).where("token <> root")
+    return pairs.groupBy("token").agg(F.count(F.lit(1)).alias("similar"), F.max("dice").alias("closest"))
+
+
 def _scores(spark, sf_dir, carry=("link", "channel", "title")):
     items = filled_document_items(spark, sf_dir)
     return score_breakdown(items, contract_lexicon(spark), carry=list(carry))
@@ -288,7 +298,6 @@ def q_csv_round_trip(spark, sf_dir):
 
 
 def q_report_lines(spark, sf_dir):
-    from ..session import materialize
     from ..sinks.reports import relevance_report_lines
     s = _scores(spark, sf_dir).select("item_id", F.col("net_relevance").alias("relevance"),
                                       "channel", "title", "link")
@@ -323,6 +332,7 @@ def contract_queries() -> dict:
         "q_opt_in_empty": q_opt_in_empty,
         "q_dice_pairs": q_dice_pairs,
         "q_fuzzy_tokens": q_fuzzy_tokens,
+        "q_similar_words": q_similar_words,
         "q_score_breakdown": q_score_breakdown,
         "q_top_k": q_top_k,
         "q_top_k_composite": q_top_k_composite,

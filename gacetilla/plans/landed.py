@@ -79,9 +79,9 @@ def q_feed_list_file(spark, sf_dir):
 
 
 def q_lexicon_file(spark, sf_dir):
-    """A word file with the first two words of every document."""
+    """A word file with all words of every document."""
     path = _folder(spark, "words")
-    words = F.array_join(F.slice(F.filter(F.split("text", "[ \\n]+"), lambda x: x != ""), 1, 2), "\t ")
+    words = F.array_join(F.filter(F.split("text", "[ \\n]+"), lambda x: x != ""), "\t ")
     table(spark, sf_dir, "documents").select(words.alias("value")).write.text(path)
     return combined_lexicon(spark, user_file=path)
 
@@ -169,7 +169,7 @@ WITH l AS (SELECT row_number() OVER (ORDER BY page_id) - 1 AS line_no, url, page
 SELECT line_no::BIGINT AS line_no, url FROM l WHERE n NOT IN (3, 7)""",
         "q_lexicon_file": f"""
 SELECT DISTINCT root FROM (SELECT root FROM (VALUES {builtin}) AS b(root)
-  UNION ALL SELECT unnest({_split_ws("array_to_string(list_filter(regexp_split_to_array(text, '[ ' || chr(10) || ']+'), lambda x: x <> '')[1:2], ' ')")}) FROM documents)""",
+  UNION ALL SELECT unnest({_split_ws("array_to_string(list_filter(regexp_split_to_array(text, '[ ' || chr(10) || ']+'), lambda x: x <> ''), ' ')")}) FROM documents)""",
         "q_ratings_file": """
 SELECT 'https://example.org/doc/' || doc_id AS link, CAST((doc_id + 2 * quality + 3 * toxic) % 7 AS VARCHAR) AS rating,
   CASE WHEN (doc_id + 2 * quality + 3 * toxic) % 7 BETWEEN 1 AND 5

@@ -48,7 +48,9 @@ def read_feeds(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
 
     Each path is looked up by itself (names only): one that names nothing, or
     cannot be looked up, goes to the bad feeds with its reason, the others are
-    read.  A file that does not parse is a bad feed too.
+    read.  A file that does not parse is a bad feed too, and so is one that was
+    found but gave no document when it was read (cut off inside a compressed
+    stream, or gone since): the names found are held against those read.
     """
     found, missing = [], []
     for path in dict.fromkeys([paths] if isinstance(paths, str) else paths):
@@ -60,11 +62,15 @@ def read_feeds(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
         found += names
         if not names:
             missing.append((path, reason))
-    docs = (spark.read.text(list(dict.fromkeys(found)), wholetext=True) if found
+    tolerant = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    docs = (tolerant.text(list(dict.fromkeys(found)), wholetext=True) if found
             else spark.createDataFrame([], "value string"))
     parsed = parse_rss(docs.withColumn("feed", F.input_file_name()))
-    bad = parsed.where(F.col("rss.channel").isNull()).select(
-        "feed", F.lit("feed could not be parsed").alias("reason"))
+    # names alone; Spark holds them to plan the scan
+    names = spark.createDataFrame([(x,) for x in docs.inputFiles()], "feed string")
+    read = parsed.select(F.col("feed").alias("read"), F.col("rss.channel").isNotNull().alias("parsed"))
+    bad = names.join(read, F.col("feed") == F.col("read"), "left").where(~F.coalesce("parsed", F.lit(False))).select(
+        "feed", F.when(F.col("read").isNull(), "feed could not be read").otherwise("feed could not be parsed").alias("reason"))
     bad = bad.unionByName(spark.createDataFrame(missing, "feed string, reason string"))
     items = channel_items(parsed).withColumn("item_id", item_key(F.col("feed"), F.col("pos")))
     return items, bad

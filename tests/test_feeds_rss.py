@@ -83,6 +83,24 @@ def test_bad_feeds_are_listed_and_the_others_read(spark, workdir):
     assert reasons["feed.xml"].startswith("feed could not be read") and len(reasons) == 3
 
 
+def test_feeds_that_fail_while_they_are_read(spark, workdir):
+    import gzip
+    folder = _write(os.path.join(workdir, "feeds of today"), puerto=HARBOUR, valle=VALLEY, gone=HARBOUR)
+    with gzip.open(f"{folder}/whole.xml.gz", "wt") as f:
+        f.write(VALLEY)
+    with open(f"{folder}/whole.xml.gz", "rb") as f:
+        data = f.read()
+    with open(f"{folder}/cut.xml.gz", "wb") as f:
+        f.write(data[:len(data) // 2])
+    open(f"{folder}/empty.xml", "w").close()
+    raw, bad = read_feeds(spark, folder)
+    os.remove(f"{folder}/gone.xml")  # after it was listed
+    got = {r.feed.rsplit("/", 1)[-1]: r.reason for r in bad.collect()}
+    assert got["cut.xml.gz"] == got["gone.xml"] == "feed could not be read"
+    assert got["empty.xml"].startswith("feed could not be") and len(got) == 3
+    assert raw.count() == 7 and raw.where("feed like '%whole%'").count() == 1
+
+
 @pytest.mark.parametrize("paths", ["missing", ["missing/a.xml", "missing/*"]])
 def test_nothing_readable_is_empty(spark, workdir, paths):
     paths = [os.path.join(workdir, p) for p in ([paths] if isinstance(paths, str) else paths)]

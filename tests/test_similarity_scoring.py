@@ -45,6 +45,51 @@ def test_dice_pairs_match_brute_force(spark):
         assert got[k] == pytest.approx(v)
 
 
+@pytest.mark.parametrize("unit,threshold", [("byte", 0.75), ("char", 0.75), ("byte", 0.4), ("char", 0.95), ("byte", 1.0)])
+def test_large_lexicon_matches_brute_force(spark, unit, threshold):
+    rnd = random.Random(11)
+    stems = ["".join(rnd.choice("abcdé") for _ in range(rnd.randint(2, 6))) for _ in range(12)]
+    words = sorted({"".join(rnd.choice(stems) for _ in range(rnd.randint(1, 3)))[:rnd.randint(1, 12)] for _ in range(220)}
+                   | {"aaaa", "aaaaa", "ababab", "bababa", "a", "é", "a a", " ", "aa2", "a2", "😀😀a"})
+    df = spark.createDataFrame([(w,) for w in words] + [(None,), (words[0],)], "w string")
+    got = {(r.token, r.root): r.dice for r in dice_pairs(df, df, "w", "w", threshold, unit).collect()}
+    blank = lambda w: not w.strip()
+    want = {(a, b): dice(a, b, unit) for a in words for b in words
+            if dice(a, b, unit) >= threshold and not blank(a) and not blank(b)}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_prefix_filter_leaves_few_candidates(spark):
+    from gacetilla.operators.similarity import _words, dice_candidates
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(4, 9))) for _ in range(600)})
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    found = dice_candidates(_words(df, "w", "token", "char"), _words(df, "w", "root", "char"), 0.75).select("token", "root")
+    grams = [{w[i:i + 2] for i in range(len(w) - 1)} for w in words]
+    sharing = sum(bool(a & b) for a in grams for b in grams) - len(words)
+    assert found.distinct().count() == found.count() < sharing / 4
+
+
+def test_items_are_read_once(spark, workdir):
+    from gacetilla.operators.summary import summarize
+    rows = [(i, "c", "Crisis", f"l{i}", "War. Peace", "", None, None, None, "Climate policy. None.", None) for i in range(5)]
+    _items(spark, rows).write.parquet(f"{workdir}/items")
+    items = spark.read.parquet(f"{workdir}/items")
+    for df in (score_breakdown(items, builtin_lexicon(spark)),
+               summarize(items, builtin_lexicon(spark), "item_id", "clean_content")):
+        # everything reads the tables of words; none of the plan's scans is the items' own
+        assert f"{workdir}/items" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 5
+
+
+def test_white_space_is_the_same_in_both_forms(spark):
+    from gacetilla.functions.text import UNICODE_SPACES, WS_RUN
+    every = spark.range(0x110000).where("id < 55296 or id > 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert every.where(F.col("c").rlike(UNICODE_SPACES) != F.col("c").rlike(WS_RUN)).count() == 0
+
+
 def test_dice_properties():
     for a, b in [("Crisis", "crisis"), ("energía", "Energía"), ("ab", "ba"), ("night", "nacht")]:
         assert dice(a, b) == dice(b, a)
