@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.formatting import rfc2822, run_stamp
 from ..functions.items import error_debug, error_text, make_error, parse_error
 from ..operators.feedback import read_ratings, valid_rating
+from ..operators.normalize import normalise
 from ..operators.rank import random_order, top_k_composite
 from ..operators.scoring import with_relevance
 from ..session import checkpoint_dir, existing_paths
 from ..sources.feeds import read_feed_list
 from ..sources.lexicon import combined_lexicon
-from ..sources.rss import load_items, read_feeds, rss_elements
+from ..sources.rss import load_items, read_feeds, read_large_feeds, rss_elements
 from ..sources.testdata import (BASE_EPOCH, STEP_SECONDS, document_items, filled_document_items, ratings_from_labels,
                                 raw_items_from_documents, table)
 from .contract import contract_lexicon
@@ -29,6 +30,7 @@ from .oracle import (FILLED, ITEMS, OPT_IN_OR, RAW_ITEMS, RUN_TIME, _esc, _num,
 from .pipelines import run_relevance_report
 
 FEED_ITEMS = 250
+ITEM_TEXTS = ["channel", "title", "link", "description", "creators", "pub_date", "categories", "keywords"]
 COMPOSITE_K = 400
 
 
@@ -62,6 +64,28 @@ def q_load_feeds(spark, sf_dir):
         "channel", "title", "link", "description", "creators", "pub_date", "categories", "keywords")
 
 
+def q_large_feeds(spark, sf_dir):
+    """S2, S4, P1 for large feeds: the documents as one file per channel, item
+    by item, and a file without a channel."""
+    raw = raw_items_from_documents(table(spark, sf_dir, "documents"))
+    lines = raw.select(F.md5("channel_title").alias("feed"), F.col("item_id").alias("ord"), rss_elements(raw).alias("value"))
+    titles = raw.select("channel_title").distinct()
+    head = F.concat(F.lit('<?xml version="1.0"?>\n<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" '
+                          'xmlns:media="http://search.yahoo.com/mrss/">\n<channel>\n<title>'), "channel_title",
+                    F.lit("</title>\n<link>https://example.org/</link>"))
+    lines = (lines.unionByName(titles.select(F.md5("channel_title").alias("feed"), F.lit(-1).cast("long").alias("ord"), head.alias("value")))
+             .unionByName(titles.select(F.md5("channel_title").alias("feed"), F.lit((1 << 62)).cast("long").alias("ord"),
+                                        F.lit("</channel></rss>").alias("value"))))
+    path = _folder(spark, "large-feeds")
+    lines.repartition("feed").sortWithinPartitions("feed", "ord").drop("ord").write.partitionBy("feed").text(path)
+    none = _folder(spark, "no-feed")
+    spark.range(1).select(F.lit("<html><p>gone</p></html>").alias("value")).write.text(none)
+    items, bad = read_large_feeds(spark, [f"{path}/*", none])
+    bad = bad.select(F.lit("bad").alias("channel"), F.col("reason").alias("title"),
+                     *[F.lit(None).cast("string").alias(c) for c in ITEM_TEXTS[2:]])
+    return normalise(items).select(*ITEM_TEXTS).unionByName(bad)
+
+
 def q_bad_feeds(spark, sf_dir):
     items, bad = read_feeds(spark, _land_feeds(spark, sf_dir))
     return (bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -146,7 +170,7 @@ def q_run_times(spark, sf_dir):
 
 def landed_queries() -> dict:
     return {f.__name__: f for f in (
-        q_load_feeds, q_bad_feeds, q_feed_list_file, q_lexicon_file, q_ratings_file, q_random_order, q_with_relevance,
+        q_load_feeds, q_large_feeds, q_bad_feeds, q_feed_list_file, q_lexicon_file, q_ratings_file, q_random_order, q_with_relevance,
         q_top_k_composite_items, q_relevance_report_file, q_error_texts, q_run_times)}
 
 
@@ -161,6 +185,9 @@ def landed_sql() -> dict[str, str]:
     return {
         "q_load_feeds": "WITH " + ITEMS + f"""
 SELECT channel, title, link, description, creators, pub_date, categories, keywords FROM items WHERE {found}""",
+        "q_large_feeds": "WITH " + ITEMS + """
+SELECT channel, title, link, description, creators, pub_date, categories, keywords FROM items
+UNION ALL SELECT 'bad', 'feed could not be parsed', NULL, NULL, NULL, NULL, NULL, NULL""",
         "q_bad_feeds": "WITH " + RAW_ITEMS + """
 SELECT 'feed could not be parsed' AS reason, 1::BIGINT AS n UNION ALL SELECT 'feed not found', 1
 UNION ALL SELECT 'items', count(*) FROM raw_items""",

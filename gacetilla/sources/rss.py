@@ -76,6 +76,54 @@ def read_feeds(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     return items, bad
 
 
+ITEM_END = "</item>"
+_OPEN = '<rss xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:media="http://search.yahoo.com/mrss/"><channel>'
+
+
+def read_large_feeds(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+    """S2 for feeds too large for one row: (raw items, bad feeds), the columns
+    of ``read_feeds``.
+
+    Files are read as text cut at the end tags of their items, so a file is
+    split over tasks like any other text and a row is one item.  What stands
+    before the first item of a file holds the channel's title, which is joined
+    to the file's items (one narrow row a file).  Items keep their order by the
+    place of their block and their row in it; these keys change with
+    ``spark.sql.files.maxPartitionBytes``.  Bad are items that do not parse and
+    files without a channel.  An end tag of an item inside CDATA would cut there.
+    """
+    text = spark.read.option("lineSep", ITEM_END).text(paths).select(
+        F.input_file_name().alias("feed"), F.col("_metadata.file_block_start").alias("block"),
+        # the row of its task in the lower bits
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"), "value")
+    start = F.regexp_instr("value", F.lit(r"<item[\s>]"))
+    rows = text.withColumn("head", F.when(start > 0, F.substring("value", F.lit(1), start - 1)).otherwise(F.col("value"))
+                           ).withColumn("item", F.when(start > 0, F.substring("value", start, F.length("value"))))
+    # heads are short but for text between items
+    heads = (rows.where(F.col("head").contains("<channel"))
+             .select("feed", F.concat(F.substring("head", F.locate("<channel", F.col("head")), F.length("head")),
+                                      F.lit("</channel></rss>")).alias("value"))
+             .select("feed", parse_head("value").alias("channel_title")).groupBy("feed").agg(F.min("channel_title").alias("channel_title")))
+    items = parse_rss(rows.where(F.col("item").isNotNull())
+                      .withColumn("value", F.concat(F.lit(_OPEN), "item", F.lit(ITEM_END + "</channel></rss>"))))
+    good = (items.where(F.col("rss.channel").isNotNull())
+            .select("feed", "block", "row", F.explode("rss.channel.item").alias("it")).join(heads, "feed"))
+    key = F.concat("feed", F.lit("#"), F.lpad(F.col("block").cast("string"), 15, "0"), F.lit("-"),
+                   F.lpad(F.col("row").cast("string"), 10, "0"))
+    bad = (items.where(F.col("rss.channel").isNull()).select("feed", F.lit("item could not be parsed").alias("reason"))
+           .unionByName(rows.select("feed").distinct().join(heads, "feed", "left_anti")
+                        .select("feed", F.lit("feed could not be parsed").alias("reason"))))
+    return good.select("feed", "channel_title", "it.*", key.alias("item_id")), bad
+
+
+def parse_head(c) -> Column:
+    """Title of a channel from the text that starts with its tag."""
+    title = F.regexp_extract(F.col(c), r"(?s)<title[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</title>", 1)
+    plain = F.from_xml(F.concat(F.lit("<x><t>"), title, F.lit("</t></x>")), "t string", {"ignoreSurroundingSpaces": "false"})
+    cdata = F.col(c).rlike(r"(?s)^.*?<title[^>]*>\s*<!\[CDATA\[")
+    return F.when(cdata, title).otherwise(plain["t"])
+
+
 def load_items(spark: SparkSession, paths, opt_in_terms=(), op: str = "or",
                lower: bool = True) -> DataFrame:
     """Read, flatten, normalise, required-field filter and opt-in filter.

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from gacetilla.operators.dedup import first_per_key
 from gacetilla.operators.normalize import rejected
@@ -101,6 +102,32 @@ def test_feeds_that_fail_while_they_are_read(spark, workdir):
     assert raw.count() == 7 and raw.where("feed like '%whole%'").count() == 1
 
 
+def test_large_feed_is_read_by_several_tasks(spark, workdir):
+    from gacetilla.sources.rss import read_large_feeds
+    item = "<item>\n<title>t{0} &amp; &lt;b&gt;</title><link>https://big/{0}</link><description><![CDATA[<p>{1}</p>]]></description></item>\n"
+    many = "".join(item.format(i, "word " * 40) for i in range(2000))
+    head = "<rss><channel>\n<image><url>u</url></image><title><![CDATA[Big & wide]]></title><link>l</link>"
+    folder = _write(os.path.join(workdir, "big"), big=f"{head}{many}</channel></rss>", small=VALLEY,
+                    torn=f"<rss><channel><title>Torn &amp; co</title><item><title>x</item>{item.format(7, 'y')}", page="<html>no</html>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        items, bad = read_large_feeds(spark, folder)
+        tasks = items.where("feed like '%big.xml'").select(F.spark_partition_id()).distinct().count()
+        big = items.where("feed like '%big.xml'").orderBy("item_id").collect()
+        rest = {(r.channel_title, r.title) for r in items.where("feed not like '%big.xml'").collect()}
+        reasons = {(r.feed.rsplit("/", 1)[-1], r.reason) for r in bad.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks > 3
+    assert [r.title for r in big] == [f"t{i} & <b>" for i in range(2000)] and {r.channel_title for r in big} == {"Big & wide"}
+    assert ("Torn & co", "t7 & <b>") in rest and len(rest) == 2
+    assert reasons == {("torn.xml", "item could not be parsed"), ("page.xml", "feed could not be parsed")}
+    small, _ = read_feeds(spark, os.path.join(folder, "small.xml"))
+    drop = lambda df: sorted(map(str, df.drop("pos", "item_id").collect()))
+    assert drop(small) == drop(items.where("feed like '%small.xml'"))
+
+
 @pytest.mark.parametrize("paths", ["missing", ["missing/a.xml", "missing/*"]])
 def test_nothing_readable_is_empty(spark, workdir, paths):
     paths = [os.path.join(workdir, p) for p in ([paths] if isinstance(paths, str) else paths)]
