@@ -51,6 +51,12 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for materialised tables and checkpoints.
 
@@ -68,7 +74,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from error
     if sc.getCheckpointDir():
         return sc.getCheckpointDir().rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+    if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="gacetilla-scratch-")
@@ -105,6 +111,22 @@ def rename_path(spark: SparkSession, source: str, target: str) -> None:
         raise FileExistsError(f"{source} could not become {target}")
 
 
+#: folders of materialised tables that go at the end, by application
+_OWN: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The application's folder of materialised tables."""
+    base = f"{checkpoint_dir(spark)}/materialized"
+    app = spark.sparkContext.applicationId
+    if _OWN.get(app) != f"{base}/{app}":
+        _OWN[app] = f"{base}/{app}"
+        make_folder(spark, _OWN[app])
+        p = spark._jvm.org.apache.hadoop.fs.Path(_OWN[app])
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
+    return _OWN[app]
+
+
 #: tables materialised in the open ``scratch`` block of this thread or task
 _SCOPE: ContextVar[list[str] | None] = ContextVar("gacetilla_scratch", default=None)
 
@@ -127,9 +149,10 @@ def materialize(df, name: str = "table"):
     """Write an intermediate result once to the shared folder and read it back:
     cuts the lineage, so reuses do not recompute it, and survives the loss of
     any executor.  Inside ``scratch`` the files go at the end of the block;
-    otherwise they stay as long as the returned DataFrame may be read."""
+    otherwise they stay as long as the returned DataFrame may be read, and go
+    when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/materialized/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     mine = _SCOPE.get()
     if mine is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_whitespace
-from ..session import path_exists
+from ..session import is_local, path_exists
 
 # The built-in root words, in their original order (67 entries,
 # 63 distinct; "Crisis" is listed four times).
@@ -27,7 +27,8 @@ BUILTIN_ROOTS = [
     "War", "Conflict", "Police", "Crime", "Corruption", "Arrest", "Chaos", "Protest",
 ]
 
-# Default location of the user's extra words (home folder, as a config file).
+# Default location of the user's extra words (home folder, as a config file), for
+# sessions on one machine: a cluster's executors do not see the driver's home.
 DEFAULT_USER_FILE = "file://" + os.path.join(os.path.expanduser("~"), ".gacetilla", "root_words.txt")
 
 
@@ -56,8 +57,11 @@ def combined_lexicon(spark: SparkSession, user_file: str | None = DEFAULT_USER_F
                      extra_words=None, extra: DataFrame | None = None) -> DataFrame:
     """Built-ins UNION DISTINCT user words (U2).  The file may be on any file
     system Spark reads and is read anew by every query; a missing one adds
-    nothing."""
+    nothing.  The default file counts in local sessions only; on a cluster name
+    one that all executors see."""
     lex = builtin_lexicon(spark)
+    if user_file == DEFAULT_USER_FILE and not is_local(spark):
+        user_file = None
     if user_file and path_exists(spark, user_file):
         lex = lex.unionByName(file_lexicon(spark, user_file))
     if extra_words:

@@ -218,6 +218,27 @@ def test_page_store_reads_wanted_buckets(spark, workdir):
     assert {(r.item_id, r.clean_content) for r in out.collect()} == {(i, f"{i}\n") for i in range(4)}
 
 
+def test_materialised_tables_go_with_the_application():
+    import subprocess
+    import sys
+    import time
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = (f"import sys; sys.path.insert(0, {root!r})\n"
+              "from gacetilla.session import build_session, materialize\n"
+              "df = materialize(build_session('local[1]').range(5))\n"
+              "print(df.count(), df.inputFiles()[0])\n")
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300,
+                          env={**os.environ, "SPARK_DRIVER_MEMORY": "1g"})
+    count, path = done.stdout.split()
+    folder = os.path.dirname(os.path.dirname(path.removeprefix("file://")))
+    assert count == "5" and os.path.basename(folder).startswith("local-")
+    for _ in range(30):  # its JVM takes the folder away as it ends
+        if not os.path.exists(folder):
+            break
+        time.sleep(1)
+    assert os.path.isdir(os.path.dirname(folder)) and not os.path.exists(folder)
+
+
 def test_scratch_belongs_to_its_thread(spark):
     import threading
     from gacetilla.session import materialize, scratch
