@@ -22,12 +22,14 @@ from ..session import checkpoint_dir, existing_paths
 from ..sources.feeds import read_feed_list
 from ..sources.lexicon import combined_lexicon
 from ..sources.rss import load_items, read_feeds, read_large_feeds, rss_elements
-from ..sources.testdata import (BASE_EPOCH, STEP_SECONDS, document_items, filled_document_items, ratings_from_labels,
+from ..sinks.reports import read_report
+from ..sinks.table import read_table
+from ..sources.testdata import (BASE_EPOCH, STEP_SECONDS, content_store, document_items, filled_document_items, ratings_from_labels,
                                 raw_items_from_documents, table)
 from .contract import contract_lexicon
-from .oracle import (FILLED, ITEMS, OPT_IN_OR, RAW_ITEMS, RUN_TIME, _esc, _num, _q, _split_ws, dice, occurrences,
-                     p1_scores_sql, scored_filled)
-from .pipelines import run_relevance_report
+from .oracle import (FILLED, ITEMS, OPT_IN_OR, RAW_ITEMS, RUN_TIME, _esc, _num, _q, _split_ws,
+                     _two_phase_sql, more_sql, p1_scores_sql, scored_filled)
+from .pipelines import run_dossier, run_relevance_report
 
 FEED_ITEMS = 250
 ITEM_TEXTS = ["channel", "title", "link", "description", "creators", "pub_date", "categories", "keywords"]
@@ -147,6 +149,18 @@ def q_relevance_report_file(spark, sf_dir):
             .groupBy("file", "run", "line").agg(F.count(F.lit(1)).alias("n")))
 
 
+def q_dossier_run(spark, sf_dir):
+    """C2 with all its outputs (K4, K6, K7, K2): the dossier, the item log and the
+    stored table, read back line by line, and the count that was reported."""
+    out = run_dossier(document_items(spark, sf_dir), content_store(spark, sf_dir), contract_lexicon(spark),
+                      _folder(spark, "dossiers"), "daily", RUN_TIME, log=True, db=True, clean=False, html_col="body")
+    rows = spark.range(1).select(F.lit("inserted").alias("file"), F.lit(str(out["inserted"])).alias("line"))
+    for name in ("dossier", "log"):
+        rows = rows.unionByName(read_report(spark, out[name]).select(F.lit(name).alias("file"), "line"))
+    rows = rows.unionByName(read_table(spark, out["db"]).select(F.lit("table").alias("file"), F.col("link").alias("line")))
+    return rows.groupBy("file", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 ERROR_KINDS = ["ParsingError", "NetworkError", "NoContent", "EmptyString"]
 
 
@@ -171,7 +185,7 @@ def q_run_times(spark, sf_dir):
 def landed_queries() -> dict:
     return {f.__name__: f for f in (
         q_load_feeds, q_large_feeds, q_bad_feeds, q_feed_list_file, q_lexicon_file, q_ratings_file, q_random_order, q_with_relevance,
-        q_top_k_composite_items, q_relevance_report_file, q_error_texts, q_run_times)}
+        q_top_k_composite_items, q_relevance_report_file, q_dossier_run, q_error_texts, q_run_times)}
 
 
 def landed_sql() -> dict[str, str]:
@@ -217,6 +231,12 @@ lines AS (SELECT unnest(['# Relevance Report', '', '## Relevance per Channel', '
     || channel || '] ' || title FROM p1_scores)
 SELECT '{name}/relevance-{name}.md' AS file, r::INTEGER AS run, line, count(*) AS n
 FROM lines, range(1, 3) AS t(r) GROUP BY r, line""",
+        "q_dossier_run": f"""
+WITH t AS ({_two_phase_sql()} SELECT link FROM top1),
+l AS (SELECT 'dossier' AS file, unnest(string_split(line, chr(10))) AS line FROM ({more_sql()["q_dossier_lines"]})
+  UNION ALL SELECT 'log', unnest(string_split(line, chr(10))) FROM ({more_sql()["q_item_log_lines"]})
+  UNION ALL SELECT 'table', link FROM t UNION ALL SELECT 'inserted', CAST(count(*) AS VARCHAR) FROM t)
+SELECT file, line, count(*) AS n FROM l GROUP BY file, line""",
         "q_error_texts": "WITH " + ITEMS + f""",
 k AS (SELECT item_id, title, {kinds}[item_id % 4 + 1] AS kind FROM items),
 s AS (SELECT *, kind || CASE WHEN item_id % 4 < 2 THEN '(' || title || ')' ELSE '' END AS stored FROM k),
