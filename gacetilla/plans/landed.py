@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formatting import rfc2822, run_stamp
@@ -18,7 +17,7 @@ from ..operators.feedback import read_ratings, valid_rating
 from ..operators.normalize import normalise
 from ..operators.rank import random_order, top_k_composite
 from ..operators.scoring import with_relevance
-from ..session import checkpoint_dir, existing_paths
+from ..session import checkpoint_dir
 from ..sources.feeds import read_feed_list
 from ..sources.lexicon import combined_lexicon
 from ..sources.rss import load_items, read_feeds, read_large_feeds, rss_elements
@@ -27,7 +26,7 @@ from ..sinks.table import read_table
 from ..sources.testdata import (BASE_EPOCH, STEP_SECONDS, content_store, document_items, filled_document_items, ratings_from_labels,
                                 raw_items_from_documents, table)
 from .contract import contract_lexicon
-from .oracle import (FILLED, ITEMS, OPT_IN_OR, RAW_ITEMS, RUN_TIME, _esc, _num, _q, _split_ws,
+from .oracle import (ITEMS, OPT_IN_OR, RAW_ITEMS, RUN_TIME, _esc, _num, _q, _split_ws,
                      _two_phase_sql, more_sql, p1_scores_sql, scored_filled)
 from .pipelines import run_dossier, run_relevance_report
 

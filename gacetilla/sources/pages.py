@@ -14,7 +14,6 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import delete_path, existing_paths, make_folder, path_exists, rename_path
 from ..sinks.table import bucket_of
