@@ -18,14 +18,18 @@ token as a prefix-filtered set join:
    per map task, never one row per occurrence);
 2. each word's bigrams as a set of elements (the n-th repetition of a bigram is
    an element of its own), ordered by the number of roots that hold the bigram,
-   rarest first; bigrams that no root holds come before all others;
+   rarest first; bigrams that no root holds come before all others.  The numbers
+   are powers of two by hash of the bigram, a table of fixed size that every
+   task has, so a word's elements are put in order inside its row;
 3. a pair that reaches the threshold shares at least
    ``threshold / (2 - threshold) * (len - 1)`` elements, seen from either
-   word, so the first elements beyond that many must meet: only these prefixes
-   are joined, on the element.  Most tokens have no prefix element that a root
-   holds, and leave there;
-4. a candidate is kept at the first element that both prefixes share, and only
-   if the lengths and what is left behind that element can still reach the
+   word, so of the first elements beyond that many and COMBINED - 1 more it
+   shares COMBINED: pairs meet at such combinations.  A word that may miss many
+   elements has many combinations, so pairs with a longer word meet at single
+   elements.  Most tokens have no prefix element that a root holds, and leave
+   there;
+4. a candidate is kept at the first key that both words share, and only if the
+   lengths and what is left behind that key's first element can still reach the
    threshold; then the sets are intersected, inside the row.
 
 Equal words (after white-space removal) are a join of their own; a
@@ -41,6 +45,12 @@ from ..functions.text import strip_whitespace
 from ..session import materialize
 
 DICE_THRESHOLD = 0.75
+#: elements of a key, for words of which at most so many elements may be missing
+COMBINED = 4
+MISSING = 2
+#: slots of the table of bigram frequencies
+SLOT_BITS = 14
+
 
 def _unit_length(c: Column, length_unit: str) -> Column:
     if length_unit == "byte":
@@ -67,48 +77,95 @@ def _bigrams(words: DataFrame, prefix: str) -> Column:
     return F.regexp_extract_all(F.col(f"{prefix}_norm"), F.lit(BIGRAMS_PATTERN), 1)
 
 
-def frequencies(words: DataFrame, prefix: str) -> DataFrame:
-    """(gram, words that hold it), written once so that Spark knows its bytes."""
+def frequencies(words: DataFrame, prefix: str) -> bytes:
+    """A byte for each slot of bigrams: 0 when no word holds one of them, else the
+    power of two of the words that do, and one more.  A fixed size, whatever the
+    words; the classes only shape the order of the elements."""
     grams = words.select(F.explode(F.array_distinct(_bigrams(words, prefix))).alias("gram"))
-    return materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("held")), "bigram-frequencies")
+    rows = grams.groupBy(_slot(F.col("gram")).alias("slot")).agg(F.count(F.lit(1)).alias("held")).toArrow()
+    out = bytearray(1 << SLOT_BITS)
+    for slot, held in zip(rows["slot"].to_pylist(), rows["held"].to_pylist()):
+        out[slot] = held.bit_length()
+    return bytes(out)
+
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(1 << SLOT_BITS)).cast("int")
+
+
+def _numbered(grams: Column) -> Column:
+    """A word's bigrams, the n-th repetition of one with its number."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _bind(starts, lambda at: F.flatten(F.transform(at, lambda first, k: F.transform(
+            F.sequence(F.lit(1), F.coalesce(F.get(at, k + 1), F.size(s)) - first),
+            lambda time: F.when(time == 1, F.get(s, first)).otherwise(F.concat(F.get(s, first), time.cast("string")))))))
+    return _bind(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), g)
+                 .otherwise(_bind(F.array_sort(g), runs)))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _elements(words: DataFrame, prefix: str, held: DataFrame, threshold: float) -> DataFrame:
+def _key(*elements) -> Column:
+    return F.struct(F.xxhash64(*[x.e for x in elements]).alias("key"), elements[0]["at"].alias("at"))
+
+
+def _combinations(p: Column, left: int, start=1, head=()) -> Column:
+    """Keys of all choices of ``left`` elements of an array, each in its order, with
+    the place of the first."""
+    rest = F.slice(p, start, F.size(p))
+    if left == 1:
+        return F.transform(rest, lambda x: _key(*head, x))
+    return F.flatten(F.transform(rest, lambda x, i: _combinations(p, left - 1, i + start + 1, (*head, x))))
+
+
+def _elements(words: DataFrame, prefix: str, classes: bytes, threshold: float) -> DataFrame:
     """Words of two characters or more with ``set``, their elements rarest
-    first, and ``pre``, the elements of the prefix that some root holds."""
-    # rows and elements of a word stay in the partitioning of the distinct words
-    each = (words.where(F.col(f"{prefix}_n") >= 1).select("*", F.explode(_bigrams(words, prefix)).alias("gram"))
-            .groupBy(*words.columns, "gram").agg(F.count(F.lit(1)).cast("int").alias("times")))
-    numbered = each.join(held, "gram", "left").select(
-        *words.columns, F.coalesce("held", F.lit(0)).alias("held"), "gram",
-        F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
-    element = F.when(F.col("time") == 1, F.col("gram")).otherwise(F.concat("gram", F.col("time").cast("string")))
-    ordered = numbered.groupBy(*words.columns).agg(
-        F.sort_array(F.collect_list(F.struct("held", element.alias("e")))).alias("o"))
+    first, and ``keys``, a row for each: hashes of elements (of COMBINED ones for
+    short words) that a similar word has too, as far as some root may hold them,
+    with the ``at`` of the key's first element.  All of it is worked out inside the row."""
+    unit, n = F.col(f"{prefix}_len") - 1, F.col(f"{prefix}_n")
+    of = lambda e: F.substring(F.lit(classes), _slot(F.substring(e, 1, 2)) + 1, 1)
+    ordered = F.array_sort(F.transform(_numbered(_bigrams(words, prefix)), lambda e: F.struct(of(e).alias("held"), e.alias("e"))))
+    ordered = F.transform(ordered, lambda x, i: F.struct(x.held, x.e, (i + 1).alias("at")))
     # a little less than the bound, for the rounding of the product
     share = threshold / (2 - threshold)
-    need = F.greatest(F.ceil(F.lit(share) * (F.col(f"{prefix}_len") - 1) - 1e-9), F.lit(1))
-    first = F.filter(F.slice("o", 1, F.greatest(F.col(f"{prefix}_n") - need + 1, F.lit(0)).cast("int")),
-                     lambda x: x.held > 0)
-    return ordered.select(*words.columns, F.transform("o", lambda x: x.e).alias(f"{prefix}_set"),
-                          F.transform(first, lambda x: x.e).alias(f"{prefix}_pre"))
+    missing = n - F.greatest(F.ceil(F.lit(share) * unit - 1e-9), F.lit(1))
+    # elements that all words have, behind the others: a word of one element has a key too
+    pads = F.array(*[F.struct(F.lit(b"\xff").alias("held"), F.lit(str(i)).alias("e"), F.lit(0).alias("at")) for i in range(1, COMBINED)])
+
+    def first(o, size) -> Column:
+        return F.filter(F.slice(o, 1, F.greatest(missing + size, F.lit(0)).cast("int")), lambda x: x.held != F.lit(b"\0"))
+
+    # words up to ``most`` meet at combinations, a longer one and those it can be similar to at elements
+    most = MISSING / (1 - share) if share < 1 else float("inf")
+    none = F.array().cast("array<struct<key:bigint,at:int>>")
+    combined = F.when(unit <= most, _bind(first(F.concat("o", pads), COMBINED), lambda p: _combinations(p, COMBINED))).otherwise(none)
+    single = F.when(unit > share * most - 1e-9, F.transform(first(F.col("o"), 1), lambda x: _key(x))).otherwise(none)
+    return (words.where(n >= 1).select("*", ordered.alias("o"))
+            .select(*words.columns, F.transform("o", lambda x: x.e).alias(f"{prefix}_set"), F.concat(combined, single).alias("k"))
+            .select(*words.columns, f"{prefix}_set", F.col("k.key").alias(f"{prefix}_keys"), F.inline("k"))
+            .withColumnRenamed("at", f"{prefix}_at"))
 
 
 def dice_candidates(tokens: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different words that pass the prefix, length and position
-    filters, each once, with both element sets.  ``tokens`` and ``roots`` are
-    ``_words`` with prefixes ``token`` and ``root``."""
+    """Pairs of different words that share a key and pass the length and position
+    filters, each once, with both element sets.  ``tokens`` and ``roots`` are ``_words`` with
+    prefixes ``token`` and ``root``."""
     threshold = min(threshold, 1.0)  # nothing but equal words scores more
-    held = frequencies(roots, "root")
+    classes = frequencies(roots, "root")
     # written once, so Spark knows its bytes and broadcasts it while it is small
-    right = materialize(_elements(roots, "root", held, threshold)
-                        .select("*", F.posexplode("root_pre").alias("_", "e")).drop("_"), "lexicon-prefixes")
-    left = _elements(tokens, "token", held, threshold).select("*", F.explode("token_pre").alias("e"))
-    both = left.join(right, "e").where(F.get(F.array_intersect("token_pre", "root_pre"), F.lit(0)) == F.col("e"))
-    behind = [F.col(f"{p}_n") - F.array_position(f"{p}_set", F.col("e")) for p in ("token", "root")]
-    most = 1 + F.least(*behind)
+    right = materialize(_elements(roots, "root", classes, threshold), "lexicon-prefixes")
+    left = _elements(tokens, "token", classes, threshold)
+    # the first shared key starts with the first shared element
+    most = 1 + F.least(*[F.col(f"{p}_n") - F.col(f"{p}_at") for p in ("token", "root")])
     need = F.lit(float(threshold)) * (F.col("token_len") + F.col("root_len") - 2)
-    return both.where((F.col("token_norm") != F.col("root_norm")) & (2.0 * most >= need - 1e-9)).drop("e")
+    return left.join(right, "key").where(
+        (2.0 * most >= need - 1e-9) & (F.col("token_norm") != F.col("root_norm"))
+        & (F.get(F.array_intersect("token_keys", "root_keys"), F.lit(0)) == F.col("key"))).drop("key", "token_at", "root_at")
 
 
 def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",

@@ -71,6 +71,43 @@ def test_prefix_filter_leaves_few_candidates(spark):
     assert found.distinct().count() == found.count() < sharing / 4
 
 
+def test_alike_words_leave_few_candidates(spark):
+    """Words of few syllables, as many hold every bigram, against themselves."""
+    from gacetilla.operators.similarity import _words, dice_candidates
+    rnd = random.Random(5)
+    syllables = [a + b for a in "bcdfgl" for b in "aeio"]
+    words = sorted({"".join(rnd.choice(syllables) for _ in range(rnd.randint(2, 6))) for _ in range(4000)})
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    found = dice_candidates(_words(df, "w", "token", "byte"), _words(df, "w", "root", "byte"), 0.95).count()
+    assert found < 2 * len(words)
+
+
+def test_elements_are_made_inside_the_row(spark):
+    """No aggregate holds a row for each bigram of a word."""
+    from gacetilla.operators.similarity import _elements, _words
+    words = _words(spark.createDataFrame([("Crisis",), ("aaaa",)], "w string"), "w", "token", "byte")
+    plan = _elements(words, "token", bytes([3]) * (1 << 14), 0.75)._jdf.queryExecution().optimizedPlan().toString()
+    # the one of the distinct words, and the rows of the keys
+    assert plan.count("Aggregate") == 1 and plan.count("Generate") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("unit,threshold", [("byte", 0.75), ("char", 0.95), ("byte", 0.97)])
+def test_words_of_all_lengths_match_brute_force(spark, unit, threshold):
+    """Pairs around the length where keys of several elements end, and repeated bigrams."""
+    rnd = random.Random(13)
+    words = []
+    for n in [1, 2, 3, 4, 5, 8, 12, 20, 37, 38, 39, 40, 41, 42, 43, 44, 60, 64, 66, 68, 150]:
+        w = "".join(rnd.choice("abcdeé") for _ in range(n))
+        at = rnd.randrange(n)
+        words += [w, w[:at] + "a" + w[at + 1:], w[:at] + w[at:] + "b", w[1:] + w[0], w + w[:2], "ab" * (n // 2) + "a"]
+    words = sorted({w for w in words if w})
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    rows = dice_pairs(df, df, "w", "w", threshold, unit).collect()
+    want = {(a, b): dice(a, b, unit) for a in words for b in words if dice(a, b, unit) >= threshold}
+    assert len(rows) == len(want) and {(r.token, r.root) for r in rows} == set(want)
+    assert all(r.dice == pytest.approx(want[r.token, r.root]) for r in rows)
+
+
 def test_items_are_read_once(spark, workdir):
     from gacetilla.operators.summary import summarize
     rows = [(i, "c", "Crisis", f"l{i}", "War. Peace", "", None, None, None, "Climate policy. None.", None) for i in range(5)]
