@@ -101,7 +101,7 @@ def _numbered(grams: Column) -> Column:
             F.sequence(F.lit(1), F.coalesce(F.get(at, k + 1), F.size(s)) - first),
             lambda time: F.when(time == 1, F.get(s, first)).otherwise(F.concat(F.get(s, first), time.cast("string")))))))
     return _bind(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), g)
-                 .otherwise(_bind(F.array_sort(g), runs)))
+                 .otherwise(_bind(F.sort_array(g), runs)))
 
 
 def _bind(value: Column, body) -> Column:
@@ -129,7 +129,7 @@ def _elements(words: DataFrame, prefix: str, classes: bytes, threshold: float) -
     with the ``at`` of the key's first element.  All of it is worked out inside the row."""
     unit, n = F.col(f"{prefix}_len") - 1, F.col(f"{prefix}_n")
     of = lambda e: F.substring(F.lit(classes), _slot(F.substring(e, 1, 2)) + 1, 1)
-    ordered = F.array_sort(F.transform(_numbered(_bigrams(words, prefix)), lambda e: F.struct(of(e).alias("held"), e.alias("e"))))
+    ordered = F.sort_array(F.transform(_numbered(_bigrams(words, prefix)), lambda e: F.struct(of(e).alias("held"), e.alias("e"))))
     ordered = F.transform(ordered, lambda x, i: F.struct(x.held, x.e, (i + 1).alias("at")))
     # a little less than the bound, for the rounding of the product
     share = threshold / (2 - threshold)
@@ -145,10 +145,11 @@ def _elements(words: DataFrame, prefix: str, classes: bytes, threshold: float) -
     none = F.array().cast("array<struct<key:bigint,at:int>>")
     combined = F.when(unit <= most, _bind(first(F.concat("o", pads), COMBINED), lambda p: _combinations(p, COMBINED))).otherwise(none)
     single = F.when(unit > share * most - 1e-9, F.transform(first(F.col("o"), 1), lambda x: _key(x))).otherwise(none)
+    # outer, for Spark puts a filter on the array below an inner one and works it out twice
     return (words.where(n >= 1).select("*", ordered.alias("o"))
             .select(*words.columns, F.transform("o", lambda x: x.e).alias(f"{prefix}_set"), F.concat(combined, single).alias("k"))
-            .select(*words.columns, f"{prefix}_set", F.col("k.key").alias(f"{prefix}_keys"), F.inline("k"))
-            .withColumnRenamed("at", f"{prefix}_at"))
+            .select(*words.columns, f"{prefix}_set", F.col("k.key").alias(f"{prefix}_keys"), F.inline_outer("k"))
+            .where("key is not null").withColumnRenamed("at", f"{prefix}_at"))
 
 
 def dice_candidates(tokens: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
