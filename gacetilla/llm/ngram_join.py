@@ -9,8 +9,7 @@ first order (the lists that are joined), pass the length and position bounds
 there, and share enough of them in each further order; only pairs that meet all
 filters are verified on the whole sets.
 
-The frequency classes come from a sketch of fixed size over a share of the
-documents.  They only shape the order, which is the same for all documents, so
+The frequency classes come from a sketch of fixed size over all documents.  They only shape the order, which is the same for all documents, so
 the result does not depend on them.
 
 1. ``shingle_sets``: a row per document with its set's name (a 64-bit hash of
@@ -39,6 +38,8 @@ result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,9 +52,9 @@ from .words import SPACED, Words, chunks, mix, window_hash
 SHINGLE = 5
 THRESHOLD = 80
 ORDERS = 3
-#: slots of the frequency sketch, and one in so many documents feeds it
+#: slots of the frequency sketch, and of a part of it
 SKETCH_BITS = 22
-SKETCH_SHARE = 16
+PART_BITS = 16
 
 _U = np.uint64
 _FURTHER = [f"order{i}" for i in range(1, ORDERS)]
@@ -93,25 +94,44 @@ def _set_names(hashes, first) -> np.ndarray:
 
 
 def _sketch_rows(k: int):
+    """Counts of a task's shingles by slot, packed: a row for each part of the slots."""
     def task(batches):
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        none = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+        low = _U((1 << SKETCH_BITS) - 1)
         for batch in batches:
             for piece in chunks(batch):
                 h, text = shingles(Words(piece.column(0), SPACED, lower=True), k)
-                one, _ = _ordered(h, text, none, 0)
-                counts += np.bincount((h[one] & _U((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(counts))
-        slot = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
+                # each shingle of a text once: its slot under a hash of both
+                both = np.unique((mix(h ^ mix(text.astype(np.uint64) + _U(1))) & ~low) | (h & low))
+                counts += np.bincount((both & low).astype(np.int64), minlength=len(counts))
+        for part, some in enumerate(counts.reshape(-1, 1 << PART_BITS)):
+            if some.any():
+                small = some.astype(np.min_scalar_type(int(some.max())))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part]), pa.array([small.itemsize]), pa.array([zlib.compress(small.tobytes(), 1)])],
+                    names=["part", "width", "counts"])
     return task
 
 
+def _sum_rows(batches):
+    """(slot, n) from all packed counts of the parts that a task has."""
+    total: dict = {}
+    for b in batches:
+        for part, width, counts in zip(*(b.column(i).to_pylist() for i in range(3))):
+            some = np.frombuffer(zlib.decompress(counts), dtype=f"u{width}")
+            total[part] = some + total.get(part, np.zeros(1 << PART_BITS, dtype=np.int64))
+    for part, n in total.items():
+        n = n.astype(np.int64)
+        slot = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slot + (part << PART_BITS)), pa.array(n[slot])], names=["slot", "n"])
+
+
 def frequency_classes(texts: DataFrame, k: int = SHINGLE) -> np.ndarray:
-    """A class for each sketch slot: 0 for all but frequent shingles."""
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SKETCH_SHARE)) == 0).select("text")
+    """A class for each sketch slot: 0 for all but frequent shingles.  Every
+    document counts."""
+    packed = texts.select("text").mapInArrow(_sketch_rows(k), "part long, width long, counts binary")
     # at most one row per slot, read twice
-    slots = materialize(some.mapInArrow(_sketch_rows(k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")),
-                        "sketch")
+    slots = materialize(packed.repartition("part").mapInArrow(_sum_rows, "slot long, n long"), "sketch")
     mean = (slots.agg(F.sum("n").alias("n")).first()["n"] or 0) / (1 << SKETCH_BITS)
     unit = int(2 * mean) + 2
     rows = slots.where(F.col("n") >= unit).toArrow()

@@ -84,3 +84,13 @@ def test_executors_need_no_package():
     lines = done.stdout.split("\n")
     assert done.returncode == 0, done.stderr[-2000:]
     assert "without" in lines and len([x for x in lines if x.startswith(("op", "pipeline"))]) == 14
+
+
+def test_frequency_classes_count_every_document(spark):
+    """A shingle of some documents is as frequent as they are, whichever they are."""
+    rows = [(i, f"one two three four five tail{i} end{i}") for i in range(40)]
+    docs = H.documents(spark, rows).repartition(3)
+    words = Words(pa.array(["one two three four five"]))
+    slot = int(ngram_join.shingles(words, 5)[0][0] & np.uint64((1 << ngram_join.SKETCH_BITS) - 1))
+    classes = ngram_join.frequency_classes(docs.select("text"), 5)
+    assert classes[slot] == np.floor(np.log2(40 / 2)) + 1 and np.count_nonzero(classes) == 1
