@@ -31,6 +31,8 @@ from .oracle import (ITEMS, OPT_IN_OR, RAW_ITEMS, RUN_TIME, _esc, _num, _q, _spl
 from .pipelines import run_dossier, run_relevance_report
 
 FEED_ITEMS = 250
+#: ids of the items of a large feed: one task writes a file
+LARGE_FEED_IDS = 50_000
 ITEM_TEXTS = ["channel", "title", "link", "description", "creators", "pub_date", "categories", "keywords"]
 COMPOSITE_K = 400
 
@@ -66,16 +68,19 @@ def q_load_feeds(spark, sf_dir):
 
 
 def q_large_feeds(spark, sf_dir):
-    """S2, S4, P1 for large feeds: the documents as one file per channel, item
-    by item, and a file without a channel."""
+    """S2, S4, P1 for large feeds: the documents as one file per channel and
+    LARGE_FEED_IDS ids, item by item, and a file without a channel."""
     raw = raw_items_from_documents(table(spark, sf_dir, "documents"))
-    lines = raw.select(F.md5("channel_title").alias("feed"), F.col("item_id").alias("ord"), rss_elements(raw).alias("value"))
-    titles = raw.select("channel_title").distinct()
+    # documents without a channel are one file, which is one bad feed
+    block = F.coalesce(F.floor(F.col("item_id") / LARGE_FEED_IDS), F.lit(0))
+    feed = F.when(F.col("channel_title").isNotNull(), F.concat_ws("-", F.md5("channel_title"), block))
+    lines = raw.select(feed.alias("feed"), F.col("item_id").alias("ord"), rss_elements(raw).alias("value"))
+    titles = raw.select(feed.alias("feed"), "channel_title").distinct()
     head = F.concat(F.lit('<?xml version="1.0"?>\n<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" '
                           'xmlns:media="http://search.yahoo.com/mrss/">\n<channel>\n<title>'), "channel_title",
                     F.lit("</title>\n<link>https://example.org/</link>"))
-    lines = (lines.unionByName(titles.select(F.md5("channel_title").alias("feed"), F.lit(-1).cast("long").alias("ord"), head.alias("value")))
-             .unionByName(titles.select(F.md5("channel_title").alias("feed"), F.lit((1 << 62)).cast("long").alias("ord"),
+    lines = (lines.unionByName(titles.select("feed", F.lit(-1).cast("long").alias("ord"), head.alias("value")))
+             .unionByName(titles.select("feed", F.lit((1 << 62)).cast("long").alias("ord"),
                                         F.lit("</channel></rss>").alias("value"))))
     path = _folder(spark, "large-feeds")
     lines.repartition("feed").sortWithinPartitions("feed", "ord").drop("ord").write.partitionBy("feed").text(path)

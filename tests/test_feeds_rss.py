@@ -151,3 +151,20 @@ def test_opt_in_on_loaded_items(spark, workdir):
     assert load_items(spark, folder, ["mar", "carga"], "and").count() == 1
     assert load_items(spark, folder, ["mar", "carga"], "or").count() == 2
     assert load_items(spark, folder, [], "and").count() == 3
+
+
+def test_large_feeds_are_dealt_by_blocks_of_ids(spark, workdir, monkeypatch):
+    """No task writes a whole channel; the rows are those of one file per channel."""
+    from gacetilla.plans import landed
+    rows = [(i, f"Title {i}\nText {i} & more", "en", None if i == 9 else "src", 1) for i in [*range(60), 7]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{workdir}/documents.parquet")
+    found, paths = {}, []
+    folder = landed._folder
+    monkeypatch.setattr(landed, "_folder", lambda s, name: paths.append(folder(s, name)) or paths[-1])
+    for ids in (1000, 10):
+        monkeypatch.setattr(landed, "LARGE_FEED_IDS", ids)
+        found[ids] = sorted(map(str, landed.q_large_feeds(spark, workdir).collect()))
+    assert found[10] == found[1000] and len(found[10]) > 55
+    files = [spark.read.text(f"{p}/*").inputFiles() for p in paths if "large-feeds" in p]
+    assert len(files[1]) > 4 * len(files[0])
