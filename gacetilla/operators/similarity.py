@@ -145,10 +145,12 @@ def _elements(words: DataFrame, prefix: str, classes: bytes, threshold: float) -
     none = F.array().cast("array<struct<key:bigint,at:int>>")
     combined = F.when(unit <= most, _bind(first(F.concat("o", pads), COMBINED), lambda p: _combinations(p, COMBINED))).otherwise(none)
     single = F.when(unit > share * most - 1e-9, F.transform(first(F.col("o"), 1), lambda x: _key(x))).otherwise(none)
-    # outer, for Spark puts a filter on the array below an inner one and works it out twice
+    # outer, and arrays that are never null: else Spark tests the arrays by filters
+    # below the distinct words, so they would be worked out for every occurrence
+    never = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     return (words.where(n >= 1).select("*", ordered.alias("o"))
-            .select(*words.columns, F.transform("o", lambda x: x.e).alias(f"{prefix}_set"), F.concat(combined, single).alias("k"))
-            .select(*words.columns, f"{prefix}_set", F.col("k.key").alias(f"{prefix}_keys"), F.inline_outer("k"))
+            .select(*words.columns, never(F.transform("o", lambda x: x.e), "array<string>").alias(f"{prefix}_set"), F.concat(combined, single).alias("k"))
+            .select(*words.columns, f"{prefix}_set", never(F.col("k.key"), "array<bigint>").alias(f"{prefix}_keys"), F.inline_outer("k"))
             .where("key is not null").withColumnRenamed("at", f"{prefix}_at"))
 
 

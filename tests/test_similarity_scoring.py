@@ -91,6 +91,12 @@ def test_elements_are_made_inside_the_row(spark):
     assert plan.count("Aggregate") == 1 and plan.count("Generate") == 1 and "Join" not in plan
 
 
+def test_no_filter_works_out_elements_of_occurrences(spark):
+    df = spark.createDataFrame([("Crisis",), ("aaaa",)], "w string")
+    plan = dice_pairs(df, builtin_lexicon(spark), "w")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "lambda" in x]
+
+
 @pytest.mark.parametrize("unit,threshold", [("byte", 0.75), ("char", 0.95), ("byte", 0.97)])
 def test_words_of_all_lengths_match_brute_force(spark, unit, threshold):
     """Pairs around the length where keys of several elements end, and repeated bigrams."""
