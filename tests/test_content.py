@@ -164,3 +164,16 @@ def test_columns_of_pages_stay(spark):
     assert got == sorted([(1, "Agency", "x\n", None), (1, "Agency", None, "ParsingError"), (None, None, None, "EmptyString"),
                           (1, "Agency", "x\n", None)], key=repr)
     assert clean_pages(df.limit(0)).count() == 0
+
+
+def test_tasks_grow_with_the_pages_and_sort_twice(spark, monkeypatch):
+    from gacetilla.operators import content
+    df = spark.range(40).select(F.lit("x").alias("channel"), F.concat(
+        F.lit("<ol start=3><li>a"), F.repeat(F.lit("<p>text"), 200), F.lit("<li>b</ol><li>c"), F.col("id").cast("string")).alias("html"))
+    monkeypatch.setattr(content, "TASK_BYTES", 2000, raising=False)
+    rows = content.tag_table(df, "html")
+    assert rows.rdd.getNumPartitions() >= 25
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Window ") > 0
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") == 2
+    assert sorted({r.number for r in rows.collect()}, key=str) == [3, 4, None]
