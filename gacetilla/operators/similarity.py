@@ -183,7 +183,8 @@ def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
     if not threshold > 0:
         raise ValueError("threshold must be > 0")
     need = F.lit(float(threshold))
-    toks = _words(tokens, token_col, "token", length_unit)
+    # written once: both joins read it, and none of them makes words distinct beside its own work
+    toks = materialize(_words(tokens, token_col, "token", length_unit), "distinct-words")
     roots = _words(lexicon, root_col, "root", length_unit)
     denom = (F.col("token_len") + F.col("root_len") - 2).cast("long")
     near = (dice_candidates(toks, roots, threshold)

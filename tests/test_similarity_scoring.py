@@ -97,6 +97,14 @@ def test_no_filter_works_out_elements_of_occurrences(spark):
     assert not [x for x in plan.split("\n") if "Filter" in x and "lambda" in x]
 
 
+def test_words_are_made_distinct_once(spark):
+    df = spark.createDataFrame([("Crisis",), ("Crisis",), (None,), ("aaaa",)], "w string")
+    pairs = dice_pairs(df, builtin_lexicon(spark), "w")
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [token" not in plan and "Aggregate [w" not in plan
+    assert [r.token for r in pairs.where("dice = 1").collect()] == [r.token for r in pairs.where("token = root").collect()]
+
+
 @pytest.mark.parametrize("unit,threshold", [("byte", 0.75), ("char", 0.95), ("byte", 0.97)])
 def test_words_of_all_lengths_match_brute_force(spark, unit, threshold):
     """Pairs around the length where keys of several elements end, and repeated bigrams."""
