@@ -15,7 +15,8 @@ the summary is extractive and computed on Spark:
 One pass over the texts writes the sentences with their words; everything else
 reads that table.  Only numbers are shuffled for the choice (the position, word
 count and hits of each sentence); the sentences are joined with the kept
-positions once.
+positions once, as a stream past a row per document.  The number of tasks grows
+with the sentences, so that a task's memory does not.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .similarity import DICE_THRESHOLD, filter_matching, matched_tokens
 
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"
 TOKEN_BUDGET = 150
+#: sentences that one task ranks
+TASK_SENTENCES = 250_000
 
 
 def _sentences(text_col: str):
@@ -45,6 +48,12 @@ def sentences(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     return materialize(s, "sentences")
 
 
+def _partitions(sent: DataFrame) -> int:
+    """Tasks for a shuffle of the written sentences: their number comes from the files' footers."""
+    least = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-sent.count() // TASK_SENTENCES))
+
+
 def summarize(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col: str = "text",
               budget: int = TOKEN_BUDGET, threshold: float = DICE_THRESHOLD,
               length_unit: str = "byte") -> DataFrame:
@@ -55,15 +64,24 @@ def summarize(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text_col
     matches = matched_tokens(words, lexicon, threshold=threshold, length_unit=length_unit)
     hits = (filter_matching(sent.select(key, "pos", F.explode("tokens").alias("token")), matches)
             .groupBy(key, "pos").agg(F.count(F.lit(1)).cast("long").alias("hits")))
-    scored = (sent.select(key, "pos", F.size("tokens").cast("long").alias("n_tokens")).join(hits, [key, "pos"], "left")
+    # as many tasks as the sentences need: what one of them sorts does not grow with the input
+    parts = _partitions(sent)
+    scored = (sent.select(key, "pos", F.size("tokens").cast("long").alias("n_tokens")).repartition(parts, key, "pos")
+                  .join(hits.repartition(parts, key, "pos"), [key, "pos"], "left")
                   .withColumn("hits", F.coalesce("hits", F.lit(0).cast("long"))))
     w = Window.partitionBy(key).orderBy(F.col("hits").desc(), F.col("pos").asc())
-    ranked = (scored.withColumn("rank", F.row_number().over(w))
+    ranked = (scored.repartition(parts, key)
+                    .withColumn("rank", F.row_number().over(w))
                     .withColumn("running", F.sum("n_tokens").over(
                         w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    # at most ``budget`` sentences a document, as each has a word
-    kept = ranked.where((F.col("rank") == 1) | (F.col("running") <= budget)).select(key, "pos", "n_tokens")
-    return (sent.select(key, "pos", "sentence").join(kept, [key, "pos"])
+    # at most ``budget`` sentences a document, as each has a word: a row per document, small
+    # enough for a hash table, so the sentences stream past it and their texts are not sorted
+    kept = (ranked.where((F.col("rank") == 1) | (F.col("running") <= budget))
+                  .groupBy(key).agg(F.collect_list(F.struct("pos", "n_tokens")).alias("_at"))
+                  .select(key, "_at", F.col("_at.pos").alias("_places")))
+    return (sent.select(key, "pos", "sentence").repartition(parts, key).join(kept.hint("shuffle_hash"), key)
+            .where(F.array_contains("_places", F.col("pos")))
+            .select(key, "pos", "sentence", F.explode(F.filter("_at", lambda x: x.pos == F.col("pos"))["n_tokens"]).alias("n_tokens"))
             .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("_kept"),
                               F.count(F.lit(1)).cast("long").alias("n_sentences"),
                               F.sum("n_tokens").cast("long").alias("n_tokens"))

@@ -38,6 +38,28 @@ def test_summary_matches_brute_force(spark):
         assert got[i] == _brute(t, 8)
 
 
+def test_memory_of_a_summary_task_stays(spark, monkeypatch):
+    """Tasks are added as the sentences grow, and no task sorts their texts."""
+    import gacetilla.operators.summary as summary
+    texts = [" ".join(f"Word{i}x{j} of the crisis and war number {j}." for j in range(40)) for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {i: _brute(t, 30) for i, t in enumerate(texts)}
+    monkeypatch.setattr(summary, "TASK_SENTENCES", 20, raising=False)
+    found = summarize(docs, builtin_lexicon(spark), budget=30)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert {r.doc_id: r.summary for r in found.collect()} == want
+    # the texts stream past the kept positions; 480 sentences are dealt to 24 tasks
+    assert sum("ShuffledHashJoin" in x for x in plan) == 1 and not [x for x in plan if "Sort [" in x and "sentence" in x]
+    assert sum("Exchange hashpartitioning(doc_id" in x and "24)" in x for x in plan) >= 3
+
+
+def test_summary_of_keys_that_repeat_or_are_null(spark):
+    docs = spark.createDataFrame([(1, "War now. Calm day."), (1, "Calm sea. Crisis."), (None, "War.")], "doc_id long, text string")
+    rows = summarize(docs, builtin_lexicon(spark), budget=30).collect()
+    # each sentence meets each kept one of its place
+    assert [(r.doc_id, r.n_sentences, r.n_tokens) for r in rows] == [(1, 8, 14)]
+
+
 def test_opt_in_semantics(spark):
     items = spark.createDataFrame(
         [(1, "politics,economy", None), (2, None, "climate, war"), (3, "sports", "football"), (4, None, None)],
