@@ -13,7 +13,9 @@ space and the text (a model that rewrites characters) have no tokens.
 On Spark a task encodes its texts in blocks of about BLOCK_BYTES and writes,
 for each block, the distinct id pairs with the number of texts that hold them,
 and for each text the pairs it holds (places in the block's list) and how
-often.  Pair counts are sums over blocks, so a pair found in every text costs
+often.  These lists are cut into rows of PART entries at most, and the rows are
+written in small row groups, so no writer, reader or exchange on the JVM holds a
+block at once.  Pair counts are sums over blocks, so a pair found in every text costs
 one row a block; the best count of each A id is a window over distinct pairs.
 Counts go back to the blocks by one join on the pair, and a co-group by block
 works out the texts' sums.  Models go to tasks as bytes, whose size is fixed by
@@ -31,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,10 @@ from .tables import materialize
 from .words import chunks
 
 BLOCK_BYTES = 2 << 20
+#: entries of a list in a row of a block
+PART = 12_000
+#: bytes of a row group of such rows
+ROW_GROUP = 4 << 20
 MEMO = 200_000
 MEMO_BYTES = 64 << 20
 #: links of a group that are crossed in place; larger groups go by distinct ids
@@ -73,17 +80,24 @@ class ByteLevel:
     """
 
     def __init__(self, text: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_str(text)
-        self.model.encode_special_tokens = True
+        self.text = text
+        file = json.loads(text)
         byte = _byte_of_char()
-        vocab = self.model.get_vocab(with_added_tokens=True)
+        vocab = file["model"]["vocab"] | {x["content"]: x["id"] for x in file["added_tokens"]}
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             known = all(c in byte for c in token)
             self.bytes[i] = bytes(byte[c] for c in token) if known else token.encode()
-        self.ranks = self._ranks(json.loads(text))
+        self.ranks = self._ranks(file)
+
+    @cached_property
+    def model(self):
+        """Made when a text needs it: beside the ranks most tasks don't."""
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_str(self.text)
+        model.encode_special_tokens = True
+        return model
 
     def _ranks(self, file):
         split, model = file["pre_tokenizer"] or {}, file["model"]
@@ -273,10 +287,22 @@ _STATS = ("n_a", "n_b", "n_groups", "n_links")
 _LISTS = [("doc_id", pa.int64()), *((c, pa.int64()) for c in _STATS), ("groups_sha256", pa.string()),
           ("pairs", pa.int64()), ("holders", pa.int32()), ("size", pa.int32()), ("places", pa.int32()),
           ("links", pa.int64())]
-_BLOCK = "block long, " + ", ".join(f"{c} array<{'string' if t == pa.string() else 'long' if t == pa.int64() else 'int'}>"
+_BLOCK = "block long, part int, " + ", ".join(f"{c} array<{'string' if t == pa.string() else 'long' if t == pa.int64() else 'int'}>"
                                     for c, t in _LISTS)
 
 
+def _rows(number: int, block: dict, most: int = PART):
+    """The rows of a block: each list in the same number of slices, in order."""
+    lists = [(block[c] if c == "doc_id" else pa.array(block[c], kind)).cast(kind) for c, kind in _LISTS]
+    parts = max(1, -(-max(map(len, lists)) // most))
+    for part in range(parts):
+        columns = [pa.array([number]), pa.array([part], pa.int32())]
+        for values in lists:
+            start, end = (x * len(values) // parts for x in (part, part + 1))
+            columns.append(pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), values.slice(start, end - start)))
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "part", *(c for c, _ in _LISTS)])
+
+
 def _blocks(byte_level, pieces):
     def task(batches):
         import os
@@ -289,12 +315,8 @@ def _blocks(byte_level, pieces):
         for batch in batches:
             for some in chunks(batch, size=BLOCK_BYTES):
                 row = aligner.block(some.column(1).to_pylist()) | {"doc_id": some.column(0)}
-                columns = [pa.array([number])]
-                for c, kind in _LISTS:
-                    values = row[c] if c == "doc_id" else pa.array(row[c], kind)
-                    columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind)))
+                yield from _rows(number, row)
                 number += 1
-                yield pa.RecordBatch.from_arrays(columns, names=["block", *(c for c, _ in _LISTS)])
     return task
 
 
@@ -304,22 +326,18 @@ _RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 
 def _scored(blocks: pa.Table, counts: pa.Table) -> pa.Table:
     """Sums of a block's texts, from the corpus-wide counts of its pairs."""
-    parts = []
-    for at in range(len(blocks)):
-        own = {c: blocks.column(c).combine_chunks()[at].values for c in blocks.column_names if c != "block"}
-        pairs = own["pairs"].to_numpy()
-        place = np.searchsorted(pairs, counts.column("pair").to_numpy())
-        count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
-        count[place] = counts.column("count").to_numpy()
-        best[place] = counts.column("best").to_numpy(zero_copy_only=False)
-        size, places, links = (own[c].to_numpy() for c in ("size", "places", "links"))
-        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(size)])])
-        parts.append(pa.table({"doc_id": own["doc_id"], **{c: own[c] for c in _STATS},
-                               "n_best": total(links * best[places]), "count_sum": total(links * count[places]),
-                               "groups_sha256": own["groups_sha256"]}))
-    return pa.concat_tables(parts) if parts else pa.table(
-        {c: pa.array([], pa.string() if c == "groups_sha256" else pa.int64()) for c in
-         ("doc_id", *_STATS, "n_best", "count_sum", "groups_sha256")})
+    order = np.argsort(blocks.column("part").to_numpy())
+    own = {c: blocks.column(c).combine_chunks().take(pa.array(order)).flatten() for c, _ in _LISTS if c != "holders"}
+    pairs = own["pairs"].to_numpy()
+    place = np.searchsorted(pairs, counts.column("pair").to_numpy())
+    count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
+    count[place] = counts.column("count").to_numpy()
+    best[place] = counts.column("best").to_numpy(zero_copy_only=False)
+    size, places, links = (own[c].to_numpy() for c in ("size", "places", "links"))
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(size)])])
+    return pa.table({"doc_id": own["doc_id"], **{c: own[c] for c in _STATS},
+                     "n_best": total(links * best[places]), "count_sum": total(links * count[places]),
+                     "groups_sha256": own["groups_sha256"]})
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -341,8 +359,8 @@ def align(docs: DataFrame, byte_level_path: str, piece_path: str) -> DataFrame:
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = materialize(rows.mapInArrow(_blocks(context.broadcast(byte_level), context.broadcast(pieces)), _BLOCK),
-                         "aligned-blocks")
+                         "aligned-blocks", ROW_GROUP)
     counted = (blocks.select(F.col("block").alias("of"), F.explode("pairs").alias("pair"))
                .join(pair_counts(blocks), "pair").select("of", "pair", "count", "best"))
-    held = blocks.select("block", "doc_id", *_STATS, "groups_sha256", "pairs", "size", "places", "links")
+    held = blocks.select("block", "part", "doc_id", *_STATS, "groups_sha256", "pairs", "size", "places", "links")
     return held.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(_scored, _RESULT)

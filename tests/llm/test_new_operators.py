@@ -25,6 +25,24 @@ def test_alignment(spark):
     H.same(only, [(1, 0, 0, 0, 0, 0, 0, ""), (None, 0, 0, 0, 0, 0, 0, "")])
 
 
+def test_rows_of_a_block_are_small(spark):
+    """Lists of a block are cut into rows of PART entries; the sums are those of the whole."""
+    r = random.Random(8)
+    rows = [(i, " ".join("".join(r.choice("abcdeo") for _ in range(r.randint(2, 9))) for _ in range(400))) for i in range(90)]
+    blocks = {}
+
+    def kept(df, name, *options):
+        blocks["rows"] = materialize(df, name, *options)
+        return blocks["rows"]
+    materialize = anchors.materialize
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(anchors, "materialize", kept)
+        H.same(anchors.align(H.documents(spark, rows).coalesce(1), *PATHS), H.aligned(rows, *PATHS))
+    lists = ("doc_id", "pairs", "places", "links")
+    sizes = blocks["rows"].select("block", *[F.size(c).alias(c) for c in lists]).collect()
+    assert len(sizes) > len({x.block for x in sizes}) and max(x[c] for x in sizes for c in lists) <= 12_000
+
+
 def test_rank_encoding_is_the_files_encoding():
     with open(PATHS[0], encoding="utf-8") as f:
         own = anchors.ByteLevel(f.read())
