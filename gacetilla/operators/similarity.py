@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_whitespace
 from ..session import materialize
+from .alike import alike_pairs
 
 DICE_THRESHOLD = 0.75
 #: elements of a key, for words of which at most so many elements may be missing
@@ -178,20 +179,25 @@ def dice_pairs(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token",
 
     Output: token, root, inter (shared bigrams), denom (len_t + len_r - 2),
     dice (double; 1.0 for words equal after white-space removal).
-    ``tokens`` may hold duplicates; they are made distinct first.
+    ``tokens`` may hold duplicates; they are made distinct first.  A table that is
+    its own lexicon (the same DataFrame and column) is matched by ``alike``.
     """
     if not threshold > 0:
         raise ValueError("threshold must be > 0")
     need = F.lit(float(threshold))
     # written once: both joins read it, and none of them makes words distinct beside its own work
     toks = materialize(_words(tokens, token_col, "token", length_unit), "distinct-words")
-    roots = _words(lexicon, root_col, "root", length_unit)
+    own = lexicon is tokens and root_col == token_col
+    roots = toks.toDF(*[c.replace("token", "root") for c in toks.columns]) if own else _words(lexicon, root_col, "root", length_unit)
     denom = (F.col("token_len") + F.col("root_len") - 2).cast("long")
-    near = (dice_candidates(toks, roots, threshold)
-            .withColumn("inter", F.size(F.array_intersect("token_set", "root_set")).cast("long"))
-            .select("token", "root", "inter", denom.alias("denom"),
-                    F.when((F.col("token_len") < 2) | (F.col("root_len") < 2), F.lit(0.0))
-                     .otherwise(2.0 * F.col("inter") / denom).alias("dice")))
+    if own:
+        near = alike_pairs(toks.where("token_n >= 1").select("token", F.col("token_norm").alias("norm")), threshold, length_unit)
+    else:
+        near = (dice_candidates(toks, roots, threshold)
+                .withColumn("inter", F.size(F.array_intersect("token_set", "root_set")).cast("long"))
+                .select("token", "root", "inter", denom.alias("denom"),
+                        F.when((F.col("token_len") < 2) | (F.col("root_len") < 2), F.lit(0.0))
+                         .otherwise(2.0 * F.col("inter") / denom).alias("dice")))
     equal = (toks.join(roots, F.col("token_norm") == F.col("root_norm"))
              .select("token", "root", F.col("token_n").cast("long").alias("inter"), denom.alias("denom"),
                      F.lit(1.0).alias("dice")))

@@ -122,6 +122,45 @@ def test_words_of_all_lengths_match_brute_force(spark, unit, threshold):
     assert all(r.dice == pytest.approx(want[r.token, r.root]) for r in rows)
 
 
+@pytest.mark.parametrize("cell,chunk", [(50, 40), (1000, 7)])
+def test_own_lexicon_in_many_cells(spark, monkeypatch, cell, chunk):
+    """A table as its own lexicon: slots cut into chunks, every pair once and both ways."""
+    from functools import partial
+
+    from gacetilla.operators import alike
+    monkeypatch.setattr(alike, "cells", partial(alike.cells, cell=cell, chunk=chunk))
+    rnd = random.Random(17)
+    syllables = [a + b for a in "bcdé" for b in "aeió"]
+    words = sorted({"".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 6))) for _ in range(300)}
+                   | {"ab" * 30, "ab" * 31, "ab" * 30 + "c", "b" + "ab" * 20, "ba ba", "baba", "😀😁é😀", "😀😁é😀😁"})
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(3)
+    rows = dice_pairs(df, df, "w", "w").collect()
+    want = {(a, b): dice(a, b) for a in words for b in words if dice(a, b) >= 0.75}
+    assert len(rows) == len(want) and {(r.token, r.root) for r in rows} == set(want)
+    assert all(r.dice == want[r.token, r.root] and (r.dice == 1 or r.dice == 2 * r.inter / r.denom) for r in rows)
+
+
+def test_long_words_and_steps(monkeypatch):
+    """Words longer than those with combined keys, and candidates cut into steps."""
+    import numpy as np
+
+    from gacetilla.operators import alike
+    monkeypatch.setattr(alike, "STEP", 7)
+    monkeypatch.setattr(alike, "MATRIX", 900)
+    rnd = random.Random(19)
+    long = ["".join(rnd.choice("abcdefgh") for _ in range(60)) for _ in range(3)]
+    words = sorted({w[:k] + x + w[k:] for w in long for k in (0, 9, 30, 60) for x in ("", "y", "zz")}
+                   | {"".join(rnd.choice("abc") for _ in range(rnd.randint(2, 9))) for _ in range(60)})
+    held = np.ones(1 << alike.SLOT_BITS, np.int8)
+    rows = [(w, at) for w in words for at in range(len(w) - 1)]
+    cell = alike.Cell([w for w, _ in rows], np.array([at for _, at in rows]), np.full(len(rows), -1), held, 0.75, "byte")
+    got = [(rows[i][0], rows[j][0], int(n)) for a, b, shared in cell.pairs() for i, j, n in zip(a, b, shared)]
+    assert len({(a, b) for a, b, _ in got}) == len(got)
+    assert all(2 * n / (len(a) + len(b) - 2) == dice(a, b) >= 0.75 and len(a) <= len(b) for a, b, n in got)
+    assert len(got) == sum(dice(a, b) >= 0.75 for i, a in enumerate(words) for b in words[:i])
+    assert sum(len(a) > 40 for a, _, _ in got) > 20
+
+
 def test_items_are_read_once(spark, workdir):
     from gacetilla.operators.summary import summarize
     rows = [(i, "c", "Crisis", f"l{i}", "War. Peace", "", None, None, None, "Climate policy. None.", None) for i in range(5)]
