@@ -205,7 +205,8 @@ FROM items"""
 SELECT token, CAST(count(*) AS BIGINT) AS occurrences FROM occ WHERE token IN (SELECT token FROM matched)
 GROUP BY token"""
 
-    # words share one of their rarest bigrams, as many as the score leaves room for
+    # words share one of their rarest bigrams, as many as the score leaves room for; what stands
+    # behind the first shared one, and 64 bits of both sets, leave few pairs to be made distinct
     s["q_similar_words"] = f"""
 WITH w0 AS (SELECT DISTINCT token FROM (SELECT unnest({_split_ws('text')}) AS token FROM documents)),
 w AS (SELECT token, strlen(token) AS ul, length(token) - 1 AS n FROM w0 WHERE length(token) > 1),
@@ -215,9 +216,12 @@ held AS (SELECT g, count(*) AS held FROM g GROUP BY g),
 e AS (SELECT token, ul, n, g || CASE WHEN k = 0 THEN '' ELSE '#' || k END AS e, held
       FROM (SELECT *, unnest(range(times)) AS k FROM g) JOIN held USING (g)),
 o AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY held, e) AS pos FROM e),
-pre AS (SELECT * FROM o WHERE pos <= n - greatest(ceil({SIMILAR_WORDS} / (2 - {SIMILAR_WORDS}) * (ul - 1) - 1e-9), 1) + 1),
+bits AS (SELECT token, bit_or(CAST(1 AS UBIGINT) << CAST(hash(e) % 64 AS INTEGER)) AS bits FROM e GROUP BY token),
+pre AS (SELECT * FROM o JOIN bits USING (token) WHERE pos <= n - greatest(ceil({SIMILAR_WORDS} / (2 - {SIMILAR_WORDS}) * (ul - 1) - 1e-9), 1) + 1),
 cand AS (SELECT DISTINCT a.token, b.token AS root, a.ul + b.ul - 2 AS denom FROM pre a JOIN pre b USING (e)
-         WHERE a.token <> b.token AND 2 * least(a.n, b.n) >= {SIMILAR_WORDS} * (a.ul + b.ul - 2)),
+         WHERE a.token <> b.token AND 2 * least(a.n, b.n) >= {SIMILAR_WORDS} * (a.ul + b.ul - 2)
+           AND 2 * (1 + least(a.n - a.pos, b.n - b.pos)) >= {SIMILAR_WORDS} * (a.ul + b.ul - 2) - 1e-9
+           AND bit_count(xor(a.bits, b.bits)) <= a.n + b.n - {SIMILAR_WORDS} * (a.ul + b.ul - 2) + 1e-9),
 pairs AS (SELECT c.token, c.root, CAST(2 * count(*) AS DOUBLE) / c.denom AS dice
           FROM cand c JOIN e a ON a.token = c.token JOIN e b ON b.token = c.root AND b.e = a.e GROUP BY c.token, c.root, c.denom)
 SELECT token, count(*) AS similar, max(dice) AS closest FROM pairs WHERE dice >= {SIMILAR_WORDS} GROUP BY token"""
@@ -613,7 +617,7 @@ SELECT item_id, channel, title, link, description, creators, pub_date, categorie
 # Parameters shared with the Spark side.
 OPT_IN_OR = ["en", "sección src1"]
 OPT_IN_AND = ["en", "src1"]
-SIMILAR_WORDS = 0.95
+SIMILAR_WORDS = DICE_THRESHOLD
 TOP_K = 20
 FIRST_K = 100
 FEEDBACK_N = 50

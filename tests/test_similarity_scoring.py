@@ -161,6 +161,17 @@ def test_long_words_and_steps(monkeypatch):
     assert sum(len(a) > 40 for a, _, _ in got) > 20
 
 
+def test_similar_words_meet_the_rankings_threshold(spark, workdir):
+    """The words of the documents are matched as the ranking matches them, not only near copies."""
+    from gacetilla.plans.contract import q_similar_words
+    spark.createDataFrame([(1, "Election elections Elections"), (2, "climate"), (3, None)], "doc_id long, text string"
+                          ).write.parquet(f"{workdir}/documents.parquet")
+    got = {r.token: (r.similar, r.closest) for r in q_similar_words(spark, workdir).collect()}
+    words = ["Election", "elections", "Elections", "climate"]
+    want = {a: [dice(a, b) for b in words if a != b and dice(a, b) >= 0.75] for a in words}
+    assert got == {a: (len(x), max(x)) for a, x in want.items() if x} and got["Election"][1] < 0.95
+
+
 def test_items_are_read_once(spark, workdir):
     from gacetilla.operators.summary import summarize
     rows = [(i, "c", "Crisis", f"l{i}", "War. Peace", "", None, None, None, "Climate policy. None.", None) for i in range(5)]
