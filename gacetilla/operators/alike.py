@@ -39,7 +39,7 @@ MISSING = 8
 SLOT_BITS = 16
 #: rows of a cell that rare slots share, and of a chunk of a slot
 CELL = 50_000
-CHUNK = 150_000
+CHUNK = 100_000
 #: shuffle partitions of cells at most
 PARTITIONS = 4000
 #: words read, candidates and matrix entries worked on at once
@@ -159,6 +159,7 @@ class Cell:
         self.unit = _units(norms, length_unit)
         self.n = np.array([len(w) - 1 for w in norms], dtype=np.int64)
         self.at = at
+        self.loose = self.n - threshold * self.unit
         share = threshold / (2 - threshold)
         self.long, self.short = (_missing(self.n, self.unit, s) for s in (share, threshold))
         most = MISSING / (1 - share) if share < 1 else float("inf")
@@ -228,6 +229,12 @@ class Cell:
             some = some[np.argsort(short[some], kind="stable")]
             short, end, lo, many = short[some], end[some], lo[some], (hi - lo)[some]
             done = np.cumsum(many)
+            behind = (self.n[owner] - last - 1).clip(0)
+            # of the short and the long word of each key: signature, what it adds to the elements that
+            # only one of a pair may have, and its length and the greatest one of the other
+            left = (self.sign[short, 0], self.sign[short, 1], self.loose[short], self.unit[short])
+            right = (self.sign[owner, 0], self.sign[owner, 1], self.loose[owner],
+                     2 * (size + behind) / self.threshold - self.unit[owner] + 1e-6)
             # a short row's keys stay together, so its pairs are made distinct at once
             bounds = np.flatnonzero(np.diff(short, prepend=-1, append=rows))
             at = 0
@@ -235,30 +242,26 @@ class Cell:
                 x = bounds[at]
                 base = done[x] - many[x]
                 at = max(at + 1, int(np.searchsorted(done[bounds[1:] - 1], base + STEP, "right")))
-                total = done[bounds[at] - 1] - base
-                behind = done[x:bounds[at]] - base
+                of = np.arange(x, bounds[at])
                 found = []
-                for flat in range(0, total, STEP):
-                    place = np.arange(flat, min(flat + STEP, total))
-                    of = np.searchsorted(behind, place, "right")
-                    own = lo[x + of] + place - (behind[of] - many[x + of])
-                    a, b = self._passed(short[x + of], owner[own], end[x + of], last[own], size)
-                    found.append(np.unique(a * rows + b))
+                for flat in range(0, done[of[-1]] - base, STEP):  # one, but for a row with more than a step
+                    start = np.maximum(done[of] - many[of] - base, flat)
+                    count = (np.minimum(done[of] - base, flat + STEP) - start).clip(0)
+                    own = np.repeat(lo[of] + start - (done[of] - many[of] - base) - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    a, b = self._passed(np.repeat(of, count), own, left, right)
+                    a, b = short[a], owner[b]
+                    keep = (self.unit[a] < self.unit[b]) | ((self.unit[a] == self.unit[b]) & (a < b))
+                    keep &= (self.side[a] < 0) | (self.side[a] != self.side[b])
+                    found.append(np.unique(a[keep] * rows + b[keep]))
                 every = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
                 yield every // rows, every % rows
 
-    def _passed(self, a, b, end_a, end_b, size):
-        unit_a, unit_b = self.unit[a], self.unit[b]
-        keep = (unit_a < unit_b) | ((unit_a == unit_b) & (a < b))
-        keep &= (self.side[a] < 0) | (self.side[a] != self.side[b])
-        need = self.threshold * (unit_a + unit_b)
-        # behind the key's last element; where that is a pad, nothing is left but earlier ones
-        rest = np.minimum((self.n[a] - end_a - 1), (self.n[b] - end_b - 1)).clip(0)
-        keep &= 2.0 * (size + rest) >= need - 1e-9
-        keep = np.flatnonzero(keep)
-        a, b, need = a[keep], b[keep], need[keep]
-        apart = np.bitwise_count(self.sign[a, 0] ^ self.sign[b, 0]).astype(np.int64) + np.bitwise_count(self.sign[a, 1] ^ self.sign[b, 1])
-        keep = apart <= self.n[a] + self.n[b] - need + 1e-9
+    @staticmethod
+    def _passed(a, b, left, right):
+        """The candidates whose lengths, positions and signatures leave room for the score."""
+        apart = np.bitwise_count(left[0][a] ^ right[0][b])
+        apart += np.bitwise_count(left[1][a] ^ right[1][b])
+        keep = np.flatnonzero((apart <= left[2][a] + right[2][b] + 1e-9) & (left[3][a] <= right[3][b]))
         return a[keep], b[keep]
 
     def pairs(self):
